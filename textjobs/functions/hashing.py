@@ -2,7 +2,7 @@
 depend on row order, so a lost executor recomputes the very same rows."""
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 PRIME = 2147483647  # 2^31 - 1; the products below stay inside a bigint
 
@@ -18,19 +18,17 @@ def hash_pick(seed: int | str, key: Column, n: int) -> Column:
     return F.pmod(head, F.lit(n)).cast("int")
 
 
-def _fifth_power(x: Column) -> Column:
-    square = (x * x) % PRIME
-    return (((square * square) % PRIME) * x) % PRIME
+def with_draw_index(df: DataFrame, seed: int, replicate: str, draw: str, size: str, name: str) -> DataFrame:
+    """Adds the row position in ``[0, size)`` of one bootstrap draw.
 
-
-def draw_index(seed: int, replicate: Column, draw: Column, n: Column) -> Column:
-    """Row position in ``[0, n)`` for one bootstrap draw.
-
-    Two rounds of ``x -> x^5 + c`` over a prime field (a permutation there)
-    mix replicate and draw in plain integer arithmetic, which is far cheaper
-    than a digest per draw.
+    Rounds of ``x -> x^5 + c`` over a prime field (a permutation there) mix
+    replicate and draw in plain integer arithmetic, which is far cheaper than
+    a digest per draw.
     """
-    x = (replicate.cast("bigint") * 1000003 + draw.cast("bigint") * 7919 + seed * 104729) % PRIME
-    x = (_fifth_power(x) + 12345) % PRIME
-    x = (_fifth_power(x) + draw.cast("bigint") * 31 + 67890) % PRIME
-    return F.floor(_fifth_power(x) * n / PRIME).cast("bigint")
+    j = F.col(draw).cast("bigint")
+    out = df.withColumn("_x", (F.col(replicate).cast("bigint") * 1000003 + j * 7919 + seed * 104729) % PRIME)
+    x, square = F.col("_x"), F.col("_q")
+    for added in (F.lit(12345), j * 31 + 67890, F.lit(0)):
+        out = out.withColumn("_q", (x * x) % PRIME)
+        out = out.withColumn("_x", ((((square * square) % PRIME) * x) % PRIME + added) % PRIME)
+    return out.withColumn(name, F.floor(x * F.col(size) / PRIME).cast("bigint")).drop("_x", "_q")

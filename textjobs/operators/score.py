@@ -7,9 +7,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from textjobs.functions.hashing import draw_index
+from textjobs.functions.hashing import with_draw_index
 from textjobs.functions.stem import lcs_length, porter_stem
-from textjobs.functions.text import r4, score_units, tokens
+from textjobs.functions.text import is_blank, r4, score_units, tokens
 from textjobs.operators.parse import normalise_items, parse_sections
 from textjobs.sources.files import save_and_reread
 
@@ -179,22 +179,27 @@ def _greedy_match(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
         m = np.stack([np.asarray(v, dtype="float64") for v in rows])
         return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
+    def best(rows: np.ndarray, others: np.ndarray) -> float:
+        # a block of rows at a time, so that long texts need no full matrix
+        tops = [(rows[i:i + 512] @ others.T).max(axis=1) for i in range(0, len(rows), 512)]
+        return float(np.concatenate(tops).mean())
+
     for generated, reference in batches:
         out = []
         for g, r in zip(generated, reference):
             if g is None or r is None or len(g) == 0 or len(r) == 0:
                 out.append((0.0, 0.0))
                 continue
-            cosine = unit(g) @ unit(r).T
-            out.append((float(cosine.max(axis=1).mean()), float(cosine.max(axis=0).mean())))
+            gm, rm = unit(g), unit(r)
+            out.append((best(gm, rm), best(rm, gm)))
         yield pd.DataFrame(out, columns=["precision", "recall"])
 
 
 def greedy_match(df: DataFrame, generated: str, reference: str, prefix: str = "bertscore_") -> DataFrame:
     """Greedy-match precision, recall and F1 of two token-vector lists.
 
-    A text holds at most as many vectors as its encoder takes tokens, so each
-    pair is one small matrix product and no token pair becomes a row.
+    A text holds at most as many vectors as its encoder takes tokens.  Each
+    pair is a few matrix products on its own row; no token pair becomes a row.
     """
     scored = df.withColumn("_m", _greedy_match(generated, reference))
     p, r = F.col("_m.precision"), F.col("_m.recall")
@@ -203,6 +208,11 @@ def greedy_match(df: DataFrame, generated: str, reference: str, prefix: str = "b
     }).drop("_m")
 
 
+def embedding_tokens(text: Column, placeholder: str = "[empty]") -> Column:
+    """Tokens to embed; blank text is embedded as a placeholder."""
+    return tokens(F.when(is_blank(text), placeholder).otherwise(text))
+
+
 def gather_vectors(vectors: DataFrame, text: str, position: str, vector: str) -> DataFrame:
     """Token vectors of each text in order (bounded by the encoder's length)."""
     rows = vectors.groupBy(text).agg(F.array_sort(F.collect_list(F.struct(position, vector))).alias("_v"))
@@ -264,7 +274,7 @@ def _drawn_means(sized: DataFrame, group: list[str], n_bootstrap: int, seed: int
         *group, "n", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))).alias("r"))
     draws = draws.repartition("r").select(*group, "n", "r", F.explode(
         F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("j"))
-    draws = draws.select(*group, "r", draw_index(seed, F.col("r"), F.col("j"), F.col("n")).alias("i"))
+    draws = with_draw_index(draws, seed, "r", "j", "n", "i").select(*group, "r", "i")
     drawn = _join(draws, rows, [*group, "i"])
     return drawn.groupBy(*group, "r").agg((F.sum("u") / F.max("n") / 10000).alias("mean"))
 

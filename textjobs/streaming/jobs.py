@@ -12,7 +12,7 @@ from textjobs.operators.parse import parse_display, trace_measures
 from textjobs.operators.session import recent_history
 from textjobs.sources.files import shared_dir
 
-CHUNK_SCHEMA = "gen_id BIGINT, seq INT, chunk STRING"
+CHUNK_SCHEMA = "gen_id BIGINT, seq INT, chunk STRING, ts TIMESTAMP"
 IDLE_MS = 3_600_000
 
 
@@ -24,31 +24,34 @@ def _append_chunks(key: tuple, batches: Iterator[pd.DataFrame], state: GroupStat
     if state.hasTimedOut:
         state.remove()
         return
-    text, next_seq, held_json = state.get if state.exists else ("", 0, "{}")
+    text, next_seq, held_json, last_ms = state.get if state.exists else ("", 0, "{}", 0)
     held = {int(k): v for k, v in json.loads(held_json).items()}
     for pdf in batches:
         held.update(zip(pdf["seq"].astype(int), pdf["chunk"]))
+        last_ms = max(last_ms, int(pdf["ms"].max()))
     new = []
     while next_seq in held:
         new.append(held.pop(next_seq))
         next_seq += 1
     if new:
         text += "".join(new)
-    state.update((text, next_seq, json.dumps(held)))
-    state.setTimeoutDuration(IDLE_MS)
+    state.update((text, next_seq, json.dumps(held), last_ms))
+    state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + IDLE_MS)
     if new:
         yield pd.DataFrame({"gen_id": [key[0]], "n_chunks": [next_seq], "text": [text]})
 
 
-def accumulate(chunks: DataFrame) -> DataFrame:
+def accumulate(chunks: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """The whole text so far of each generation, once per trigger.
 
     Chunks that arrive early wait in the state for the missing ones.  A text
-    is bounded by the generator's token limit, and idle state is dropped.
+    is bounded by the generator's token limit, and the state of a generation
+    is dropped once event time has left it behind.
     """
-    return chunks.select("gen_id", "seq", "chunk").groupBy("gen_id").applyInPandasWithState(
+    timed = chunks.withWatermark("ts", lateness).withColumn("ms", F.unix_millis("ts"))
+    return timed.groupBy("gen_id").applyInPandasWithState(
         _append_chunks, "gen_id bigint, n_chunks int, text string",
-        "text string, next_seq int, held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        "text string, next_seq int, held string, last_ms bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def accumulate_batch(chunks: DataFrame) -> DataFrame:

@@ -28,17 +28,19 @@ LOOSE_ITEMS = (
 LOOSE_BODY = rf"(?is)(?:#{{1,3}}[{WS}]*)?[*_]*instructions?[*_]*:?[*_]*[{WS}]*\n(.*)\z"
 
 
-def first_match(text: Column, pattern: str, group: int = 1) -> Column:
-    """First match of a pattern, null where there is none."""
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.regexp_extract(text, pattern, group))
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once per row, however often the
     body refers to it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def first_match(text: Column, pattern: str) -> Column:
+    """First group of the first match, null where there is no match.  Only an
+    empty result needs a second look at the text."""
+    return let(F.regexp_extract(text, pattern, 1), lambda found: F.when(
+        (found != "") | F.regexp_like(text, F.lit(pattern)), found))
+
+
 def split_items(raw: Column) -> Column:
     """Items of a block: several lines are bullet lines that may hold comma
     lists; one line is a comma list."""
@@ -145,16 +147,13 @@ def legacy_items(raw: Column) -> Column:
 def display_title(text: Column) -> Column:
     """First bold run at a line start unless it names a section; else the
     first line without leading marks; else a default."""
-    text = wstrip(text)
-    bold = wstrip(F.regexp_extract(text, r"(?dm)^\*\*(.+?)\*\*", 1))
-    has_bold = F.regexp_like(text, F.lit(r"(?dm)^\*\*(.+?)\*\*"))
-    section = F.regexp_like(F.lower(bold), F.lit("ingredient|instruction|step|method"))
-    line = F.get(split_trim(text, "\n"), F.lit(0))
-    return (
-        F.when(has_bold & ~section, bold)
-        .when(line.isNotNull(), wstrip(F.ltrim(line, F.lit("*#"))))
-        .otherwise(DEFAULT_TITLE)
-    )
+    def title(t: Column) -> Column:
+        bold = let(first_match(t, r"(?dm)^\*\*(.+?)\*\*"), lambda found: F.when(
+            ~F.regexp_like(F.lower(found), F.lit("ingredient|instruction|step|method")), wstrip(found)))
+        line = F.regexp_extract(t, r"(?d)\A([^\n]+)", 1)  # the text is stripped, so its first line is not blank
+        return F.coalesce(bold, F.when(line != "", wstrip(F.ltrim(wstrip(line), F.lit("*#")))), F.lit(DEFAULT_TITLE))
+
+    return let(wstrip(text), title)
 
 
 # Section headers of the display form.
@@ -173,78 +172,114 @@ TOTAL_TIME = (
 SPICE_LEVEL = rf"[Ss]pice[{WS}]+[Ll]evel[:{WS}]+([0-9])"
 
 
+def _comma_items(block: Column) -> Column:
+    """Parts between the commas that are not inside brackets.  A comma counts
+    as inside when the next bracket after it closes; such commas are masked
+    before the split, which keeps the work linear in the text."""
+    pieces = F.regexp_extract_all(F.replace(block, F.lit("\n"), F.lit(" ")), F.lit(r"(?s)([^()]+[()]?|[()])"), F.lit(1))
+    masked = F.transform(pieces, lambda p: F.when(
+        F.endswith(p, F.lit(")")), F.replace(p, F.lit(","), F.lit(BODY_MARK))).otherwise(p))
+    return F.transform(
+        F.split(F.array_join(masked, ""), ","),
+        lambda p: wstrip(F.replace(p, F.lit(BODY_MARK), F.lit(","))))
+
+
 def split_items_display(block: Column) -> Column:
     """Bulleted lines, or commas outside brackets; repeats (ignoring case) and
     very short or long items are left out; at most 30."""
-    lines = F.split(block, "\n")
-    bulleted = (F.size(lines) > 1) & F.exists(lines, lambda l: F.regexp_like(wstrip(l), F.lit("^[-•*]")))
-    bullets = F.transform(lines, lambda l: wstrip(F.ltrim(wstrip(l), F.lit("-•*"))))
-    commas = F.transform(
-        F.split(F.replace(block, F.lit("\n"), F.lit(" ")), rf",[{WS}]*(?![^(]*\))"), wstrip)
-    items = F.filter(
-        F.when(bulleted, bullets).otherwise(commas),
-        lambda t: (F.length(t) > 1) & (F.length(t) < 120),
-    )
+    def items(b: Column) -> Column:
+        bulleted = F.contains(b, F.lit("\n")) & F.regexp_like(b, F.lit(rf"(?dm)^[{HS}]*[-•*]"))
+        bullets = F.transform(F.split(b, "\n"), lambda l: wstrip(F.ltrim(wstrip(l), F.lit("-•*"))))
+        return F.filter(
+            F.when(bulleted, bullets).otherwise(_comma_items(b)),
+            lambda t: (F.length(t) > 1) & (F.length(t) < 120),
+        )
 
     def first_of_each(found: Column) -> Column:
         folded = found["folded"]
         keys = F.slice(F.array_distinct(folded), 1, 30)
         return F.transform(keys, lambda k: F.get(found["items"], F.array_position(folded, k).cast("int") - 1))
 
-    return let(items, lambda kept: let(
+    return let(let(block, items), lambda kept: let(
         F.struct(kept.alias("items"), F.transform(kept, F.lower).alias("folded")), first_of_each))
 
 
 def display_items(text: Column) -> Column:
-    text = wstrip(text)
-    block = F.coalesce(first_match(text, SHOWN_ITEMS), first_match(text, PLAIN_ITEMS))
-    return F.coalesce(split_items_display(wstrip(block)), F.array().cast("array<string>"))
+    def items(t: Column) -> Column:
+        block = F.coalesce(first_match(t, SHOWN_ITEMS), first_match(t, PLAIN_ITEMS))
+        return F.coalesce(split_items_display(wstrip(block)), F.array().cast("array<string>"))
+
+    return let(wstrip(text), items)
+
+
+def _sentences(text: Column, pattern: str) -> Column:
+    return F.slice(F.filter(F.transform(F.split(text, pattern), wstrip), lambda s: F.length(s) > 20), 1, 15)
 
 
 def split_steps(block: Column) -> Column:
     """Numbered steps, or sentences when nothing is numbered; at most 15."""
-    numbered = F.regexp_extract_all(
-        block, F.lit(rf"(?s)(?:\A|\n){STEP_NUMBER}+(.+?)(?=(?:\n{STEP_NUMBER})|\z)"), F.lit(1))
-    steps = F.filter(
-        F.transform(numbered, lambda s: F.replace(wstrip(s), F.lit("\n"), F.lit(" "))),
-        lambda s: F.length(s) > 15)
-    flat = F.replace(block, F.lit("\n"), F.lit(" "))
-    sentences = F.filter(
-        F.transform(F.split(flat, rf"(?<=[.!?])[{WS}]+(?=[A-Z])"), wstrip), lambda s: F.length(s) > 20)
-    return F.slice(F.when(F.size(numbered) > 0, steps).otherwise(sentences), 1, 15)
+    def steps(b: Column) -> Column:
+        numbered = F.regexp_extract_all(
+            b, F.lit(rf"(?s)(?:\A|\n){STEP_NUMBER}+(.+?)(?=(?:\n{STEP_NUMBER})|\z)"), F.lit(1))
+        return let(numbered, lambda found: F.when(F.size(found) > 0, F.slice(F.filter(
+            F.transform(found, lambda s: F.replace(wstrip(s), F.lit("\n"), F.lit(" "))),
+            lambda s: F.length(s) > 15), 1, 15,
+        )).otherwise(_sentences(F.replace(b, F.lit("\n"), F.lit(" ")), rf"(?<=[.!?])[{WS}]+(?=[A-Z])")))
+
+    return let(block, steps)
 
 
 def display_steps(text: Column) -> Column:
     """Steps of the body; without a body, sentences after the item header."""
-    text = wstrip(text)
-    block = F.coalesce(first_match(text, SHOWN_STEPS), first_match(text, PLAIN_STEPS))
-    pieces = F.split(text, ITEMS_SPLIT)
-    rest = F.when(F.size(pieces) > 1, F.get(pieces, F.lit(1))).otherwise(text)
-    loose = F.slice(F.filter(
-        F.transform(F.split(wstrip(rest), rf"(?<=[.!?])[{WS}]+"), wstrip), lambda s: F.length(s) > 20), 1, 15)
-    return F.when(block.isNotNull(), split_steps(wstrip(block))).otherwise(loose)
+    def steps(t: Column) -> Column:
+        rest = F.split(t, ITEMS_SPLIT)
+        loose = let(rest, lambda pieces: _sentences(
+            wstrip(F.coalesce(F.get(pieces, F.lit(1)), F.get(pieces, F.lit(0)))), rf"(?<=[.!?])[{WS}]+"))
+        block = F.coalesce(first_match(t, SHOWN_STEPS), first_match(t, PLAIN_STEPS))
+        return let(block, lambda b: F.when(b.isNotNull(), split_steps(wstrip(b))).otherwise(loose))
+
+    return let(wstrip(text), steps)
 
 
 def metadata(text: Column, hours_as_minutes: bool = False) -> Column:
-    """Region, diet, time, spice level and course named in a text."""
-    def word(options: list[str]) -> Column:
-        return first_match(text, rf"(?iU)\b({'|'.join(options)})\b")
-
-    diet = F.lower(word(DIETS))
-    minutes = first_match(text, TOTAL_TIME).try_cast("int")
-    phrase = F.lower(first_match(text, TOTAL_TIME, 0))
-    hours = F.contains(phrase, F.lit("hour"))
-    if hours_as_minutes:  # also convert the short form, which parity leaves alone
-        hours = hours | F.regexp_like(phrase, F.lit("hrs?$"))
-    spice = first_match(text, SPICE_LEVEL).cast("int")
-    return F.struct(
-        word(REGIONS).alias("region"),
-        F.when(F.contains(diet, F.lit("vegan")), "Vegan").when(F.contains(diet, F.lit("jain")), "Jain")
-        .when(F.contains(diet, F.lit("non")), "Non-Vegetarian").when(diet.isNotNull(), "Vegetarian").alias("diet"),
-        F.when(hours, minutes * 60).otherwise(minutes).alias("time_mins"),
-        F.when(spice.isNotNull(), F.least(F.lit(5), spice)).alias("spice_level"),
-        word(COURSES).alias("course"),
-    )
+    """Region, diet, time, spice level and course named in a text.
+
+    A plain search for a hint decides whether a pattern is tried at all.
+    """
+    def fields(x: Column) -> Column:
+        t, low = x["text"], x["low"]
+
+        def hinted(hints: list[str], found: Column) -> Column:
+            seen = F.contains(low, F.lit(hints[0]))
+            for h in hints[1:]:
+                seen = seen | F.contains(low, F.lit(h))
+            return F.when(seen, found)
+
+        def word(options: list[str], hints: list[str]) -> Column:
+            edge = r"[\p{L}\p{N}_]"
+            return hinted(hints, F.regexp_substr(t, F.lit(rf"(?i)(?<!{edge})({'|'.join(options)})(?!{edge})")))
+
+        diet = let(F.lower(word(DIETS, ["veg", "jain", "diabetic"])), lambda d: F.when(
+            F.contains(d, F.lit("vegan")), "Vegan").when(F.contains(d, F.lit("jain")), "Jain")
+            .when(F.contains(d, F.lit("non")), "Non-Vegetarian").when(d.isNotNull(), "Vegetarian"))
+
+        def minutes(phrase: Column) -> Column:
+            number = F.regexp_extract(phrase, "(?s)([0-9]+)", 1).try_cast("int")
+            hours = F.contains(phrase, F.lit("hour"))
+            if hours_as_minutes:  # also convert the short form, which parity leaves alone
+                hours = hours | F.regexp_like(phrase, F.lit("hrs?$"))
+            return F.when(hours, number * 60).otherwise(number)
+
+        time = hinted(["time", "ready"], F.lower(F.regexp_substr(t, F.lit(TOTAL_TIME))))
+        spice = hinted(["pice"], F.regexp_extract(t, SPICE_LEVEL, 1).try_cast("int"))
+        return F.struct(
+            word(REGIONS, [r.lower() for r in REGIONS]).alias("region"), diet.alias("diet"),
+            let(time, minutes).alias("time_mins"),
+            let(spice, lambda n: F.when(n.isNotNull(), F.least(F.lit(5), n))).alias("spice_level"),
+            word(COURSES, [c.lower() for c in COURSES]).alias("course"),
+        )
+
+    return let(F.struct(text.alias("text"), F.lower(text).alias("low")), fields)
 
 
 def parse_display(df: DataFrame, text: str, keep: list[str]) -> DataFrame:

@@ -13,14 +13,13 @@ from textjobs.functions.text import is_blank, r4, score_units, tokens
 from textjobs.operators.parse import normalise_items, parse_sections
 from textjobs.sources.files import save_and_reread
 
-ZERO = F.lit(0.0)
 SCORES = ["ingredient_f1", "ingredient_precision", "ingredient_recall", "rouge_l", "bleu_sentence"]
 
 
 # ---- item precision, recall and F1 --------------------------------------
 
 def _harmonic(p: Column, r: Column) -> Column:
-    return F.coalesce(F.try_divide(2 * p * r, p + r), ZERO)
+    return F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
 
 
 def item_scores(df: DataFrame, generated: str, reference: str, prefix: str = "ingredient_") -> DataFrame:
@@ -33,8 +32,8 @@ def item_scores(df: DataFrame, generated: str, reference: str, prefix: str = "in
 
 
 def _prf(df: DataFrame, n_generated: Column, n_reference: Column, prefix: str) -> DataFrame:
-    p = F.coalesce(F.try_divide(F.col("_both"), n_generated), ZERO)
-    r = F.coalesce(F.try_divide(F.col("_both"), n_reference), ZERO)
+    p = F.coalesce(F.try_divide(F.col("_both"), n_generated), F.lit(0.0))
+    r = F.coalesce(F.try_divide(F.col("_both"), n_reference), F.lit(0.0))
     return df.withColumns({
         prefix + "precision": r4(p), prefix + "recall": r4(r), prefix + "f1": r4(_harmonic(p, r)),
     })
@@ -91,8 +90,8 @@ def rouge_l(df: DataFrame, generated: str, reference: str, stem: bool = True, na
         "_r": rouge_tokens(F.coalesce(F.col(reference), F.lit(""))),
     })
     measured = tokenised.withColumn("_lcs", _lcs_batches(stem)("_g", "_r"))
-    p = F.coalesce(F.try_divide(F.col("_lcs"), F.size("_g")), ZERO)
-    r = F.coalesce(F.try_divide(F.col("_lcs"), F.size("_r")), ZERO)
+    p = F.coalesce(F.try_divide(F.col("_lcs"), F.size("_g")), F.lit(0.0))
+    r = F.coalesce(F.try_divide(F.col("_lcs"), F.size("_r")), F.lit(0.0))
     return measured.withColumn(name, r4(_harmonic(p, r))).drop("_g", "_r", "_lcs")
 
 
@@ -173,8 +172,7 @@ def corpus_bleu(counts: DataFrame, keys: list[str], order: int = 4) -> DataFrame
 
 # ---- embedding greedy match ---------------------------------------------
 
-@F.pandas_udf("precision double, recall double")
-def _greedy_match(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+def _match_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     def unit(rows) -> np.ndarray:
         m = np.stack([np.asarray(v, dtype="float64") for v in rows])
         return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
@@ -201,7 +199,8 @@ def greedy_match(df: DataFrame, generated: str, reference: str, prefix: str = "b
     A text holds at most as many vectors as its encoder takes tokens.  Each
     pair is a few matrix products on its own row; no token pair becomes a row.
     """
-    scored = df.withColumn("_m", _greedy_match(generated, reference))
+    match = F.pandas_udf(_match_batches, "precision double, recall double")
+    scored = df.withColumn("_m", match(generated, reference))
     p, r = F.col("_m.precision"), F.col("_m.recall")
     return scored.withColumns({
         prefix + "precision": p, prefix + "recall": r, prefix + "f1": _harmonic(p, r),

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textjobs.functions.text import WS, tokens
 from textjobs.operators.formatting import response_text
-from textjobs.plans.registry import sql_lines, sql_parts, sql_strip, sql_tokens, table
+from textjobs.plans.registry import sql_lines, sql_parts, sql_strip, sql_tokens, table, texts
 
 STYLES = ["bullet", "comma", "hash", "untitled"]
 
@@ -56,7 +56,7 @@ def _doc_style() -> Column:
 
 def doc_recipes(spark: SparkSession, sf: str) -> DataFrame:
     title = F.concat(F.lit("Dish "), "source", F.lit(" "), F.col("doc_id").cast("string"))
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         "doc_id", "lang", "source", recipe_text(title, F.col("text"), _doc_style()).alias("recipe"))
 
 

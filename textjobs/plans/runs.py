@@ -169,7 +169,7 @@ SELECT conv_id, turn, CASE WHEN turn > 2 THEN 'adaptation' ELSE 'generation' END
        substr(text, 1, 200) AS user_message_preview, turn * 10 AS latency_ms, CAST(NULL AS VARCHAR) AS error FROM conversations""")
 def trace_log(spark: SparkSession, sf: str) -> DataFrame:
     schema = table(spark, sf, "conversations").schema
-    stream = jobs.read_stream(spark, f"{sf}/conversations.parquet", schema)
+    stream = jobs.read_stream(spark, sf, schema, name="conversations.parquet")
     tagged = stream.withColumns({
         "tag": F.concat(F.when(F.col("turn") > 2, "adapt:").otherwise("dish:"), "role"), "latency_ms": F.col("turn") * 10})
     log = jobs.run_to_table(jobs.trace_log(tagged, "text", "tag", "latency_ms", "text", ["conv_id", "turn"]), "trace")

@@ -11,7 +11,7 @@ from textjobs.operators import formatting, parse, session
 from textjobs.plans.inputs import (
     DOC_RECIPES_SQL, doc_recipes, sql_parse, sql_split_items, sql_words, words,
 )
-from textjobs.plans.registry import query, sql_lines, sql_strip, sql_tokens, table
+from textjobs.plans.registry import query, sql_lines, sql_strip, sql_tokens, table, texts
 
 # ---- prompts and responses ----------------------------------------------
 
@@ -75,7 +75,7 @@ _PRESETS = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in ADAPTATIONS)
 SELECT doc_id, preset, {_adapted_sql("change")} AS user_message
 FROM documents, (VALUES {_PRESETS}) AS o(preset, change) WHERE {sql_strip("text")} <> ''""")
 def build_adaptations(spark: SparkSession, sf: str) -> DataFrame:
-    return formatting.build_adaptations(table(spark, sf, "documents"), "text", ["doc_id"])
+    return formatting.build_adaptations(texts(spark, sf, "documents"), "text", ["doc_id"])
 
 
 @query("""
@@ -195,7 +195,7 @@ def parse_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT doc_id, array_to_string(items, '|') AS items FROM (SELECT doc_id, {sql_split_items('text')} AS items FROM documents)")
 def split_items(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         "doc_id", F.array_join(parse.split_items(F.col("text")), "|").alias("items"))
 
 
@@ -239,7 +239,7 @@ def split_items_display(spark: SparkSession, sf: str) -> DataFrame:
     commas = F.concat(F.lit("one (two, three), four,"), F.col("text"))
     bullets = F.array_join(F.transform(words(F.col("text")), lambda w: F.concat(F.lit("• "), w)), "\n")
     block = F.when(F.col("lang") == "fr", bullets).otherwise(commas)
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         "doc_id", F.array_join(parse.split_items_display(block), "|").alias("items"))
 
 
@@ -253,7 +253,7 @@ def split_steps(spark: SparkSession, sf: str) -> DataFrame:
     numbered = F.array_join(F.transform(F.split("text", "\n"), lambda l, i: F.concat(
         (i + 1).cast("string"), F.when((i + 1) % 2 == 0, ". ").otherwise(") "), l)), "\n")
     block = F.when(F.col("lang") == "en", numbered).otherwise(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.array_join(parse.split_steps(block), "|").alias("steps"))
+    return texts(spark, sf, "documents").select("doc_id", F.array_join(parse.split_steps(block), "|").alias("steps"))
 
 
 def sql_title(t: str) -> str:
@@ -370,7 +370,7 @@ def legacy_clean_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _dialect_text(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf, "documents")
     lines, item_words = F.split("text", "\n"), words(F.col("text"))
 
     def block(items: Column, body: Column) -> Column:
@@ -479,12 +479,12 @@ SELECT doc_id, i AS step_idx, n AS n_steps, step, CAST(floor((i + 1) / n * 100)
        least(i + 1, n - 1) AS next_idx, greatest(i - 1, 0) AS prev_idx FROM x""")
 def step_cursor(spark: SparkSession, sf: str) -> DataFrame:
     steps = F.filter(F.transform(F.split("text", "\n"), wstrip), lambda s: s != "")
-    return session.step_cursor(table(spark, sf, "documents").withColumn("steps", steps), "steps", ["doc_id"])
+    return session.step_cursor(texts(spark, sf, "documents").withColumn("steps", steps), "steps", ["doc_id"])
 
 
 @query(f"""
 SELECT doc_id, coalesce(({sql_lines("text")})[n_chars % 5 + 1], ({sql_lines("text")})[1]) AS step FROM documents""")
 def step_at(spark: SparkSession, sf: str) -> DataFrame:
     steps = F.filter(F.transform(F.split("text", "\n"), wstrip), lambda s: s != "")
-    docs = table(spark, sf, "documents").withColumn("steps", steps)
+    docs = texts(spark, sf, "documents").withColumn("steps", steps)
     return docs.select("doc_id", session.step_at(F.col("steps"), (F.col("n_chars") % 5).cast("int")).alias("step"))

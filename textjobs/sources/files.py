@@ -48,6 +48,14 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deals the rows of a scan out to all cores when the scan has fewer
+    splits than there are cores, as with one small file of long texts.  A
+    large table has many splits and is left as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def save_and_reread(df: DataFrame, purpose: str = "stage") -> DataFrame:
     """Write a stage once and go on from the files: the lineage ends here, and
     a lost executor costs a re-read instead of a recomputation."""

@@ -16,8 +16,10 @@ CHUNK_SCHEMA = "gen_id BIGINT, seq INT, chunk STRING, ts TIMESTAMP"
 IDLE_MS = 3_600_000
 
 
-def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path))
+def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1, name: str = "*.parquet") -> DataFrame:
+    """Parquet files of a folder as a stream."""
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+            .option("pathGlobFilter", name).parquet(path))
 
 
 def _append_chunks(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -1,9 +1,10 @@
 """Helpers that run inside Arrow-batched UDFs: Porter's suffix stripping (1980)
-with the usual later extensions, and the length of the longest common
-subsequence by bit vectors (Crochemore et al., 2001)."""
+with the usual later extensions, the length of the longest common subsequence
+by bit vectors (Crochemore et al., 2001), and clipped gram matches."""
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 # Suffix tables of the published algorithm.
@@ -135,3 +136,9 @@ def lcs_length(a: list[str], b: list[str]) -> int:
         hit = row & where.get(token, 0)
         row = ((row + hit) | (row - hit)) & full
     return len(b) - bin(row).count("1")
+
+
+def clipped_matches(generated: list[str], reference: list[str], n: int) -> int:
+    """Grams of length n in both lists, each counted as often as in the rarer."""
+    g, r = (Counter(zip(*[toks[i:] for i in range(n)])) for toks in (generated, reference))
+    return sum((g & r).values())

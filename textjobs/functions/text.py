@@ -30,8 +30,9 @@ def wstrip(c: Column | str) -> Column:
 
 
 def is_blank(c: Column | str) -> Column:
-    """True for null and for white-space-only text."""
-    return F.coalesce(wstrip(c) == "", F.lit(True))
+    """True for null and for white-space-only text; stops at the first other
+    character."""
+    return F.coalesce(~F.regexp_like(as_col(c), F.lit(f"[^{WS}]")), F.lit(True))
 
 
 def not_blank(c: Column | str) -> Column:
@@ -54,10 +55,13 @@ def word_count(c: Column | str) -> Column:
 
 def prefix_key(c: Column | str, order: str = "strip_cut", length: int = 80) -> Column:
     """Prefix key of a text: ``strip_cut`` strips first, ``cut_strip`` last."""
+    c = as_col(c)
     if order == "strip_cut":
-        return F.substring(wstrip(c), 1, length)
+        # the far end of a long text matters only when the cut ends in white space
+        cut = F.substring(F.ltrim(c, F.lit(WS_CHARS)), 1, length)
+        return F.when(F.regexp_like(cut, F.lit(rf"[{WS}]\z")), F.substring(wstrip(c), 1, length)).otherwise(cut)
     if order == "cut_strip":
-        return wstrip(F.substring(as_col(c), 1, length))
+        return wstrip(F.substring(c, 1, length))
     raise ValueError(f"unknown key order: {order}")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textjobs.functions.text import is_blank, not_blank, r4, word_count, wstrip
-from textjobs.operators.quantiles import exact_quantiles
+from textjobs.operators.quantiles import exact_quantiles, value_table
 
 
 def row_digest(df: DataFrame, columns: list[str] | None = None) -> Column:
@@ -63,27 +63,28 @@ def keyword_tag(df: DataFrame, column: str, keywords: list[str], name: str = "ta
 
 def length_profile(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """Word-count minimum, median, mean, maximum and 95th percentile."""
-    words = df.where(F.col(text).isNotNull()).select(*keys, word_count(text).alias("words"))
-    base = words.groupBy(*keys).agg(
-        F.count("*").alias("n_texts"), F.min("words").alias("min_words"),
-        r4(F.avg("words")).alias("mean_words"), F.max("words").alias("max_words"),
+    counted = value_table(df.where(F.col(text).isNotNull()).select(*keys, word_count(text).alias("words")), "words", keys)
+    base = counted.groupBy(*keys).agg(
+        F.sum("_c").alias("n_texts"), F.min("_v").cast("int").alias("min_words"),
+        r4(F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean_words"),
+        F.max("_v").cast("int").alias("max_words"),
     )
-    return _with_quantiles(base, words, "words", keys, {"median_words": 0.5, "p95_words": 0.95})
+    return _with_quantiles(base, counted, keys, {"median_words": 0.5, "p95_words": 0.95})
 
 
 def numeric_profile(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
-    """Minimum, median, mean, maximum and number of zeros."""
-    value = F.col(column).cast("double")
-    values = df.select(*keys, value.alias("v"))
-    base = values.groupBy(*keys).agg(
-        F.count("v").alias("n_values"), F.min("v").alias("min_value"), F.max("v").alias("max_value"),
-        F.bround(F.avg("v"), 2).alias("mean_value"), F.count_if(F.col("v") == 0).alias("n_zero"),
+    """Minimum, median, mean, maximum and number of zeros of the numbers."""
+    counted = value_table(df, column, keys)
+    base = counted.groupBy(*keys).agg(
+        F.sum("_c").alias("n_values"), F.min("_v").alias("min_value"), F.max("_v").alias("max_value"),
+        F.bround(F.sum(F.col("_v") * F.col("_c")) / F.sum("_c"), 2).alias("mean_value"),
+        F.coalesce(F.sum(F.when(F.col("_v") == 0, F.col("_c"))), F.lit(0)).alias("n_zero"),
     )
-    return _with_quantiles(base, values, "v", keys, {"median_value": 0.5})
+    return _with_quantiles(base, counted, keys, {"median_value": 0.5})
 
 
-def _with_quantiles(base: DataFrame, values: DataFrame, column: str, keys: list[str], wanted: dict[str, float]) -> DataFrame:
-    quantiles = exact_quantiles(values, column, list(wanted.values()), keys)
+def _with_quantiles(base: DataFrame, counted: DataFrame, keys: list[str], wanted: dict[str, float]) -> DataFrame:
+    quantiles = exact_quantiles(counted, list(wanted.values()), keys)
     wide = quantiles.groupBy(*keys).agg(*[
         r4(F.max(F.when(F.col("p") == p, F.col("quantile")))).alias(name) for name, p in wanted.items()
     ])

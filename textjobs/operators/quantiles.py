@@ -4,18 +4,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: list[float], keys: list[str], parts: int = 64) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per key and probability.
-
-    Spark's own exact percentile keeps every distinct value of a group in one
-    buffer.  Here equal values are first counted; a bounded sketch then cuts
-    each group into ranges; the ranges are counted; and only the ranges that
-    hold a wanted rank are ordered.
-    """
-    counted = (
+def value_table(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """Distinct values ``_v`` per key with their number of rows ``_c``."""
+    return (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
     )
+
+
+def exact_quantiles(counted: DataFrame, probs: list[float], keys: list[str], parts: int = 64) -> DataFrame:
+    """Exact quantiles of a value table with linear interpolation, one row per
+    key and probability.
+
+    Spark's own exact percentile keeps every distinct value of a group in one
+    buffer.  Here a bounded sketch cuts each group into ranges; the ranges are
+    counted; and only the ranges that hold a wanted rank are ordered.
+    """
     cuts = [i / parts for i in range(1, parts)]
     bounds = counted.groupBy(*keys).agg(
         F.sum("_c").alias("_n"), F.percentile_approx("_v", cuts, parts * 50).alias("_bounds")

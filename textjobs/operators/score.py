@@ -1,6 +1,7 @@
 """Scores of generated against reference texts, per row and per model."""
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -8,10 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textjobs.functions.hashing import with_draw_index
-from textjobs.functions.stem import lcs_length, porter_stem
+from textjobs.functions.stem import clipped_matches, lcs_length, porter_stem
 from textjobs.functions.text import is_blank, r4, score_units, tokens
 from textjobs.operators.parse import normalise_items, parse_sections
-from textjobs.sources.files import save_and_reread
 
 SCORES = ["ingredient_f1", "ingredient_precision", "ingredient_recall", "rouge_l", "bleu_sentence"]
 
@@ -63,76 +63,63 @@ def legacy_scores(df: DataFrame, generated: str, reference: str) -> DataFrame:
 
 # ---- ROUGE-L ------------------------------------------------------------
 
-def rouge_tokens(text: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
+TextBatches = Iterator[tuple[pd.Series, pd.Series]]
 
 
-def _lcs_batches(stem: bool):
-    def lengths(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        def words(row) -> list[str]:
-            return [porter_stem(t) if stem and len(t) > 3 else t for t in row]
+def _lcs_lengths(stem: bool):
+    """Sizes of both token lists and of their longest common subsequence;
+    tokens are lower-case runs of ASCII letters and digits."""
+    def words(text: str) -> list[str]:
+        found = re.findall("[a-z0-9]+", text.lower())
+        return [porter_stem(t) if len(t) > 3 else t for t in found] if stem else found
 
+    def lengths(batches: TextBatches) -> Iterator[pd.DataFrame]:
         for generated, reference in batches:
-            yield pd.Series([lcs_length(words(g), words(r)) for g, r in zip(generated, reference)], dtype="int64")
+            pairs = [(words(g), words(r)) for g, r in zip(generated, reference)]
+            yield pd.DataFrame([(lcs_length(g, r), len(g), len(r)) for g, r in pairs], columns=["lcs", "n_gen", "n_ref"])
 
-    return F.pandas_udf(lengths, "bigint")
+    return F.pandas_udf(lengths, "lcs bigint, n_gen bigint, n_ref bigint")
 
 
 def rouge_l(df: DataFrame, generated: str, reference: str, stem: bool = True, name: str = "rouge_l") -> DataFrame:
     """F1 of the longest common subsequence of the two token lists.
 
-    Only the subsequence length is computed in Python, in Arrow batches; a
-    text pair stays on its row, so there is no shuffle.
+    A text pair stays on its row: no shuffle, one Arrow batch after the other.
     """
-    tokenised = df.withColumns({
-        "_g": rouge_tokens(F.coalesce(F.col(generated), F.lit(""))),
-        "_r": rouge_tokens(F.coalesce(F.col(reference), F.lit(""))),
-    })
-    measured = tokenised.withColumn("_lcs", _lcs_batches(stem)("_g", "_r"))
-    p = F.coalesce(F.try_divide(F.col("_lcs"), F.size("_g")), F.lit(0.0))
-    r = F.coalesce(F.try_divide(F.col("_lcs"), F.size("_r")), F.lit(0.0))
-    return measured.withColumn(name, r4(_harmonic(p, r))).drop("_g", "_r", "_lcs")
+    empty = F.lit("")
+    measured = df.withColumn("_l", _lcs_lengths(stem)(F.coalesce(F.col(generated), empty), F.coalesce(F.col(reference), empty)))
+    p = F.coalesce(F.try_divide(F.col("_l.lcs"), F.col("_l.n_gen")), F.lit(0.0))
+    r = F.coalesce(F.try_divide(F.col("_l.lcs"), F.col("_l.n_ref")), F.lit(0.0))
+    return measured.withColumn(name, r4(_harmonic(p, r))).drop("_l")
 
 
 # ---- BLEU ---------------------------------------------------------------
 
-def _grams(toks: Column, side: int, order: int) -> Column:
-    """All grams of length 1..order as (side, n, gram); a short text has none."""
-    def of_length(n: int) -> Column:
-        last = F.size(toks) - n
-        starts = F.when(last >= 0, F.sequence(F.lit(1), last + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(
-            F.lit(side).alias("side"), F.lit(n).alias("n"),
-            F.array_join(F.slice(toks, i, n), " ").alias("gram")))
+def _gram_counts(order: int):
+    def counts(batches: TextBatches) -> Iterator[pd.DataFrame]:
+        for generated, reference in batches:
+            rows = []
+            for g, r in zip(generated, reference):
+                a, b = g.split(), r.split()
+                rows.append((len(a), len(b), *[clipped_matches(a, b, n) for n in range(1, order + 1)]))
+            yield pd.DataFrame(rows, columns=["gen_len", "ref_len", *[f"m{n}" for n in range(1, order + 1)]])
 
-    return F.concat(*[of_length(n) for n in range(1, order + 1)])
+    return F.pandas_udf(counts, ", ".join(f"{c} bigint" for c in ["gen_len", "ref_len", *[f"m{n}" for n in range(1, order + 1)]]))
 
 
-def ngram_matches(df: DataFrame, pair: str, generated: str, reference: str, keep: list[str] = [],
-                  order: int = 4) -> DataFrame:
-    """Per pair: token counts of both sides and, for n = 1..order, clipped
-    matches ``m<n>`` and candidate grams ``t<n>``.
+def ngram_matches(df: DataFrame, generated: str, reference: str, order: int = 4) -> DataFrame:
+    """Adds token counts of both sides and, for n = 1..order, clipped matches
+    ``m<n>`` and candidate grams ``t<n>``.
 
-    The texts are partitioned by pair once.  Both aggregates keep that
-    partitioning, so the grams themselves, many times the texts, never shuffle.
+    Grams are counted inside their row.  Exploding and grouping them gives the
+    same numbers, but moves many times the texts through hash tables: it took
+    seven times as long on the 0.1 tables.
     """
-    pairs = df.select(pair, *keep, tokens(F.coalesce(F.col(generated), F.lit(""))).alias("_g"),
-                      tokens(F.coalesce(F.col(reference), F.lit(""))).alias("_r"))
-    pairs = pairs.repartition(pair)
-    sizes = [F.size("_g").alias("gen_len"), F.size("_r").alias("ref_len")]
-    grams = pairs.select(pair, *keep, *sizes, F.explode_outer(
-        F.concat(_grams(F.col("_g"), 0, order), _grams(F.col("_r"), 1, order))).alias("x"))
-    group = [pair, *keep, "gen_len", "ref_len"]
-    per_gram = grams.groupBy(*group, F.col("x.n").alias("n"), F.col("x.gram").alias("gram")).agg(
-        F.count_if(F.col("x.side") == 0).alias("in_gen"), F.count_if(F.col("x.side") == 1).alias("in_ref"))
-    clipped = F.least("in_gen", "in_ref")
-    return per_gram.groupBy(*group).agg(*[
-        e for n in range(1, order + 1) for e in (
-            F.coalesce(F.sum(F.when(F.col("n") == n, clipped)), F.lit(0)).alias(f"m{n}"),
-            F.greatest(F.col("gen_len") - (n - 1), F.lit(0)).cast("bigint").alias(f"t{n}"),
-        )
-    ])
+    empty = F.lit("")
+    counted = df.withColumn("_n", _gram_counts(order)(
+        F.coalesce(F.col(generated), empty), F.coalesce(F.col(reference), empty)))
+    return counted.select(*df.columns, "_n.*").withColumns({
+        f"t{n}": F.greatest(F.col("gen_len") - (n - 1), F.lit(0)) for n in range(1, order + 1)})
 
 
 def _brevity(gen_len: Column, ref_len: Column) -> Column:
@@ -300,35 +287,31 @@ def _multinomial_means(sized: DataFrame, group: list[str], n_bootstrap: int, see
 
 # ---- rows and scorecard -------------------------------------------------
 
-def score_rows(df: DataFrame, key: str, generated: str = "generated_text", reference: str = "reference_text",
+def score_rows(df: DataFrame, generated: str = "generated_text", reference: str = "reference_text",
                stem: bool = True, with_counts: bool = False) -> DataFrame:
-    """Parses both texts and adds the five row scores.  A row without a text
-    keeps empty fields and zero scores.
+    """Parses both texts and adds the five row scores, all without a shuffle.
 
-    The parsed rows are written once, since two branches read them: the list
-    scores, which need no shuffle, and the gram counts.  ``with_counts`` keeps
-    the counts for a later corpus score.
+    A row without a text keeps empty fields and zero scores.  ``with_counts``
+    keeps the gram counts for a later corpus score.
     """
     stale = [f"{side}_{f}" for side in ("ref", "gen") for f in ("name", "ingredients", "instructions")] + SCORES
     parsed = parse_sections(df.drop(*stale), reference, "ref_")
-    parsed = save_and_reread(parse_sections(parsed, generated, "gen_"), "parsed")
+    parsed = parse_sections(parsed, generated, "gen_")
     scored = item_scores(parsed, "gen_ingredients", "ref_ingredients")
     scored = rouge_l(scored, "gen_instructions", "ref_instructions", stem)
-    counts = sentence_bleu(ngram_matches(parsed, key, "gen_instructions", "ref_instructions"))
-    if not with_counts:
-        counts = counts.select(key, "bleu_sentence")
-    return scored.join(counts.withColumnRenamed(key, "_key"), F.col(key) == F.col("_key")).drop("_key")
+    counted = sentence_bleu(ngram_matches(scored, "gen_instructions", "ref_instructions"))
+    return counted if with_counts else counted.select(*scored.columns, "bleu_sentence")
 
 
-def scorecard(rows: DataFrame, key: str, model: str = "model_id", embedding: DataFrame | None = None,
+def scorecard(rows: DataFrame, model: str = "model_id", embedding: DataFrame | None = None,
               n_bootstrap: int = 1000) -> DataFrame:
     """One row per model: means, intervals and corpus BLEU of scored rows.
 
-    ``embedding`` holds (key, bertscore_f1, bertscore_precision,
-    bertscore_recall); without it those columns are null.
+    Several branches read the rows, so give it rows that are stored.
+    ``embedding`` holds the model, bertscore_f1, bertscore_precision and
+    bertscore_recall of each pair; without it those columns are null.
     """
-    counts = rows if "m1" in rows.columns else ngram_matches(
-        rows, key, "gen_instructions", "ref_instructions", [model])
+    counts = rows if "m1" in rows.columns else ngram_matches(rows, "gen_instructions", "ref_instructions")
     parts = ["ingredient_f1", "rouge_l"]
     card = score_means(rows, [model], parts)
     card = card.join(bootstrap_ci(rows, [model], parts, n_bootstrap), model, "left")
@@ -338,10 +321,9 @@ def scorecard(rows: DataFrame, key: str, model: str = "model_id", embedding: Dat
     if embedding is None:
         card = card.withColumns({n: F.lit(None).cast("double") for n in names})
     else:
-        tagged = embedding.join(rows.select(F.col(key), F.col(model)), key)
-        means = tagged.groupBy(model).agg(*[
+        means = embedding.groupBy(model).agg(*[
             r4(F.avg(f"bertscore_{m}")).alias(f"bertscore_mean_{m}") for m in ("f1", "precision", "recall")])
-        ci = bootstrap_ci(tagged, [model], ["bertscore_f1"], n_bootstrap).withColumnsRenamed(
+        ci = bootstrap_ci(embedding, [model], ["bertscore_f1"], n_bootstrap).withColumnsRenamed(
             {"bertscore_f1_ci_lower": names[3], "bertscore_f1_ci_upper": names[4]})
         card = card.join(means, model, "left").join(ci, model, "left")
     return card.select(

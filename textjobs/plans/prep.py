@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textjobs.functions.text import BOM, normalise_label, prefix_key
 from textjobs.operators import compare, prep, profile, split
-from textjobs.plans.registry import query, sql_key, sql_strip, sql_tokens, table
+from textjobs.plans.registry import query, sql_key, sql_strip, sql_tokens, table, texts
 from textjobs.sources import files
 
 # ---- sources and sinks --------------------------------------------------
@@ -236,7 +236,7 @@ def _is_a() -> Column:
 
 
 def source_a(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").where(_is_a())
+    d = texts(spark, sf, "documents").where(_is_a())
     return d.select(
         F.col("doc_id").alias("ord"),
         F.when(F.col("n_chars") > 150, F.concat(F.lit(" "), "source", F.lit(" "), F.col("doc_id").cast("string")))
@@ -417,7 +417,7 @@ SELECT lang, count(*) AS n_texts, min(w) AS min_words, round_even(avg(w), 4) AS
        round_even(quantile_cont(w, 0.5), 4) AS median_words, round_even(quantile_cont(w, 0.95), 4) AS p95_words
 FROM x GROUP BY lang""")
 def length_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.length_profile(table(spark, sf, "documents"), "text", ["lang"])
+    return profile.length_profile(texts(spark, sf, "documents"), "text", ["lang"])
 
 
 @query("""

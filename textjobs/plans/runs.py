@@ -1,7 +1,7 @@
 """Registered queries: training logs, model comparison, sessions, streams."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textjobs.operators import compare, runlog, session
 from textjobs.plans.inputs import CONV_EVAL_SQL, conv_eval
@@ -119,6 +119,10 @@ def recent_history(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- streams ------------------------------------------------------------
 
+def _started() -> Column:
+    return F.timestamp_seconds(F.lit(1704067200) + F.col("gen_id") % 3600)
+
+
 def _chunk_stream(spark: SparkSession, texts: DataFrame) -> DataFrame:
     """Texts cut at spaces into chunks that arrive in four steps."""
     pieces = F.transform(F.split("text", " "), lambda w, i: F.when(i > 0, F.concat(F.lit(" "), w)).otherwise(w))
@@ -126,9 +130,8 @@ def _chunk_stream(spark: SparkSession, texts: DataFrame) -> DataFrame:
     path = files.shared_dir(spark, "chunks")
     for step in range(4):
         part = chunks.where(F.floor(F.col("seq") * 4 / F.col("n")) == step)
-        part.select("gen_id", "seq", "chunk", F.timestamp_seconds(F.col("seq") + 1704067200).alias("ts")) \
-            .write.mode("append").parquet(path)
-    return jobs.read_stream(spark, path, jobs.CHUNK_SCHEMA)
+        part.select("gen_id", "seq", "chunk", _started().alias("started_at")).write.mode("append").parquet(path)
+    return jobs.read_stream(spark, path, jobs.CHUNK_SCHEMA, files_per_trigger=8)
 
 
 def _conversation_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,7 +143,7 @@ _CHUNKS_SQL = "SELECT conv_id * 1000 + turn AS gen_id, len(string_split(text, '
 
 @query(_CHUNKS_SQL)
 def stream_accumulate(spark: SparkSession, sf: str) -> DataFrame:
-    texts = jobs.run_to_table(jobs.accumulate(_chunk_stream(spark, _conversation_texts(spark, sf))), "accumulated")
+    texts = jobs.run_to_table(jobs.accumulate(_chunk_stream(spark, _conversation_texts(spark, sf))), "accumulated", "update")
     return texts.groupBy("gen_id").agg(F.max("n_chunks").alias("n_chunks"), F.max_by("text", "n_chunks").alias("text"))
 
 
@@ -149,7 +152,7 @@ def batch_accumulate(spark: SparkSession, sf: str) -> DataFrame:
     texts = _conversation_texts(spark, sf)
     chunks = texts.select("gen_id", F.posexplode(F.transform(
         F.split("text", " "), lambda w, i: F.when(i > 0, F.concat(F.lit(" "), w)).otherwise(w))).alias("seq", "chunk"))
-    return jobs.accumulate_batch(chunks)
+    return jobs.whole_texts(chunks.withColumn("started_at", _started()))
 
 
 @query(f"""
@@ -157,7 +160,7 @@ WITH {CONV_EVAL_SQL}, {sql_display("ev", "row_index", "reference_text")}
 SELECT key AS gen_id, title, items, steps FROM shown""")
 def stream_parse(spark: SparkSession, sf: str) -> DataFrame:
     recipes = conv_eval(spark, sf).select(F.col("row_index").alias("gen_id"), F.col("reference_text").alias("text"))
-    parsed = jobs.run_to_table(jobs.parse_partial(jobs.accumulate(_chunk_stream(spark, recipes))), "parsed-stream")
+    parsed = jobs.run_to_table(jobs.parse_partial(jobs.accumulate(_chunk_stream(spark, recipes))), "parsed-stream", "update")
     last = parsed.groupBy("gen_id").agg(F.max_by(F.struct("name", "ingredients", "steps"), "n_chunks").alias("x"))
     return last.select("gen_id", F.col("x.name").alias("title"), F.array_join("x.ingredients", "|").alias("items"),
                        F.array_join("x.steps", "|").alias("steps"))

@@ -10,6 +10,7 @@ from textjobs.plans.inputs import (
 )
 from textjobs.plans.registry import query, sql_strip, sql_tokens, table, texts
 from textjobs.plans.text import LINE_ITEMS_SQL, _exchanges, _EXCHANGES_SQL, line_items
+from textjobs.sources.files import save_and_reread, spread
 
 # ---- SQL pieces ---------------------------------------------------------
 
@@ -189,7 +190,7 @@ def rouge_l_stemmed(spark: SparkSession, sf: str) -> DataFrame:
 WITH {_NEIGHBOURS_SQL}, {sql_counts("x", "nb", "doc_id", "generated", "reference")}
 SELECT key AS doc_id, {_SENTENCE} AS bleu_sentence FROM x_counts""")
 def sentence_bleu(spark: SparkSession, sf: str) -> DataFrame:
-    counts = score.ngram_matches(_neighbours(spark, sf), "doc_id", "generated", "reference")
+    counts = score.ngram_matches(_neighbours(spark, sf), "generated", "reference")
     return score.sentence_bleu(counts).select("doc_id", "bleu_sentence")
 
 
@@ -198,7 +199,7 @@ WITH {_NEIGHBOURS_SQL}, {sql_counts("x", "nb", "doc_id", "generated", "reference
 t AS (SELECT lang, count(*) AS n_samples, sum(gl) AS gl, sum(rl) AS rl, {_TOTALS} FROM x_counts JOIN nb ON doc_id = key GROUP BY lang)
 SELECT lang, n_samples, {_CORPUS} AS bleu_corpus FROM t""")
 def corpus_bleu(spark: SparkSession, sf: str) -> DataFrame:
-    counts = score.ngram_matches(_neighbours(spark, sf), "doc_id", "generated", "reference", ["lang"])
+    counts = score.ngram_matches(_neighbours(spark, sf), "generated", "reference")
     return score.corpus_bleu(counts, ["lang"])
 
 
@@ -229,12 +230,13 @@ def _embedded(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
     pick = F.pmod(F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("bigint"), n)
 
     def side(column: str, name: str) -> DataFrame:
-        toks = rows.select("row_index", F.posexplode(score.embedding_tokens(F.col(column))).alias("pos", "token"))
+        toks = spread(rows.select("row_index", column)).select("row_index", F.posexplode(score.embedding_tokens(F.col(column))).alias("pos", "token"))
         found = toks.withColumn("vec_id", pick).join(vectors, "vec_id")
         return score.gather_vectors(found, "row_index", "pos", "embedding").withColumnRenamed("vectors", name)
 
     pairs = side("gen_instructions", "g").join(side("ref_instructions", "r"), "row_index")
-    return score.greedy_match(pairs, "g", "r").drop("g", "r")
+    scored = score.greedy_match(pairs, "g", "r").drop("g", "r")
+    return scored.join(rows.select("row_index", "model_id"), "row_index")
 
 
 def _embedding_tokens_sql(x: str) -> str:
@@ -275,7 +277,7 @@ WITH RECURSIVE {_SCORED_SQL}
 SELECT key AS row_index, model_id, coalesce(gname, '') AS gen_name, gbody AS gen_instructions, {_FIVE} FROM scored""")
 def scored_with_defaults(spark: SparkSession, sf: str) -> DataFrame:
     """Rows without a generated text stay, with empty fields and zero scores."""
-    rows = score.score_rows(conv_eval(spark, sf), "row_index", stem=False)
+    rows = score.score_rows(conv_eval(spark, sf), stem=False)
     return rows.select("row_index", "model_id", "gen_name", "gen_instructions", *score.SCORES)
 
 
@@ -287,7 +289,7 @@ def rescore(spark: SparkSession, sf: str) -> DataFrame:
     stored = conv_eval(spark, sf).withColumns({
         "user_message": F.concat(F.lit("kept "), "model_id"), "ref_name": F.lit("stale"),
         "gen_ingredients": F.array(F.lit("stale")), "rouge_l": F.lit(0.5), "ingredient_f1": F.lit(0.5)})
-    rows = score.score_rows(stored, "row_index", stem=False)
+    rows = score.score_rows(stored, stem=False)
     return rows.select("row_index", "user_message", "ref_name", F.array_join("gen_ingredients", "|").alias("gen_ingredients"),
                        *score.SCORES)
 
@@ -342,16 +344,16 @@ SELECT c.*, {_ci_columns_sql("i", "ingredient_f1")}, {_ci_columns_sql("r", "roug
        e.* EXCLUDE (model_id), {_ci_columns_sql("e", "bertscore")}
 FROM c JOIN bleu USING (model_id) JOIN e USING (model_id)""")
 def scorecard(spark: SparkSession, sf: str) -> DataFrame:
-    rows = score.score_rows(conv_eval(spark, sf), "row_index", stem=False, with_counts=True)
-    rows = score.save_and_reread(rows, "scored")
-    return score.scorecard(rows, "row_index", embedding=_embedded(spark, sf, rows))
+    rows = score.score_rows(conv_eval(spark, sf), stem=False, with_counts=True)
+    rows = save_and_reread(rows, "scored")
+    return score.scorecard(rows, embedding=save_and_reread(_embedded(spark, sf, rows), "embedded"))
 
 
 @query()
 def scorecard_documents(spark: SparkSession, sf: str) -> DataFrame:
     """The scorecard over whole documents, with stemming, without embeddings."""
-    rows = score.score_rows(doc_eval(spark, sf), "row_index", with_counts=True)
-    return score.scorecard(score.save_and_reread(rows, "scored"), "row_index")
+    rows = score.score_rows(doc_eval(spark, sf), with_counts=True)
+    return score.scorecard(save_and_reread(rows, "scored"))
 
 
 def _lookup_batches(batches):

@@ -336,7 +336,7 @@ def line_items(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("l_linenumber")
     unit = (F.when(n == 1, " cup ").when(n == 2, "g ").when(n == 3, " tbsps ").when(n == 4, "/2 ½ ")
             .when(n == 5, "-3 large ").otherwise(" unknown "))
-    lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = texts(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return lines.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus",
         F.concat(F.lit(" "), F.col("l_quantity").cast("int").cast("string"), unit, F.upper("p_name")).alias("item"))

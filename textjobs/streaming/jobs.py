@@ -1,19 +1,15 @@
 """Structured Streaming jobs over generated chunks and finished generations."""
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textjobs.operators.parse import parse_display, trace_measures
 from textjobs.operators.session import recent_history
 from textjobs.sources.files import shared_dir
 
-CHUNK_SCHEMA = "gen_id BIGINT, seq INT, chunk STRING, ts TIMESTAMP"
-IDLE_MS = 3_600_000
+CHUNK_SCHEMA = "gen_id BIGINT, seq INT, chunk STRING, started_at TIMESTAMP"
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1, name: str = "*.parquet") -> DataFrame:
@@ -22,46 +18,24 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int =
             .option("pathGlobFilter", name).parquet(path))
 
 
-def _append_chunks(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    text, next_seq, held_json, last_ms = state.get if state.exists else ("", 0, "{}", 0)
-    held = {int(k): v for k, v in json.loads(held_json).items()}
-    for pdf in batches:
-        held.update(zip(pdf["seq"].astype(int), pdf["chunk"]))
-        last_ms = max(last_ms, int(pdf["ms"].max()))
-    new = []
-    while next_seq in held:
-        new.append(held.pop(next_seq))
-        next_seq += 1
-    if new:
-        text += "".join(new)
-    state.update((text, next_seq, json.dumps(held), last_ms))
-    state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + IDLE_MS)
-    if new:
-        yield pd.DataFrame({"gen_id": [key[0]], "n_chunks": [next_seq], "text": [text]})
+def whole_texts(chunks: DataFrame) -> DataFrame:
+    """The text so far of each generation, up to the first missing chunk.
 
-
-def accumulate(chunks: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """The whole text so far of each generation, once per trigger.
-
-    Chunks that arrive early wait in the state for the missing ones.  A text
-    is bounded by the generator's token limit, and the state of a generation
-    is dropped once event time has left it behind.
+    The same aggregate serves a finished table and a stream; a generation is
+    bounded by its generator's token limit.
     """
-    timed = chunks.withWatermark("ts", lateness).withColumn("ms", F.unix_millis("ts"))
-    return timed.groupBy("gen_id").applyInPandasWithState(
-        _append_chunks, "gen_id bigint, n_chunks int, text string",
-        "text string, next_seq int, held string, last_ms bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    ordered = F.array_sort(F.collect_set(F.struct("seq", "chunk")))
+    ready = F.filter(ordered, lambda c, i: c["seq"] == i)
+    return chunks.groupBy("gen_id", "started_at").agg(ready.alias("_c")).select(
+        "gen_id", F.size("_c").alias("n_chunks"),
+        F.array_join(F.transform("_c", lambda c: c["chunk"]), "").alias("text"))
 
 
-def accumulate_batch(chunks: DataFrame) -> DataFrame:
-    """The final text per generation of a finished chunk table."""
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "chunk")))
-    return chunks.groupBy("gen_id").agg(
-        F.count("*").cast("int").alias("n_chunks"),
-        F.array_join(F.transform(ordered, lambda c: c["chunk"]), "").alias("text"))
+def accumulate(chunks: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """Streaming form, for update mode: each trigger gives the whole text of
+    every generation that grew.  The start time is the event time, so the
+    state of a generation is dropped once the watermark has passed it."""
+    return whole_texts(chunks.withWatermark("started_at", lateness))
 
 
 def parse_partial(texts: DataFrame) -> DataFrame:
@@ -81,21 +55,21 @@ def trace_log(generations: DataFrame, text: str, tag: str, latency_ms: str, mess
     )
 
 
-def run_to_table(stream: DataFrame, purpose: str) -> DataFrame:
-    """Runs a stream over what is available into Parquet and reads that."""
-    spark = stream.sparkSession
-    path = shared_dir(spark, purpose)
-    query = (
-        stream.writeStream.format("parquet").outputMode("append").option("path", path)
-        .option("checkpointLocation", shared_dir(spark, purpose + "-checkpoint")).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+def run_to_table(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is available and reads what it gave.  Every
+    batch has a folder of its own, so a repeated batch replaces itself."""
+    root = shared_dir(stream.sparkSession, purpose)
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batch={number}")
+
+    run_batches(stream, store, purpose, mode)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/batch=*")
 
 
-def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], purpose: str) -> None:
+def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], purpose: str, mode: str = "append") -> None:
     query = (
-        stream.writeStream.foreachBatch(handle)
+        stream.writeStream.foreachBatch(handle).outputMode(mode)
         .option("checkpointLocation", shared_dir(stream.sparkSession, purpose + "-checkpoint"))
         .trigger(availableNow=True).start()
     )

@@ -17,6 +17,8 @@ WS_CHARS = (
 # line feed for patterns that must stay on one line.
 WS = "\\t-\\r\\x1c-\\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 HS = "\\t\\x0b-\\r\\x1c-\\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# The same set for Java alone, where the Unicode class tests faster than ranges.
+TOKEN_GAP = r"(?U)[\s\x1c-\x1f]+"
 BOM = "\ufeff"
 
 
@@ -46,7 +48,7 @@ def empty_to_null(c: Column | str) -> Column:
 
 def tokens(c: Column | str) -> Column:
     """White-space tokens; blank text has none."""
-    return F.filter(F.split(as_col(c), f"[{WS}]+"), lambda t: t != "")
+    return F.filter(F.split(as_col(c), TOKEN_GAP), lambda t: t != "")
 
 
 def word_count(c: Column | str) -> Column:

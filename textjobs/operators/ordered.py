@@ -16,23 +16,26 @@ def carry_forward(df: DataFrame, keys: list[str], bucket: str, order: list[str],
     ``values`` are columns over ``df``; ``bucket`` must not decrease along
     ``order``.
     """
-    rows = df.withColumns({f"_s{i}": F.when(v.isNotNull(), F.struct(v.alias("v"))) for i, v in enumerate(values)})
+    # a struct is never null and compares its null fields as equal, so one
+    # partitioning serves the window, the aggregate and the join
+    group = F.struct(*keys, bucket).alias("_g")
+    rows = df.select("*", group, *[
+        F.when(v.isNotNull(), F.struct(v.alias("v"))).alias(f"_s{i}") for i, v in enumerate(values)])
     end = 0 if include_current else -1
-    here = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    sortable = F.struct(*order)
-    ends = rows.groupBy(*keys, bucket).agg(*[
-        F.max_by(f"_s{i}", F.when(F.col(f"_s{i}").isNotNull(), sortable)).alias(f"_e{i}") for i in range(len(values))
+    here = Window.partitionBy("_g").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    ends = rows.groupBy("_g").agg(*[
+        F.max_by(f"_s{i}", F.when(F.col(f"_s{i}").isNotNull(), F.struct(*order))).alias(f"_e{i}")
+        for i in range(len(values))
     ])
-    earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(bucket).alias("_bucket"), *[
+    earlier = Window.partitionBy(*[f"_g.{k}" for k in keys]).orderBy(f"_g.{bucket}").rowsBetween(
+        Window.unboundedPreceding, -1)
+    carried = ends.select("_g", *[
         F.last(f"_e{i}", ignorenulls=True).over(earlier).alias(f"_c{i}") for i in range(len(values))
     ])
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col(bucket) == F.col("_bucket")]
     inside = rows.withColumns({
         f"_w{i}": F.last(f"_s{i}", ignorenulls=True).over(here) for i in range(len(values))
     })
-    joined = inside.join(carried, on)
-    return joined.select(*df.columns, *[
+    return inside.join(carried, "_g").select(*df.columns, *[
         F.coalesce(F.col(f"_w{i}"), F.col(f"_c{i}"))["v"].alias(name) for i, name in enumerate(names)
     ])
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textjobs.functions.fixed import COURSES, DEFAULT_TITLE, DIETS, REGIONS, UNITS
-from textjobs.functions.text import HS, WS, as_col, split_trim, tokens, wstrip
+from textjobs.functions.text import HS, WS, split_trim, word_count, wstrip
 
 ITEMS_MARK, BODY_MARK = "\x01", "\x02"
 _LINE = "(?im-s)(?d)"  # per-line anchors, line feed is the only line end
@@ -386,5 +386,5 @@ def trace_measures(text: Column, tag: Column) -> dict[str, Column]:
         "run_name": F.concat(F.lit("inference:"), F.substring(tag, 1, 40)),
         "tag": F.substring(tag, 1, 100),
         "response_length_chars": F.length(text),
-        "response_length_words": F.size(tokens(as_col(text))),
+        "response_length_words": word_count(text),
     }

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from textjobs.functions.text import is_blank, not_blank, r4, word_count, wstrip
 from textjobs.operators.quantiles import exact_quantiles, value_table
+from textjobs.sources.files import save_and_reread
 
 
 def row_digest(df: DataFrame, columns: list[str] | None = None) -> Column:
@@ -63,34 +64,38 @@ def keyword_tag(df: DataFrame, column: str, keywords: list[str], name: str = "ta
 
 def length_profile(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """Word-count minimum, median, mean, maximum and 95th percentile."""
-    counted = value_table(df.where(F.col(text).isNotNull()).select(*keys, word_count(text).alias("words")), "words", keys)
-    base = counted.groupBy(*keys).agg(
+    words = df.where(F.col(text).isNotNull()).select(*keys, word_count(text).alias("words"))
+    return _number_profile(words, "words", keys, [
         F.sum("_c").alias("n_texts"), F.min("_v").cast("int").alias("min_words"),
         r4(F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean_words"),
         F.max("_v").cast("int").alias("max_words"),
-    )
-    return _with_quantiles(base, counted, keys, {"median_words": 0.5, "p95_words": 0.95})
+    ], {"median_words": 0.5, "p95_words": 0.95})
 
 
 def numeric_profile(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """Minimum, median, mean, maximum and number of zeros of the numbers."""
-    counted = value_table(df, column, keys)
-    base = counted.groupBy(*keys).agg(
+    return _number_profile(df, column, keys, [
         F.sum("_c").alias("n_values"), F.min("_v").alias("min_value"), F.max("_v").alias("max_value"),
         F.bround(F.sum(F.col("_v") * F.col("_c")) / F.sum("_c"), 2).alias("mean_value"),
         F.coalesce(F.sum(F.when(F.col("_v") == 0, F.col("_c"))), F.lit(0)).alias("n_zero"),
-    )
-    return _with_quantiles(base, counted, keys, {"median_value": 0.5})
-
-
-def _with_quantiles(base: DataFrame, counted: DataFrame, keys: list[str], wanted: dict[str, float]) -> DataFrame:
-    quantiles = exact_quantiles(counted, list(wanted.values()), keys)
-    wide = quantiles.groupBy(*keys).agg(*[
+    ], {"median_value": 0.5})
+
+
+def _number_profile(df: DataFrame, column: str, keys: list[str], totals: list[Column], wanted: dict[str, float]) -> DataFrame:
+    """Totals and quantiles from counts of the distinct values, which are
+    stored, so the table itself is read once.  The keys travel as one struct,
+    in which null is a key like any other."""
+    group = ["_k"] if keys else []
+    values = df.select(*[F.struct(*keys).alias(g) for g in group], F.col(column).alias("_value"))
+    counted = save_and_reread(value_table(values, "_value", group), "values")
+    base = counted.groupBy(*group).agg(*totals)
+    quantiles = exact_quantiles(counted, list(wanted.values()), group)
+    wide = quantiles.groupBy(*group).agg(*[
         r4(F.max(F.when(F.col("p") == p, F.col("quantile")))).alias(name) for name, p in wanted.items()
     ])
-    if keys:
-        return base.join(wide, keys, "left")
-    return base.withColumns({name: wide.select(name).scalar() for name in wanted})
+    if not keys:
+        return base.withColumns({name: wide.select(name).scalar() for name in wanted})
+    return base.join(wide, group, "left").select("_k.*", *[c for c in base.columns if c != "_k"], *wanted)
 
 
 def filter_audit(df: DataFrame, label: str, allowed: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textjobs.functions.hashing import seeded_hash
+from textjobs.sources.files import save_and_reread
 
 
 def holdout_split(df: DataFrame, key: str, n_test: int, n_val: int, seed: int = 42) -> DataFrame:
@@ -18,7 +19,7 @@ def holdout_split(df: DataFrame, key: str, n_test: int, n_val: int, seed: int =
     keyed = df.select(F.concat(digest, F.lit("-"), F.col(key).cast("string")).alias("_h"))
     heads = keyed.groupBy(F.substring("_h", 1, 3).alias("_head")).agg(F.count("*").alias("_n"))
     upto = Window.partitionBy(F.lit(0)).orderBy("_head").rowsBetween(Window.unboundedPreceding, 0)
-    heads = heads.withColumn("_end", F.sum("_n").over(upto))
+    heads = save_and_reread(heads.withColumn("_end", F.sum("_n").over(upto)), "heads")
     total = heads.agg(F.max("_end")).scalar()
 
     def cut(n: int) -> Column:

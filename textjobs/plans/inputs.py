@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textjobs.functions.text import WS, tokens
 from textjobs.operators.formatting import response_text
-from textjobs.plans.registry import sql_lines, sql_parts, sql_strip, sql_tokens, table, texts
+from textjobs.plans.registry import sql_lines, sql_parts, sql_strip, sql_tokens, texts
 
 STYLES = ["bullet", "comma", "hash", "untitled"]
 
@@ -86,7 +86,7 @@ ev AS (SELECT a.doc_id AS row_index, a.lang AS model_id, a.recipe AS reference_t
 def conv_eval(spark: SparkSession, sf: str) -> DataFrame:
     """Reference: an assistant turn as a recipe; generated: the next assistant
     turn of the conversation; model: the turn number."""
-    c = table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    c = texts(spark, sf, "conversations").where(F.col("role") == "assistant")
     style = (F.when(F.col("turn") == 1, "bullet").when(F.col("turn") == 3, "comma")
              .when(F.col("turn") == 5, "hash").otherwise("untitled"))
     title = F.concat(F.lit("Dish "), F.col("conv_id").cast("string"))

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textjobs.operators import compare, runlog, session
 from textjobs.plans.inputs import CONV_EVAL_SQL, conv_eval
-from textjobs.plans.registry import query, sql_tokens, table
+from textjobs.plans.registry import query, sql_tokens, table, texts
 from textjobs.plans.text import sql_display
 from textjobs.sources import files
 from textjobs.streaming import jobs
@@ -123,19 +123,22 @@ def _started() -> Column:
     return F.timestamp_seconds(F.lit(1704067200) + F.col("gen_id") % 3600)
 
 
-def _chunk_stream(spark: SparkSession, texts: DataFrame) -> DataFrame:
-    """Texts cut at spaces into chunks that arrive in four steps."""
+def _chunks(rows: DataFrame) -> DataFrame:
+    """Texts cut at spaces."""
     pieces = F.transform(F.split("text", " "), lambda w, i: F.when(i > 0, F.concat(F.lit(" "), w)).otherwise(w))
-    chunks = texts.select("gen_id", F.size(F.split("text", " ")).alias("n"), F.posexplode(pieces).alias("seq", "chunk"))
+    return rows.select("gen_id", _started().alias("started_at"), F.posexplode(pieces).alias("seq", "chunk"))
+
+
+def _chunk_stream(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Chunks in files by position, read in four steps: the rest of a text
+    arrives in a later trigger, or an earlier one."""
     path = files.shared_dir(spark, "chunks")
-    for step in range(4):
-        part = chunks.where(F.floor(F.col("seq") * 4 / F.col("n")) == step)
-        part.select("gen_id", "seq", "chunk", _started().alias("started_at")).write.mode("append").parquet(path)
-    return jobs.read_stream(spark, path, jobs.CHUNK_SCHEMA, files_per_trigger=8)
+    _chunks(rows).repartitionByRange(8, "seq").select("gen_id", "seq", "chunk", "started_at").write.parquet(path)
+    return jobs.read_stream(spark, path, jobs.CHUNK_SCHEMA, files_per_trigger=2)
 
 
 def _conversation_texts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("gen_id"), "text")
+    return texts(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("gen_id"), "text")
 
 
 _CHUNKS_SQL = "SELECT conv_id * 1000 + turn AS gen_id, len(string_split(text, ' ')) AS n_chunks, text FROM conversations"
@@ -143,16 +146,13 @@ _CHUNKS_SQL = "SELECT conv_id * 1000 + turn AS gen_id, len(string_split(text, '
 
 @query(_CHUNKS_SQL)
 def stream_accumulate(spark: SparkSession, sf: str) -> DataFrame:
-    texts = jobs.run_to_table(jobs.accumulate(_chunk_stream(spark, _conversation_texts(spark, sf))), "accumulated", "update")
-    return texts.groupBy("gen_id").agg(F.max("n_chunks").alias("n_chunks"), F.max_by("text", "n_chunks").alias("text"))
+    grown = jobs.run_to_table(jobs.accumulate(_chunk_stream(spark, _conversation_texts(spark, sf))), "accumulated", "update")
+    return grown.groupBy("gen_id").agg(F.max("n_chunks").alias("n_chunks"), F.max_by("text", "n_chunks").alias("text"))
 
 
 @query(_CHUNKS_SQL)
 def batch_accumulate(spark: SparkSession, sf: str) -> DataFrame:
-    texts = _conversation_texts(spark, sf)
-    chunks = texts.select("gen_id", F.posexplode(F.transform(
-        F.split("text", " "), lambda w, i: F.when(i > 0, F.concat(F.lit(" "), w)).otherwise(w))).alias("seq", "chunk"))
-    return jobs.whole_texts(chunks.withColumn("started_at", _started()))
+    return jobs.whole_texts(_chunks(_conversation_texts(spark, sf)))
 
 
 @query(f"""

@@ -2,7 +2,8 @@
 depend on row order, so a lost executor recomputes the very same rows."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+from pyspark.sql import Column, functions as F
 
 PRIME = 2147483647  # 2^31 - 1; the products below stay inside a bigint
 
@@ -18,17 +19,16 @@ def hash_pick(seed: int | str, key: Column, n: int) -> Column:
     return F.pmod(head, F.lit(n)).cast("int")
 
 
-def with_draw_index(df: DataFrame, seed: int, replicate: str, draw: str, size: str, name: str) -> DataFrame:
-    """Adds the row position in ``[0, size)`` of one bootstrap draw.
+def draw_positions(seed: int, replicates: np.ndarray, size: int) -> np.ndarray:
+    """Row positions in ``[0, size)``: one row of ``size`` draws per replicate.
 
     Rounds of ``x -> x^5 + c`` over a prime field (a permutation there) mix
-    replicate and draw in plain integer arithmetic, which is far cheaper than
-    a digest per draw.
+    replicate and draw number in plain integer arithmetic.
     """
-    j = F.col(draw).cast("bigint")
-    out = df.withColumn("_x", (F.col(replicate).cast("bigint") * 1000003 + j * 7919 + seed * 104729) % PRIME)
-    x, square = F.col("_x"), F.col("_q")
-    for added in (F.lit(12345), j * 31 + 67890, F.lit(0)):
-        out = out.withColumn("_q", (x * x) % PRIME)
-        out = out.withColumn("_x", ((((square * square) % PRIME) * x) % PRIME + added) % PRIME)
-    return out.withColumn(name, F.floor(x * F.col(size) / PRIME).cast("bigint")).drop("_x", "_q")
+    r = replicates.astype("int64")[:, None]
+    j = np.arange(size, dtype="int64")[None, :]
+    x = (r * 1000003 + j * 7919 + seed * 104729) % PRIME
+    for added in (12345, j * 31 + 67890, 0):
+        square = (x * x) % PRIME
+        x = ((((square * square) % PRIME) * x) % PRIME + added) % PRIME
+    return np.floor(x * size / PRIME).astype("int64")

@@ -6,9 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from textjobs.functions.hashing import with_draw_index
+from textjobs.functions.hashing import draw_positions
 from textjobs.functions.stem import clipped_matches, lcs_length, porter_stem
 from textjobs.functions.text import is_blank, r4, score_units, tokens
 from textjobs.operators.parse import normalise_items, parse_sections
@@ -42,12 +42,12 @@ def _prf(df: DataFrame, n_generated: Column, n_reference: Column, prefix: str) -
 def item_table_scores(items: DataFrame, pair: list[str], item: str, is_generated: str) -> DataFrame:
     """The same scores for items kept one per row; no list is ever gathered,
     and both aggregates reduce within each task before they shuffle."""
-    named = items.where(F.col(item) != "")
-    per_item = named.groupBy(*pair, item).agg(
+    per_item = items.groupBy(*pair, item).agg(
         F.max(F.col(is_generated).cast("int")).alias("_g"), F.max((~F.col(is_generated)).cast("int")).alias("_r"))
+    named = (F.col(item) != "").cast("int")  # a blank item counts on neither side
     per_pair = per_item.groupBy(*pair).agg(
-        F.sum("_g").alias("n_generated"), F.sum("_r").alias("n_reference"),
-        F.sum(F.col("_g") * F.col("_r")).alias("_both"))
+        F.sum(F.col("_g") * named).alias("n_generated"), F.sum(F.col("_r") * named).alias("n_reference"),
+        F.sum(F.col("_g") * F.col("_r") * named).alias("_both"))
     return _prf(per_pair, F.col("n_generated"), F.col("n_reference"), "").drop("_both")
 
 
@@ -218,71 +218,51 @@ def bootstrap_ci(df: DataFrame, keys: list[str], scores: list[str], n_bootstrap:
                  seed: int = 42, max_rows: int = 2_000) -> DataFrame:
     """Percentile interval of the mean under resampling with replacement.
 
-    A score of four decimals in [0, 1] has at most 10001 values, so a group
-    of any size is known by its value counts.  Up to ``max_rows`` rows each
-    draw is made by a hash of replicate and draw number.  Beyond, the counts
-    of all draws at once come from one multinomial draw over those values:
-    the same distribution, at a cost that does not grow with the group.
+    A score of four decimals in [-1, 1] has at most 20001 values, so the value
+    counts hold all there is to know about a group of any size, and they are
+    small.  They go to blocks of replicates.  Up to ``max_rows`` rows each
+    draw is a hash of replicate and draw number.  Beyond, one multinomial draw
+    over the values stands for all draws of a replicate: the same
+    distribution, at a cost that does not grow with the group.
     """
     long = df.select(*keys, F.inline(F.array(*[
         F.struct(F.lit(s).alias("score"), score_units(s).alias("u")) for s in scores])))
     group = [*keys, "score"]
     counts = long.where(F.col("u").isNotNull()).groupBy(*group, "u").agg(F.count("*").alias("c"))
-    totals = counts.groupBy(*group).agg(F.sum("c").alias("n"))
-    sized = _join(counts, totals, group)
-    means = _drawn_means(sized.where(F.col("n") <= max_rows), group, n_bootstrap, seed).unionByName(
-        _multinomial_means(sized.where(F.col("n") > max_rows), group, n_bootstrap, seed))
+    means = _resampled_means(counts, group, n_bootstrap, seed, max_rows)
     low, high = (1 - ci) / 2, (1 + ci) / 2
     bounds = means.groupBy(*group).agg(  # n_bootstrap values per group
         r4(F.percentile("mean", F.lit(low))).alias("lower"), r4(F.percentile("mean", F.lit(high))).alias("upper"))
-    wide = bounds.groupBy(*keys).agg(*[
+    return bounds.groupBy(*keys).agg(*[
         F.max(F.when(F.col("score") == s, F.col(side))).alias(f"{s}_ci_{side}")
         for s in scores for side in ("lower", "upper")
     ])
-    return wide
-
-
-def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Equi join on keys that may be null."""
-    renamed = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                           *[c for c in right.columns if c not in keys])
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    return left.join(renamed, on).drop(*[f"_k{i}" for i in range(len(keys))])
-
-
-def _drawn_means(sized: DataFrame, group: list[str], n_bootstrap: int, seed: int) -> DataFrame:
-    # at most 10001 rows per group: value u covers the positions [start, start + c)
-    upto = Window.partitionBy(*group).orderBy("u").rowsBetween(Window.unboundedPreceding, 0)
-    spans = sized.withColumn("start", F.sum("c").over(upto) - F.col("c"))
-    rows = spans.select(*group, "n", "u", F.explode(
-        F.sequence(F.col("start"), F.col("start") + F.col("c") - 1)).alias("i"))
-    draws = sized.select(*group, "n").distinct().select(
-        *group, "n", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))).alias("r"))
-    draws = draws.repartition("r").select(*group, "n", "r", F.explode(
-        F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("j"))
-    draws = with_draw_index(draws, seed, "r", "j", "n", "i").select(*group, "r", "i")
-    drawn = _join(draws, rows, [*group, "i"])
-    return drawn.groupBy(*group, "r").agg((F.sum("u") / F.max("n") / 10000).alias("mean"))
-
-
-def _multinomial_means(sized: DataFrame, group: list[str], n_bootstrap: int, seed: int, block: int = 50) -> DataFrame:
-    blocks = sized.select(*group, "u", "c", F.explode(
+
+
+def _resampled_means(counts: DataFrame, group: list[str], n_bootstrap: int, seed: int, max_rows: int, block: int = 50) -> DataFrame:
+    blocks = counts.select(*group, "u", "c", F.explode(
         F.sequence(F.lit(0), F.lit((n_bootstrap - 1) // block))).alias("b"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sized.select(*group).schema.fields)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counts.select(*group).schema.fields)
 
     def draw(key: tuple, values: pd.DataFrame) -> pd.DataFrame:
         values = values.sort_values("u")
-        counts, units = values["c"].to_numpy(), values["u"].to_numpy()
-        total, b = counts.sum(), int(key[-1])
-        rng = np.random.default_rng([seed, b])
-        size = min(block, n_bootstrap - b * block)
-        sums = rng.multinomial(total, counts / total, size=size) @ units
-        out = pd.DataFrame({"r": b * block + np.arange(size), "mean": sums / total / 10000.0})
+        times, units, b = values["c"].to_numpy(), values["u"].to_numpy(), int(key[-1])
+        total = int(times.sum())
+        replicates = np.arange(b * block, min((b + 1) * block, n_bootstrap))
+        if total <= max_rows:
+            position = draw_positions(seed, replicates, total)
+            sums = units[np.searchsorted(np.cumsum(times), position, side="right")].sum(axis=1)
+        else:
+            rng = np.random.default_rng([seed, b])
+            sums = rng.multinomial(total, times / total, size=len(replicates)) @ units
+        out = pd.DataFrame({"r": replicates, "mean": sums / total / 10000.0})
         for name, value in zip(group, key):
             out[name] = value
         return out[[*group, "r", "mean"]]
 
-    return blocks.groupBy(*group, "b").applyInPandas(draw, f"{kinds}, r int, mean double")
+    # a fixed number of tasks: the rows are few, the work on them is not
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartition(tasks, *group, "b").groupBy(*group, "b").applyInPandas(draw, f"{kinds}, r int, mean double")
 
 
 # ---- rows and scorecard -------------------------------------------------

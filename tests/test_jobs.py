@@ -255,6 +255,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert all(last[r["gen_id"]].startswith(r["text"]) for r in grown.collect())
 
 
+def test_history_goes_on_after_a_restart(spark, tmp_path):
+    names = ["a", "b", "b", "c", "c", "d"]
+    rows_in = [("s", i, i // 2, n) for i, n in enumerate(names)]
+    schema = "s string, t int, b int, name string"
+
+    def run():
+        stream = jobs.read_stream(spark, str(tmp_path / "in"), schema)
+        return jobs.stream_history(stream, ["s"], "b", ["t"], "name", 3, root=str(tmp_path / "out")).orderBy("position").collect()
+
+    spark.createDataFrame(rows_in[:3], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    assert [r["name"] for r in run()] == ["b", "a"]
+    spark.createDataFrame(rows_in[3:], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert [r["name"] for r in run()] == ["d", "c", "b"]
+
+
 def test_null_group_keeps_its_profile(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "k string, v double")
     got = {r["k"]: r["median_value"] for r in profile.numeric_profile(df, "v", ["k"]).collect()}

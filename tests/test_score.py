@@ -157,3 +157,9 @@ def test_scored_rows_and_card(spark):
     card = {r["model_id"]: r for r in score.scorecard(rows, n_bootstrap=50).collect()}
     assert (card["a"]["n_samples"], card["a"]["rouge_l_mean"], card["b"]["rouge_l_mean"]) == (2, 0.5, 0.0)
     assert card["a"]["bertscore_mean_f1"] is None and card["b"]["bleu_corpus"] == 0.0
+
+
+def test_row_scores_need_no_shuffle(spark):
+    df = spark.createDataFrame([("a", "b")], "generated_text string, reference_text string")
+    plan = score.score_rows(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan

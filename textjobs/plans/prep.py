@@ -130,8 +130,8 @@ _LABEL_SQL = """CASE WHEN n_chars < 500 THEN lang || ' ' WHEN n_chars < 2000 THE
                 WHEN source <> 'src3' THEN lang END"""
 
 
-@query(f"SELECT doc_id, {_LABEL_SQL} AS label FROM documents")
-def normalise_labels(spark: SparkSession, sf: str) -> DataFrame:
+@query(f"SELECT doc_id, {_LABEL_SQL} AS label FROM documents", name="normalise_label")
+def normalised_labels(spark: SparkSession, sf: str) -> DataFrame:
     return _labelled(spark, sf).select("doc_id", normalise_label("label").alias("label"))
 
 

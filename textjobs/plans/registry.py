@@ -13,12 +13,12 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under the name of its function."""
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under the name of its function or another one."""
     def add(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
+        QUERIES[name or fn.__name__] = fn
         if sql is not None:
-            ORACLE[fn.__name__] = sql
+            ORACLE[name or fn.__name__] = sql
         return fn
 
     return add

@@ -55,50 +55,47 @@ def trace_log(generations: DataFrame, text: str, tag: str, latency_ms: str, mess
     )
 
 
-def run_to_table(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
+def run_to_table(stream: DataFrame, purpose: str, mode: str = "append", root: str | None = None) -> DataFrame:
     """Runs a stream over what is available and reads what it gave.  Every
-    batch has a folder of its own, so a repeated batch replaces itself."""
-    root = shared_dir(stream.sparkSession, purpose)
+    batch has a folder of its own, so a repeated batch replaces itself; with
+    the same ``root`` a later run goes on where this one ended."""
+    root = root or shared_dir(stream.sparkSession, purpose)
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{root}/data/batch={number}")
 
-    run_batches(stream, store, purpose, mode)
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/batch=*")
+    run_batches(stream, store, f"{root}/checkpoint", mode)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/data/batch=*")
 
 
-def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], purpose: str, mode: str = "append") -> None:
+def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> int:
+    """Runs every available batch; returns the number of the last one."""
     query = (
         stream.writeStream.foreachBatch(handle).outputMode(mode)
-        .option("checkpointLocation", shared_dir(stream.sparkSession, purpose + "-checkpoint"))
-        .trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    return query.lastProgress["batchId"]
 
 
-def stream_history(stream: DataFrame, session: list[str], bucket: str, order: list[str], name: str, n: int = 5) -> DataFrame:
+def stream_history(stream: DataFrame, session: list[str], bucket: str, order: list[str], name: str, n: int = 5,
+                   root: str | None = None) -> DataFrame:
     """Recent history per session over a live stream.
 
-    Each batch joins its rows to the stored history, which is at most ``n``
-    rows per session, and writes the next version under the batch number: a
-    repeated batch rewrites the same version.  Batches must follow the order.
+    Each batch joins its rows to the version of the batch before, which holds
+    at most ``n`` rows per session, and writes its own version under its
+    number: a repeated batch rewrites the same version, and a later run with
+    the same ``root`` goes on from the last.  Batches must follow the order.
     """
-    spark = stream.sparkSession
-    root = shared_dir(spark, "history")
-    versions: list[int] = []
-    columns = stream.columns
+    spark, schema = stream.sparkSession, stream.schema
+    root = root or shared_dir(spark, "history")
 
     def handle(batch: DataFrame, number: int) -> None:
-        earlier = [v for v in versions if v < number]
-        rows = batch.select(*columns)
-        if earlier:
-            stored = spark.read.schema(stream.schema).parquet(f"{root}/{earlier[-1]}")
-            rows = stored.unionByName(rows)
-        kept = recent_history(rows, session, bucket, order, name, n).drop("position")
-        kept.write.mode("overwrite").parquet(f"{root}/{number}")
-        if number not in versions:
-            versions.append(number)
-
-    run_batches(stream, handle, "history")
-    return recent_history(
-        spark.read.schema(stream.schema).parquet(f"{root}/{versions[-1]}"), session, bucket, order, name, n)
+        if number > 0:
+            batch = spark.read.schema(schema).parquet(f"{root}/version-{number - 1}").unionByName(batch)
+        kept = recent_history(batch, session, bucket, order, name, n).drop("position")
+        kept.write.mode("overwrite").parquet(f"{root}/version-{number}")
+
+    last = run_batches(stream, handle, f"{root}/checkpoint")
+    stored = spark.read.schema(schema).parquet(f"{root}/version-{last}")
+    return recent_history(stored, session, bucket, order, name, n)

@@ -46,7 +46,7 @@ def sources(spark):
     return a, b
 
 
-def test_merge_and_clean(spark):
+def test_merge_then_clean(spark):
     a, b = sources(spark)
     merged = prep.merge_sources(a, b)
     assert merged.count() == 5  # four of A, one that only B has

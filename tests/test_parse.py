@@ -136,3 +136,11 @@ def test_item_vocabulary(spark):
 def test_parse_coverage(spark):
     df = spark.createDataFrame([("", "a"), (None, ""), ("x", "y")], "s string, f string")
     assert tuple(parse.parse_coverage(df, "s", "f").first()) == (3, 2, 1, 66.7, 33.3)
+
+
+def test_control_characters_in_a_text(spark):
+    text = "**A\x01b**\n**Ingredients:**\nx\x02y (p, q), \x01i z\n**Instructions:**\n\x01b go"
+    r = parse.parse_sections(spark.createDataFrame([(text,)], "t string"), "t").first()
+    assert (r["name"], r["instructions"]) == ("A\x01b", "\x01b go")
+    assert r["ingredients"] == ["x\x02y (p", "q)", "\x01i z"]
+    assert one(spark, text, parse.display_items) == ["x\x02y (p, q)", "\x01i z"]

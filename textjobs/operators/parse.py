@@ -1,8 +1,8 @@
 """Parsing of sectioned texts into title, item list, body and metadata.
 
-Sections are found by marking their header lines with a control character and
-splitting there.  That is linear in the text, needs no shuffle and no fold
-over lines, and every step is a JVM expression.
+A text is split in front of its header lines and each part is known by its
+first line.  That is linear in the text, needs no shuffle and no fold over
+lines, and every step is a JVM expression.
 """
 from __future__ import annotations
 
@@ -13,12 +13,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from textjobs.functions.fixed import COURSES, DEFAULT_TITLE, DIETS, REGIONS, UNITS
 from textjobs.functions.text import HS, WS, split_trim, word_count, wstrip
 
-ITEMS_MARK, BODY_MARK = "\x01", "\x02"
+MASK = "\x02"  # stands for a comma that does not split
 _LINE = "(?im-s)(?d)"  # per-line anchors, line feed is the only line end
 
 # Headers, list markers and numbering that the formats use.
-ITEMS_HEADER = rf"{_LINE}^[{HS}]*\*\*[^\n]*ingredient[^\n]*$"
-BODY_HEADER = rf"{_LINE}^[{HS}]*\*\*[^\n]*instruction[^\n]*$"
+BEFORE_HEADER = rf"{_LINE}^(?=[{HS}]*\*\*[^\n]*(?:ingredient|instruction))"
+BEFORE_DIALECT_HEADER = rf"(?dm)^(?=[{HS}]*(?:Ingredients Used:|Instructions:)[{HS}]*$)"
 BOLD_LINE = rf"{_LINE}^[{HS}]*\*\*(?:\*?|[^\n]*\*\*)[{HS}]*$"
 BOLD_TITLE = rf"{_LINE}^[{HS}]*(\*\*[^\n]+\*\*)[{HS}]*$"
 LOOSE_ITEMS = (
@@ -66,18 +66,30 @@ def strict_title(text: Column) -> Column:
     return F.coalesce(F.get(names, F.lit(0)), F.lit(""))
 
 
-def _strict_sections(text: Column) -> Column:
-    marked = F.regexp_replace(
-        F.regexp_replace(text, ITEMS_HEADER, ITEMS_MARK + "i"), BODY_HEADER, ITEMS_MARK + "b")
-    return F.split(marked, ITEMS_MARK)
+def _parts(text: Column, before: str, kind: Callable[[Column], Column]) -> Column:
+    """Pieces between header lines: kind by the stripped first line (null for
+    the text before any header) and the content after it."""
+    return F.transform(F.split(text, before), lambda p: let(F.substring_index(p, "\n", 1), lambda head: F.struct(
+        kind(wstrip(head)).alias("kind"), F.substr(p, F.length(head) + 2).alias("content"))))
+
+
+def _strict_kind(head: Column) -> Column:
+    bold, low = F.startswith(head, F.lit("**")), F.lower(head)
+    return F.when(bold & F.contains(low, F.lit("ingredient")), "i").when(bold & F.contains(low, F.lit("instruction")), "b")
+
+
+def _strict_parts(text: Column) -> Column:
+    return _parts(text, BEFORE_HEADER, _strict_kind)
+
+
+def _until_bold(content: Column) -> Column:
+    """Item content up to another bold line, which ends the list."""
+    return F.get(F.split(content, BOLD_LINE, 2), F.lit(0))
 
 
 def _section(parts: Column, kind: str) -> Column:
-    own = F.filter(parts, lambda p: F.startswith(p, F.lit(kind)))
-    content = F.transform(own, lambda p: F.substr(p, F.lit(2)))
-    if kind == "i":  # another bold line ends the item list
-        content = F.transform(content, lambda p: F.get(F.split(p, BOLD_LINE, 2), F.lit(0)))
-    return _nonblank_lines(F.array_join(content, "\n"))
+    own = F.transform(F.filter(parts, lambda p: p["kind"] == kind), lambda p: p["content"])
+    return _nonblank_lines(F.array_join(F.transform(own, _until_bold) if kind == "i" else own, "\n"))
 
 
 def parse_sections(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
@@ -88,8 +100,7 @@ def parse_sections(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
     gives empty fields.
     """
     out = df.withColumn("_t", F.coalesce(wstrip(text), F.lit("")))
-    # the first part lies before any header and belongs to no section
-    out = out.withColumn("_p", _strict_sections(F.concat(F.lit("-"), F.lit("\n"), F.col("_t"))))
+    out = out.withColumn("_p", _strict_parts(F.col("_t")))
     out = out.withColumns({
         "_name": strict_title(F.col("_t")), "_i": split_items(_section(F.col("_p"), "i")),
         "_b": _section(F.col("_p"), "b"),
@@ -108,14 +119,12 @@ def parse_sections(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
 
 def section_lines(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """One row per collected line of the strict form: section, number, line."""
-    parts = df.select(*keep, F.posexplode(_strict_sections(F.concat(F.lit("-\n"), wstrip(text)))).alias("_n", "_p"))
-    kind = F.substring("_p", 1, 1)
-    body = F.substr(F.col("_p"), F.lit(2))
-    content = F.when(kind == "i", F.get(F.split(body, BOLD_LINE, 2), F.lit(0))).when(kind == "b", body)
-    lines = parts.where(F.col("_n") > 0).select(
-        *keep, F.when(kind == "i", "items").otherwise("body").alias("section"),
-        F.col("_n").alias("section_no"), F.posexplode(split_trim(content, "\n")).alias("line_no", "line"))
-    return lines
+    parts = df.select(*keep, F.posexplode(_strict_parts(wstrip(text))).alias("section_no", "_p"))
+    kind, content = F.col("_p.kind"), F.col("_p.content")
+    lines = F.when(kind == "i", _until_bold(content)).otherwise(content)
+    return parts.where(kind.isNotNull()).select(
+        *keep, F.when(kind == "i", "items").otherwise("body").alias("section"), "section_no",
+        F.posexplode(split_trim(lines, "\n")).alias("line_no", "line"))
 
 
 # ---- item normalisation -------------------------------------------------
@@ -175,13 +184,15 @@ SPICE_LEVEL = rf"[Ss]pice[{WS}]+[Ll]evel[:{WS}]+([0-9])"
 def _comma_items(block: Column) -> Column:
     """Parts between the commas that are not inside brackets.  A comma counts
     as inside when the next bracket after it closes; such commas are masked
-    before the split, which keeps the work linear in the text."""
-    pieces = F.regexp_extract_all(F.replace(block, F.lit("\n"), F.lit(" ")), F.lit(r"(?s)([^()]+[()]?|[()])"), F.lit(1))
+    before the split, which keeps the work linear in the text.  A text that
+    holds the mask itself is split by looking ahead at every comma."""
+    flat = F.replace(block, F.lit("\n"), F.lit(" "))
+    pieces = F.regexp_extract_all(flat, F.lit(r"(?s)([^()]+[()]?|[()])"), F.lit(1))
     masked = F.transform(pieces, lambda p: F.when(
-        F.endswith(p, F.lit(")")), F.replace(p, F.lit(","), F.lit(BODY_MARK))).otherwise(p))
-    return F.transform(
-        F.split(F.array_join(masked, ""), ","),
-        lambda p: wstrip(F.replace(p, F.lit(BODY_MARK), F.lit(","))))
+        F.endswith(p, F.lit(")")), F.replace(p, F.lit(","), F.lit(MASK))).otherwise(p))
+    split = F.transform(F.split(F.array_join(masked, ""), ","), lambda p: F.replace(p, F.lit(MASK), F.lit(",")))
+    ahead = F.split(flat, r",(?![^(]*\))")
+    return F.transform(F.when(F.contains(block, F.lit(MASK)), ahead).otherwise(split), wstrip)
 
 
 def split_items_display(block: Column) -> Column:
@@ -302,19 +313,14 @@ def parse_dialects(df: DataFrame, text: str, dialect: str, keep: list[str]) -> D
     marker both fields are null.
     """
     items_line, body_line = "Ingredients Used:", "Instructions:"
-    lines = F.transform(F.split(F.col(text), "\n"), wstrip)
-    coded = F.array_join(F.transform(lines, lambda l: F.when(l == items_line, F.lit(ITEMS_MARK + "i"))
-                                     .when(l == body_line, F.lit(ITEMS_MARK + "b")).otherwise(l)), "\n")
-    parts = F.split(F.concat(F.lit("-\n"), coded), ITEMS_MARK)
-
-    def kind_of(part: Column) -> Column:
-        return F.substring(part, 1, 1)
+    parts = _parts(F.col(text), BEFORE_DIALECT_HEADER, lambda head: F.when(
+        head == items_line, "i").when(head == body_line, "b"))
 
     def lines_of(part: Column) -> Column:
-        return F.split(F.substr(part, F.lit(2)), "\n")
+        return F.transform(F.split(part["content"], "\n"), wstrip)
 
     def section(kind: str) -> Column:
-        return F.flatten(F.transform(F.filter(parts, lambda p: kind_of(p) == kind), lines_of))
+        return F.flatten(F.transform(F.filter(parts, lambda p: p["kind"] == kind), lines_of))
 
     def dash(kind: str) -> Column:
         kept = F.filter(section(kind), lambda l: F.startswith(l, F.lit("- ")))
@@ -329,9 +335,9 @@ def parse_dialects(df: DataFrame, text: str, dialect: str, keep: list[str]) -> D
 
     def star_lines(ps: Column) -> Column:
         # once a body has begun, a later item header only claims the star lines
-        first_body = F.array_position(F.transform(ps, kind_of), "b")
-        return F.flatten(F.transform(ps, lambda p, i: F.when(kind_of(p) == "b", lines_of(p)).when(
-            (kind_of(p) == "i") & (first_body > 0) & (i >= first_body),
+        first_body = F.array_position(F.transform(ps, lambda p: F.coalesce(p["kind"], F.lit("-"))), "b")
+        return F.flatten(F.transform(ps, lambda p, i: F.when(p["kind"] == "b", lines_of(p)).when(
+            (p["kind"] == "i") & (first_body > 0) & (i >= first_body),
             F.filter(lines_of(p), lambda l: ~is_star(l)),
         ).otherwise(F.array().cast("array<string>"))))
 

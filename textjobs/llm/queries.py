@@ -4,8 +4,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from textjobs.llm import langid, secrets
 from textjobs.llm.packing import pack_documents
 from textjobs.llm.tokens import id_digests, token_file
 
@@ -31,6 +32,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spans_text(spans) -> Column:
+    """kind:start:end of every span, joined by commas."""
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+
+def spans_of(kinds: list[str], then: Callable[[Column], Column]) -> Column:
+    return then(F.filter("spans", lambda s: s["kind"].isin(kinds)))
+
+
+@query()
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in whole documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs).drop("text")
+    base = spans_of([r.kind for r in secrets.BASE_RULES], spans_text)
+    return found.select(
+        "doc_id",
+        *[spans_of([k], F.size).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 @query()
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as packed ids in files, read back."""
@@ -43,3 +66,12 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents packed into sequences of 1024 ids."""
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=0, size=1024)
+
+
+@query()
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, F.col("doc_id").isNotNull() & ~langid.held_out())
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from textjobs.llm import langid, secrets
+from textjobs.llm import decontam, langid, secrets
 from textjobs.llm.packing import pack_documents
 from textjobs.llm.tokens import id_digests, token_file
 
@@ -62,6 +62,19 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_digests(spark, target)
 
 
+@query()
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of ten benchmark words in whole documents."""
+    index = decontam.build_index(table(spark, sf_dir, "documents"))
+    found = decontam.search(index, table(spark, sf_dir, "benchmark"), window=10)
+    items = F.transform("items", lambda i: i.cast("string"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort(items)).cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 @query()
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents packed into sequences of 1024 ids."""

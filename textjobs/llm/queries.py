@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from textjobs.llm import decontam, langid, secrets
+from textjobs.llm import decontam, langid, secrets, topk, warc
 from textjobs.llm.packing import pack_documents
 from textjobs.llm.tokens import id_digests, token_file
 
@@ -62,6 +62,27 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_digests(spark, target)
 
 
+SQL_WARC = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS n, sha256(payload) AS digest FROM p),
+o AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS owner FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 100 AND page_id <> owner THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> owner THEN owner END AS refers_to,
+  true AS verified
+FROM o
+"""
+
+
+@query(SQL_WARC)
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for every page, written to an archive and read back."""
+    target = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.read_archive(spark, target).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
 @query()
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of ten benchmark words in whole documents."""
@@ -81,6 +102,24 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=0, size=1024)
 
 
+SQL_TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
+"""
+
+
+@query(SQL_TOP_K)
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows for every 50th vector, against all rows."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5, factor=256)
+
+
 @query()
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the rows that are not held out."""

@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textjobs.llm import decontam, langid, secrets, topk, warc
+from textjobs.llm.nearjoin import near_join
 from textjobs.llm.packing import pack_documents
 from textjobs.llm.tokens import id_digests, token_file
 
@@ -120,6 +121,12 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5, factor=256)
 
 
+@query()
+def op9_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes and links of all documents on five-word shingles, similarity 0.8."""
+    return near_join(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 @query()
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the rows that are not held out."""

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from textjobs.llm import decontam, langid, secrets, topk, warc
 from textjobs.llm.nearjoin import near_join
 from textjobs.llm.packing import pack_documents
+from textjobs.llm.substrings import remove_repeats
 from textjobs.llm.tokens import id_digests, token_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +104,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=0, size=1024)
 
 
+@query()
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of whole documents in strings of 400 bytes that repeat."""
+    return remove_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
 SQL_TOP_K = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings

@@ -143,7 +143,7 @@ def fit(docs: DataFrame, learn: Column, fit_rows: int = FIT_ROWS) -> LanguageMod
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, fit_rows / n))
     sample = save_and_reread(usable.filter(part).select("text", "lang").repartition(FIT_TASKS), "langid-sample")
     counts: dict[str, np.ndarray] = {}
-    for row in sample.repartition(FIT_TASKS).mapInArrow(_counted, "lang string, counts binary").toLocalIterator():
+    for row in sample.mapInArrow(_counted, "lang string, counts binary").toLocalIterator():
         counts[row["lang"]] = counts.get(row["lang"], 0) + np.frombuffer(row["counts"], "<i8")
     languages = sorted(counts)
     if not languages:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from textjobs.llm import decontam, langid, secrets, topk, warc
+from textjobs.llm import decontam, langid, secrets, toolcalls, topk, warc
 from textjobs.llm.nearjoin import near_join
 from textjobs.llm.packing import pack_documents
 from textjobs.llm.substrings import remove_repeats
@@ -98,6 +98,58 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SQL_TOOL_CALLS = """
+WITH c AS (
+  SELECT conv_id, turn, role, text, 'c' || conv_id || '-' || turn AS call_id FROM conversations WHERE role <> 'assistant'),
+r AS (SELECT conv_id, 'c' || conv_id || '-' || (turn - 1) AS call_id, text, turn FROM conversations WHERE role = 'assistant'),
+f AS (
+  SELECT conv_id, call_id, count(*) AS n_results, arg_min(text, (turn, text)) AS result FROM r GROUP BY conv_id, call_id),
+k AS (SELECT conv_id, call_id, count(*) AS same FROM c GROUP BY conv_id, call_id),
+j AS (
+  SELECT c.*, coalesce(f.n_results, 0) AS n_results, f.result, k.same,
+    c.turn >= 2 AND d.call_id IS NULL AS missing,
+    row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn) - 1 AS position
+  FROM c LEFT JOIN f USING (conv_id, call_id) LEFT JOIN k USING (conv_id, call_id)
+  LEFT JOIN k d ON d.conv_id = c.conv_id AND d.call_id = 'c' || c.conv_id || '-' || (c.turn - 2)),
+e AS (
+  SELECT *, concat_ws('; ', CASE WHEN same > 1 THEN 'repeated identifier' END, CASE WHEN missing THEN 'missing dependency' END,
+    CASE WHEN n_results = 0 THEN 'no result' END, CASE WHEN role = 'system' THEN '$.role: not in enum' END) AS error FROM j)
+SELECT conv_id, call_id, CAST(position AS BIGINT) AS position, error = '' AS valid, nullif(error, '') AS error,
+  CAST(n_results AS BIGINT) AS n_results,
+  '{"arguments":{"role":' || to_json(role) || ',"text":' || to_json(text) || ',"turn":' || turn || '},"id":' || to_json(call_id)
+    || ',"name":"reply","result":' || coalesce(CAST(to_json(result) AS VARCHAR), 'null') || '}' AS canonical
+FROM e
+"""
+
+REPLY_SCHEMA = {
+    "type": "object", "required": ["role", "text", "turn"], "additionalProperties": False,
+    "properties": {
+        "role": {"type": "string", "enum": ["user"]}, "text": {"type": "string", "minLength": 1},
+        "turn": {"type": "integer", "minimum": 0},
+    },
+}
+
+
+@query(SQL_TOOL_CALLS)
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as calls: every turn that is not the assistant's asks for a reply
+    and depends on the call two turns before; the assistant's next turn is its
+    result.  Only the user may ask."""
+    turns = table(spark, sf_dir, "conversations")
+
+    def call_id(turn: Column) -> Column:
+        return F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
+
+    turn = F.col("turn")
+    calls = turns.filter(~F.col("role").eqNullSafe("assistant")).select(
+        "conv_id", turn.alias("seq"), call_id(turn).alias("call_id"), F.lit("reply").alias("name"),
+        F.to_json(F.struct("role", "text", "turn")).alias("arguments"),
+        F.when(turn >= 2, F.array(call_id(turn - 2))).otherwise(F.array().cast("array<string>")).alias("depends_on"))
+    results = turns.filter(F.col("role") == "assistant").select(
+        "conv_id", call_id(turn - 1).alias("call_id"), turn.alias("seq"), F.col("text").alias("content"))
+    return toolcalls.link_calls(calls, results, {"reply": REPLY_SCHEMA})
+
+
 @query()
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents packed into sequences of 1024 ids."""

@@ -113,9 +113,14 @@ def key_sets(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     )
 
 
+#: What reads as a number; a cast alone would also take suffixes such as ``12d``.
+NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\s*$|^\s*[+-]?(inf|infinity|nan)\s*$"
+
+
 def coerce_number(df: DataFrame, column: str) -> DataFrame:
     """Text to number (null when it is none), zero to null."""
-    number = F.col(f"`{column}`").cast("string").try_cast("double")
+    text = F.col(f"`{column}`").cast("string")
+    number = F.when(F.regexp_like(text, F.lit(NUMBER)), text.try_cast("double"))
     return df.withColumn(column, F.nullif(number, F.lit(0.0)))
 
 

@@ -57,9 +57,11 @@ def value_counts(df: DataFrame, column: str, keep_null: bool = False, top: int |
 
 
 def keyword_tag(df: DataFrame, column: str, keywords: list[str], name: str = "tagged") -> DataFrame:
-    """True when any keyword is contained in the lower-case label."""
+    """True when any keyword is contained in the lower-case label; a null label
+    is not tagged."""
     words = F.array(*[F.lit(k) for k in keywords])
-    return df.withColumn(name, F.exists(words, lambda k: F.contains(F.lower(column), k)))
+    label = F.coalesce(F.lower(column), F.lit(""))
+    return df.withColumn(name, F.exists(words, lambda k: F.contains(label, k)))
 
 
 def length_profile(df: DataFrame, text: str, keys: list[str]) -> DataFrame:

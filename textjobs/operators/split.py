@@ -7,16 +7,21 @@ from textjobs.functions.hashing import seeded_hash
 from textjobs.sources.files import save_and_reread
 
 
-def holdout_split(df: DataFrame, key: str, n_test: int, n_val: int, seed: int = 42) -> DataFrame:
+def holdout_split(df: DataFrame, key: str, n_test: int, n_val: int, seed: int = 42, ties: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``split``: exactly ``n_test`` test and ``n_val`` validation rows.
 
-    Rows are ordered by a seeded digest of the unique key.  The digests are
-    counted per three-digit head (at most 4096 rows); the two heads in which
-    the cuts fall are ranked to find the two cutting digests; then every row
-    compares its own digest with them, without a shuffle of the table.
+    Rows are ordered by a seeded digest of the key and, where keys repeat, of
+    the columns ``ties`` that tell their rows apart.  The digests are counted
+    per three-digit head (at most 4096 rows); the two heads in which the cuts
+    fall are ranked to find the two cutting digests; then every row compares
+    its own digest with them, without a shuffle of the table.  A cut between
+    rows that are equal in all these columns cannot be made: it is an error
+    that names the columns, not a split of another size.
     """
-    digest = seeded_hash(seed, F.col(key))
-    keyed = df.select(F.concat(digest, F.lit("-"), F.col(key).cast("string")).alias("_h"))
+    columns = [F.col(c) for c in (key, *ties)]
+    digest = seeded_hash(seed, *columns)
+    label = F.concat_ws("-", *[c.cast("string") for c in columns])
+    keyed = df.select(F.concat(digest, F.lit("-"), label).alias("_h"))
     heads = keyed.groupBy(F.substring("_h", 1, 3).alias("_head")).agg(F.count("*").alias("_n"))
     upto = Window.partitionBy(F.lit(0)).orderBy("_head").rowsBetween(Window.unboundedPreceding, 0)
     heads = save_and_reread(heads.withColumn("_end", F.sum("_n").over(upto)), "heads")
@@ -30,13 +35,19 @@ def holdout_split(df: DataFrame, key: str, n_test: int, n_val: int, seed: int =
         ranked = inside.withColumn("_rank", rank + start)
         return ranked.where(F.col("_rank") == n).agg(F.max("_h")).scalar()
 
-    own = F.concat(digest, F.lit("-"), F.col(key).cast("string"))
+    def torn(n: int) -> Column:
+        """Whether the rows up to the n-th digest are not n rows."""
+        return F.lit(False) if n == 0 else keyed.where(F.col("_h") <= cut(n)).agg(F.count("*")).scalar() != n
+
+    own = F.concat(digest, F.lit("-"), label)
     too_few = F.coalesce(total, F.lit(0)) < n_test + n_val
     split = F.when(own <= cut(n_test), "test") if n_test else F.when(F.lit(False), "test")
     split = split.when(own <= cut(n_test + n_val), "val") if n_test + n_val else split
     return df.withColumn(
         "split",
         F.when(too_few, F.raise_error(F.lit("the split sizes are larger than the table")))
+        .when(torn(n_test) | torn(n_test + n_val), F.raise_error(F.lit(
+            f"a cut falls between rows that are equal in {', '.join([key, *ties])}: name columns that tell them apart in ties")))
         .otherwise(split.otherwise("train")),
     )
 
@@ -48,14 +59,20 @@ def split_sizes(df: DataFrame) -> DataFrame:
     return counts.withColumn("pct", F.bround(F.col("n_rows") * 100.0 / total, 1))
 
 
-def tail_holdout(df: DataFrame, order: str, n_test: int) -> DataFrame:
-    """The last ``n_test`` rows by a unique order column are the test set."""
-    last = df.select(order).orderBy(F.desc(order)).limit(n_test)
-    first_test, found = last.agg(F.min(order)).scalar(), last.agg(F.count("*")).scalar()
+def tail_holdout(df: DataFrame, order: str, n_test: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The last ``n_test`` rows by a column, and by ``ties`` where its values
+    repeat, are the test set.  A cut between rows that are equal in all of
+    them is an error."""
+    rank = F.struct(order, *ties)
+    last = df.select(rank.alias("_o")).orderBy(F.desc("_o")).limit(n_test)
+    first_test, found = last.agg(F.min("_o")).scalar(), last.agg(F.count("*")).scalar()
+    reached = df.select(rank.alias("_o")).where(F.col("_o") >= first_test).agg(F.count("*")).scalar()
     return df.withColumn(
         "split",
         F.when(found < n_test, F.raise_error(F.lit("the test size is larger than the table")))
-        .when(F.col(order) >= first_test, "test").otherwise("train"),
+        .when(reached > n_test, F.raise_error(F.lit(
+            f"the cut falls between rows that are equal in {', '.join([order, *ties])}: name columns that tell them apart in ties")))
+        .when(rank >= first_test, "test").otherwise("train"),
     )
 
 

@@ -183,11 +183,15 @@ _PROPS = r'"k": ([0-9]+)'
 
 
 @query(f"""
-WITH x AS (SELECT event_id, regexp_extract(props, '{_PROPS}', 1) || CASE WHEN event_type = 'error' THEN 'x' ELSE '' END AS raw
+WITH x AS (SELECT event_id, regexp_extract(props, '{_PROPS}', 1) || CASE WHEN event_type = 'error' THEN 'x'
+           WHEN event_id % 10 = 3 THEN 'd' WHEN event_id % 10 = 4 THEN 'f' WHEN event_id % 10 = 5 THEN 'e1' ELSE '' END AS raw
            FROM events)
 SELECT event_id, raw, nullif(try_cast(raw AS DOUBLE), 0) AS amount FROM x""")
 def coerce_zero_null(spark: SparkSession, sf: str) -> DataFrame:
-    raw = F.concat(F.regexp_extract("props", _PROPS, 1), F.when(F.col("event_type") == "error", "x").otherwise(""))
+    """Numbers in text, some with a letter behind them that makes them none."""
+    digit = F.col("event_id") % 10
+    raw = F.concat(F.regexp_extract("props", _PROPS, 1), F.when(F.col("event_type") == "error", "x").when(
+        digit == 3, "d").when(digit == 4, "f").when(digit == 5, "e1").otherwise(""))
     events = table(spark, sf, "events").select("event_id", raw.alias("raw"), raw.alias("amount"))
     return prep.coerce_number(events, "amount")
 
@@ -200,9 +204,12 @@ def trim_all_strings(spark: SparkSession, sf: str) -> DataFrame:
     return profile.strip_strings(padded).select("page_id", "url", F.md5("html").alias("html_md5"))
 
 
-@query("SELECT p_partkey, contains(lower(p_name), 'ring') OR contains(lower(p_name), 'blue') AS tagged FROM part")
+@query("""
+SELECT p_partkey, CASE WHEN p_size = 7 THEN false ELSE contains(lower(p_name), 'ring') OR contains(lower(p_name), 'blue') END AS tagged
+FROM part""")
 def keyword_tag(spark: SparkSession, sf: str) -> DataFrame:
-    parts = table(spark, sf, "part").select("p_partkey", F.upper("p_name").alias("p_name"))
+    """Some labels are missing."""
+    parts = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") != 7, F.upper("p_name")).alias("p_name"))
     return profile.keyword_tag(parts, "p_name", ["ring", "blue"]).select("p_partkey", "tagged")
 
 
@@ -293,12 +300,10 @@ def join_audit(spark: SparkSession, sf: str) -> DataFrame:
     return prep.join_audit(a, b, "k", "ord", "Diet")
 
 
-@query(f"""
-WITH {_SOURCES}, m AS (SELECT ord, k FROM a)
-SELECT k AS key, min(ord) AS ord FROM m GROUP BY k""")
+@query(f'SELECT {sql_key("text")} AS key, min(doc_id) AS ord FROM documents GROUP BY 1')
 def keep_first_per_key(spark: SparkSession, sf: str) -> DataFrame:
-    a = source_a(spark, sf).select("ord", prefix_key("TranslatedInstructions").alias("key"))
-    return prep.first_per_key(a, "key", "ord", ["ord"])
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), prefix_key("text").alias("key"))
+    return prep.first_per_key(rows, "key", "ord", ["ord"])
 
 
 @query(f"""
@@ -340,7 +345,7 @@ def dedup_then_trim(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _KEYS_SQL = f"""
-a AS (SELECT DISTINCT {{a}} AS k FROM documents WHERE source < 'src2'),
+a AS (SELECT DISTINCT {{a}} AS k FROM {{left}}),
 b AS (SELECT DISTINCT {{b}} AS k FROM {{right}})"""
 _OVERLAP_SQL = f"""
 SELECT '{{name}}' AS pair, (SELECT count(*) FROM a) AS keys_a, (SELECT count(*) FROM b) AS keys_b,
@@ -351,22 +356,23 @@ SELECT '{{name}}' AS pair, (SELECT count(*) FROM a) AS keys_a, (SELECT count(*)
 _CUT_STRIP = sql_strip("substr(text, 1, 80)")
 
 
-def _overlap_sql(name: str, right: str) -> str:
-    keys = _KEYS_SQL.format(a=_CUT_STRIP, b=_CUT_STRIP, right=right)
+def _overlap_sql(name: str, left: str, right: str) -> str:
+    keys = _KEYS_SQL.format(a=_CUT_STRIP, b=_CUT_STRIP, left=left, right=right)
     return f"SELECT * FROM (WITH {keys} {_OVERLAP_SQL.format(name=name)})"
 
 
-@query(_overlap_sql("sources", "documents WHERE source >= 'src2'") + " UNION ALL " + _overlap_sql("benchmark", "benchmark"))
+@query(_overlap_sql("sources", "documents WHERE source < 'src2'", "documents WHERE source >= 'src2'") + " UNION ALL "
+       + _overlap_sql("benchmark", "documents", "benchmark"))
 def key_overlap(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").withColumn("k", prefix_key("text", "cut_strip"))
     bench = table(spark, sf, "benchmark").withColumn("k", prefix_key("text", "cut_strip"))
-    pairs = [("sources", d.where(~_is_a())), ("benchmark", bench)]
-    first, second = (prep.key_overlap(d.where(_is_a()), right, "k").withColumn("pair", F.lit(name)) for name, right in pairs)
+    pairs = [("sources", d.where(_is_a()), d.where(~_is_a())), ("benchmark", d, bench)]
+    first, second = (prep.key_overlap(left, right, "k").withColumn("pair", F.lit(name)) for name, left, right in pairs)
     return first.unionByName(second)
 
 
 @query(f"""
-WITH {_KEYS_SQL.format(a=sql_key("text"), b=sql_key("text"), right="documents WHERE source >= 'src2'")}
+WITH {_KEYS_SQL.format(a=sql_key("text"), b=sql_key("text"), left="documents WHERE source < 'src2'", right="documents WHERE source >= 'src2'")}
 SELECT k AS key, 'both' AS part FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL
 SELECT k, 'only_a' FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL
 SELECT k, 'only_b' FROM (SELECT k FROM b EXCEPT SELECT k FROM a)""")
@@ -404,6 +410,12 @@ def value_counts(spark: SparkSession, sf: str) -> DataFrame:
     return profile.value_counts(table(spark, sf, "documents"), "source", top=15)
 
 
+@query(f'SELECT {sql_key("text")} AS value, count(*) AS n FROM documents GROUP BY 1')
+def value_counts_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Every value of a column of texts, without a cut."""
+    return profile.value_counts(table(spark, sf, "documents").select(prefix_key("text").alias("key")), "key")
+
+
 @query("""
 SELECT quality AS value, count(*) AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY quality""")
 def value_counts_with_null(spark: SparkSession, sf: str) -> DataFrame:
@@ -487,3 +499,20 @@ SELECT o_orderkey, CASE WHEN o_orderkey >= (SELECT min(k) FROM (SELECT o_orderke
 def tail_holdout(spark: SparkSession, sf: str) -> DataFrame:
     return split.tail_holdout(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 100)
 
+
+
+@query("""
+SELECT conv_id, turn, CASE WHEN r <= 31 THEN 'test' WHEN r <= 48 THEN 'val' ELSE 'train' END AS split FROM (
+  SELECT conv_id, turn, row_number() OVER (ORDER BY md5('42-' || conv_id || '-' || turn), conv_id || '-' || turn) AS r FROM conversations)""")
+def holdout_split_repeated(spark: SparkSession, sf: str) -> DataFrame:
+    """A split of turns whose key, the conversation, repeats."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn")
+    return split.holdout_split(turns, "conv_id", 31, 17, ties=("turn",))
+
+
+@query("""
+SELECT conv_id, turn, CASE WHEN row_number() OVER (ORDER BY conv_id DESC, turn DESC) <= 10 THEN 'test' ELSE 'train' END AS split
+FROM conversations""")
+def tail_holdout_repeated(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").select("conv_id", "turn")
+    return split.tail_holdout(turns, "conv_id", 10, ties=("turn",))

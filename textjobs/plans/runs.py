@@ -94,11 +94,24 @@ def model_lift(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT a.conv_id, a.text AS left_text, b.text AS right_text FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id
-WHERE a.turn = 1 AND b.turn = 3""")
+SELECT a.conv_id, a.turn, a.text AS left_text, b.text AS right_text FROM conversations a
+JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 2""")
 def side_by_side(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations").withColumn("model", F.concat(F.lit("turn"), F.col("turn").cast("string")))
-    return compare.side_by_side(c, "conv_id", "model", "text", "turn1", "turn3")
+    """Every turn beside the next one of its side."""
+    return compare.side_by_side_pairs(table(spark, sf, "conversations"), ["conv_id"], "turn", "text", ahead=2)
+
+
+@query("""
+SELECT lang AS model_id, CASE WHEN lang IN ('de', 'fr') THEN -1 ELSE count(*) END AS n_samples FROM documents GROUP BY lang
+UNION ALL SELECT role, count(*) FROM conversations GROUP BY role""")
+def stored_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """A result table that is stored, replaced in part, and read back."""
+    root = files.shared_dir(spark, "results")
+    per_lang = table(spark, sf, "documents").groupBy(F.col("lang").alias("model_id")).agg(F.count("*").alias("n_samples"))
+    compare.replace_stored(spark, per_lang, "model_id", root)
+    changed = per_lang.where(F.col("model_id").isin("de", "fr")).withColumn("n_samples", F.lit(-1).cast("bigint"))
+    roles = table(spark, sf, "conversations").groupBy(F.col("role").alias("model_id")).agg(F.count("*").alias("n_samples"))
+    return compare.replace_stored(spark, changed.unionByName(roles), "model_id", root)
 
 
 # ---- sessions -----------------------------------------------------------

@@ -123,7 +123,34 @@ def test_greedy_match(spark):
     cos = (g / np.linalg.norm(g, axis=1, keepdims=True)) @ (r / np.linalg.norm(r, axis=1, keepdims=True)).T
     p, q = cos.max(axis=1).mean(), cos.max(axis=0).mean()
     assert (got[0]["precision"], got[0]["recall"], got[0]["f1"]) == pytest.approx((p, q, 2 * p * q / (p + q)))
-    assert got[1]["f1"] == 0.0
+    assert got[1]["f1"] == 0.0 and got[1]["error"] is None
+    odd = spark.createDataFrame([([[1.0, 2.0]], [[1.0]]), ([[1.0]], [[2.0]])], "g array<array<double>>, r array<array<double>>")
+    bad, good = score.greedy_match(odd, "g", "r", "").collect()
+    assert bad["f1"] == 0.0 and bad["error"] and good["f1"] == 1.0 and good["error"] is None
+
+
+def test_too_many_vectors_are_an_error(spark):
+    v = spark.createDataFrame([(1, i, [1.0]) for i in range(4)], "t int, p int, v array<double>")
+    assert len(score.gather_vectors(v, "t", "p", "v", 4).first()["vectors"]) == 4
+    with pytest.raises(Exception, match="more than 3"):
+        score.gather_vectors(v, "t", "p", "v", 3).collect()
+
+
+def test_one_interval_however_the_rows_lie(spark, monkeypatch):
+    values = np.round(np.random.default_rng(7).beta(2, 5, size=3000), 4).tolist()
+    df = spark.createDataFrame([("m", v) for v in values], "model string, s double")
+    whole = score.bootstrap_ci(df.coalesce(1), ["model"], ["s"], 200).collect()
+    monkeypatch.setattr(score, "DRAWS", 700)
+    assert score.bootstrap_ci(df.repartition(7), ["model"], ["s"], 200).collect() == whole
+    for wrong in (1e-5, 1.5):
+        with pytest.raises(Exception, match="four decimals"):
+            score.bootstrap_ci(spark.createDataFrame([("m", wrong)], "model string, s double"), ["model"], ["s"], 10).collect()
+
+
+def test_a_row_that_raises_gets_defaults(spark):
+    df = spark.createDataFrame([(1, "4"), (2, "x"), (3, None)], "id int, t string")
+    got = score.score_with(df, lambda row: {"n": int(row["t"])}, "n bigint", {"n": -1}).collect()
+    assert [(r["n"], r["error"] is None) for r in got] == [(4, True), (-1, False), (-1, False)]
 
 
 def test_bootstrap_paths_agree(spark):
@@ -131,7 +158,7 @@ def test_bootstrap_paths_agree(spark):
     values = np.round(rng.beta(2, 5, size=400), 4)
     df = spark.createDataFrame([("m", float(v), 0.25) for v in values] + [("one", 0.5, None)], "model string, s double, c double")
     drawn = {r["model"]: r for r in score.bootstrap_ci(df, ["model"], ["s", "c"]).collect()}
-    counted = {r["model"]: r for r in score.bootstrap_ci(df, ["model"], ["s", "c"], max_rows=0).collect()}
+    counted = {r["model"]: r for r in score.bootstrap_ci(df, ["model"], ["s", "c"], method="multinomial").collect()}
     error = values.std() / np.sqrt(len(values))
     for got in (drawn["m"], counted["m"]):
         assert got["s_ci_lower"] == pytest.approx(values.mean() - 1.96 * error, abs=0.004)

@@ -19,16 +19,24 @@ def hash_pick(seed: int | str, key: Column, n: int) -> Column:
     return F.pmod(head, F.lit(n)).cast("int")
 
 
-def draw_positions(seed: int, replicates: np.ndarray, size: int) -> np.ndarray:
-    """Row positions in ``[0, size)``: one row of ``size`` draws per replicate.
+#: Positions below come from two numbers of 31 bits, in 63-bit arithmetic.
+MAX_DRAW_SIZE = 1 << 32
+
+
+def draw_positions(seed: int, replicates: np.ndarray, size: int, low: int, high: int) -> np.ndarray:
+    """Positions in ``[0, size)`` of the draws ``low`` to ``high`` of every
+    replicate, one row each; any cut into ranges of draws gives the same draws.
 
     Rounds of ``x -> x^5 + c`` over a prime field (a permutation there) mix
-    replicate and draw number in plain integer arithmetic.
+    replicate and draw number in plain integer arithmetic; the last two states
+    are the digits of the drawn fraction.
     """
     r = replicates.astype("int64")[:, None]
-    j = np.arange(size, dtype="int64")[None, :]
+    j = np.arange(low, high, dtype="int64")[None, :]
     x = (r * 1000003 + j * 7919 + seed * 104729) % PRIME
+    fine = x
     for added in (12345, j * 31 + 67890, 0):
+        fine = x
         square = (x * x) % PRIME
         x = ((((square * square) % PRIME) * x) % PRIME + added) % PRIME
-    return np.floor(x * size / PRIME).astype("int64")
+    return (x * size + (fine * size) // PRIME) // PRIME

@@ -83,6 +83,15 @@ def score_units(c: Column | str) -> Column:
     return F.bround(as_col(c) * 10000).cast("bigint")
 
 
+def exact_units(c: Column | str) -> Column:
+    """The same, but an error for a score outside [-1, 1] or with more than
+    four decimals, which the units could not stand for."""
+    c = as_col(c)
+    units = score_units(c)
+    right = c.isNull() | ((F.abs(units) <= 10000) & (F.abs(c * 10000 - units) < 1e-6))
+    return F.when(right, units).otherwise(F.raise_error(F.lit("a score is outside [-1, 1] or has more than four decimals: round it first")))
+
+
 def article(descriptor: Column) -> Column:
     """``an`` before a vowel letter, else ``a``."""
     first = F.lower(F.substring(descriptor, 1, 1))

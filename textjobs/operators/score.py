@@ -2,15 +2,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from textjobs.functions.hashing import draw_positions
+from textjobs.functions.hashing import MAX_DRAW_SIZE, draw_positions
 from textjobs.functions.stem import clipped_matches, lcs_length, porter_stem
-from textjobs.functions.text import is_blank, r4, score_units, tokens
+from textjobs.functions.text import exact_units, is_blank, r4, score_units, tokens
 from textjobs.operators.parse import normalise_items, parse_sections
 
 SCORES = ["ingredient_f1", "ingredient_precision", "ingredient_recall", "rouge_l", "bleu_sentence"]
@@ -173,11 +175,14 @@ def _match_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[p
         out = []
         for g, r in zip(generated, reference):
             if g is None or r is None or len(g) == 0 or len(r) == 0:
-                out.append((0.0, 0.0))
+                out.append((0.0, 0.0, None))
                 continue
-            gm, rm = unit(g), unit(r)
-            out.append((best(gm, rm), best(rm, gm)))
-        yield pd.DataFrame(out, columns=["precision", "recall"])
+            try:
+                gm, rm = unit(g), unit(r)
+                out.append((best(gm, rm), best(rm, gm), None))
+            except (ValueError, TypeError) as e:  # vectors of different widths, or holes: this row only
+                out.append((0.0, 0.0, str(e)[:200]))
+        yield pd.DataFrame(out, columns=["precision", "recall", "error"])
 
 
 def greedy_match(df: DataFrame, generated: str, reference: str, prefix: str = "bertscore_") -> DataFrame:
@@ -185,23 +190,36 @@ def greedy_match(df: DataFrame, generated: str, reference: str, prefix: str = "b
 
     A text holds at most as many vectors as its encoder takes tokens.  Each
     pair is a few matrix products on its own row; no token pair becomes a row.
+    A missing or empty side gives 0; a pair that cannot be compared gives 0 and
+    says why in ``<prefix>error``.
     """
-    match = F.pandas_udf(_match_batches, "precision double, recall double")
+    match = F.pandas_udf(_match_batches, "precision double, recall double, error string")
     scored = df.withColumn("_m", match(generated, reference))
     p, r = F.col("_m.precision"), F.col("_m.recall")
     return scored.withColumns({
-        prefix + "precision": p, prefix + "recall": r, prefix + "f1": _harmonic(p, r),
+        prefix + "precision": p, prefix + "recall": r, prefix + "f1": _harmonic(p, r), prefix + "error": F.col("_m.error"),
     }).drop("_m")
 
 
+def pair_vectors(generated: DataFrame, reference: DataFrame, key: str) -> DataFrame:
+    """Both sides' ``vectors`` by key as ``g`` and ``r``; a text without its
+    partner stays, with null on the other side."""
+    return generated.select(key, F.col("vectors").alias("g")).join(
+        reference.select(key, F.col("vectors").alias("r")), key, "full")
+
+
 def embedding_tokens(text: Column, placeholder: str = "[empty]") -> Column:
     """Tokens to embed; blank text is embedded as a placeholder."""
     return tokens(F.when(is_blank(text), placeholder).otherwise(text))
 
 
-def gather_vectors(vectors: DataFrame, text: str, position: str, vector: str) -> DataFrame:
-    """Token vectors of each text in order (bounded by the encoder's length)."""
-    rows = vectors.groupBy(text).agg(F.array_sort(F.collect_list(F.struct(position, vector))).alias("_v"))
+def gather_vectors(vectors: DataFrame, text: str, position: str, vector: str, most: int = 4096) -> DataFrame:
+    """Token vectors of each text in order; more than ``most``, the encoder's
+    length, are an error.  They are counted before any are gathered."""
+    sizes = vectors.groupBy(text).agg(F.count("*").alias("_n"))
+    over = sizes.where(F.col("_n") > most).agg(F.count("*")).scalar()
+    checked = vectors.where(F.when(over > 0, F.raise_error(F.lit(f"a text has more than {most} vectors")).cast("boolean")).otherwise(F.lit(True)))
+    rows = checked.groupBy(text).agg(F.array_sort(F.collect_list(F.struct(position, vector))).alias("_v"))
     return rows.select(text, F.transform("_v", lambda x: x[vector]).alias("vectors"))
 
 
@@ -214,22 +232,31 @@ def score_means(df: DataFrame, keys: list[str], scores: list[str]) -> DataFrame:
     ])
 
 
+#: Draws of one replicate that one task makes at a time.
+DRAWS = 100_000
+
+
 def bootstrap_ci(df: DataFrame, keys: list[str], scores: list[str], n_bootstrap: int = 1000, ci: float = 0.95,
-                 seed: int = 42, max_rows: int = 2_000) -> DataFrame:
+                 seed: int = 42, method: str = "draws") -> DataFrame:
     """Percentile interval of the mean under resampling with replacement.
 
-    A score of four decimals in [-1, 1] has at most 20001 values, so the value
-    counts hold all there is to know about a group of any size, and they are
-    small.  They go to blocks of replicates.  Up to ``max_rows`` rows each
-    draw is a hash of replicate and draw number.  Beyond, one multinomial draw
-    over the values stands for all draws of a replicate: the same
-    distribution, at a cost that does not grow with the group.
+    A score of four decimals in [-1, 1] (others are an error) has at most 20001
+    values, so the value counts hold all there is to know about a group of any
+    size.  They go to blocks of replicates and ranges of draws; every draw is a
+    hash of replicate and draw number, and the sums of the ranges are added
+    up, so no task depends on the size of a group and every cut of the work
+    gives the same interval.  ``method="multinomial"`` makes one multinomial
+    draw per replicate instead: the same distribution, not the same draws, at a
+    cost that does not grow with the group; groups of 2^32 rows or more need
+    it.  Nulls are left out; a group without a score gives null.
     """
+    if method not in ("draws", "multinomial"):
+        raise ValueError(f"unknown method: {method}")
     long = df.select(*keys, F.inline(F.array(*[
-        F.struct(F.lit(s).alias("score"), score_units(s).alias("u")) for s in scores])))
+        F.struct(F.lit(s).alias("score"), exact_units(s).alias("u")) for s in scores])))
     group = [*keys, "score"]
     counts = long.where(F.col("u").isNotNull()).groupBy(*group, "u").agg(F.count("*").alias("c"))
-    means = _resampled_means(counts, group, n_bootstrap, seed, max_rows)
+    means = _resampled_means(counts, group, n_bootstrap, seed, method)
     low, high = (1 - ci) / 2, (1 + ci) / 2
     bounds = means.groupBy(*group).agg(  # n_bootstrap values per group
         r4(F.percentile("mean", F.lit(low))).alias("lower"), r4(F.percentile("mean", F.lit(high))).alias("upper"))
@@ -239,30 +266,42 @@ def bootstrap_ci(df: DataFrame, keys: list[str], scores: list[str], n_bootstrap:
     ])
 
 
-def _resampled_means(counts: DataFrame, group: list[str], n_bootstrap: int, seed: int, max_rows: int, block: int = 50) -> DataFrame:
-    blocks = counts.select(*group, "u", "c", F.explode(
-        F.sequence(F.lit(0), F.lit((n_bootstrap - 1) // block))).alias("b"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counts.select(*group).schema.fields)
-
-    def draw(key: tuple, values: pd.DataFrame) -> pd.DataFrame:
-        values = values.sort_values("u")
-        times, units, b = values["c"].to_numpy(), values["u"].to_numpy(), int(key[-1])
-        total = int(times.sum())
-        replicates = np.arange(b * block, min((b + 1) * block, n_bootstrap))
-        if total <= max_rows:
-            position = draw_positions(seed, replicates, total)
-            sums = units[np.searchsorted(np.cumsum(times), position, side="right")].sum(axis=1)
-        else:
-            rng = np.random.default_rng([seed, b])
-            sums = rng.multinomial(total, times / total, size=len(replicates)) @ units
-        out = pd.DataFrame({"r": replicates, "mean": sums / total / 10000.0})
-        for name, value in zip(group, key):
-            out[name] = value
-        return out[[*group, "r", "mean"]]
+def _resampled_means(counts: DataFrame, group: list[str], n_bootstrap: int, seed: int, method: str, block: int = 50) -> DataFrame:
+    packed = counts.groupBy(*group).agg(  # at most 20001 values
+        F.array_sort(F.collect_list(F.struct("u", "c"))).alias("v"), F.sum("c").alias("n"))
+    if method == "draws":
+        fits = F.when(F.col("n") < MAX_DRAW_SIZE, F.col("n")).otherwise(
+            F.raise_error(F.lit("a group is too large for hash draws: use method='multinomial'")).cast("bigint"))
+        packed = packed.withColumn("n", fits)
+    ranges = F.floor((F.col("n") - 1) / DRAWS) if method == "draws" else F.lit(0).cast("bigint")
+    blocks = packed.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), ranges))).withColumn(
+        "b", F.explode(F.sequence(F.lit(0), F.lit((n_bootstrap - 1) // block)))).select(
+        *group, F.col("v.u").alias("u"), F.col("v.c").alias("c"), "n", "k", "b")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                units, times, n, k, b = (batch.column(c)[i].as_py() for c in ("u", "c", "n", "k", "b"))
+                units, times = np.array(units, "int64"), np.array(times, "int64")
+                replicates = np.arange(b * block, min((b + 1) * block, n_bootstrap))
+                if method == "draws":
+                    ends = np.cumsum(times)
+                    sums = np.array([
+                        units[np.searchsorted(ends, draw_positions(seed, r, n, k * DRAWS, min(n, (k + 1) * DRAWS))[0], side="right")].sum()
+                        for r in replicates[:, None]], "int64")
+                else:
+                    rng = np.random.default_rng([seed, b])
+                    sums = rng.multinomial(n, times / n, size=len(replicates)) @ units
+                same = pa.array(np.full(len(replicates), i))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(g).take(same) for g in group), pa.array(replicates, pa.int32()), pa.array(sums, pa.int64()), batch.column("n").take(same)],
+                    names=[*group, "r", "s", "n"])
 
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counts.select(*group).schema.fields)
     # a fixed number of tasks: the rows are few, the work on them is not
     tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return blocks.repartition(tasks, *group, "b").groupBy(*group, "b").applyInPandas(draw, f"{kinds}, r int, mean double")
+    drawn = blocks.repartition(tasks, *group, "b", "k").mapInArrow(draw, f"{kinds}, r int, s bigint, n bigint")
+    return drawn.groupBy(*group, "r").agg((F.sum("s") / F.max("n") / 10000).alias("mean"))
 
 
 # ---- rows and scorecard -------------------------------------------------
@@ -301,8 +340,9 @@ def scorecard(rows: DataFrame, model: str = "model_id", embedding: DataFrame | N
     if embedding is None:
         card = card.withColumns({n: F.lit(None).cast("double") for n in names})
     else:
-        means = embedding.groupBy(model).agg(*[
-            r4(F.avg(f"bertscore_{m}")).alias(f"bertscore_mean_{m}") for m in ("f1", "precision", "recall")])
+        embedding = embedding.withColumns({f"bertscore_{m}": r4(F.col(f"bertscore_{m}")) for m in ("f1", "precision", "recall")})
+        means = score_means(embedding, [model], [f"bertscore_{m}" for m in ("f1", "precision", "recall")]).select(
+            model, *[F.col(f"bertscore_{m}_mean").alias(f"bertscore_mean_{m}") for m in ("f1", "precision", "recall")])
         ci = bootstrap_ci(embedding, [model], ["bertscore_f1"], n_bootstrap).withColumnsRenamed(
             {"bertscore_f1_ci_lower": names[3], "bertscore_f1_ci_upper": names[4]})
         card = card.join(means, model, "left").join(ci, model, "left")
@@ -311,11 +351,40 @@ def scorecard(rows: DataFrame, model: str = "model_id", embedding: DataFrame | N
         "rouge_l_mean", "rouge_l_ci_lower", "rouge_l_ci_upper", "bleu_corpus", *names)
 
 
-def score_with(df: DataFrame, scorer, schema: str) -> DataFrame:
-    """Runs a caller's scorer or generator over Arrow batches of rows."""
-    return df.mapInPandas(scorer, schema)
+def score_with(df: DataFrame, scorer: Callable[[dict], dict], schema: str, defaults: dict) -> DataFrame:
+    """Runs a caller's scorer or generator on every row: it takes the row as a
+    dict and returns the new columns.  A row on which it raises gets the
+    defaults; ``error`` says what went wrong and is null otherwise."""
+    added = T.StructType.fromDDL(schema)
+    kinds = to_arrow_schema(added)
+    out = T.StructType([*df.schema.fields, *added.fields, T.StructField("error", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, errors = [], []
+            for row in batch.to_pylist():
+                try:
+                    rows.append(pa.RecordBatch.from_pylist([{**defaults, **scorer(row)}], schema=kinds).to_pylist()[0])
+                    errors.append(None)
+                except Exception as e:  # whatever a caller's code raises ends this row only
+                    rows.append(defaults)
+                    errors.append(f"{type(e).__name__}: {e}"[:200])
+            made = pa.RecordBatch.from_pylist(rows, schema=kinds)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *made.columns, pa.array(errors, pa.string())], names=[*batch.schema.names, *kinds.names, "error"])
+
+    return df.mapInArrow(run, out)
+
+
+def line_bleu(df: DataFrame, generated: str, reference: str, name: str = "bleu") -> DataFrame:
+    """Sentence BLEU of two lists of lines, each list scored as one text."""
+    joined = df.withColumns({"_g": F.array_join(generated, " "), "_r": F.array_join(reference, " ")})
+    scored = sentence_bleu(ngram_matches(joined, "_g", "_r"))
+    return scored.select(*df.columns, F.col("bleu_sentence").alias(name))
 
 
 def prompt_means(df: DataFrame, prompt: str, scores: list[str]) -> DataFrame:
-    """Average of each score per prompt template; undefined scores are left out."""
-    return df.groupBy(prompt).agg(F.count("*").alias("n_rows"), *[r4(F.avg(s)).alias(f"avg_{s}") for s in scores])
+    """Average of each score per prompt template; undefined scores are left
+    out.  Scores have four decimals, so their sums are whole numbers."""
+    return df.groupBy(prompt).agg(F.count("*").alias("n_rows"), *[
+        r4(F.try_divide(F.sum(score_units(s)), F.count(s)) / 10000).alias(f"avg_{s}") for s in scores])

@@ -8,9 +8,9 @@ from textjobs.operators import parse, score
 from textjobs.plans.inputs import (
     CONV_EVAL_SQL, conv_eval, doc_eval, sql_normalised, sql_parse, sql_words, words,
 )
-from textjobs.plans.registry import query, sql_strip, sql_tokens, table, texts
+from textjobs.plans.registry import query, sql_tokens, table, texts
 from textjobs.plans.text import LINE_ITEMS_SQL, _exchanges, _EXCHANGES_SQL, line_items
-from textjobs.sources.files import save_and_reread, spread
+from textjobs.sources.files import save_and_reread
 
 # ---- SQL pieces ---------------------------------------------------------
 
@@ -90,8 +90,8 @@ def sql_bootstrap(p: str, source: str, n_bootstrap: int = 1000) -> str:
 {p}_d1 AS (SELECT *, (r * 1000003 + j * 7919 + {42 * 104729}) % {PRIME} AS x FROM {p}_d0),
 {p}_d2 AS (SELECT * EXCLUDE (x), {fifth("12345")} AS x FROM (SELECT *, {square} FROM {p}_d1)),
 {p}_d3 AS (SELECT * EXCLUDE (x, q), {fifth("j * 31 + 67890")} AS x FROM (SELECT * EXCLUDE (q), {square} FROM {p}_d2)),
-{p}_d4 AS (SELECT * EXCLUDE (x, q), {fifth("0")} AS x FROM (SELECT *, {square} FROM {p}_d3)),
-{p}_draws AS (SELECT model, score, n, r, CAST(floor(x * n / {PRIME}) AS BIGINT) AS i FROM {p}_d4),
+{p}_d4 AS (SELECT * EXCLUDE (x, q), x AS fine, {fifth("0")} AS x FROM (SELECT *, {square} FROM {p}_d3)),
+{p}_draws AS (SELECT model, score, n, r, (x * n + (fine * n) // {PRIME}) // {PRIME} AS i FROM {p}_d4),
 {p}_means AS (SELECT d.model, d.score, r, sum(u) / max(n) / 10000 AS mean FROM {p}_draws d
               JOIN {p}_rows s ON s.model = d.model AND s.score = d.score AND s.i = d.i GROUP BY d.model, d.score, r),
 {p}_ci AS (SELECT model, score, round_even(quantile_cont(mean, 0.025), 4) AS lower,
@@ -102,6 +102,10 @@ def sql_units(x: str) -> str:
     return f"CAST(round_even({x} * 10000, 0) AS BIGINT)"
 
 
+def _mean(x: str) -> str:
+    return f"round_even(sum({sql_units(x)}) / count({x}) / 10000, 4)"
+
+
 # ---- item scores --------------------------------------------------------
 
 def _order_items(spark: SparkSession, sf: str) -> DataFrame:
@@ -153,10 +157,28 @@ def _word_scores(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""
 WITH {_EXCHANGES_SQL}, w AS (SELECT turn, {sql_words("assistant")} AS g, {sql_words('"user"')} AS r FROM ex),
 s AS (SELECT turn, round_even(len(list_intersect(g, r)) / nullif(len(g), 0), 4) AS p,
-             round_even(len(list_intersect(g, r)) / nullif(len(r), 0), 4) AS q FROM w)
-SELECT turn, count(*) AS n_rows, round_even(avg(p), 4) AS avg_precision, round_even(avg(q), 4) AS avg_recall FROM s GROUP BY turn""")
+             round_even(len(list_intersect(g, r)) / nullif(len(r), 0), 4) AS q FROM w),
+ek AS (SELECT conv_id * 1000 + turn AS id, * FROM ex), {sql_counts("x", "ek", "id", "assistant", '"user"')},
+b AS (SELECT turn, {_SENTENCE} AS bleu FROM x_counts JOIN ek ON id = key)
+SELECT turn, count(*) AS n_rows, {_mean("p")} AS avg_precision, {_mean("q")} AS avg_recall,
+       (SELECT {_mean("bleu")} FROM b WHERE b.turn = s.turn) AS avg_bleu_sentence
+FROM s GROUP BY turn""")
 def prompt_means(spark: SparkSession, sf: str) -> DataFrame:
-    return score.prompt_means(_word_scores(spark, sf), "turn", ["precision", "recall"])
+    """Word precision, recall and BLEU per turn number, which stands for the prompt template."""
+    scored = score.sentence_bleu(score.ngram_matches(_word_scores(spark, sf), "assistant", "user"))
+    return score.prompt_means(scored, "turn", ["precision", "recall", "bleu_sentence"])
+
+
+@query(f"""
+WITH nb AS (SELECT a.doc_id, string_split(a.text, chr(10)) AS r, string_split(b.text, chr(10)) AS g
+            FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
+j AS (SELECT doc_id, array_to_string(g, ' ') AS g, array_to_string(r, ' ') AS r FROM nb), {sql_counts("x", "j", "doc_id", "g", "r")}
+SELECT key AS doc_id, {_SENTENCE} AS bleu FROM x_counts""")
+def line_bleu(spark: SparkSession, sf: str) -> DataFrame:
+    """BLEU of the lines of a document against those of the one before."""
+    pairs = _neighbours(spark, sf).where(F.col("generated").isNotNull())
+    lines = pairs.select("doc_id", F.split("generated", "\n").alias("g"), F.split("reference", "\n").alias("r"))
+    return score.line_bleu(lines, "g", "r").select("doc_id", "bleu")
 
 
 # ---- text scores --------------------------------------------------------
@@ -211,48 +233,48 @@ c AS (SELECT g.pair_id, g.vec_id AS gi, r.vec_id AS ri, list_cosine_similarity(g
       FROM v g JOIN v r ON r.pair_id = g.pair_id AND r.side = 0 WHERE g.side = 1),
 p AS (SELECT pair_id, avg(s) AS p FROM (SELECT pair_id, gi, max(s) AS s FROM c GROUP BY ALL) GROUP BY pair_id),
 q AS (SELECT pair_id, avg(s) AS r FROM (SELECT pair_id, ri, max(s) AS s FROM c GROUP BY ALL) GROUP BY pair_id)
-SELECT pair_id, round_even(p, 4) AS "precision", round_even(r, 4) AS recall, round_even(2 * p * r / (p + r), 4) AS f1
-FROM p JOIN q USING (pair_id)""")
+SELECT pair_id, coalesce(round_even(p, 4), 0) AS "precision", coalesce(round_even(r, 4), 0) AS recall,
+       coalesce(round_even(2 * p * r / (p + r), 4), 0) AS f1
+FROM (SELECT DISTINCT pair_id FROM v) LEFT JOIN p USING (pair_id) LEFT JOIN q USING (pair_id)""")
 def greedy_match_f1(spark: SparkSession, sf: str) -> DataFrame:
-    """Sixteen vectors make a text; an even text is the reference of the next."""
-    v = table(spark, sf, "embeddings").withColumn("text_id", F.floor(F.col("vec_id") / 16))
-    t = score.gather_vectors(v, "text_id", "vec_id", "embedding").withColumn("pair_id", F.floor(F.col("text_id") / 2))
-    reference = t.where(F.col("text_id") % 2 == 0).select("pair_id", F.col("vectors").alias("r"))
-    generated = t.where(F.col("text_id") % 2 == 1).select("pair_id", F.col("vectors").alias("g"))
-    scored = score.greedy_match(generated.join(reference, "pair_id"), "g", "r", "")
+    """Sixteen vectors make a text; an even text is the reference of the next.
+    The last text may have no partner; it stays and scores 0."""
+    t = _vector_texts(spark, sf).withColumn("pair_id", F.floor(F.col("text_id") / 2))
+    pairs = score.pair_vectors(t.where(F.col("text_id") % 2 == 1), t.where(F.col("text_id") % 2 == 0), "pair_id")
+    scored = score.greedy_match(pairs, "g", "r", "")
     return scored.select("pair_id", *[F.bround(c, 4).alias(c) for c in ("precision", "recall", "f1")])
 
 
+def _vector_texts(spark: SparkSession, sf: str) -> DataFrame:
+    v = table(spark, sf, "embeddings").withColumn("text_id", F.floor(F.col("vec_id") / 16))
+    return score.gather_vectors(v, "text_id", "vec_id", "embedding", most=16)
+
+
 def _embedded(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
-    """Embedding scores of parsed rows; a token's vector is picked by its digest."""
-    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    n = vectors.agg(F.count("*")).scalar()
-    pick = F.pmod(F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("bigint"), n)
+    """Embedding scores of rows: an encoder's output is one array of vectors
+    per text, joined by the text's number; an empty text has none."""
+    encoded = _vector_texts(spark, sf)
+    n = encoded.agg(F.count("*")).scalar()
 
-    def side(column: str, name: str) -> DataFrame:
-        toks = spread(rows.select("row_index", column)).select("row_index", F.posexplode(score.embedding_tokens(F.col(column))).alias("pos", "token"))
-        found = toks.withColumn("vec_id", pick).join(vectors, "vec_id")
-        return score.gather_vectors(found, "row_index", "pos", "embedding").withColumnRenamed("vectors", name)
+    def side(column: str, name: str, shift: int) -> DataFrame:
+        at = rows.select("row_index", F.when(F.col(column) != "", F.pmod(F.col("row_index") + shift, n)).alias("text_id"))
+        return at.join(encoded, "text_id", "left").select("row_index", F.col("vectors").alias(name))
 
-    pairs = side("gen_instructions", "g").join(side("ref_instructions", "r"), "row_index")
+    pairs = side("gen_instructions", "g", 1).join(side("ref_instructions", "r", 0), "row_index")
     scored = score.greedy_match(pairs, "g", "r").drop("g", "r")
     return scored.join(rows.select("row_index", "model_id"), "row_index")
 
 
-def _embedding_tokens_sql(x: str) -> str:
-    return sql_tokens(f"CASE WHEN {sql_strip(x)} = '' THEN '[empty]' ELSE {x} END")
-
-
-_EMBEDDED_SQL = f"""
-tk AS (SELECT key, 'g' AS side, unnest({_embedding_tokens_sql("gbody")}) AS token FROM parsed UNION ALL
-       SELECT key, 'r', unnest({_embedding_tokens_sql("rbody")}) FROM parsed),
-vk AS (SELECT key, side, token, row_number() OVER () AS id, CAST(embedding AS DOUBLE[]) AS e FROM tk JOIN embeddings
-       ON vec_id = CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % (SELECT count(*) FROM embeddings)),
-ck AS (SELECT g.key, g.id AS gi, r.id AS ri, list_cosine_similarity(g.e, r.e) AS s
-       FROM vk g JOIN vk r ON r.key = g.key AND r.side = 'r' WHERE g.side = 'g'),
+_EMBEDDED_SQL = """
+vk AS (SELECT vec_id, vec_id // 16 AS text_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+tx AS (SELECT key, CASE WHEN gbody <> '' THEN (key + 1) % n END AS gt, CASE WHEN rbody <> '' THEN key % n END AS rt
+       FROM parsed, (SELECT count(DISTINCT text_id) AS n FROM vk)),
+ck AS (SELECT tx.key, g.vec_id AS gi, r.vec_id AS ri, list_cosine_similarity(g.e, r.e) AS s
+       FROM tx JOIN vk g ON g.text_id = gt JOIN vk r ON r.text_id = rt),
 pk AS (SELECT key, avg(s) AS p FROM (SELECT key, gi, max(s) AS s FROM ck GROUP BY ALL) GROUP BY key),
 qk AS (SELECT key, avg(s) AS r FROM (SELECT key, ri, max(s) AS s FROM ck GROUP BY ALL) GROUP BY key),
-emb AS (SELECT key, p, r, 2 * p * r / (p + r) AS f FROM pk JOIN qk USING (key))"""
+emb AS (SELECT tx.key, coalesce(p, 0) AS p, coalesce(r, 0) AS r, coalesce(2 * p * r / (p + r), 0) AS f
+        FROM tx LEFT JOIN pk ON pk.key = tx.key LEFT JOIN qk ON qk.key = tx.key)"""
 
 
 # ---- scored rows, means, intervals ---------------------------------------
@@ -314,13 +336,18 @@ b_src AS (SELECT o_orderpriority AS model, 'f1' AS score, {sql_units("f1")} AS u
 {sql_bootstrap("b", "b_src")}
 SELECT model AS model_id, lower AS f1_ci_lower, upper AS f1_ci_upper FROM b_ci""")
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    return score.bootstrap_ci(_priority_scores(spark, sf), ["model_id"], ["f1"], max_rows=5_000)
+    return score.bootstrap_ci(_priority_scores(spark, sf), ["model_id"], ["f1"])
 
 
-@query()
+@query(f"""
+WITH {_ORDER_SCORES_SQL},
+b_src AS (SELECT 'all' AS model, 'recall' AS score, {sql_units("recall")} AS u FROM order_scores),
+{sql_bootstrap("b", "b_src")}
+SELECT model AS model_id, lower AS recall_ci_lower, upper AS recall_ci_upper FROM b_ci""")
 def bootstrap_ci_large(spark: SparkSession, sf: str) -> DataFrame:
-    """The same intervals by the draw that is used for large groups."""
-    return score.bootstrap_ci(_priority_scores(spark, sf), ["model_id"], ["f1", "recall"], max_rows=0)
+    """The interval of one group that is the whole table."""
+    rows = _order_scores(spark, sf).select(F.lit("all").alias("model_id"), "recall")
+    return score.bootstrap_ci(rows, ["model_id"], ["recall"])
 
 
 def _ci_columns_sql(name: str, out: str) -> str:
@@ -336,8 +363,10 @@ b_src AS (SELECT model_id AS model, 'i' AS score, {sql_units("ingredient_f1")} A
 {sql_bootstrap("b", "b_src")},
 bleu AS (SELECT model_id, {_CORPUS} AS bleu_corpus FROM (SELECT model_id, sum(gl) AS gl, sum(rl) AS rl, {_TOTALS}
          FROM s_counts JOIN ev ON row_index = key GROUP BY model_id)),
-e AS (SELECT model_id, round_even(avg(f), 4) AS bertscore_mean_f1, round_even(avg(p), 4) AS bertscore_mean_precision,
-             round_even(avg(r), 4) AS bertscore_mean_recall FROM emb JOIN scored USING (key) GROUP BY model_id),
+e AS (SELECT model_id, round_even(sum({sql_units("f")}) / count(*) / 10000, 4) AS bertscore_mean_f1,
+             round_even(sum({sql_units("p")}) / count(*) / 10000, 4) AS bertscore_mean_precision,
+             round_even(sum({sql_units("r")}) / count(*) / 10000, 4) AS bertscore_mean_recall
+      FROM emb JOIN scored USING (key) GROUP BY model_id),
 c AS (SELECT model_id, count(*) AS n_samples, round_even(sum({sql_units("ingredient_f1")}) / count(*) / 10000, 4) AS ingredient_f1_mean,
              round_even(sum({sql_units("rouge_l")}) / count(*) / 10000, 4) AS rouge_l_mean FROM scored GROUP BY model_id)
 SELECT c.*, {_ci_columns_sql("i", "ingredient_f1")}, {_ci_columns_sql("r", "rouge_l")}, bleu_corpus,
@@ -356,17 +385,20 @@ def scorecard_documents(spark: SparkSession, sf: str) -> DataFrame:
     return score.scorecard(save_and_reread(rows, "scored"))
 
 
-def _lookup_batches(batches):
-    for pdf in batches:
-        pdf["generated_text"] = ["**" + t.split(".")[0] + "**\n\n**Instructions:**\n" + t for t in pdf["prompt"]]
-        yield pdf
+def _lookup(row: dict) -> dict:
+    title, found, _ = row["prompt"].partition(".")
+    if not found:
+        raise ValueError("no sentence")
+    return {"generated_text": f"**{title}**\n\n**Instructions:**\n{row['prompt']}"}
 
 
-@query(f"""
-SELECT doc_id, '**' || split_part(text, '.', 1) || '**' || chr(10) || chr(10) || '**Instructions:**' || chr(10) || text AS generated_text
+@query("""
+SELECT doc_id, CASE WHEN contains(text, '.') THEN '**' || split_part(text, '.', 1) || '**' || chr(10) || chr(10)
+       || '**Instructions:**' || chr(10) || text ELSE '' END AS generated_text,
+       CASE WHEN NOT contains(text, '.') THEN 'ValueError: no sentence' END AS error
 FROM documents""")
 def generate_with(spark: SparkSession, sf: str) -> DataFrame:
-    """A caller's generator over batches of rows."""
+    """A caller's generator; it raises on texts without a full stop, which get
+    an empty text and the error."""
     rows = texts(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
-    out = score.score_with(rows, _lookup_batches, "doc_id bigint, prompt string, generated_text string")
-    return out.drop("prompt")
+    return score.score_with(rows, _lookup, "generated_text string", {"generated_text": ""}).drop("prompt")

@@ -12,9 +12,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     label of their label, until none changes; every round is one written
     table, and neighbours are reduced inside tasks before they are shuffled.
     Self-edges give a component of one node; no edge gives an empty table."""
-    pairs = save_and_reread(
-        edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct(),
-        "edges")
+    edge = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    least = edge.groupBy("u").agg(F.min("v").alias("m"))
+    # every edge to a smaller node goes by way of the smallest such node: as
+    # connected as before, and nodes with equal neighbours share their edges
+    star = edge.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+    star = save_and_reread(star.select("e.*").distinct(), "star")
+    pairs = save_and_reread(star.union(star.select("v", "u")).distinct(), "edges")
     labels = save_and_reread(
         pairs.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")), "labels")
     total = None

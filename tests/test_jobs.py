@@ -1,6 +1,8 @@
 """Preparation, formatting, splits, logs, sessions, streams: small frames."""
 import json
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +153,17 @@ def test_splits(spark):
     assert tuple(split.split_leakage(leak, F.col("t")).first()) == (2, 0, 1, 1)
     with pytest.raises(Exception, match="larger than the table"):
         split.holdout_split(df, "k", 990, 50).collect()
+    twice = spark.createDataFrame([(i // 4, i) for i in range(1000)], "k int, i int")
+    for ties, sizes in ((("i",), {"test": 101, "val": 50, "train": 849}), ((), None)):
+        if sizes:
+            got = split.holdout_split(twice, "k", 101, 50, ties=ties).groupBy("split").count().collect()
+            assert {r["split"]: r["count"] for r in got} == sizes
+            assert split.tail_holdout(twice, "k", 10, ties=ties).where("split = 'test'").count() == 10
+        else:
+            with pytest.raises(Exception, match="equal in k"):
+                split.holdout_split(twice, "k", 101, 50).collect()
+            with pytest.raises(Exception, match="equal in k"):
+                split.tail_holdout(twice, "k", 10).collect()
     tail = {r["k"]: r["split"] for r in split.tail_holdout(df, "k", 10).collect()}
     assert [k for k, s in sorted(tail.items()) if s == "test"] == list(range(990, 1000))
     with pytest.raises(Exception, match="larger than the table"):
@@ -249,12 +262,50 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = jobs.accumulate(jobs.read_stream(spark, str(tmp_path / "in"), jobs.CHUNK_SCHEMA))
     grown = jobs.run_to_table(stream, "t", "update")
     final = grown.groupBy("gen_id").agg(F.max("n_chunks").alias("n"), F.max_by("text", "n_chunks").alias("text"))
-    assert rows(final, "gen_id") == [(1, 3, "Hello"), (2, 1, "Hi")]
+    assert rows(final, "gen_id") == [(1, 3, "Hello"), (2, 1, "Hi")] and {r["status"] for r in grown.collect()} == {"open"}
     # every text on the way is a beginning of the final one
     last = {r["gen_id"]: r["text"] for r in final.collect()}
     assert all(last[r["gen_id"]].startswith(r["text"]) for r in grown.collect())
 
 
+def test_no_chunk_is_lost(spark, tmp_path):
+    """Generations that began days apart, a run in between, a missing chunk."""
+    def put(*chunks):
+        spark.createDataFrame([(g, s, c) for g, s, c, _ in chunks], "gen_id long, seq int, chunk string").withColumn(
+            "started_at", F.timestamp_seconds(F.lit(86400) * F.col("gen_id"))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run(idle="1 hour"):
+        stream = jobs.accumulate(jobs.read_stream(spark, str(tmp_path / "in"), jobs.CHUNK_SCHEMA), idle)
+        return jobs.run_to_table(stream, "t", "update", root=str(tmp_path / "out"))
+
+    put((1, 0, "He", 0), (1, 1, "l", 0))
+    put((90, 0, "later", 0), (2, 1, "b", 0))
+    run()
+    put((1, 2, "lo", 0), (1, 2, "lo", 0))
+    last = run().groupBy("gen_id").agg(F.max_by("text", "n_chunks").alias("text"))
+    assert rows(last, "gen_id") == [(1, "Hello"), (2, ""), (90, "later")]
+    put((5, 0, "x", 0))
+    run("1 second")
+    time.sleep(2)
+    put((6, 0, "y", 0))
+    ended = {(r["gen_id"], r["n_chunks"], r["text"], r["status"]) for r in run("1 second").collect() if r["status"] != "open"}
+    assert (5, 1, "x", "ended") in ended
+
+
+def test_a_run_without_new_files(spark, tmp_path):
+    schema = "s string, t int, b int, name string, steps array<string>"
+
+    def run():
+        stream = jobs.read_stream(spark, str(tmp_path / "in"), schema)
+        return [r["name"] for r in jobs.stream_history(
+            stream, ["s"], "b", ["t"], "name", 3, root=str(tmp_path / "out"), steps="steps").orderBy("position").collect()]
+
+    (tmp_path / "in").mkdir()
+    assert run() == []
+    spark.createDataFrame([("s", 1, 0, "a", ["x"]), ("s", 2, 0, "b", []), ("s", 3, 0, "c", ["y"])], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert run() == ["c", "a"] and run() == ["c", "a"]
+
+
 def test_history_goes_on_after_a_restart(spark, tmp_path):
     names = ["a", "b", "b", "c", "c", "d"]
     rows_in = [("s", i, i // 2, n) for i, n in enumerate(names)]

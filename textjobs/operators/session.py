@@ -9,9 +9,14 @@ from textjobs.functions.text import split_trim, wstrip
 from textjobs.operators.ordered import carry_forward, latest_per_key
 
 
-def recent_history(df: DataFrame, session: list[str], bucket: str, order: list[str], name: str, n: int = 5) -> DataFrame:
-    """Last ``n`` entries per session, newest first, consecutive repeats dropped."""
+def recent_history(df: DataFrame, session: list[str], bucket: str, order: list[str], name: str, n: int = 5,
+                   steps: str | None = None) -> DataFrame:
+    """Last ``n`` entries per session, newest first, consecutive repeats
+    dropped.  Entries need a name and, where ``steps`` names an array column,
+    at least one step."""
     known = df.where(F.col(name).isNotNull() & (F.col(name) != ""))
+    if steps:
+        known = known.where(F.size(F.coalesce(steps, F.array().cast(known.schema[steps].dataType))) > 0)
     previous = carry_forward(known, session, bucket, order, [F.col(name)], ["_prev"], include_current=False)
     changed = previous.where(~F.col(name).eqNullSafe(F.col("_prev"))).drop("_prev")
     return latest_per_key(changed, session, bucket, order, n, "position")

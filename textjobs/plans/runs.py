@@ -119,21 +119,28 @@ def stored_upsert(spark: SparkSession, sf: str) -> DataFrame:
 _HISTORY_SQL = """
 SELECT user_id, event_id, event_type, position FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS position FROM (
-    SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)
+    SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events
+    WHERE CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 4 <> 0)
   WHERE prev IS DISTINCT FROM event_type) WHERE position <= 5"""
 
 
+def _with_steps(events: DataFrame) -> DataFrame:
+    """A record has as many steps as the remainder of its number by four."""
+    return events.withColumn("steps", F.array_repeat(F.lit("step"), (F.col("k") % 4).cast("int")))
+
+
 @query(_HISTORY_SQL)
 def recent_history(spark: SparkSession, sf: str) -> DataFrame:
-    e = _records(spark, sf)
-    history = session.recent_history(e, ["user_id"], "day", ["ts", "event_id"], "event_type")
+    e = _with_steps(_records(spark, sf))
+    history = session.recent_history(e, ["user_id"], "day", ["ts", "event_id"], "event_type", steps="steps")
     return history.select("user_id", "event_id", "event_type", "position")
 
 
 # ---- streams ------------------------------------------------------------
 
 def _started() -> Column:
-    return F.timestamp_seconds(F.lit(1704067200) + F.col("gen_id") % 3600)
+    """Generations begin over many days; their chunks come much later."""
+    return F.timestamp_seconds(F.lit(1704067200) + F.col("gen_id") * 7919 % 2592000)
 
 
 def _chunks(rows: DataFrame) -> DataFrame:
@@ -194,11 +201,11 @@ def trace_log(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_HISTORY_SQL)
 def stream_history(spark: SparkSession, sf: str) -> DataFrame:
-    e = _records(spark, sf).select("event_id", "user_id", "ts", "event_type", "day")
+    e = _with_steps(_records(spark, sf)).select("event_id", "user_id", "ts", "event_type", "day", "steps")
     path = files.shared_dir(spark, "events")
     for low, high in [(0, 10), (10, 20), (20, 31)]:
         day = F.dayofmonth("ts")
         e.where((day > low) & (day <= high)).write.mode("append").parquet(path)
     stream = jobs.read_stream(spark, path, e.schema)
-    history = jobs.stream_history(stream, ["user_id"], "day", ["ts", "event_id"], "event_type")
+    history = jobs.stream_history(stream, ["user_id"], "day", ["ts", "event_id"], "event_type", steps="steps")
     return history.select("user_id", "event_id", "event_type", "position")

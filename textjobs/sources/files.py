@@ -65,12 +65,16 @@ def save_and_reread(df: DataFrame, purpose: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, null_literals: list[str] | None = None) -> DataFrame:
-    """Header CSV with quoted multi-line text.  Empty cells are null; further
-    literals become null only when they are listed."""
+def read_csv(spark: SparkSession, path: str, schema: str, null_literals: list[str] | None = None,
+             multi_line: bool = True) -> DataFrame:
+    """Header CSV with quoted text.  Empty cells are null; further literals
+    become null only when they are listed.  Text with line breaks needs
+    ``multi_line``, which makes a file one task: such data is ingested to
+    Parquet once (``ingest_once``).  Without line breaks, say so, and files are
+    split."""
     df = (
         spark.read.schema(schema)
-        .option("header", True).option("multiLine", True)
+        .option("header", True).option("multiLine", multi_line)
         .option("quote", '"').option("escape", '"')
         .csv(path)
     )

@@ -1,9 +1,13 @@
 """Structured Streaming jobs over generated chunks and finished generations."""
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textjobs.operators.parse import parse_display, trace_measures
 from textjobs.operators.session import recent_history
@@ -31,11 +35,51 @@ def whole_texts(chunks: DataFrame) -> DataFrame:
         F.array_join(F.transform("_c", lambda c: c["chunk"]), "").alias("text"))
 
 
-def accumulate(chunks: DataFrame, lateness: str = "1 hour") -> DataFrame:
+TEXT_SCHEMA = "gen_id BIGINT, n_chunks INT, text STRING, status STRING"
+
+
+def accumulate(chunks: DataFrame, idle: str = "1 hour") -> DataFrame:
     """Streaming form, for update mode: each trigger gives the whole text of
-    every generation that grew.  The start time is the event time, so the
-    state of a generation is dropped once the watermark has passed it."""
-    return whole_texts(chunks.withWatermark("started_at", lateness))
+    every generation that got chunks.
+
+    State is kept per generation and ends when no chunk has come for ``idle``
+    of processing time, however long ago the generation began; no watermark
+    drops a chunk.  ``status`` is ``open`` while chunks may come, ``ended`` when
+    the state ends, ``incomplete`` when it ends with a chunk missing in front
+    of others.  Those others follow as rows of their own with status
+    ``unplaced``, their number in ``n_chunks`` and their text: nothing that
+    came is lost.  A repeated chunk counts once, the first by text.
+    """
+    wait = _milliseconds(idle)
+
+    def step(key, batches, state: GroupState):
+        text, n, waiting = state.get if state.exists else ("", 0, "{}")
+        held = {int(k): v for k, v in json.loads(waiting).items()}
+        if state.hasTimedOut:
+            state.remove()
+            rows = [(key[0], n, text, "incomplete" if held else "ended")]
+            rows += [(key[0], k, held[k], "unplaced") for k in sorted(held)]
+            yield pd.DataFrame(rows, columns=["gen_id", "n_chunks", "text", "status"])
+            return
+        for batch in batches:
+            for seq, chunk in sorted(zip(batch["seq"].tolist(), batch["chunk"].tolist()), key=lambda x: (x[0], x[1] or "")):
+                if seq >= n:
+                    held[seq] = min(held.get(seq, chunk or ""), chunk or "")
+        parts = [text]
+        while n in held:
+            parts.append(held.pop(n))
+            n += 1
+        text = "".join(parts)
+        state.update((text, n, json.dumps(held)))
+        state.setTimeoutDuration(wait)
+        yield pd.DataFrame([(key[0], n, text, "open")], columns=["gen_id", "n_chunks", "text", "status"])
+
+    return chunks.groupBy("gen_id").applyInPandasWithState(
+        step, TEXT_SCHEMA, "text STRING, n INT, waiting STRING", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def _milliseconds(interval: str) -> int:
+    return int(pd.Timedelta(interval).total_seconds() * 1000)
 
 
 def parse_partial(texts: DataFrame) -> DataFrame:
@@ -65,37 +109,66 @@ def run_to_table(stream: DataFrame, purpose: str, mode: str = "append", root: st
         batch.write.mode("overwrite").parquet(f"{root}/data/batch={number}")
 
     run_batches(stream, store, f"{root}/checkpoint", mode)
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/data/batch=*")
+    try:
+        return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/data/batch=*")
+    except AnalysisException as e:  # no batch yet
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return stream.sparkSession.createDataFrame([], stream.schema)
+
+
+def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+    """Runs every available batch.  Batches without data, which time-outs ask
+    for, would follow each other without an end: state that has timed out ends
+    with the next batch of data."""
+    conf, empty = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(empty)
+    conf.set(empty, "false")
+    try:
+        query = (
+            stream.writeStream.foreachBatch(handle).outputMode(mode)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+    finally:
+        conf.set(empty, before)
+    query.awaitTermination()
 
 
-def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> int:
-    """Runs every available batch; returns the number of the last one."""
-    query = (
-        stream.writeStream.foreachBatch(handle).outputMode(mode)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return query.lastProgress["batchId"]
+def last_version(spark: SparkSession, root: str, before: int | None = None) -> int:
+    """The largest number in the table of written versions (below ``before``),
+    -1 without any."""
+    try:
+        versions = spark.read.schema("version INT").json(f"{root}/versions")
+        found = versions.where(F.col("version") < before) if before is not None else versions
+        return found.agg(F.coalesce(F.max("version"), F.lit(-1))).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return -1
 
 
 def stream_history(stream: DataFrame, session: list[str], bucket: str, order: list[str], name: str, n: int = 5,
-                   root: str | None = None) -> DataFrame:
+                   root: str | None = None, steps: str | None = None) -> DataFrame:
     """Recent history per session over a live stream.
 
-    Each batch joins its rows to the version of the batch before, which holds
-    at most ``n`` rows per session, and writes its own version under its
-    number: a repeated batch rewrites the same version, and a later run with
-    the same ``root`` goes on from the last.  Batches must follow the order.
+    Each batch joins its rows to the version before it, which holds at most
+    ``n`` rows per session, and writes its own version under its number: a
+    repeated batch rewrites the same version.  A version counts once its number
+    is noted, after it is written; a run without new rows, or without any row
+    yet, goes on from the last one that counts.  Batches must follow the order.
     """
     spark, schema = stream.sparkSession, stream.schema
     root = root or shared_dir(spark, "history")
 
     def handle(batch: DataFrame, number: int) -> None:
-        if number > 0:
-            batch = spark.read.schema(schema).parquet(f"{root}/version-{number - 1}").unionByName(batch)
-        kept = recent_history(batch, session, bucket, order, name, n).drop("position")
+        before = last_version(spark, root, number)
+        if before >= 0:
+            batch = spark.read.schema(schema).parquet(f"{root}/version-{before}").unionByName(batch)
+        kept = recent_history(batch, session, bucket, order, name, n, steps).drop("position")
         kept.write.mode("overwrite").parquet(f"{root}/version-{number}")
+        spark.range(1).select(F.lit(number).alias("version")).coalesce(1).write.mode("append").json(f"{root}/versions")
 
-    last = run_batches(stream, handle, f"{root}/checkpoint")
-    stored = spark.read.schema(schema).parquet(f"{root}/version-{last}")
-    return recent_history(stored, session, bucket, order, name, n)
+    run_batches(stream, handle, f"{root}/checkpoint")
+    last = last_version(spark, root)
+    stored = spark.read.schema(schema).parquet(f"{root}/version-{last}") if last >= 0 else spark.createDataFrame([], schema)
+    return recent_history(stored, session, bucket, order, name, n, steps)

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textjobs.functions.text import BOM, normalise_label, prefix_key
-from textjobs.operators import compare, prep, profile, split
+from textjobs.operators import compare, corpus, prep, profile, split
 from textjobs.plans.registry import query, sql_key, sql_strip, sql_tokens, table, texts
 from textjobs.sources import files
 
@@ -516,3 +516,34 @@ FROM conversations""")
 def tail_holdout_repeated(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations").select("conv_id", "turn")
     return split.tail_holdout(turns, "conv_id", 10, ties=("turn",))
+
+
+# ---- the whole preparation ----------------------------------------------
+
+_CUISINE = "CASE {x} WHEN 'en' THEN 'Indian' WHEN 'fr' THEN 'Bengali Recipes' WHEN 'de' THEN 'Oriya Recipes' END"
+
+
+@query(f"""
+WITH {_SOURCES}, fb AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ord) AS rn FROM b WHERE lang <> 'es') WHERE rn = 1),
+n AS (
+  SELECT name, items, mins, servings, {_CUISINE.format(x="a.lang")} AS cuisine, course, diet, a.text AS text
+  FROM a LEFT JOIN fb ON a.k IS NOT DISTINCT FROM fb.k WHERE a.lang <> 'es' AND {sql_strip("name")} <> ''),
+u AS (SELECT DISTINCT * FROM n),
+c AS (SELECT {sql_strip("name")} AS name, {sql_strip("items")} AS items, cuisine, course, diet, {sql_strip("text")} AS text
+      FROM u WHERE {sql_strip("items")} <> '' AND {sql_strip("text")} <> ''),
+p AS (SELECT *, 'Generate a' || CASE WHEN lower(substr(d, 1, 1)) IN ('a', 'e', 'i', 'o', 'u') THEN 'n ' ELSE ' ' END || d
+             || CASE WHEN course IS NULL THEN '' ELSE ' ' || lower(course) END || ' recipe for ' || name AS user_message,
+             '**' || name || '**' || repeat(chr(10), 3) || '**Ingredients:**' || chr(10) || items || chr(10) || chr(10)
+             || '**Instructions:**' || chr(10) || text AS answer
+      FROM (SELECT *, concat_ws(' ', diet, cuisine) AS d FROM c)),
+r AS (SELECT *, row_number() OVER (ORDER BY md5('42-' || name || '-' || user_message || '-' || answer)) AS i FROM p)
+SELECT name, user_message, md5(answer) AS answer_md5, cuisine, diet, course, cuisine <> 'Oriya Recipes' AS tagged,
+       CASE WHEN i <= 20 THEN 'test' WHEN i <= 30 THEN 'val' ELSE 'train' END AS split FROM r""")
+def prepare_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """From both halves of the documents to split folders and back."""
+    named = F.when(F.col("Cuisine") == "en", F.lit(BOM + "Indian ")).when(F.col("Cuisine") == "fr", "Bengali Recipes").when(
+        F.col("Cuisine") == "de", "\xa0Oriya Recipes").otherwise("Elsewhere")
+    a, b = (df.withColumn("Cuisine", named) for df in (source_a(spark, sf), source_b(spark, sf)))
+    stored = corpus.prepare_corpus(a, b, files.shared_dir(spark, "splits"), 20, 10)
+    return stored.select("name", "user_message", F.md5("assistant_response").alias("answer_md5"), "cuisine", "diet", "course", "tagged", "split")

@@ -144,3 +144,15 @@ def test_control_characters_in_a_text(spark):
     assert (r["name"], r["instructions"]) == ("A\x01b", "\x01b go")
     assert r["ingredients"] == ["x\x02y (p", "q)", "\x01i z"]
     assert one(spark, text, parse.display_items) == ["x\x02y (p, q)", "\x01i z"]
+
+
+def test_limits_can_be_lifted_and_are_counted(spark):
+    items = "\n".join(f"- item number {i}" for i in range(40)) + "\n- x"
+    steps = "\n".join(f"{i}. stir everything well" for i in range(1, 21)) + "\n21. eat"
+    df = spark.createDataFrame([(items, steps)], "items string, steps string")
+    got = df.select(
+        F.size(parse.split_items_display(F.col("items"))).alias("a"), F.size(parse.split_items_display(F.col("items"), most=None)).alias("b"),
+        parse.left_out(parse.split_items_display, F.col("items")).alias("c"), F.size(parse.split_steps(F.col("steps"))).alias("d"),
+        parse.left_out(parse.split_steps, F.col("steps")).alias("e"), parse.left_out(parse.split_steps, F.col("steps"), most=None).alias("f"),
+    ).first()
+    assert tuple(got) == (30, 40, 11, 15, 6, 1)

@@ -195,20 +195,41 @@ def _comma_items(block: Column) -> Column:
     return F.transform(F.when(F.contains(block, F.lit(MASK)), ahead).otherwise(split), wstrip)
 
 
-def split_items_display(block: Column) -> Column:
+# Limits of the display parse; None lifts a limit, left_out() counts what it cost.
+MOST_ITEMS, SHORTEST_ITEM, LONGEST_ITEM = 30, 2, 119
+MOST_STEPS, SHORTEST_STEP, SHORTEST_SENTENCE = 15, 16, 21
+
+
+def _most(found: Column, most: int | None) -> Column:
+    return found if most is None else F.slice(found, 1, most)
+
+
+def _long_enough(t: Column, shortest: int | None, longest: int | None = None) -> Column:
+    fits = F.length(t) >= (1 if shortest is None else shortest)
+    return fits if longest is None else fits & (F.length(t) <= longest)
+
+
+def left_out(split: Callable[..., Column], block: Column, **limits: int | None) -> Column:
+    """How many parts of a block the limits of ``split`` leave out."""
+    names = [n for n in ("most", "shortest", "longest", "shortest_sentence") if n in split.__kwdefaults__]
+    return F.size(split(block, **dict.fromkeys(names))) - F.size(split(block, **limits))
+
+
+def split_items_display(block: Column, *, most: int | None = MOST_ITEMS, shortest: int | None = SHORTEST_ITEM,
+                        longest: int | None = LONGEST_ITEM) -> Column:
     """Bulleted lines, or commas outside brackets; repeats (ignoring case) and
-    very short or long items are left out; at most 30."""
+    items shorter or longer than the limits are left out; at most ``most``."""
     def items(b: Column) -> Column:
         bulleted = F.contains(b, F.lit("\n")) & F.regexp_like(b, F.lit(rf"(?dm)^[{HS}]*[-•*]"))
         bullets = F.transform(F.split(b, "\n"), lambda l: wstrip(F.ltrim(wstrip(l), F.lit("-•*"))))
         return F.filter(
             F.when(bulleted, bullets).otherwise(_comma_items(b)),
-            lambda t: (F.length(t) > 1) & (F.length(t) < 120),
+            lambda t: _long_enough(t, shortest, longest),
         )
 
     def first_of_each(found: Column) -> Column:
         folded = found["folded"]
-        keys = F.slice(F.array_distinct(folded), 1, 30)
+        keys = _most(F.array_distinct(folded), most)
         return F.transform(keys, lambda k: F.get(found["items"], F.array_position(folded, k).cast("int") - 1))
 
     return let(let(block, items), lambda kept: let(
@@ -223,19 +244,21 @@ def display_items(text: Column) -> Column:
     return let(wstrip(text), items)
 
 
-def _sentences(text: Column, pattern: str) -> Column:
-    return F.slice(F.filter(F.transform(F.split(text, pattern), wstrip), lambda s: F.length(s) > 20), 1, 15)
+def _sentences(text: Column, pattern: str, most: int | None = MOST_STEPS, shortest: int | None = SHORTEST_SENTENCE) -> Column:
+    return _most(F.filter(F.transform(F.split(text, pattern), wstrip), lambda s: _long_enough(s, shortest)), most)
 
 
-def split_steps(block: Column) -> Column:
-    """Numbered steps, or sentences when nothing is numbered; at most 15."""
+def split_steps(block: Column, *, most: int | None = MOST_STEPS, shortest: int | None = SHORTEST_STEP,
+                shortest_sentence: int | None = SHORTEST_SENTENCE) -> Column:
+    """Numbered steps, or sentences when nothing is numbered, of at least the
+    given length; at most ``most``."""
     def steps(b: Column) -> Column:
         numbered = F.regexp_extract_all(
             b, F.lit(rf"(?s)(?:\A|\n){STEP_NUMBER}+(.+?)(?=(?:\n{STEP_NUMBER})|\z)"), F.lit(1))
-        return let(numbered, lambda found: F.when(F.size(found) > 0, F.slice(F.filter(
+        return let(numbered, lambda found: F.when(F.size(found) > 0, _most(F.filter(
             F.transform(found, lambda s: F.replace(wstrip(s), F.lit("\n"), F.lit(" "))),
-            lambda s: F.length(s) > 15), 1, 15,
-        )).otherwise(_sentences(F.replace(b, F.lit("\n"), F.lit(" ")), rf"(?<=[.!?])[{WS}]+(?=[A-Z])")))
+            lambda s: _long_enough(s, shortest)), most,
+        )).otherwise(_sentences(F.replace(b, F.lit("\n"), F.lit(" ")), rf"(?<=[.!?])[{WS}]+(?=[A-Z])", most, shortest_sentence)))
 
     return let(block, steps)
 
@@ -385,12 +408,12 @@ def item_vocabulary(df: DataFrame, items: Column, top: int = 200) -> DataFrame:
     return counts.orderBy(F.desc("n"), F.asc("item")).limit(top)
 
 
-def trace_measures(text: Column, tag: Column) -> dict[str, Column]:
+def trace_measures(text: Column, tag: Column, name_length: int = 40, tag_length: int = 100) -> dict[str, Column]:
     """Measures of one generation: type, cut previews, characters, words."""
     return {
         "inference_type": F.when(F.contains(tag, F.lit("adapt:")), "adaptation").otherwise("generation"),
-        "run_name": F.concat(F.lit("inference:"), F.substring(tag, 1, 40)),
-        "tag": F.substring(tag, 1, 100),
+        "run_name": F.concat(F.lit("inference:"), F.substring(tag, 1, name_length)),
+        "tag": F.substring(tag, 1, tag_length),
         "response_length_chars": F.length(text),
         "response_length_words": word_count(text),
     }

@@ -61,15 +61,16 @@ def reindex(df: DataFrame, columns: list[str], types: dict[str, str] | None = No
 
 
 def merge_sources(a: DataFrame, b: DataFrame, text: str = "TranslatedInstructions", order: str = "ord",
-                  columns: list[str] = MERGED_COLUMNS, enrichment: list[str] = ENRICHMENT_COLUMNS) -> DataFrame:
+                  columns: list[str] = MERGED_COLUMNS, enrichment: list[str] = ENRICHMENT_COLUMNS,
+                  key_length: int = 80) -> DataFrame:
     """Left-join the enrichment of B onto A, then append the rows only B has.
 
     The appended rows have no value in the columns that B lacks; a later
     filter on such a column removes the branch from the plan.
     """
     types = {c: kind for df in (b, a) for c, kind in df.dtypes}
-    a = a.withColumn("_k", prefix_key(text))
-    b = b.withColumn("_k", prefix_key(text))
+    a = a.withColumn("_k", prefix_key(text, length=key_length))
+    b = b.withColumn("_k", prefix_key(text, length=key_length))
     enriched = enrich_left_join(a.drop(*enrichment), b, "_k", order, enrichment)
     new_rows = anti_join_rows(b, a, "_k")
     return reindex(enriched, columns, types).unionByName(reindex(new_rows, columns, types))

@@ -107,6 +107,18 @@ def metrics_sink_scan(spark: SparkSession, sf: str) -> DataFrame:
         "model_id", "n_samples", "rouge_l_mean", "bleu_corpus", F.endswith("file_name", F.lit(".json")).alias("from_json"))
 
 
+@query("""
+SELECT lang AS model_id, count(*) AS n_samples, round_even(sum(n_chars) / count(*), 4) AS rouge_l_mean FROM documents GROUP BY lang""")
+def metrics_files_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """One file per model, each a single object over several lines."""
+    per_model = table(spark, sf, "documents").groupBy(F.col("lang").alias("model_id")).agg(
+        F.count("*").alias("n_samples"), F.bround(F.sum("n_chars") / F.count("*"), 4).alias("rouge_l_mean"))
+    path = files.shared_dir(spark, "metrics")
+    pretty = F.to_json(F.struct("model_id", "n_samples", "rouge_l_mean"), {"pretty": "true"})
+    per_model.select(F.col("model_id").alias("of"), pretty.alias("value")).write.partitionBy("of").text(path)
+    return files.read_metrics_files(spark, f"{path}/*/*.txt").select("model_id", "n_samples", "rouge_l_mean")
+
+
 # ---- projections, filters, predicates -----------------------------------
 
 @query(f"""

@@ -88,13 +88,14 @@ def parse_partial(texts: DataFrame) -> DataFrame:
     return parse_display(texts, "text", ["gen_id", "n_chunks"])
 
 
-def trace_log(generations: DataFrame, text: str, tag: str, latency_ms: str, message: str, keep: list[str]) -> DataFrame:
-    """One trace record per finished generation; a record that cannot be
-    measured says so instead of stopping the stream."""
+def trace_log(generations: DataFrame, text: str, tag: str, latency_ms: str, message: str, keep: list[str],
+              preview: int = 200) -> DataFrame:
+    """One trace record per finished generation; a record without a text says
+    so.  The measures are built-in expressions that raise on no value."""
     measured = trace_measures(F.col(text), F.col(tag))
     return generations.select(
         *keep, *[c.alias(name) for name, c in measured.items()],
-        F.substring(message, 1, 200).alias("user_message_preview"), F.col(latency_ms).alias("latency_ms"),
+        F.substring(message, 1, preview).alias("user_message_preview"), F.col(latency_ms).alias("latency_ms"),
         F.when(F.col(text).isNull(), "no text").alias("error"),
     )
 

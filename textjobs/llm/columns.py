@@ -10,15 +10,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
-#: Bytes of text worked on at once; a longer text is a slice of its own.
-SLICE = 1 << 22
+#: Bytes of text worked on at once (a longer text is a slice of its own), and
+#: of these, bytes hashed at once.
+SLICE, BLOCK = 1 << 21, 1 << 20
 BASE = 0x9E3779B97F4A7C15
 BASE2 = 0xD6E8FEB86659FD93
 
+BATCH_ROWS, _BATCH_KEY, _BATCH_DEFAULT = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after making Arrow batches of its session smaller: ten thousand
+    whole texts are more than a task needs in memory at once.  A session that
+    has set its own batch size keeps it."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_KEY) == _BATCH_DEFAULT:
+        conf.set(_BATCH_KEY, str(BATCH_ROWS))
+    return df
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -50,26 +64,26 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power_tables(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, SLICE + 4096)
+        size = max(n, BLOCK + 4096)
         tables = []
         for b in (base, pow(base, -1, 1 << 64)):
             a = np.full(size, b, np.uint64)
             a[0] = 1
             tables.append(np.cumprod(a, dtype=np.uint64))
         have = (tables[0], tables[1])
-        if n <= SLICE + 4096:  # tables for one very long text are not kept
+        if n <= BLOCK + 4096:  # tables for one very long text are not kept
             _powers[base] = have
     return have
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
     """64-bit hashes of data[start:end], equal for equal bytes.  Starts ascend;
-    spans may overlap.  Memory follows the longest span or ``SLICE``."""
+    spans may overlap.  Memory follows the longest span or ``BLOCK``."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
         low = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(starts, low + SLICE)))
+        j = max(i + 1, int(np.searchsorted(starts, low + BLOCK)))
         high = max(low, int(ends[i:j].max()))
         power, inverse = _power_tables(high - low + 1, base)
         total = np.zeros(high - low + 1, np.uint64)

@@ -19,27 +19,30 @@ belongs to one anchor.
 4. The starts of open anchors, and of one needed anchor of every kind in a
    chunk, are ranked by their ``length`` bytes.
 
-A rank is a hash (64 bits where a rank only prunes, 128 bits where it decides).
+A rank is a hash of up to 128 bits, with as many bytes as the size of the table
+needs (``rank_bytes``): fewer where a rank only prunes, more where it decides.
 Ranks travel sorted, once per chunk of documents and range of ranks, and the
 answer is one bit for each, so a string that is everywhere costs a rank per
-chunk.  Texts without any rank left are finished in step 2; the others are the
-only ones whose bytes are read again.
+chunk.  Chunks are kept in tables bucketed by chunk, so that answers travel to
+the texts and not the other way round.  Texts without any rank left are
+finished in step 2; the others are the only ones whose bytes are read again.
 """
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from textjobs.llm.columns import BASE, BASE2, mix, slices, span_hashes
-from textjobs.sources.files import save_and_reread
+from textjobs.llm.columns import BASE, BASE2, mix, slices, small_batches, span_hashes
+from textjobs.sources.files import shared_dir
 
-LENGTH, WINDOW, GRAM = 400, 96, 16
+LENGTH, WINDOW, GRAM = 400, 128, 16
 #: Bytes of text in a chunk and at a time when anchors are found; ranks in one range.
-CHUNK, PART, RANGE = 1 << 24, 1 << 21, 1 << 20
+CHUNK, PART, RANGE = 1 << 23, 1 << 20, 1 << 20
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _DONE = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
@@ -69,75 +72,120 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, window: int) ->
     return anchor[first], start[first], start[last[:len(first)]]
 
 
-def ranks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: np.ndarray | int, wide: bool) -> np.ndarray:
-    """Hashes of spans as an array of one or two columns; starts need not ascend."""
+def rank_bytes(total: int, decides: bool) -> int:
+    """Bytes of a rank among at most ``total`` strings: a rank that prunes
+    meets another by chance once in a million times, one that decides does so
+    once in 16 million tables."""
+    bits = max(total, 2).bit_length()
+    return min(16, -(-(2 * bits + 24 if decides else bits + 20) // 8))
+
+
+def ranks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
+    """Hashes of spans in two columns of 64 bits; starts need not ascend."""
     order = np.argsort(starts, kind="stable")
-    columns = []
-    for base in (BASE, BASE2)[:1 + wide]:
+    out = np.empty((len(starts), 2), np.uint64)
+    for k, base in enumerate((BASE, BASE2)):
         h = np.empty(len(starts), np.uint64)
         h[order] = span_hashes(data, starts[order], ends[order], base)
-        columns.append(mix(h + np.asarray(salt).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    return np.column_stack(columns) if len(starts) else np.zeros((0, 1 + wide), np.uint64)
+        out[:, k] = mix(h + np.asarray(salt).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return out
 
 
-def asked(rank: np.ndarray, parts: int, marked: np.ndarray | None = None) -> tuple[np.ndarray, list[dict]]:
-    """(place of every rank among the distinct ones, the distinct ranks by
-    range: their number, bytes, and a mark where they occur here more than
-    once, or where ``marked`` says so)."""
-    order = np.lexsort(rank.T[::-1]) if len(rank) else np.zeros(0, np.int64)
+def _cut(rank: np.ndarray, n_bytes: int) -> np.ndarray:
+    """Ranks with only their first bytes."""
+    keep = [max(0, min(8, n_bytes - 8 * k)) for k in range(2)]
+    masks = np.array([(((1 << 64) - 1) << (64 - 8 * n)) & ((1 << 64) - 1) for n in keep], np.uint64)
+    return rank & masks
+
+
+def _blob(rank: np.ndarray, n_bytes: int) -> bytes:
+    return np.ascontiguousarray(rank.astype(">u8").view(np.uint8).reshape(-1, 16)[:, :n_bytes]).tobytes()
+
+
+def _ranks_of(blob: bytes, n_bytes: int) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8).reshape(-1, n_bytes)
+    wide = np.zeros((len(raw), 16), np.uint8)
+    wide[:, :n_bytes] = raw
+    return wide.view(">u8").astype(np.uint64)
+
+
+def _grouped(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of every rank among the distinct ones in ascending order, an index of each)."""
+    order = np.lexsort((rank[:, 1], rank[:, 0]))
     new = np.ones(len(rank), bool)
     new[1:] = (rank[order][1:] != rank[order][:-1]).any(axis=1)
     place = np.empty(len(rank), np.int64)
     place[order] = np.cumsum(new) - 1
-    own, n = rank[order][new], int(new.sum())
+    return place, order[new]
+
+
+def asked(rank: np.ndarray, parts: int, n_bytes: int, marked: np.ndarray | None = None) -> tuple[np.ndarray, list[dict]]:
+    """(place of every rank among the distinct ones, the distinct ranks by
+    range: their number, bytes, and a mark where they occur here more than
+    once, or where ``marked`` says so)."""
+    rank = _cut(rank, n_bytes)
+    place, one = _grouped(rank)
+    own, n = rank[one], len(one)
     marks = np.bincount(place, minlength=n) > 1 if marked is None else np.bincount(place, marked, minlength=n) > 0
     part = ((own[:, 0] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
     at = np.searchsorted(part, np.arange(parts + 1))
     return place, [
-        {"n": b - a, "ranks": own[a:b].astype("<u8").tobytes(), "marks": np.packbits(marks[a:b]).tobytes()}
+        {"n": b - a, "ranks": _blob(own[a:b], n_bytes), "marks": np.packbits(marks[a:b]).tobytes()}
         for a, b in zip(at[:-1].tolist(), at[1:].tolist())
     ]
 
 
-def _answered(width: int, only_marks: bool) -> Callable:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one at a time: a row is a chunk, and its columns are large."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns)}
+
+
+def _answered(n_bytes: int, only_marks: bool) -> Callable:
     """A map over all that chunks ask in one range: which ranks occur more than
     once, or with ``only_marks`` which are marked anywhere."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks, parts, own, flags = [], [], [], []
-        for batch in batches:
-            for chunk, part, n, rank, marks in zip(*(batch.column(c).to_pylist() for c in ("chunk", "part", "n", "ranks", "marks"))):
-                chunks.append(chunk)
-                parts.append(part)
-                own.append(np.frombuffer(rank, "<u8").reshape(-1, width))
-                flags.append(np.unpackbits(np.frombuffer(marks, np.uint8), count=n).astype(bool))
+        for r in _rows(batches):
+            chunks.append(r["chunk"])
+            parts.append(r["part"])
+            own.append(_ranks_of(r["ranks"], n_bytes))
+            flags.append(np.unpackbits(np.frombuffer(r["marks"], np.uint8), count=r["n"]).astype(bool))
         if not chunks:
             return
-        rank, marked = np.concatenate(own), np.concatenate(flags)
-        order = np.lexsort(rank.T[::-1])
-        new = np.ones(len(rank), bool)
-        new[1:] = (rank[order][1:] != rank[order][:-1]).any(axis=1)
-        group = np.empty(len(rank), np.int64)
-        group[order] = np.cumsum(new) - 1
-        many = np.bincount(group, marked) > 0
+        group, one = _grouped(np.concatenate(own))
+        many = np.bincount(group, np.concatenate(flags)) > 0
         if not only_marks:
             many |= np.bincount(group) > 1
-        ends = np.cumsum([len(x) for x in own])
-        bits = [np.packbits(many[group[e - len(x):e]]).tobytes() for x, e in zip(own, ends.tolist())]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(chunks, pa.int64()), pa.array(parts, pa.int32()), pa.array([len(x) for x in own], pa.int64()), pa.array(bits, pa.binary())],
-            names=["chunk", "part", "n", "bits"])
+        sizes = [len(x) for x in own]
+        ends = np.cumsum(sizes).tolist()
+        yield pa.RecordBatch.from_arrays([
+            pa.array(chunks, pa.int64()), pa.array(parts, pa.int32()), pa.array(sizes, pa.int64()),
+            pa.array([np.packbits(many[group[e - n:e]]).tobytes() for n, e in zip(sizes, ends)], pa.binary()),
+        ], names=["chunk", "part", "n", "bits"])
 
     return run
 
 
-def answers(stage: DataFrame, parts: int, width: int, only_marks: bool = False) -> DataFrame:
+def answers(stage: DataFrame, parts: int, n_bytes: int, only_marks: bool = False) -> DataFrame:
     """(chunk, answers): for every chunk one bit per distinct rank it asked for."""
     rows = stage.select("chunk", F.posexplode("asked").alias("part", "a")).select("chunk", "part", "a.n", "a.ranks", "a.marks").filter("n > 0")
     found = rows.repartitionById(parts, F.col("part")).mapInArrow(
-        _answered(width, only_marks), "chunk long, part int, n long, bits binary")
+        _answered(n_bytes, only_marks), "chunk long, part int, n long, bits binary")
     return found.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "n", "bits"))).alias("answers"))
 
 
+def bucketed(df: DataFrame, purpose: str, buckets: int) -> DataFrame:
+    """Writes a table bucketed by chunk to the shared folder and reads it: joins
+    by chunk do not shuffle it.  The catalogue only names it meanwhile."""
+    name = f"{purpose}_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", shared_dir(df.sparkSession, purpose)).bucketBy(buckets, "chunk").saveAsTable(name)
+    table = df.sparkSession.table(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")  # the files of an external table stay
+    return table
+
+
 def _bits(found: list[dict] | None) -> np.ndarray:
     rows = [np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=a["n"]) for a in found or []]
     return np.concatenate(rows).astype(bool) if rows else np.zeros(0, bool)
@@ -145,9 +193,15 @@ def _bits(found: list[dict] | None) -> np.ndarray:
 
 _ASKED = pa.list_(pa.struct([("n", pa.int64()), ("ranks", pa.binary()), ("marks", pa.binary())]))
 _TEXTS = [("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.binary()), ("packed", pa.binary())]
-_STATE = [("anchor", pa.binary()), ("first", pa.binary()), ("last", pa.binary()), ("place", pa.binary()), ("asked", _ASKED)]
+_STATE = [("anchor", pa.binary()), ("first", pa.binary()), ("last", pa.binary())]
 TEXTS = "chunk long, doc_ids array<long>, offsets binary, packed binary"
-STATE = "anchor binary, first binary, last binary, place binary, asked array<struct<n: long, ranks: binary, marks: binary>>"
+STATE = "anchor binary, first binary, last binary"
+ASKED = "asked array<struct<n: long, ranks: binary, marks: binary>>"
+
+
+def _batch(fields: list[tuple[str, pa.DataType]], *values) -> pa.RecordBatch:
+    """One row."""
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(values, fields)], names=[n for n, _ in fields])
 
 
 def _zipped(data: np.ndarray) -> bytes:
@@ -160,15 +214,22 @@ def _texts(offsets: bytes, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8), offsets
 
 
-def _packed(*arrays: np.ndarray) -> list[bytes]:
-    return [a.astype("<u4").tobytes() for a in arrays]
+def _u4(a: np.ndarray) -> bytes:
+    return a.astype("<u4").tobytes()
+
 
+def _state(anchor: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+    """Positions as differences, which compress well."""
+    return [_u4(anchor - first), _u4(np.diff(first, prepend=0)), _u4(last - first)]
 
-def _unpacked(*blobs: bytes) -> list[np.ndarray]:
-    return [np.frombuffer(b, "<u4").astype(np.int64) for b in blobs]
 
+def _read_state(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    anchor, first, last = (np.frombuffer(r[c], "<u4").astype(np.int64) for c in ("anchor", "first", "last"))
+    first = np.cumsum(first)
+    return anchor + first, first, last + first
 
-def chunked(length: int, window: int, parts: int) -> Callable:
+
+def chunked(length: int, window: int, parts: int, n_bytes: int) -> Callable:
     """A map over (doc_id, text): chunks with their anchors, ranked by half the core."""
     core = length - window + 1
 
@@ -181,15 +242,13 @@ def chunked(length: int, window: int, parts: int) -> Callable:
         def flush():
             nonlocal held, seq
             doc_ids = [x for ids, *_ in held for x in ids]
-            base = np.cumsum([0] + [len(d) for _, d, _, _ in held])
+            base = np.cumsum([0] + [len(d) for _, d, _, _ in held]).tolist()
             data = np.concatenate([d for _, d, _, _ in held])
-            offsets = np.concatenate([[0]] + [o[1:] + b for (_, _, o, _), b in zip(held, base.tolist())])
-            anchor, first, last = (np.concatenate([s[i] + b for (_, _, _, s), b in zip(held, base.tolist())]) for i in range(3))
-            rank = ranks(data, anchor, anchor + core // 2, 0, False)
-            place, ask = asked(rank, parts)
-            row = [[seq], [doc_ids], [offsets.astype("<i8").tobytes()], [_zipped(data)], *([x] for x in _packed(anchor, first, last, place)), [ask]]
+            offsets = np.concatenate([[0]] + [o[1:] + b for (_, _, o, _), b in zip(held, base)])
+            anchor, first, last = (np.concatenate([s[i] + b for (_, _, _, s), b in zip(held, base)]) for i in range(3))
             held, seq = [], seq + 1
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(row, _TEXTS + _STATE)], names=[n for n, _ in _TEXTS + _STATE])
+            _, ask = asked(ranks(data, anchor, anchor + core // 2, 0), parts, n_bytes)
+            return _batch(_TEXTS + _STATE + [("asked", _ASKED)], seq - 1, doc_ids, offsets.astype("<i8").tobytes(), _zipped(data), *_state(anchor, first, last), ask)
 
         size = 0
         for batch in batches:
@@ -205,88 +264,81 @@ def chunked(length: int, window: int, parts: int) -> Callable:
     return run
 
 
-def doubled(length: int, window: int, parts: int) -> Callable:
+def doubled(length: int, window: int, parts: int, asked_bytes: int, n_bytes: int) -> Callable:
     """A map over chunks and answers: anchors that are left, with the rank of
     their core and that of all their strings; texts without any are done."""
     core = length - window + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                data, offsets = _texts(r["offsets"], r["packed"])
-                anchor, first, last, place = _unpacked(r["anchor"], r["first"], r["last"], r["place"])
-                alive = _bits(r["answers"])[place]
-                anchor, first, last = anchor[alive], first[alive], last[alive]
-                row = np.searchsorted(offsets, first, "right") - 1
-                keep = np.zeros(len(offsets) - 1, bool)
-                keep[row] = True
-                done = [
-                    {"doc_id": doc, "n_bytes": b - a, "n_removed": 0, "n_spans": 0, "kept_sha256": hashlib.sha256(data[a:b]).hexdigest()}
-                    for doc, a, b, k in zip(r["doc_ids"], offsets[:-1].tolist(), offsets[1:].tolist(), keep.tolist()) if not k
-                ]
-                # the texts that stay, one after the other
-                sizes = np.diff(offsets)[keep]
-                moved = np.concatenate([[0], np.cumsum(sizes)])
-                shift = np.zeros(len(keep), np.int64)
-                shift[keep] = moved[:-1] - offsets[:-1][keep]
-                data = data[np.repeat(keep, np.diff(offsets))]
-                anchor, first, last = (x + shift[row] for x in (anchor, first, last))
-                rank = np.concatenate([
-                    ranks(data, anchor, anchor + core, 1, True),
-                    ranks(data, first, last + length, 2 + (anchor - first) * window + last - first, True),
-                ])
-                place, ask = asked(rank, parts)
-                core_rank = rank[:len(anchor), 0].astype("<u8").tobytes()
-                columns = [
-                    [r["chunk"]], [[d for d, k in zip(r["doc_ids"], keep.tolist()) if k]], [moved.astype("<i8").tobytes()], [_zipped(data)],
-                    *([x] for x in _packed(anchor, first, last, place)), [ask],
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(v, t) for v, (_, t) in zip(columns, _TEXTS + _STATE)), pa.array([core_rank], pa.binary()), pa.array([done], pa.list_(pa.struct(_DONE)))],
-                    names=[n for n, _ in _TEXTS + _STATE] + ["core", "done"])
+        for r in _rows(batches):
+            data, offsets = _texts(r["offsets"], r["packed"])
+            anchor, first, last = _read_state(r)
+            alive = _bits(r["answers"])[_grouped(_cut(ranks(data, anchor, anchor + core // 2, 0), asked_bytes))[0]]
+            anchor, first, last = anchor[alive], first[alive], last[alive]
+            row = np.searchsorted(offsets, first, "right") - 1
+            keep = np.zeros(len(offsets) - 1, bool)
+            keep[row] = True
+            done = [
+                {"doc_id": doc, "n_bytes": b - a, "n_removed": 0, "n_spans": 0, "kept_sha256": hashlib.sha256(data[a:b]).hexdigest()}
+                for doc, a, b, k in zip(r["doc_ids"], offsets[:-1].tolist(), offsets[1:].tolist(), keep.tolist()) if not k
+            ]
+            # the texts that stay, one after the other
+            moved = np.concatenate([[0], np.cumsum(np.diff(offsets)[keep])])
+            shift = np.zeros(len(keep), np.int64)
+            shift[keep] = moved[:-1] - offsets[:-1][keep]
+            data = data[np.repeat(keep, np.diff(offsets))]
+            anchor, first, last = (x + shift[row] for x in (anchor, first, last))
+            place, ask = asked(np.concatenate([
+                ranks(data, anchor, anchor + core, 1),
+                ranks(data, first, last + length, 2 + (anchor - first) * window + last - first),
+            ]), parts, n_bytes)
+            yield _batch(
+                _TEXTS + _STATE + [("place", pa.binary()), ("asked", _ASKED), ("done", pa.list_(pa.struct(_DONE)))],
+                r["chunk"], [d for d, k in zip(r["doc_ids"], keep.tolist()) if k], moved.astype("<i8").tobytes(), _zipped(data),
+                *_state(anchor, first, last), _u4(place), ask, done)
 
     return run
 
 
-def opened(parts: int) -> Callable:
-    """A map over anchors and answers: which starts repeat for sure, which
+def opened(parts: int, asked_bytes: int, n_bytes: int) -> Callable:
+    """A map over anchors and answers: which anchors' starts all repeat, which
     anchors are open, and the cores' ranks with a mark from open anchors."""
+    fields = [("chunk", pa.int64()), ("sure", pa.binary()), ("open", pa.binary()), ("seat", pa.binary()), ("asked", _ASKED)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                place = np.frombuffer(r["place"], "<u4")
-                found, core = _bits(r["answers"])[place], np.frombuffer(r["core"], "<u8")
-                repeats, sure = found[:len(core)], found[len(core):]
-                own, ask = asked(core[repeats][:, None], parts, (~sure)[repeats])
-                seat = np.zeros(len(core), np.int64)
-                seat[repeats] = own
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([r["chunk"]], pa.int64()), *(pa.array([np.packbits(x).tobytes()], pa.binary()) for x in (sure, repeats & ~sure)),
-                    pa.array(_packed(seat), pa.binary()), pa.array([ask], _ASKED),
-                ], names=["chunk", "sure", "open", "core", "asked"])
+        for r in _rows(batches):
+            place = np.frombuffer(r["place"], "<u4")
+            n = len(place) // 2
+            found = _bits(r["answers"])[place]
+            repeats, sure = found[:n], found[n:]
+            rank = np.concatenate([_ranks_of(a["ranks"], asked_bytes) for a in r["asked"]])[place[:n]] if n else np.zeros((0, 2), np.uint64)
+            own, ask = asked(rank[repeats], parts, n_bytes, (~sure)[repeats])
+            seat = np.zeros(n, np.int64)
+            seat[repeats] = own
+            yield _batch(fields, r["chunk"], np.packbits(sure).tobytes(), np.packbits(repeats & ~sure).tobytes(), _u4(seat), ask)
 
     return run
 
 
-def edged(length: int, parts: int) -> Callable:
+def edged(length: int, parts: int, n_bytes: int) -> Callable:
     """A map over what is left: the ranks of the starts that open anchors need."""
+    fields = [("chunk", pa.int64()), ("start", pa.binary()), ("first", pa.binary()), ("last", pa.binary()), ("place", pa.binary()), ("asked", _ASKED)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                data, _ = _texts(r["offsets"], r["packed"])
-                first, last, place, seat = _unpacked(r["first"], r["last"], r["place"], r["core"])
-                n = len(first)
-                sure, open_ = (np.unpackbits(np.frombuffer(r[c], np.uint8), count=n).astype(bool) for c in ("sure", "open"))
-                bits = _bits(r["answers"])
-                needed = np.flatnonzero(sure & bits[seat]) if len(bits) else np.zeros(0, np.int64)
-                needed = needed[np.unique(place[n:][needed], return_index=True)[1]]  # equal strings once
-                ask_of = np.concatenate([np.flatnonzero(open_), needed])
-                sizes = (last - first + 1)[ask_of]
-                start = np.repeat(first[ask_of] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-                place, ask = asked(ranks(data, start, start + length, 3, True), parts)
-                columns = [[r["chunk"]], *([x] for x in _packed(start, first[sure], last[sure], place)), [ask]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, t) for v, (_, t) in zip(columns, _TEXTS[:1] + _STATE)], names=["chunk"] + [n for n, _ in _STATE])
+        for r in _rows(batches):
+            data, _ = _texts(r["offsets"], r["packed"])
+            _, first, last = _read_state(r)
+            n = len(first)
+            place, seat = (np.frombuffer(r[c], "<u4") for c in ("place", "seat"))
+            sure, open_ = (np.unpackbits(np.frombuffer(r[c], np.uint8), count=n).astype(bool) for c in ("sure", "open"))
+            bits = _bits(r["answers"])
+            needed = np.flatnonzero(sure & bits[seat]) if len(bits) else np.zeros(0, np.int64)
+            needed = needed[np.unique(place[n:][needed], return_index=True)[1]]  # equal strings once
+            ask_of = np.concatenate([np.flatnonzero(open_), needed])
+            sizes = (last - first + 1)[ask_of]
+            start = np.repeat(first[ask_of] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            place, ask = asked(ranks(data, start, start + length, 3), parts, n_bytes)
+            yield _batch(fields, r["chunk"], _u4(start), _u4(first[sure]), _u4(last[sure]), _u4(place), ask)
 
     return run
 
@@ -294,25 +346,24 @@ def edged(length: int, parts: int) -> Callable:
 def removed(length: int) -> Callable:
     """A map over what is left with all answers: the results of its texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                data, offsets = _texts(r["offsets"], r["packed"])
-                start, first, last, place = _unpacked(r["anchor"], r["first"], r["last"], r["place"])
-                again = start[_bits(r["answers"])[place]]
-                change = np.zeros(len(data) + 1, np.int32)
-                np.add.at(change, np.concatenate([first, again]), 1)
-                np.add.at(change, np.concatenate([last, again]) + length, -1)
-                gone = np.cumsum(change[:-1]) > 0
-                begins = gone.copy()
-                begins[1:] &= ~gone[:-1]
-                inner = offsets[(offsets > 0) & (offsets < len(data))]
-                begins[inner] = gone[inner]
-                bytes_gone, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, begins))
-                rows = []
-                for doc, a, b in zip(r["doc_ids"], offsets[:-1].tolist(), offsets[1:].tolist()):
-                    rows.append((doc, b - a, int(bytes_gone[b] - bytes_gone[a]), int(spans[b] - spans[a]), hashlib.sha256(data[a:b][~gone[a:b]]).hexdigest()))
-                columns = list(zip(*rows)) or [[]] * len(_DONE)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _DONE)], names=[n for n, _ in _DONE])
+        for r in _rows(batches):
+            data, offsets = _texts(r["offsets"], r["packed"])
+            start, first, last, place = (np.frombuffer(r[c], "<u4").astype(np.int64) for c in ("start", "first", "last", "place"))
+            again = start[_bits(r["answers"])[place]]
+            change = np.zeros(len(data) + 1, np.int32)
+            np.add.at(change, np.concatenate([first, again]), 1)
+            np.add.at(change, np.concatenate([last, again]) + length, -1)
+            gone = np.cumsum(change[:-1]) > 0
+            begins = gone.copy()
+            begins[1:] &= ~gone[:-1]
+            inner = offsets[(offsets > 0) & (offsets < len(data))]
+            begins[inner] = gone[inner]
+            bytes_gone, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, begins))
+            rows = []
+            for doc, a, b in zip(r["doc_ids"], offsets[:-1].tolist(), offsets[1:].tolist()):
+                rows.append((doc, b - a, int(bytes_gone[b] - bytes_gone[a]), int(spans[b] - spans[a]), hashlib.sha256(data[a:b][~gone[a:b]]).hexdigest()))
+            columns = list(zip(*rows)) or [[]] * len(_DONE)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _DONE)], names=[n for n, _ in _DONE])
 
     return run
 
@@ -329,19 +380,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW)
     """
     if window + GRAM - 1 > length or window < 2:
         raise ValueError("window does not fit the length")
-    docs = docs.select("doc_id", "text")
+    docs = small_batches(docs).select("doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = 1 + int(total // (window // 2) // RANGE)
-    first = save_and_reread(docs.mapInArrow(chunked(length, window, parts), f"{TEXTS}, {STATE}"), "anchors")
-    second = save_and_reread(
-        first.join(answers(first, parts, 1), "chunk", "left").drop("asked")
-        .mapInArrow(doubled(length, window, parts), f"{TEXTS}, {STATE}, core binary, done array<struct<{RESULT}>>"), "doubled")
-    third = save_and_reread(
-        second.select("chunk", "place", "core").join(answers(second, parts, 2), "chunk", "left").mapInArrow(
-            opened(parts), f"chunk long, sure binary, open binary, core binary, {STATE.split(', ', 4)[4]}"), "open")
-    edges = second.select("chunk", "offsets", "packed", "first", "last", "place").join(third.drop("asked"), "chunk").join(
-        answers(third, parts, 1, only_marks=True), "chunk", "left")
-    fourth = save_and_reread(edges.mapInArrow(edged(length, parts), f"chunk long, {STATE}"), "edges")
-    last = second.select("chunk", "doc_ids", "offsets", "packed").join(
-        fourth.drop("asked"), "chunk").join(answers(fourth, parts, 2), "chunk", "left")
+    # as many as the answers' partitions, so that neither side of a join moves
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prunes, decides = rank_bytes(total, False), rank_bytes(total, True)
+    first = bucketed(docs.mapInArrow(chunked(length, window, parts, prunes), f"{TEXTS}, {STATE}, {ASKED}"), "anchors", buckets)
+    second = bucketed(
+        first.drop("asked").join(answers(first, parts, prunes), "chunk", "left").mapInArrow(
+            doubled(length, window, parts, prunes, decides), f"{TEXTS}, {STATE}, place binary, {ASKED}, done array<struct<{RESULT}>>"),
+        "doubled", buckets)
+    third = bucketed(
+        second.select("chunk", "place", "asked").join(answers(second, parts, decides), "chunk", "left").mapInArrow(
+            opened(parts, decides, prunes), f"chunk long, sure binary, open binary, seat binary, {ASKED}"), "opened", buckets)
+    needs = answers(third, parts, prunes, only_marks=True)
+    fourth = bucketed(
+        second.select("chunk", "offsets", "packed", "anchor", "first", "last", "place").join(third.drop("asked"), "chunk")
+        .join(needs, "chunk", "left").mapInArrow(
+            edged(length, parts, decides), f"chunk long, start binary, first binary, last binary, place binary, {ASKED}"), "edges", buckets)
+    last = second.select("chunk", "doc_ids", "offsets", "packed").join(fourth.drop("asked"), "chunk").join(
+        answers(fourth, parts, decides), "chunk", "left")
     return last.mapInArrow(removed(length), RESULT).union(second.select(F.inline("done")))

@@ -5,6 +5,9 @@ that whole texts are worked on by array operations instead of row by row.
 """
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from textjobs.sources.files import shared_dir
+
 #: Bytes of text worked on at once (a longer text is a slice of its own), and
 #: of these, bytes hashed at once.
 SLICE, BLOCK = 1 << 21, 1 << 20
@@ -33,6 +38,32 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Writes a stage whose rows are large blobs to the shared folder and reads
+    it.  The default codec works in buffers outside the heap that are as large
+    as a page, and a page of blobs is large; zstd does not."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_held: dict[str, dict] = {}
+
+
+def held(operator: str) -> dict:
+    """What a worker process keeps from task to task, for one operator at a
+    time: when another one's task begins, it goes back to the system."""
+    if operator not in _held:
+        _held.clear()
+        _powers.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries give memory back by themselves
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _held[operator] = {}
+    return _held[operator]
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from textjobs.llm.columns import slices
+from textjobs.llm.columns import slices, small_batches
 from textjobs.llm.tokens import encoder, with_end
 
 SENTENCE, INSIDE, STRIDE, STREAM = 4, 16, 64, 1 << 20
@@ -190,4 +190,4 @@ def pack_documents(
     """
     if size < 1 or size & (size - 1):
         raise ValueError("size must be a power of two")
-    return docs.select("doc_id", "text").mapInArrow(packed(path, end_id, size, drop_space), SCHEMA)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(packed(path, end_id, size, drop_space), SCHEMA)

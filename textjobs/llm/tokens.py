@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from textjobs.llm.columns import slices, span_hashes
+from textjobs.llm.columns import held, slices, small_batches, span_hashes
 from textjobs.sources.files import shared_dir
 
 IDS_PER_BLOCK = 4096
@@ -69,7 +69,7 @@ class PieceEncoder:
     """Ids of pieces, with a table of the pieces that this worker has seen.
     The table is emptied when it holds ``max_pieces``."""
 
-    def __init__(self, path: str, drop_space: bool, max_pieces: int = 1_500_000, bits: int = 21):
+    def __init__(self, path: str, drop_space: bool, max_pieces: int = 500_000, bits: int = 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -151,15 +151,12 @@ def _grown(a: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-_encoders: dict[tuple[str, bool], PieceEncoder] = {}
-
-
 def encoder(path: str, drop_space: bool) -> PieceEncoder:
     """The encoder of this worker process for a tokenizer file."""
-    if (path, drop_space) not in _encoders:
-        _encoders.clear()
-        _encoders[path, drop_space] = PieceEncoder(path, drop_space)
-    return _encoders[path, drop_space]
+    kept = held(f"tokens {path} {drop_space}")
+    if "encoder" not in kept:
+        kept["encoder"] = PieceEncoder(path, drop_space)
+    return kept["encoder"]
 
 
 def with_end(ids: np.ndarray, before: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -300,7 +297,7 @@ def write_ids(
     bits = bits_for(vocabulary)
     bounds = bucket_bounds(docs.select("doc_id"), "doc_id", shards)
     bucket = F.coalesce(F.size(F.filter(F.lit(bounds), lambda b: b < F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
-    ids = docs.select(bucket.cast("int").alias("bucket"), "doc_id", "text").mapInArrow(
+    ids = small_batches(docs).select(bucket.cast("int").alias("bucket"), "doc_id", "text").mapInArrow(
         encoded(path, drop_space, end_id, bits), "bucket int, doc_id long, n long, packed binary")
     (
         ids.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "packed")
@@ -310,31 +307,37 @@ def write_ids(
 
 
 def read_ids(spark: SparkSession, target: str) -> DataFrame:
-    """The segments of a written corpus, with the number of ids before each shard."""
-    schema = "shard int, seq int, n_ids long, doc_ids array<long>, image binary"
-    segments = spark.read.schema(schema).parquet(target)
-    shards = segments.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # one row per shard
-    before = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
-    return segments.join(before, "shard")
+    """The segments of a written corpus."""
+    return spark.read.schema("shard int, seq int, n_ids long, doc_ids array<long>, image binary").parquet(target)
+
+
+def shard_starts(segments: DataFrame) -> DataFrame:
+    """(shard, before): the number of ids before each shard, from one row per shard."""
+    shards = segments.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    return shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for doc_ids, image, before in zip(*(batch.column(c).to_pylist() for c in ("doc_ids", "image", "before"))):
-            segment = Segment(image)
+        for shard, doc_ids, image in zip(*(batch.column(c) for c in ("shard", "doc_ids", "image"))):
+            segment, doc_ids = Segment(image.as_py()), doc_ids.as_py()
             ends = np.cumsum(segment.lengths)
             starts = ends - segment.lengths
             ids = segment.ids(0, segment.n_ids).astype("<u4")
             crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays([
-                pa.array(doc_ids, pa.int64()), pa.array(starts + segment.shard_start + before),
-                pa.array(segment.lengths), pa.array(crc, pa.int64()),
-            ], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                pa.array([shard.as_py()] * len(doc_ids), pa.int32()), pa.array(doc_ids, pa.int64()),
+                pa.array(starts + segment.shard_start), pa.array(segment.lengths), pa.array(crc, pa.int64()),
+            ], names=["shard", "doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def id_digests(spark: SparkSession, target: str) -> DataFrame:
-    """doc_id, start, n_tokens and the checksum of every document, from the files."""
-    return read_ids(spark, target).mapInArrow(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    """doc_id, start, n_tokens and the checksum of every document, from the
+    files.  Segments are read where they lie; only digests are joined."""
+    segments = read_ids(spark, target)
+    found = segments.mapInArrow(_digests, "shard int, doc_id long, start long, n_tokens long, ids_crc32 long")
+    return found.join(shard_starts(segments), "shard").select(
+        "doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_file(docs: DataFrame, path: str, vocabulary: int, end_id: int = 1, drop_space: bool = False) -> str:

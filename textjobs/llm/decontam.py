@@ -19,12 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from textjobs.llm.columns import SLICE, slices, span_hashes, text_bytes, words
-from textjobs.sources.files import save_and_reread
+from textjobs.llm.columns import held, slices, small_batches, span_hashes, stored, text_bytes, words
 
 WINDOW = 10
 #: Words of test texts in one block: about 20 bytes each travel to every task.
 BLOCK_WORDS = 100_000
+#: Places that are intersected at a time.
+CANDIDATES = 100_000
+#: Bytes of text in a segment of the index.
+SEGMENT = 1 << 20
 #: Positions between two documents of a segment; windows are shorter.
 GAP = 1024
 INDEX_SCHEMA = (
@@ -33,9 +36,10 @@ INDEX_SCHEMA = (
 
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments of a task's documents: as many rows as make up ``SLICE`` bytes of text."""
+    """Segments of a task's documents: as many rows as make up ``SEGMENT`` bytes of text."""
+    held("decontam")
     for batch in batches:
-        for low, high, data, offsets in slices(batch.column("text")):
+        for low, high, data, offsets in slices(batch.column("text"), SEGMENT):
             text, starts, ends, before = words(data, offsets)
             counts = np.diff(before)
             first = before[:-1] + GAP * np.arange(len(counts))
@@ -58,7 +62,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     """The positional index of every word of ``docs`` (doc_id, text), written
     to the shared folder.  No shuffle.  A null or empty text has no words; an
     empty table gives an index without segments."""
-    return save_and_reread(docs.select("doc_id", "text").mapInArrow(_indexed, INDEX_SCHEMA), "positional-index")
+    return stored(small_batches(docs).select("doc_id", "text").mapInArrow(_indexed, INDEX_SCHEMA), "positional-index")
 
 
 def _test_words(window: int) -> Callable:
@@ -142,34 +146,43 @@ def phrase_matches(
 
     rank = np.argsort(lists[live], axis=1, kind="stable")
     rare = rank[:, 0]
-    word = wins.words[live, rare]
-    n = count[word]
-    who = np.repeat(np.arange(len(live)), n)
-    entry = np.repeat(start_of[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    pos = (keys[entry] & 0xFFFFFFFF) - rare[who]
-    who, pos = who[pos >= 0], pos[pos >= 0]
-    for r in range(1, wins.words.shape[1]):
-        k = rank[who, r]
-        word = wins.words[live[who], k]
-        ask = (word << 32) + np.maximum(pos + k - slack, 0)
-        found = np.searchsorted(keys, ask)
-        ok = found < len(keys)
-        ok[ok] = keys[found[ok]] <= (word[ok] << 32) + pos[ok] + k[ok] + slack
-        ok |= word < 0
-        who, pos = who[ok], pos[ok]
-    return live[who], pos
+    first = wins.words[live, rare]
+    load = np.cumsum(count[first])
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    low = 0
+    while low < len(live):  # as many windows as start from CANDIDATES places, or one
+        top = max(low + 1, int(np.searchsorted(load, (load[low - 1] if low else 0) + CANDIDATES, "right")))
+        n = count[first[low:top]]
+        who = low + np.repeat(np.arange(top - low), n)
+        entry = np.repeat(start_of[first[low:top]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        pos = (keys[entry] & 0xFFFFFFFF) - rare[who]
+        who, pos = who[pos >= 0], pos[pos >= 0]
+        for r in range(1, wins.words.shape[1]):
+            k = rank[who, r]
+            word = wins.words[live[who], k]
+            ask = (word << 32) + np.maximum(pos + k - slack, 0)
+            found = np.searchsorted(keys, ask)
+            ok = found < len(keys)
+            ok[ok] = keys[found[ok]] <= (word[ok] << 32) + pos[ok] + k[ok] + slack
+            ok |= word < 0
+            who, pos = who[ok], pos[ok]
+        out.append((live[who], pos))
+        low = top
+    return np.concatenate([w for w, _ in out]), np.concatenate([p for _, p in out])
 
 
 def _found(block: list[tuple[int, bytes]], window: int, slack: int) -> Callable:
     """A map over segments: the documents with matches of the block, with
     their covered words (merged intervals) and items."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("decontam")
         wins = Windows(block, window)
         for batch in batches:
             out: dict[str, list] = {"segment": [], "row": [], "intervals": [], "items": []}
-            for segment, *parts in zip(*(batch.column(c).to_pylist() for c in ("segment", "first", "n_words", "terms", "ends", "postings"))):
+            for segment, *parts in zip(*(batch.column(c) for c in ("segment", "first", "n_words", "terms", "ends", "postings"))):
+                segment = segment.as_py()
                 first, n_words, terms, ends, postings = (
-                    np.frombuffer(p, t) for p, t in zip(parts, ("<i8", "<i8", "<u8", "<u4", "<u4")))
+                    np.frombuffer(p.as_buffer(), t) for p, t in zip(parts, ("<i8", "<i8", "<u8", "<u4", "<u4")))
                 if not len(terms):
                     continue
                 who, pos = phrase_matches(wins, terms, ends, postings, slack)
@@ -220,11 +233,11 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for segment, doc_ids, n in zip(*(batch.column(c).to_pylist() for c in ("segment", "doc_ids", "n_words"))):
-            n = np.frombuffer(n, "<i8")
+        for segment, doc_ids, n in zip(*(batch.column(c) for c in ("segment", "doc_ids", "n_words"))):
+            n = np.frombuffer(n.as_buffer(), "<i8")
             yield pa.RecordBatch.from_arrays([
-                pa.array([segment] * len(n)), pa.array(np.arange(len(n), dtype=np.int32)),
-                pa.array(doc_ids, pa.int64()), pa.array(n),
+                pa.array([segment.as_py()] * len(n)), pa.array(np.arange(len(n), dtype=np.int32)),
+                doc_ids.values.cast(pa.int64()), pa.array(n),
             ], names=["segment", "row", "doc_id", "n_words"])
 
 

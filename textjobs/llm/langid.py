@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from textjobs.llm.columns import slices
+from textjobs.llm.columns import held, slices, small_batches
 from textjobs.sources.files import save_and_reread
 
 FEATURE_BITS, MOST_BITS, UNDETERMINED = 15, 15, "und"
@@ -136,7 +136,7 @@ def fit(docs: DataFrame, learn: Column, fit_rows: int = FIT_ROWS) -> LanguageMod
     ``fit_rows`` chosen by a hash of doc_id.  What reaches the driver is a
     vector of counts per language and task (``FIT_TASKS``), whatever the size
     of the table.  None when there is no such row."""
-    usable = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    usable = small_batches(docs).filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = usable.select("doc_id").count()
     if not n:
         return None
@@ -170,13 +170,14 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     every text without a model.  Only the text is used.  Columns of these names
     are replaced; an empty table gives an empty one.
     """
-    docs = docs.drop("lang_pred", "score", "ambiguous")
+    docs = small_batches(docs.drop("lang_pred", "score", "ambiguous"))
     schema = T.StructType([
         *docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
         T.StructField("ambiguous", T.BooleanType()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("langid")
         for batch in batches:
             found, scores = [], []
             for _, _, data, offsets in slices(batch.column(batch.schema.get_field_index("text")), 1 << 20):

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from textjobs.llm.columns import mix, slices, span_hashes, words
+from textjobs.llm.columns import held, mix, slices, small_batches, span_hashes, stored, words
 from textjobs.llm.graph import components
 from textjobs.sources.files import save_and_reread
 
@@ -92,6 +92,7 @@ def set_digests(sets: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held("nearjoin")
     for batch in batches:
         for low, high, data, offsets in slices(batch.column("text")):
             sets, before = shingle_sets(data, offsets)
@@ -106,6 +107,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _detailed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets and signatures of the rows whose text is the node's."""
+    held("nearjoin")
     for batch in batches:
         for low, high, data, offsets in slices(batch.column("text")):
             part = batch.slice(low, high - low)
@@ -206,8 +208,9 @@ def _compared(threshold: float, tolerance: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-                a = _Side(left)
+            for left, right in zip(batch.column("left"), batch.column("right")):  # a pair of blocks at a time
+                right = right.as_py()
+                a = _Side(left.as_py())
                 b = a if right is None else _Side(right)
                 p, q = linked_pairs(a, b, right is None, threshold, least)
                 if right is None:
@@ -237,7 +240,7 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float =
     doc_ids are rows like others; null doc_ids are never the least unless all
     of a class are null.  An empty table gives an empty one.
     """
-    rows = save_and_reread(docs.select("doc_id", "text").mapInArrow(
+    rows = save_and_reread(small_batches(docs).select("doc_id", "text").mapInArrow(
         _described, "doc_id long, hi long, lo long, n long, bands array<long>"), "shingles")
     some = rows.filter("n > 0")
     nodes = save_and_reread(
@@ -254,7 +257,7 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float =
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")))
     members = texts.select("text", "hi", "lo", "component", "block", "blocks", "node", "weight").mapInArrow(
         _detailed, "component long, block long, blocks long, node long, weight long, sig binary, set binary")
-    blocks = save_and_reread(
+    blocks = stored(
         members.groupBy("component", "block", "blocks").agg(F.collect_list(F.struct("node", "weight", "sig", "set")).alias("members")),
         "blocks")
 

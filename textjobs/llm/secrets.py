@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from textjobs.llm.automaton import compile_rules, leftmost, scan
-from textjobs.llm.columns import code_points, slices
+from textjobs.llm.columns import code_points, held, slices, small_batches
 
 SPAN = T.ArrayType(T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
@@ -80,11 +80,12 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "spans", rules:
     alone, so repeated rows get equal spans; a column ``out`` is replaced.
     """
     find = finder(rules)
-    docs = docs.drop(out)
+    docs = small_batches(docs.drop(out))
     schema = T.StructType([*docs.schema.fields, T.StructField(out, SPAN)])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("secrets")
         for batch in batches:
             spans: list[list[dict]] = []
             for low, high, data, offsets in slices(batch.column(batch.schema.get_field_index(text))):

@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from textjobs.llm.columns import BASE, BASE2, mix, slices, small_batches, span_hashes
+from textjobs.llm.columns import BASE, BASE2, held, mix, slices, small_batches, span_hashes
 from textjobs.sources.files import shared_dir
 
 LENGTH, WINDOW, GRAM = 400, 128, 16
@@ -236,29 +236,30 @@ def chunked(length: int, window: int, parts: int, n_bytes: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        held("substrings")
         seq = TaskContext.get().partitionId() << 24
-        held: list[tuple] = []
+        waiting: list[tuple] = []
 
         def flush():
-            nonlocal held, seq
-            doc_ids = [x for ids, *_ in held for x in ids]
-            base = np.cumsum([0] + [len(d) for _, d, _, _ in held]).tolist()
-            data = np.concatenate([d for _, d, _, _ in held])
-            offsets = np.concatenate([[0]] + [o[1:] + b for (_, _, o, _), b in zip(held, base)])
-            anchor, first, last = (np.concatenate([s[i] + b for (_, _, _, s), b in zip(held, base)]) for i in range(3))
-            held, seq = [], seq + 1
+            nonlocal waiting, seq
+            doc_ids = [x for ids, *_ in waiting for x in ids]
+            base = np.cumsum([0] + [len(d) for _, d, _, _ in waiting]).tolist()
+            data = np.concatenate([d for _, d, _, _ in waiting])
+            offsets = np.concatenate([[0]] + [o[1:] + b for (_, _, o, _), b in zip(waiting, base)])
+            anchor, first, last = (np.concatenate([s[i] + b for (_, _, _, s), b in zip(waiting, base)]) for i in range(3))
+            waiting, seq = [], seq + 1
             _, ask = asked(ranks(data, anchor, anchor + core // 2, 0), parts, n_bytes)
             return _batch(_TEXTS + _STATE + [("asked", _ASKED)], seq - 1, doc_ids, offsets.astype("<i8").tobytes(), _zipped(data), *_state(anchor, first, last), ask)
 
         size = 0
         for batch in batches:
             for low, high, data, offsets in slices(batch.column("text"), PART):
-                if held and size + len(data) > CHUNK:
+                if waiting and size + len(data) > CHUNK:
                     yield flush()
                     size = 0
-                held.append((batch.column("doc_id").slice(low, high - low).to_pylist(), data.copy(), offsets.copy(), anchors(data, offsets, length, window)))
+                waiting.append((batch.column("doc_id").slice(low, high - low).to_pylist(), data.copy(), offsets.copy(), anchors(data, offsets, length, window)))
                 size += len(data)
-        if held:
+        if waiting:
             yield flush()
 
     return run

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from textjobs.llm.columns import stored
 from textjobs.sources.files import save_and_reread
 
 #: Rows of a block, queries of a pack: both bound what one task holds.
@@ -176,9 +177,10 @@ class BitSlicedBlock:
 def _searched(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dim, *parts in zip(*(batch.column(c).to_pylist() for c in ("dim", "ids", "low", "width", "planes", "query_ids", "queries"))):
+            for dim, *parts in zip(*(batch.column(c) for c in ("dim", "ids", "low", "width", "planes", "query_ids", "queries"))):
+                dim = dim.as_py()
                 ids, low, width, planes, query_ids, queries = (
-                    np.frombuffer(p, t) for p, t in zip(parts, ("<i8", "<i8", "<i4", "<u8", "<i8", "<i8")))
+                    np.frombuffer(p.as_buffer(), t) for p, t in zip(parts, ("<i8", "<i8", "<i4", "<u8", "<i8", "<i8")))
                 block = BitSlicedBlock(ids, low, width, planes.reshape(-1, -(-len(ids) // 64)))
                 out: list[list[np.ndarray]] = [[], [], [], []]
                 for n, (query_id, query) in enumerate(zip(query_ids.tolist(), queries.reshape(-1, dim).tolist())):
@@ -208,9 +210,9 @@ def top_k(
     rows = save_and_reread(whole_numbers(vectors, id_column, vector, factor), "vectors")
     queries = rows.filter(is_query)
     blocks, packs = max(1, -(-rows.count() // BLOCK_ROWS)), max(1, -(-queries.count() // PACK_ROWS))
-    index = save_and_reread(rows.repartition(blocks).mapInArrow(
+    index = stored(rows.repartition(blocks).mapInArrow(
         _block, "block int, dim int, ids binary, low binary, width binary, planes binary"), "bit-slices")
-    asked = save_and_reread(queries.repartition(packs).mapInArrow(
+    asked = stored(queries.repartition(packs).mapInArrow(
         _pack, "pack int, dim int, query_ids binary, queries binary"), "queries")
     pairs = index.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1)))).join(
         asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), ["block", "pack", "dim"])

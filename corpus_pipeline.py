@@ -62,7 +62,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 1024 ids, one row per piece of a document."""
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, size=1024)
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, size=1024, special_tokens=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

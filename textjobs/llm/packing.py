@@ -107,12 +107,12 @@ def split_tail(length: int, size: int) -> list[int]:
     return parts if INSIDE * (len(parts) - 1) < padding(length, size) else [length]
 
 
-def packed(path: str, end_id: int, size: int, drop_space: bool = False) -> Callable:
+def packed(path: str, end_id: int, size: int, drop_space: bool = False, special_tokens: bool = False) -> Callable:
     """A map over batches (doc_id, text): one row per piece."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, is_end = encoder(path, drop_space), sentence_ends(path)
+        coder, is_end = encoder(path, drop_space, special_tokens), sentence_ends(path)
         sequence = TaskContext.get().partitionId() * TASK_RANGE
         # the open stream: pieces of documents (doc_id, start in it, ids, its tokens)
         open_pieces: list[tuple[int | None, int, np.ndarray, int]] = []
@@ -176,7 +176,7 @@ def packed(path: str, end_id: int, size: int, drop_space: bool = False) -> Calla
 
 
 def pack_documents(
-    docs: DataFrame, path: str, end_id: int = 0, size: int = 1024, drop_space: bool = False,
+    docs: DataFrame, path: str, end_id: int = 0, size: int = 1024, drop_space: bool = False, special_tokens: bool = False,
 ) -> DataFrame:
     """Packs ``docs`` (doc_id, text), each as its ids and ``end_id``, into
     sequences of at most ``size`` ids (a power of two): one row per piece, with
@@ -186,8 +186,9 @@ def pack_documents(
     No shuffle: a task packs its own rows in their order, with bounded memory
     (``STREAM`` ids, or one longer document).  A null or empty text is its end
     id; a table without rows gives no piece; equal rows are packed one by one;
-    further columns are ignored.
+    further columns are ignored.  ``special_tokens`` gives strings of added
+    tokens their own ids.
     """
     if size < 1 or size & (size - 1):
         raise ValueError("size must be a power of two")
-    return small_batches(docs).select("doc_id", "text").mapInArrow(packed(path, end_id, size, drop_space), SCHEMA)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(packed(path, end_id, size, drop_space, special_tokens), SCHEMA)

@@ -60,7 +60,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as packed ids in files, read back."""
     docs = table(spark, sf_dir, "documents")
-    target = token_file(docs, public_tokenizers.path(WORD_BPE), WORD_BPE_IDS, end_id=1, drop_space=True)
+    target = token_file(docs, public_tokenizers.path(WORD_BPE), WORD_BPE_IDS, end_id=1, drop_space=True, special_tokens=True)
     return id_digests(spark, target)
 
 
@@ -153,7 +153,8 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents packed into sequences of 1024 ids."""
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=0, size=1024)
+    return pack_documents(
+        table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=0, size=1024, special_tokens=True)
 
 
 @query()

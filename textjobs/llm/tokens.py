@@ -4,6 +4,9 @@ Ids come from a public tokenizer file.  Texts are cut where the tokenizer
 cuts in any case (in front of white space that a word follows, between an
 ASCII letter and punctuation), every distinct piece is encoded once by the
 tokenizers library, and the ids of a text are those of its pieces in order.
+The strings of the tokenizer's added tokens (``<|endoftext|>``) are ordinary
+text, or with ``special_tokens`` one id each, as the library has it when
+nothing is set; the text is then cut at them first.
 
 File format (``write_ids``): a table of segments in Parquet, one row per
 segment, with a binary image:
@@ -23,7 +26,9 @@ corpus.
 """
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -52,15 +57,39 @@ _PUNCT = np.zeros(256, bool)
 _PUNCT[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b != 0x27]] = True
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def added_tokens(path: str) -> re.Pattern | None:
+    """What finds the strings of a tokenizer file's added tokens, the longest
+    first; None when it has none."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens") or []
+    if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("an added token that does not stand for its string alone")
+    strings = sorted((t["content"].encode() for t in added), key=len, reverse=True)
+    return re.compile(b"|".join(map(re.escape, strings))) if strings else None
+
+
+def special_spans(pattern: re.Pattern, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rows (start, end) of the added tokens' strings; none crosses a row."""
+    raw, found = data.tobytes(), []
+    if pattern.search(raw):
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            found += [m.span() for m in pattern.finditer(raw, a, b)]
+    return np.array(found, np.int64).reshape(-1, 2)
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, special: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, pieces before each row): pieces whose ids do not depend
-    on what stands beside them."""
+    on what stands beside them.  Each of the spans ``special`` is a piece, and
+    what stands between them is cut like rows."""
     cut = np.zeros(len(data), bool)
     if len(data):
+        edges = offsets if special is None else np.union1d(offsets, special)
         cut[:-1] = _WS[data[:-1]] & _FOLLOWS[data[1:]]
-        cut[offsets[1:][offsets[1:] > 0] - 1] = False  # white space that ends a row stays with what is before it
+        cut[edges[1:][edges[1:] > 0] - 1] = False  # white space that ends a row stays with what is before it
         cut[1:] |= _LETTER[data[:-1]] & _PUNCT[data[1:]]
-        cut[offsets[offsets < len(data)]] = True
+        for a, b in () if special is None else special.tolist():
+            cut[a:b] = False
+        cut[edges[edges < len(data)]] = True
     starts = np.flatnonzero(cut)
     return starts, np.append(starts[1:], len(data)), np.searchsorted(starts, offsets)
 
@@ -69,12 +98,13 @@ class PieceEncoder:
     """Ids of pieces, with a table of the pieces that this worker has seen.
     The table is emptied when it holds ``max_pieces``."""
 
-    def __init__(self, path: str, drop_space: bool, max_pieces: int = 500_000, bits: int = 20):
+    def __init__(self, path: str, drop_space: bool, max_pieces: int = 500_000, bits: int = 20, special_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special_tokens
+        self.special = added_tokens(path) if special_tokens else None
         self.drop_space, self.max_pieces, self.shift = drop_space, max_pieces, np.uint64(64 - bits)
         self.clear()
 
@@ -124,7 +154,7 @@ class PieceEncoder:
         """(ids of all rows one after the other, ids before each row)."""
         if self.n > self.max_pieces:
             self.clear()
-        starts, ends, first = pieces(data, offsets)
+        starts, ends, first = pieces(data, offsets, self.special and special_spans(self.special, data, offsets))
         if self.drop_space:
             starts = starts + _WS[data[starts]]
         h = span_hashes(data, starts, ends)
@@ -151,11 +181,11 @@ def _grown(a: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def encoder(path: str, drop_space: bool) -> PieceEncoder:
+def encoder(path: str, drop_space: bool, special_tokens: bool = False) -> PieceEncoder:
     """The encoder of this worker process for a tokenizer file."""
-    kept = held(f"tokens {path} {drop_space}")
+    kept = held(f"tokens {path} {drop_space} {special_tokens}")
     if "encoder" not in kept:
-        kept["encoder"] = PieceEncoder(path, drop_space)
+        kept["encoder"] = PieceEncoder(path, drop_space, special_tokens=special_tokens)
     return kept["encoder"]
 
 
@@ -225,10 +255,10 @@ class Segment:
         return np.concatenate(out)[start - first * self.per_block:end - first * self.per_block]
 
 
-def encoded(path: str, drop_space: bool, end_id: int, bits: int) -> Callable:
+def encoded(path: str, drop_space: bool, end_id: int, bits: int, special_tokens: bool = False) -> Callable:
     """A map over batches (bucket, doc_id, text): bucket, doc_id, number of ids, packed ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path, drop_space)
+        coder = encoder(path, drop_space, special_tokens)
         for batch in batches:
             for low, high, data, offsets in slices(batch.column("text")):
                 ids, before = with_end(*coder.encode(data, offsets), end_id)
@@ -283,14 +313,15 @@ def bucket_bounds(docs: DataFrame, key: str, buckets: int) -> list:
 
 def write_ids(
     docs: DataFrame, path: str, vocabulary: int, target: str, end_id: int = 1, drop_space: bool = False,
-    shards: int | None = None,
+    shards: int | None = None, special_tokens: bool = False,
 ) -> None:
     """Writes the ids of ``docs`` (doc_id, text) to ``target`` in the format
     above, in ascending doc_id (nulls first; equal doc_ids by their ids).
 
     A null or empty text has the end id alone; a table without rows gives no
-    segment; further columns are ignored.  Only packed ids are shuffled, once,
-    to shards that are cut by quantiles of doc_id.
+    segment; further columns are ignored.  ``special_tokens`` gives strings of
+    added tokens their own ids.  Only packed ids are shuffled, once, to shards
+    that are cut by quantiles of doc_id.
     """
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -298,7 +329,7 @@ def write_ids(
     bounds = bucket_bounds(docs.select("doc_id"), "doc_id", shards)
     bucket = F.coalesce(F.size(F.filter(F.lit(bounds), lambda b: b < F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
     ids = small_batches(docs).select(bucket.cast("int").alias("bucket"), "doc_id", "text").mapInArrow(
-        encoded(path, drop_space, end_id, bits), "bucket int, doc_id long, n long, packed binary")
+        encoded(path, drop_space, end_id, bits, special_tokens), "bucket int, doc_id long, n long, packed binary")
     (
         ids.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "packed")
         .mapInArrow(segmented(bits), "shard int, seq int, n_ids long, doc_ids array<long>, image binary")
@@ -340,8 +371,10 @@ def id_digests(spark: SparkSession, target: str) -> DataFrame:
         "doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_file(docs: DataFrame, path: str, vocabulary: int, end_id: int = 1, drop_space: bool = False) -> str:
+def token_file(
+    docs: DataFrame, path: str, vocabulary: int, end_id: int = 1, drop_space: bool = False, special_tokens: bool = False,
+) -> str:
     """Writes to a new folder in the shared folder; its path."""
     target = shared_dir(docs.sparkSession, "token-ids")
-    write_ids(docs, path, vocabulary, target, end_id, drop_space)
+    write_ids(docs, path, vocabulary, target, end_id, drop_space, special_tokens=special_tokens)
     return target

@@ -13,6 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textjobs.llm import decontam, langid, secrets
+from textjobs.llm.columns import stored
 from textjobs.llm.nearjoin import near_join
 from textjobs.llm.packing import pack_documents
 from textjobs.sources.files import save_and_reread
@@ -37,21 +38,35 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return known.filter(~rejected).withColumn("lang", lang).select(*COLUMNS)
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row``, a number of every row's own.  The number is
+    stored with the row, so every later read has the same."""
+    return stored(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def by_row(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, text) that go by their number instead of a doc_id, which may be null or repeated."""
+    return rows.select(F.col("row").alias("doc_id"), "text")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every class of near duplicates the document with the least doc_id
-    stays.  Rows that repeat a doc_id stay or go together."""
-    represents = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    ids = near_join(docs).groupBy("doc_id").agg(F.max(represents).alias("stays"))
-    gone = save_and_reread(ids.filter(~F.col("stays")).select(F.col("doc_id").alias("gone")), "near-duplicates")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti").select(*COLUMNS)
+    """Of every class of near duplicates one row stays, one with the least
+    doc_id; a null doc_id is never the least unless all of a class are null."""
+    rows = with_rows(docs)
+    classes = near_join(by_row(rows)).select(F.col("doc_id").alias("row"), "class_id").join(rows.select("row", "doc_id"), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row"))
+    stay = classes.groupBy("class_id").agg(first.alias("first")).select("first.row")
+    gone = save_and_reread(rows.select("row").join(stay, "row", "left_anti"), "near-duplicates")
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with ten words in a row of a benchmark item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontam.search(decontam.build_index(docs), items)
-    gone = save_and_reread(found.filter("n_hit > 0").select(F.col("doc_id").alias("gone")).distinct(), "contaminated")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti").select(*COLUMNS)
+    rows = with_rows(docs)
+    found = decontam.search(decontam.build_index(by_row(rows)), items)
+    gone = save_and_reread(found.filter("n_hit > 0").select(F.col("doc_id").alias("row")), "contaminated")
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -134,7 +134,8 @@ REPLY_SCHEMA = {
 def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as calls: every turn that is not the assistant's asks for a reply
     and depends on the call two turns before; the assistant's next turn is its
-    result.  Only the user may ask."""
+    result.  Only the user may ask.  A reply to no call is a row of its own;
+    the SQL has calls only, and the given tables hold no such reply."""
     turns = table(spark, sf_dir, "conversations")
 
     def call_id(turn: Column) -> Column:
@@ -147,7 +148,7 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(turn >= 2, F.array(call_id(turn - 2))).otherwise(F.array().cast("array<string>")).alias("depends_on"))
     results = turns.filter(F.col("role") == "assistant").select(
         "conv_id", call_id(turn - 1).alias("call_id"), turn.alias("seq"), F.col("text").alias("content"))
-    return toolcalls.link_calls(calls, results, {"reply": REPLY_SCHEMA})
+    return toolcalls.link_calls(calls, results, {"reply": REPLY_SCHEMA}, every_result=True)
 
 
 @query()

@@ -23,6 +23,28 @@ MAX_SCHEMA_BYTES = 1 << 20
 _TYPES = {
     "string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None),
 }
+_KEYWORDS = {
+    "type", "enum", "required", "properties", "additionalProperties", "items", "minimum", "maximum", "minLength", "maxLength",
+}
+#: Keywords that say nothing of a value.
+_NOTES = {"$schema", "$comment", "title", "description", "default", "examples"}
+
+
+def check_schema(schema: Any, path: str = "$") -> None:
+    """Raises on what ``schema_errors`` cannot check."""
+    if not isinstance(schema, dict):
+        raise ValueError(f"{path}: only an object can be a schema here")
+    if unknown := sorted(set(schema) - _KEYWORDS - _NOTES):
+        raise ValueError(f"{path}: schema keywords not supported: {', '.join(unknown)}")
+    kinds = schema.get("type", [])
+    if unknown := [k for k in (kinds if isinstance(kinds, list) else [kinds]) if k not in _TYPES]:
+        raise ValueError(f"{path}: types not supported: {', '.join(map(str, unknown))}")
+    for k, s in schema.get("properties", {}).items():
+        check_schema(s, f"{path}.{k}")
+    if "items" in schema:
+        check_schema(schema["items"], f"{path}[]")
+    if not isinstance(extra := schema.get("additionalProperties", True), bool):
+        check_schema(extra, f"{path}.*")
 
 
 def schema_errors(value: Any, schema: dict, path: str = "$") -> list[str]:
@@ -45,8 +67,10 @@ def schema_errors(value: Any, schema: dict, path: str = "$") -> list[str]:
         for k in sorted(value):
             if k in properties:
                 errors += schema_errors(value[k], properties[k], f"{path}.{k}")
-            elif schema.get("additionalProperties", True) is False:
+            elif (extra := schema.get("additionalProperties", True)) is False:
                 errors.append(f"{path}: unexpected {k}")
+            elif isinstance(extra, dict):
+                errors += schema_errors(value[k], extra, f"{path}.{k}")
     if isinstance(value, list) and "items" in schema:
         errors += [e for i, x in enumerate(value) for e in schema_errors(x, schema["items"], f"{path}[{i}]")]
     if isinstance(value, (int, float)) and not isinstance(value, bool):
@@ -89,6 +113,32 @@ def _checked(schemas: dict[str, dict]):
     return run
 
 
+def _result_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = zip(batch.column("call_id").to_pylist(), batch.column("content").to_pylist())
+        texts = pa.array([canonical({"id": i, "result": x}) for i, x in pairs], pa.string())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _OWN), texts], names=[*_OWN, "canonical"])
+
+
+_OWN = ["conv_id", "call_id", "error", "n_results"]
+
+
+def _unlinked(results: DataFrame, firsts: DataFrame, calls: DataFrame) -> DataFrame:
+    """The results that no call has, as rows of ``link_calls``.  ``results``
+    have a ``result`` number, ``firsts`` the linked one of every identifier."""
+    known = calls.select("conv_id", "call_id", F.lit(True).alias("known")).distinct()
+    ids = firsts.join(known, ["conv_id", "call_id"], "left").select(
+        F.col("conv_id").alias("_conv"), F.col("call_id").alias("_call"), "n_results", F.coalesce("known", F.lit(False)).alias("known"),
+        F.col("first.result").alias("_linked"))
+    rest = results.join(ids, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("call_id").eqNullSafe(F.col("_call"))).filter(
+        ~F.col("known") | (F.col("result") != F.col("_linked")))
+    error = F.when(F.col("known"), "repeated result").otherwise("no call")
+    texts = rest.select("conv_id", "call_id", error.alias("error"), "n_results", "content").mapInArrow(
+        _result_texts, "conv_id long, call_id string, error string, n_results long, canonical string")
+    return texts.select(
+        "conv_id", "call_id", F.lit(None).cast("long").alias("position"), F.lit(False).alias("valid"), "error", "n_results", "canonical")
+
+
 def _peeled(edges: DataFrame, keys: DataFrame) -> DataFrame:
     """(node, key, level, cyclic) of the calls that stand behind a later call
     they depend on, directly or through others: the largest key they wait for
@@ -139,8 +189,8 @@ def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     return joined.withColumn("position", F.col("_place") - F.col("_first")).select(*rows.columns, "position")
 
 
-def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """One row per call: conv_id, call_id, position, valid, error, n_results,
+def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], every_result: bool = False) -> DataFrame:
+    """One row per call, and with ``every_result`` one per result that no call has: conv_id, call_id, position, valid, error, n_results,
     canonical.
 
     ``calls``: conv_id, seq (its place as written), call_id, name, arguments
@@ -153,14 +203,24 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     content) is linked; a null argument text is an empty object; null
     identifiers link to nothing; calls whose rows are equal are rows like
     others.  ``canonical`` is the call with its result as canonical JSON, null
-    when the arguments are not JSON.  Empty tables give an empty one.
+    when the arguments are not JSON.  A row of a result has no position, the
+    error ``no call`` or ``repeated result`` (its call is linked to another),
+    and its identifier and content as ``canonical``.  Schemas with keywords
+    that are not checked are an error.  Empty tables give an empty one.
     """
+    for schema in schemas.values():
+        check_schema(schema)
     if len(json.dumps(schemas)) > MAX_SCHEMA_BYTES:
         raise ValueError("schemas are too large to travel with every task")
     calls = save_and_reread(
         calls.select("conv_id", "seq", "call_id", "name", "arguments", "depends_on").withColumn("node", F.monotonically_increasing_id()), "calls")
-    results = results.groupBy("conv_id", "call_id").agg(
-        F.count("*").alias("n_results"), F.min(F.struct(F.coalesce("seq", F.lit(0)).alias("seq"), F.col("content"))).alias("first"))
+    results = results.select("conv_id", "call_id", "seq", "content")
+    if every_result:
+        results = save_and_reread(results.withColumn("result", F.monotonically_increasing_id()), "results")
+    else:
+        results = results.withColumn("result", F.lit(0).cast("long"))
+    first = F.struct(F.coalesce("seq", F.lit(0)).alias("seq"), F.col("content"), F.col("result"))
+    firsts = results.groupBy("conv_id", "call_id").agg(F.count("*").alias("n_results"), F.min(first).alias("first"))
     keys = calls.select("node", F.coalesce("seq", F.lit(0)).alias("key"))
 
     named = calls.groupBy("conv_id", "call_id").agg(F.count("*").alias("same"), F.min("node").alias("dep"))
@@ -170,7 +230,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     moved = _peeled(linked.filter("dep IS NOT NULL"), keys)
 
     rows = (
-        calls.join(results, ["conv_id", "call_id"], "left").join(named.drop("dep"), ["conv_id", "call_id"], "left")
+        calls.join(firsts, ["conv_id", "call_id"], "left").join(named.drop("dep"), ["conv_id", "call_id"], "left")
         .join(missing, "node", "left").join(moved, "node", "left"))
     rows = rows.select(
         "conv_id", "call_id", "name", "arguments", F.col("first.content").alias("result"), "node",
@@ -186,6 +246,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     error = F.concat_ws(
         "; ", F.when(F.col("same"), "repeated identifier"), F.when(F.col("missing"), "missing dependency"), F.when(F.col("cyclic"), "cycle"),
         F.when(F.col("n_results") == 0, "no result"), "schema_error")
-    return checked.select(
+    linked_calls = checked.select(
         "conv_id", "call_id", F.when(~F.col("cyclic"), F.col("position")).alias("position"), (error == "").alias("valid"),
         F.nullif(error, F.lit("")).alias("error"), "n_results", "canonical")
+    return linked_calls.unionByName(_unlinked(results, firsts, calls)) if every_result else linked_calls

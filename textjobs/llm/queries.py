@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from textjobs.llm import decontam, langid, secrets, toolcalls, topk, warc
+from textjobs.llm import decontam, langid, periods, ranked, secrets, toolcalls, topk, warc
 from textjobs.llm.nearjoin import near_join
 from textjobs.llm.packing import pack_documents
 from textjobs.llm.substrings import remove_repeats
@@ -195,3 +195,60 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, F.col("doc_id").isNotNull() & ~langid.held_out())
     return langid.predict(docs.select("doc_id", "text"), model).select(
         "doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Documents whose checksum of the doc_id ends in 0 repeat a stretch of
+    their words from some word on; the others, null texts and null ids stay."""
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(number / 10).cast("long")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size("_words").cast("long")
+    rows = docs.select("doc_id", "text", g.alias("_g"), F.when(number % 10 == 0, words).alias("_words"))
+    a = F.col("_g") % n
+    p = 1 + F.floor((n - a) / (3 + F.col("_g") % 8))
+    moved = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.element_at(
+        "_words", (F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p")) + 1).cast("int")))
+    text = F.when(F.size("_words") > 0, F.array_join(moved, " ")).otherwise(F.col("text"))
+    return rows.withColumn("_a", F.when(n > 0, a)).withColumn("_p", F.when(n > 0, p)).select("doc_id", text.alias("text"))
+
+
+@query()
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of four or more periods of words in whole documents."""
+    found = periods.find_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), -r["start"], -r["period"], r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], F.concat(r["period"].cast("string"), F.lit("\n")))))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"), F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+SQL_RANKED = r"""
+WITH terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term),
+sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM counts GROUP BY doc_id),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+weights AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM counts, whole WHERE term IN (SELECT term FROM asked) GROUP BY term, docs),
+scores AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN sizes USING (doc_id), whole GROUP BY item_id, doc_id),
+places AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scores WHERE score > 0)
+SELECT item_id, place::INTEGER AS rank, doc_id, score FROM places WHERE place <= 10
+"""
+
+
+@query(SQL_RANKED)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    index = ranked.build_index(table(spark, sf_dir, "documents"))
+    return ranked.search(index, table(spark, sf_dir, "benchmark"), k=10)

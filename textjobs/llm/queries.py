@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from textjobs.llm import decontam, langid, periods, ranked, secrets, toolcalls, topk, warc
+from textjobs.llm import decontam, langid, periods, private, ranked, secrets, toolcalls, topk, warc
 from textjobs.llm.nearjoin import near_join
 from textjobs.llm.packing import pack_documents
 from textjobs.llm.substrings import remove_repeats
@@ -197,6 +197,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+@query()
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in whole documents; the counts are of base spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = private.find_private(docs, private.fit(docs)).drop("text")
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "doc_id", *[F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in private.KINDS],
+        F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"),
+        (F.size("spans") - F.size(base)).cast("long").alias("n_added"))
+
+
 def with_planted_periods(docs: DataFrame) -> DataFrame:
     """Documents whose checksum of the doc_id ends in 0 repeat a stretch of
     their words from some word on; the others, null texts and null ids stay."""

@@ -232,14 +232,16 @@ def _searched(k: int, documents: int, terms: int):
                 ids = r["doc_ids"].values
                 missing = ids.is_null().to_numpy(zero_copy_only=False)
                 ids = pc.fill_null(ids, 0).to_numpy()
-                for item in r["items"].as_py():
-                    at = pc.index_in(pa.array(item["terms"], pa.string()), r["terms"].values)
-                    known = at.is_valid().to_numpy(zero_copy_only=False)
-                    weight = np.array(item["weights"], np.int64)[known]
-                    at = at.drop_null().to_numpy().astype(np.int64)[weight > 0]
-                    weight = weight[weight > 0]
-                    if not len(at):
+                pack = r["items"].values
+                terms_of, weights_of = pack.field("terms"), pack.field("weights").flatten().to_numpy().astype(np.int64)
+                cut = np.concatenate(([0], np.cumsum(pc.list_value_length(terms_of).to_numpy())))
+                places = pc.fill_null(pc.index_in(terms_of.flatten(), r["terms"].values), -1).to_numpy()
+                keys = zip(pack.field("row").to_pylist(), pack.field("item_id").to_pylist())
+                for key, x, y in zip(keys, cut[:-1].tolist(), cut[1:].tolist()):
+                    use = np.flatnonzero((places[x:y] >= 0) & (weights_of[x:y] > 0)) + x
+                    if not len(use):
                         continue
+                    at, weight = places[use], weights_of[use]
                     short, iterators = [], []
                     for a, b, w, t in zip((ends - df)[at].tolist(), ends[at].tolist(), weight.tolist(), at.tolist()):
                         if b - a <= max(1, len(n) // SHORT):
@@ -250,7 +252,6 @@ def _searched(k: int, documents: int, terms: int):
                     if short:
                         own, sums = accumulators(short)
                         iterators.append((int(sums.max()), own, sums.__getitem__))
-                    key = (item["row"], item["item_id"])
                     rank_segment(iterators, found.setdefault(key, Best(k)), ids, missing)
         for (row, item), best in found.items():
             size = len(best.scores)

@@ -69,6 +69,8 @@ def corpus():
         words[5] = rng.choice([phone, f"u{i}@mail.example.com", "10.0.3.7", "4111111111111111", "plain"])
         if words[5] == phone and i % 3 == 0:
             words[30] = phone
+        if i % 2:
+            words[20] = f"{rng.randint(100, 999)}-{rng.randint(1000, 9999)}"  # of an order, say
         rows.append((i, " ".join(words)))
     return rows
 

@@ -91,6 +91,8 @@ def base_spans(raw: bytes) -> list[tuple[int, int, int]]:
 
 
 N_FEATURES = 48
+#: The bits that tell of nodes at the side.
+_SIDES = 7 << 37
 
 
 def _step(n: int, *edges: int) -> int:
@@ -176,7 +178,9 @@ def graph(raw: bytes, offsets: np.ndarray, base: list[list[tuple[int, int, int]]
 def instances(g: Graph) -> np.ndarray:
     """Rows (features, label left, label right, label of the tie before, of
     the tie behind, label), -1 where there is no neighbour.  Nodes without
-    evidence that are tied to evidence are left out."""
+    evidence that are tied to evidence are left out.  Those with both are
+    there a second time as if they stood alone: of a thing that is written in
+    another form elsewhere, the tie is all there is."""
     label = np.where(g.label < 0, 0, g.label)
     sides = np.full((len(label), 4), -1, np.int64)
     for k, pairs in ((0, g.chain), (2, g.skip)):
@@ -184,7 +188,10 @@ def instances(g: Graph) -> np.ndarray:
         sides[pairs[:, 0], k + 1] = label[pairs[:, 1]]
     tied = (sides[:, 2:] > 0).any(axis=1)
     rows = np.column_stack([g.features, sides, label])
-    return rows[(label > 0) | ~tied]
+    alone = rows[(label > 0) & tied]
+    alone[:, 0] &= ~_SIDES
+    alone[:, 1:3] = -1
+    return np.concatenate([rows[(label > 0) | ~tied], alone])
 
 
 @dataclass(frozen=True)

@@ -45,13 +45,12 @@ def tables():
     return docs + [(200, None), (201, ""), (202, "of " * 5000), (203, docs[0][1]), (203, docs[0][1])], items
 
 
-@pytest.mark.parametrize("window,block", [(10, 100_000), (4, 60)])
-def test_exact_matches(spark, monkeypatch, window, block):
-    monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
+@pytest.mark.parametrize("window,pack,sent", [(10, 100_000, 4), (4, 60, 4), (4, 60, 1000)])
+def test_exact_matches(spark, window, pack, sent):
     docs, items = tables()
     frame = spark.createDataFrame([(*d, "s", 5) for d in docs], "doc_id long, text string, segment string, item_id int").repartition(3)
     index = decontam.build_index(frame)
-    got = decontam.search(index, spark.createDataFrame([(*i, 0) for i in items], "item_id long, text string, doc_id int"), window).collect()
+    got = decontam.search(index, spark.createDataFrame([(*i, 0) for i in items], "item_id long, text string, doc_id int"), window, 0, pack, sent).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_hit, tuple(sorted(r["items"]))) for r in got), key=str) == brute(docs, items, window)
     assert all(r.n_hit == sum(s.end - s.start for s in r.intervals) for r in got)
 

@@ -60,7 +60,7 @@ def test_bit_packing_round_trip(bits):
 
 
 def test_table_of_pieces_may_overflow():
-    coder = tokens.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), False, max_pieces=40, bits=4)
+    coder = tokens.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), False, max_pieces=40)
     texts = [f"word{i} and word{i % 7}, again" for i in range(200)]
     for text, ids in zip(texts, library_ids("byte_bpe_50k.json", texts)):
         data = np.frombuffer(text.encode(), np.uint8)
@@ -119,3 +119,8 @@ def test_windows_are_the_cheapest():
                 best[i] + (0 if p - i in (size, size // 2) else size - (p - i)) + penalties[j]
                 for i in best if 0 < p - i <= size)
         assert cost(packing.windows(positions, penalties, size)) == pytest.approx(best[positions[-1]])
+
+
+def test_ids_that_do_not_fit_are_an_error():
+    with pytest.raises(ValueError, match="does not fit"):
+        tokens.pack(np.array([70_000], np.uint32), 16)

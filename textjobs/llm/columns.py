@@ -8,12 +8,13 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from textjobs.sources.files import shared_dir
 
@@ -22,10 +23,12 @@ from textjobs.sources.files import shared_dir
 SLICE, BLOCK = 1 << 21, 1 << 20
 BASE = 0x9E3779B97F4A7C15
 BASE2 = 0xD6E8FEB86659FD93
+#: The two largest primes below 2^31 (fixed values).
+SPAN_PRIMES = (2147483647, 2147483629)
 
 BATCH_ROWS, _BATCH_KEY, _BATCH_DEFAULT = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
 def small_batches(df: DataFrame) -> DataFrame:
@@ -47,6 +50,24 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Packs of a bounded size that may be sent to every task together.
+SENT_PACKS = 4
+
+
+def with_every_pack(segments: DataFrame, packs: DataFrame, n_packs: int, sent_packs: int = SENT_PACKS) -> DataFrame:
+    """Every row of ``segments`` (with a column ``segment`` of its own) with
+    every row of ``packs`` (with ``pack`` from 0 to ``n_packs`` - 1, each of a
+    bounded size).  Few packs are sent to all tasks; more are met by key, each
+    at some places, so that the segments spread."""
+    every = segments.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(n_packs - 1))))
+    if n_packs <= sent_packs:
+        return every.join(F.broadcast(packs), "pack")
+    places = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = packs.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
+    place = F.pmod(F.xxhash64("segment"), F.lit(places)).cast("int")
+    return every.withColumn("place", place).join(copies, ["pack", "place"]).drop("place")
+
+
 _held: dict[str, dict] = {}
 
 
@@ -92,35 +113,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get(base)
+def _power_tables(n: int, base: int, prime: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``base`` and of its inverse modulo ``prime``, ``n`` or more."""
+    have = _powers.get((base, prime))
     if have is None or len(have[0]) < n:
         size = max(n, BLOCK + 4096)
         tables = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            a = np.full(size, b, np.uint64)
-            a[0] = 1
-            tables.append(np.cumprod(a, dtype=np.uint64))
+        for b in (base, pow(base, -1, prime)):
+            a = np.ones(size, np.uint64)
+            done = 1
+            while done < size:
+                step = min(done, size - done)
+                a[done:done + step] = a[:step] * np.uint64(pow(b, done, prime)) % np.uint64(prime)
+                done += step
+            tables.append(a)
         have = (tables[0], tables[1])
         if n <= BLOCK + 4096:  # tables for one very long text are not kept
-            _powers[base] = have
+            _powers[base, prime] = have
     return have
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
-    """64-bit hashes of data[start:end], equal for equal bytes.  Starts ascend;
-    spans may overlap.  Memory follows the longest span or ``BLOCK``."""
+    """64-bit hashes of data[start:end], equal for equal bytes: polynomials
+    modulo two primes, mixed with the length.  Starts ascend; spans may
+    overlap.  Memory follows the longest span or ``BLOCK``."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
         low = int(starts[i])
         j = max(i + 1, int(np.searchsorted(starts, low + BLOCK)))
         high = max(low, int(ends[i:j].max()))
-        power, inverse = _power_tables(high - low + 1, base)
-        total = np.zeros(high - low + 1, np.uint64)
-        np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * power[:high - low], out=total[1:])
         s, e = starts[i:j] - low, ends[i:j] - low
-        out[i:j] = (total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+        block = data[low:high].astype(np.uint64) + np.uint64(1)
+        value = (e - s).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+        for shift, prime in zip((0, 32), SPAN_PRIMES):
+            p = np.uint64(prime)
+            power, inverse = _power_tables(high - low + 1, base % prime, prime)
+            total = np.zeros(high - low + 1, np.uint64)
+            if high - low <= 1 << 23:  # sums of numbers below 2^40 fit
+                np.cumsum(block * power[:high - low], out=total[1:])
+            else:
+                np.cumsum(block * power[:high - low] % p, out=total[1:])
+            value ^= ((total[e] - total[s]) % p * inverse[s] % p) << np.uint64(shift)
+        out[i:j] = value
         i = j
     return mix(out)
 
@@ -149,6 +184,30 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return low, starts, np.flatnonzero(stop) + 1, np.searchsorted(starts, offsets)
 
 
+def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: pa.DataType = pa.string()) -> pa.Array:
+    """data[start:end] of all spans as an Arrow array; spans do not overlap."""
+    lengths = ends - starts
+    at = np.concatenate(([0], np.cumsum(lengths)))
+    flat = data[np.repeat(starts - at[:-1], lengths) + np.arange(at[-1])]
+    wide = at[-1] >= 1 << 31
+    kind = {pa.string(): pa.large_string(), pa.binary(): pa.large_binary()}[kind] if wide else kind
+    at = at.astype(np.int64 if wide else np.int32)
+    return pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(at), pa.py_buffer(flat)])
+
+
+def distinct(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(number of every value, the values by number); values are compared whole."""
+    coded = column.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def strong_hashes(column: pa.Array) -> np.ndarray:
+    """64 bits of a cryptographic digest of every value, taken once per distinct one."""
+    number, values = distinct(column)
+    raw = b"".join(hashlib.blake2b(v, digest_size=8).digest() for v in values.cast(pa.binary() if values.type != pa.large_string() else pa.large_binary()).to_pylist())
+    return np.frombuffer(raw, "<u8")[number]
+
+
 def code_points(data: np.ndarray, positions: np.ndarray) -> np.ndarray:
     """Code points before each byte position of one text."""
     return np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[positions]

@@ -1,12 +1,12 @@
 """Benchmark passages in training documents, by a positional inverted index.
 
 ``build_index`` stores, for segments of documents, the positions of every
-word: one row per segment with its distinct words (64-bit hashes, ascending),
-the list of ascending positions of each, and its documents.  Positions run
-through a segment with a gap between documents, so no match crosses one.
+word: one row per segment with its distinct words, the list of ascending
+positions of each, and its documents.  Positions run through a segment with a
+gap between documents, so no match crosses one.
 
-``search`` takes the test texts in blocks of bounded size.  For every window
-of a block it starts from the rarest word's list in a segment, shifts it to
+``search`` takes the test texts in packs of bounded size, a stored table that
+meets the segments by key.  For every window of a pack it starts from the rarest word's list in a segment, shifts it to
 the window's start, and intersects it with the lists of the other words from
 rare to frequent; ``slack`` positions of tolerance make it a proximity match.
 """
@@ -17,13 +17,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from textjobs.llm.columns import held, slices, small_batches, span_hashes, stored, text_bytes, words
+from textjobs.llm.columns import SENT_PACKS, distinct, held, slices, small_batches, stored, strings, with_every_pack, words
 
 WINDOW = 10
-#: Words of test texts in one block: about 20 bytes each travel to every task.
-BLOCK_WORDS = 100_000
+#: Words of test texts in one pack, about.
+PACK_WORDS = 100_000
 #: Places that are intersected at a time.
 CANDIDATES = 100_000
 #: Bytes of text in a segment of the index.
@@ -31,7 +32,7 @@ SEGMENT = 1 << 20
 #: Positions between two documents of a segment; windows are shorter.
 GAP = 1024
 INDEX_SCHEMA = (
-    "segment string, doc_ids array<long>, first binary, n_words binary, terms binary, ends binary, postings binary"
+    "segment string, doc_ids array<long>, first binary, n_words binary, terms array<string>, ends binary, postings binary"
 )
 
 
@@ -44,17 +45,16 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.diff(before)
             first = before[:-1] + GAP * np.arange(len(counts))
             position = np.arange(len(starts)) + GAP * np.repeat(np.arange(len(counts)), counts)
-            h = span_hashes(text, starts, ends)
-            order = np.argsort(h, kind="stable")
-            terms, last = np.unique(h[order], return_index=True)
+            number, terms = distinct(strings(text, starts, ends))
+            order = np.argsort(number, kind="stable")
             yield pa.RecordBatch.from_pydict({
                 "segment": [uuid.uuid4().hex], "doc_ids": [batch.column("doc_id").slice(low, high - low)],
                 "first": [first.astype("<i8").tobytes()], "n_words": [counts.astype("<i8").tobytes()],
-                "terms": [terms.astype("<u8").tobytes()], "ends": [np.append(last[1:], len(h)).astype("<u4").tobytes()],
+                "terms": [terms], "ends": [np.cumsum(np.bincount(number, minlength=len(terms))).astype("<u4").tobytes()],
                 "postings": [position[order].astype("<u4").tobytes()],
             }, schema=pa.schema([
-                ("segment", pa.string()), ("doc_ids", pa.list_(pa.int64())),
-                *[(n, pa.binary()) for n in ("first", "n_words", "terms", "ends", "postings")],
+                ("segment", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("first", pa.binary()), ("n_words", pa.binary()),
+                ("terms", pa.list_(pa.string())), ("ends", pa.binary()), ("postings", pa.binary()),
             ]))
 
 
@@ -65,48 +65,43 @@ def build_index(docs: DataFrame) -> DataFrame:
     return stored(small_batches(docs).select("doc_id", "text").mapInArrow(_indexed, INDEX_SCHEMA), "positional-index")
 
 
-def _test_words(window: int) -> Callable:
-    """Texts of test items as chunks of word hashes; a long item is several
-    chunks that share ``window - 1`` words, so every window is in one chunk."""
+def _test_words(window: int, most: int) -> Callable:
+    """Texts of test items as chunks of words; a long item is several chunks
+    that share ``window - 1`` words, so every window is in one chunk."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            offsets = offsets - offsets[0]
-            text, starts, ends, before = words(data[:offsets[-1]], offsets)
-            h = span_hashes(text, starts, ends)
-            ids, chunks = [], []
-            for item, a, b in zip(batch.column("item_id").to_pylist(), before[:-1].tolist(), before[1:].tolist()):
-                for at in range(a, max(b - window + 1, a + 1) if b > a else a, BLOCK_WORDS - window):
-                    ids.append(item)
-                    chunks.append(h[at:min(b, at + BLOCK_WORDS - 1)].astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(chunks, pa.binary())], names=["item_id", "h"])
+            for low, high, data, offsets in slices(batch.column("text")):
+                text, starts, ends, before = words(data, offsets)
+                every = strings(text, starts, ends)
+                own, chunks = [], []
+                for item, a, b in zip(batch.column("item_id").slice(low, high - low).to_pylist(), before[:-1].tolist(), before[1:].tolist()):
+                    for at in range(a, max(b - window + 1, a + 1) if b > a else a, most - window):
+                        own.append(item)
+                        chunks.append(every[at:min(b, at + most - 1)].to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(chunks, pa.list_(pa.string()))], names=["item_id", "words"])
 
     return run
 
 
-def test_blocks(items: DataFrame, window: int) -> Iterator[list[tuple[int, bytes]]]:
-    """The test items in blocks of at most ``BLOCK_WORDS`` words, one at a time."""
-    block, held = [], 0
-    chunks = items.select("item_id", "text").mapInArrow(_test_words(window), "item_id long, h binary")
-    for row in chunks.toLocalIterator():
-        if block and held + len(row["h"]) // 8 > BLOCK_WORDS:
-            yield block
-            block, held = [], 0
-        block.append((row["item_id"], bytes(row["h"])))
-        held += len(row["h"]) // 8
-    if block:
-        yield block
+def test_packs(items: DataFrame, window: int, pack_words: int) -> tuple[DataFrame, int]:
+    """(pack, chunks): the test items in packs of about ``pack_words`` words,
+    written to the shared folder, and the number of packs."""
+    chunks = stored(
+        small_batches(items).select("item_id", "text").mapInArrow(_test_words(window, pack_words), "item_id long, words array<string>")
+        .withColumn("row", F.monotonically_increasing_id()), "test-words")
+    total = chunks.agg(F.sum(F.size("words")).alias("n")).first()["n"] or 0
+    packs = max(1, -(-total // pack_words))
+    pack = F.pmod(F.xxhash64("row"), F.lit(packs)).cast("int")
+    return stored(chunks.groupBy(pack.alias("pack")).agg(F.collect_list(F.struct("item_id", "words")).alias("chunks")), "test-packs"), packs
 
 
 class Windows:
-    """The distinct windows of a block: words[w, k] (index into ``terms``, -1
+    """The distinct windows of a pack: words[w, k] (index into ``terms``, -1
     behind a short item) and the items of every window."""
 
-    def __init__(self, block: list[tuple[int, bytes]], window: int):
-        items = [i for i, _ in block]
-        hashes = [np.frombuffer(h, "<u8") for _, h in block]
-        self.terms, flat = np.unique(np.concatenate(hashes), return_inverse=True)
-        lengths = np.array([len(h) for h in hashes])
+    def __init__(self, items: list[int | None], chunks: pa.ListArray, window: int):
+        flat, self.terms = distinct(chunks.flatten())
+        lengths = pc.list_value_length(chunks).to_numpy()
         starts = np.cumsum(lengths) - lengths
         n = np.maximum(lengths - window + 1, 1)
         at = np.repeat(starts, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -121,13 +116,12 @@ class Windows:
 
 
 def phrase_matches(
-    wins: Windows, terms: np.ndarray, ends: np.ndarray, postings: np.ndarray, slack: int = 0,
+    wins: Windows, terms: pa.Array, ends: np.ndarray, postings: np.ndarray, slack: int = 0,
 ) -> tuple[np.ndarray, np.ndarray]:
     """(window, position of its first word) of all matches in one segment."""
-    at = np.searchsorted(terms, wins.terms)
-    known = at < len(terms)
-    known[known] = terms[at[known]] == wins.terms[known]
-    high = np.where(known, ends[np.minimum(at, len(ends) - 1)], 0).astype(np.int64)
+    at = pc.fill_null(pc.index_in(wins.terms, terms), -1).to_numpy().astype(np.int64)
+    known = at >= 0
+    high = np.where(known, ends[at], 0).astype(np.int64)
     low = np.where(known & (at > 0), ends[np.maximum(at, 1) - 1], 0).astype(np.int64)
     count = np.append(np.where(known, high - low, 0), np.iinfo(np.int64).max)  # -1: behind a short item
     lists = count[wins.words]
@@ -171,20 +165,24 @@ def phrase_matches(
     return np.concatenate([w for w, _ in out]), np.concatenate([p for _, p in out])
 
 
-def _found(block: list[tuple[int, bytes]], window: int, slack: int) -> Callable:
-    """A map over segments: the documents with matches of the block, with
-    their covered words (merged intervals) and items."""
+def _found(window: int, slack: int) -> Callable:
+    """A map over segments with packs: the documents with matches of the pack,
+    with their covered words (merged intervals) and items."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held("decontam")
-        wins = Windows(block, window)
+        known = held("decontam")
         for batch in batches:
             out: dict[str, list] = {"segment": [], "row": [], "intervals": [], "items": []}
-            for segment, *parts in zip(*(batch.column(c) for c in ("segment", "first", "n_words", "terms", "ends", "postings"))):
-                segment = segment.as_py()
-                first, n_words, terms, ends, postings = (
-                    np.frombuffer(p.as_buffer(), t) for p, t in zip(parts, ("<i8", "<i8", "<u8", "<u4", "<u4")))
+            for segment, pack, chunks, terms, *parts in zip(*(batch.column(c) for c in (
+                    "segment", "pack", "chunks", "terms", "first", "n_words", "ends", "postings"))):
+                segment, terms = segment.as_py(), terms.values
+                first, n_words, ends, postings = (np.frombuffer(p.as_buffer(), t) for p, t in zip(parts, ("<i8", "<i8", "<u4", "<u4")))
                 if not len(terms):
                     continue
+                own = ((pack.as_py(), window), chunks.values)
+                if known.get("pack") is None or known["pack"][0] != own[0] or not known["pack"][1].equals(own[1]):
+                    known["pack"] = own
+                    known["windows"] = Windows(own[1].field("item_id").to_pylist(), own[1].field("words"), window)
+                wins = known["windows"]
                 who, pos = phrase_matches(wins, terms, ends, postings, slack)
                 if not len(who):
                     continue
@@ -241,28 +239,31 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], names=["segment", "row", "doc_id", "n_words"])
 
 
-def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slack: int = 0) -> DataFrame:
+def search(
+    index: DataFrame, items: DataFrame, window: int = WINDOW, slack: int = 0, pack_words: int = PACK_WORDS, sent_packs: int = SENT_PACKS,
+) -> DataFrame:
     """Every indexed document with its words, covered words, covered intervals
     (in words, end exclusive) and the items that have a window in it.
 
     A window is ``window`` words in a row of an item (item_id, text); an item
     with fewer words, but not none, is one window; null and empty items have
     none.  ``slack`` allows every word that many positions around its place.
-    The index is read once per block of test texts; of the blocks only one at
-    a time is on the driver.  Repeated documents and items count one by one.
+    Every segment meets every pack of test texts in a task; repeated documents
+    and items count one by one.
     """
-    if not 0 < window < GAP // 2 or not 0 <= slack < GAP // 4:
-        raise ValueError("window or slack out of range")
+    if not 0 < window < GAP // 2 or not 0 <= slack < GAP // 4 or pack_words <= 2 * window:
+        raise ValueError("window, slack or size of a pack out of range")
     docs = index.select("segment", "doc_ids", "n_words").mapInArrow(_documents, "segment string, row int, doc_id long, n_words long")
     rows = docs.select("*", F.lit(None).cast("binary").alias("intervals"), F.lit(None).cast("array<long>").alias("items"))
-    for block in test_blocks(items, window):
-        found = index.select("segment", "first", "n_words", "terms", "ends", "postings").mapInArrow(
-            _found(block, window, slack), "segment string, row int, intervals binary, items array<long>")
-        rows = rows.unionByName(found.select(
-            "segment", "row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_words"), "intervals", "items"))
+    packs, n_packs = test_packs(items, window, pack_words)
+    met = with_every_pack(index.drop("doc_ids"), packs, n_packs, sent_packs)
+    found = met.select("segment", "pack", "chunks", "terms", "first", "n_words", "ends", "postings").mapInArrow(
+        _found(window, slack), "segment string, row int, intervals binary, items array<long>")
+    rows = rows.unionByName(found.select(
+        "segment", "row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_words"), "intervals", "items"))
     per_doc = rows.groupBy("segment", "row").agg(
         F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
-        F.collect_list("intervals").alias("parts"),  # one per block at most
+        F.collect_list("intervals").alias("parts"),  # one per pack at most
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
     )
     return per_doc.select("doc_id", "n_words", "parts", "items").mapInArrow(

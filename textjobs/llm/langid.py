@@ -18,8 +18,8 @@ from textjobs.llm.columns import held, slices, small_batches
 from textjobs.sources.files import save_and_reread
 
 FEATURE_BITS, MOST_BITS, UNDETERMINED = 15, 15, "und"
-#: Rows that the fit reads (about; whole texts) and tasks that count them.
-FIT_ROWS, FIT_TASKS = 20_000, 8
+#: Rows of a language that the fit reads (about; whole texts), tasks that count them.
+FIT_ROWS, FIT_TASKS = 5_000, 8
 #: Below this score a text is flagged as ambiguous.
 AMBIGUOUS = 0.6
 
@@ -131,16 +131,24 @@ def _tested(model: LanguageModel):
     return run
 
 
+def highest_hash(n: int, wanted: int) -> int:
+    """The 64-bit hash up to which about ``wanted`` of ``n`` rows lie."""
+    return (1 << 63) - 1 if wanted >= n else (wanted << 64) // n - (1 << 63)
+
+
 def fit(docs: DataFrame, learn: Column, fit_rows: int = FIT_ROWS) -> LanguageModel | None:
-    """Fits on rows with ``learn`` and a text and a lang: all of them, or about
-    ``fit_rows`` chosen by a hash of doc_id.  What reaches the driver is a
-    vector of counts per language and task (``FIT_TASKS``), whatever the size
-    of the table.  None when there is no such row."""
+    """Fits on rows with ``learn`` and a text and a lang: of every language
+    all rows, or about ``fit_rows`` of those with the least hash of doc_id and
+    text, and always one.  Equal rows are chosen together.  What reaches the
+    driver is a vector of counts per language and task (``FIT_TASKS``),
+    whatever the size of the table.  None when there is no such row."""
     usable = small_batches(docs).filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = usable.select("doc_id").count()
-    if not n:
+    usable = usable.select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()  # one row a language
+    if not sizes:
         return None
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, fit_rows / n))
+    most = [F.lit(x) for r in sizes for x in (r["lang"], max(r["least"], highest_hash(r["n"], fit_rows)))]
+    part = F.col("h") <= F.try_element_at(F.create_map(*most), F.col("lang"))
     sample = save_and_reread(usable.filter(part).select("text", "lang").repartition(FIT_TASKS), "langid-sample")
     counts: dict[str, np.ndarray] = {}
     for row in sample.mapInArrow(_counted, "lang string, counts binary").toLocalIterator():

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from textjobs.llm.columns import held, mix, slices, small_batches, span_hashes, stored, words
+from textjobs.llm.columns import held, mix, slices, small_batches, stored, strings, strong_hashes, words
 from textjobs.llm.graph import components
 from textjobs.sources.files import save_and_reread
 
@@ -44,7 +44,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
     """(distinct shingle hashes of all rows, ascending inside a row; shingles
     before each row).  A row of fewer words, but not none, is one shingle."""
     text, starts, ends, before = words(data, offsets)
-    h = span_hashes(text, starts, ends)
+    h = strong_hashes(strings(text, starts, ends))
     counts = np.diff(before)
     n = np.where(counts > 0, np.maximum(counts - size + 1, 1), 0)
     row = np.repeat(np.arange(len(n)), n)
@@ -100,9 +100,9 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = band_keys(signatures(sets, before)).view(np.int64)
             at = np.concatenate(([0], np.cumsum((n > 0) * BANDS))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").slice(low, high - low), pa.array(hi), pa.array(lo), pa.array(n, pa.int64()),
+                batch.column("row").slice(low, high - low), batch.column("doc_id").slice(low, high - low), pa.array(hi), pa.array(lo), pa.array(n, pa.int64()),
                 pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel())),
-            ], names=["doc_id", "hi", "lo", "n", "bands"])
+            ], names=["row", "doc_id", "hi", "lo", "n", "bands"])
 
 
 def _detailed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,8 +230,9 @@ def _compared(threshold: float, tolerance: float):
     return run
 
 
-def near_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """(doc_id, class_id, n_links) for every row of ``docs`` (doc_id, text).
+def near_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, row: str | None = None) -> DataFrame:
+    """(doc_id, class_id, n_links) for every row of ``docs`` (doc_id, text),
+    and its ``row`` if that is given.
 
     ``n_links`` counts the other rows whose shingle sets have a Jaccard
     similarity of ``threshold`` or more, copies included; ``class_id`` is the
@@ -239,12 +240,18 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float =
     A text without words (null, empty, no word) has no links.  Rows with equal
     doc_ids are rows like others; null doc_ids are never the least unless all
     of a class are null.  An empty table gives an empty one.
+
+    ``row`` names a column with a number of every row's own that is stored with
+    the rows; without it, rows are numbered and stored here first.
     """
-    rows = save_and_reread(small_batches(docs).select("doc_id", "text").mapInArrow(
-        _described, "doc_id long, hi long, lo long, n long, bands array<long>"), "shingles")
+    if row is None:
+        docs = stored(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "numbered")
+    docs = small_batches(docs).select("doc_id", "text", F.col(row or "row").alias("row"))
+    rows = save_and_reread(docs.mapInArrow(_described, "row long, doc_id long, hi long, lo long, n long, bands array<long>"), "shingles")
     some = rows.filter("n > 0")
     nodes = save_and_reread(
-        some.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("bands").alias("bands"))
+        some.groupBy("hi", "lo", "n").agg(
+            F.min("doc_id").alias("rep"), F.min("row").alias("rep_row"), F.count("*").alias("weight"), F.first("bands").alias("bands"))
         .withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     keys = nodes.select("node", F.explode("bands").alias("key"))
@@ -254,7 +261,7 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float =
     sizes = parts.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     placed = parts.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     wanted = placed.join(nodes.drop("bands"), "node")
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")))
+    texts = docs.select("row", "text").join(wanted, F.col("row") == F.col("rep_row"))
     members = texts.select("text", "hi", "lo", "component", "block", "blocks", "node", "weight").mapInArrow(
         _detailed, "component long, block long, blocks long, node long, weight long, sig binary, set binary")
     blocks = stored(
@@ -279,5 +286,6 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float =
     with_class = nodes.select("node", "hi", "lo", "n", "rep", "weight").join(classes, "node", "left").select(
         "hi", "lo", "n", F.when(F.col("links").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"),
         (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return some.join(with_class, ["hi", "lo", "n"]).select("doc_id", "class_id", "n_links").unionByName(
-        rows.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    own = ["doc_id"] if row is None else ["doc_id", F.col("row").alias(row)]
+    return some.join(with_class, ["hi", "lo", "n"]).select(*own, "class_id", "n_links").unionByName(
+        rows.filter("n = 0").select(*own, F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))

@@ -23,16 +23,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from textjobs.llm.columns import held, slices, small_batches, stored, words
+from textjobs.llm.columns import SENT_PACKS, held, slices, small_batches, stored, strings, with_every_pack, words
 
 K = 10
 #: Bytes of text in a segment (or one longer text).
 SEGMENT = 1 << 23
 #: Lists of at most this share of a segment's documents are short.
 SHORT = 16
-#: Terms of items that travel together, and packs that are small enough, by
-#: that number, to be sent to every task; more of them are joined by key.
-PACK_TERMS, SENT_PACKS = 20_000, 4
+#: Terms of items that travel together.
+PACK_TERMS = 20_000
 #: Documents that are looked at together.
 STEP = 256
 
@@ -51,10 +50,7 @@ _PACKED = "items array<struct<row: long, item_id: long, terms: array<string>, we
 def term_column(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """(all terms of all rows in order, terms before each row)."""
     low, starts, ends, before = words(data, offsets)
-    lengths = ends - starts
-    at = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-    flat = low[np.repeat(starts - at[:-1], lengths) + np.arange(at[-1])]
-    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(flat)), before
+    return strings(low, starts, ends), before
 
 
 def _segment(number: int, doc_ids: list, texts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -275,14 +271,7 @@ def search(index: DataFrame, items: DataFrame, k: int = K, pack_terms: int = PAC
     size = index.agg(F.sum("with_terms").alias("documents"), F.sum("all_terms").alias("terms")).first()
     documents, terms = size["documents"] or 0, size["terms"] or 0
     packs, n_packs = item_packs(index, items, documents, pack_terms)
-    lists = index.drop("segment") if n_packs <= sent_packs else index
-    every = lists.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(n_packs - 1))))
-    if n_packs <= sent_packs:  # at most sent_packs * pack_terms terms, and one item's
-        met = every.join(F.broadcast(packs), "pack")
-    else:  # many packs: each goes to some places, so that the segments spread
-        places = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        copies = packs.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
-        met = every.withColumn("place", F.pmod(F.xxhash64("segment"), F.lit(places)).cast("int")).join(copies, ["pack", "place"]).drop("segment")
+    met = with_every_pack(index, packs, n_packs, sent_packs)
     best = met.select("doc_ids", "n_terms", "terms", "df", "docs", "counts", "most", "shortest", "items").mapInArrow(
         _searched(k, documents, terms), "row long, item_id long, doc_id long, score long")
     order = Window.partitionBy("row").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())

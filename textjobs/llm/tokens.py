@@ -26,6 +26,7 @@ corpus.
 """
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -36,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from textjobs.llm.columns import held, slices, small_batches, span_hashes
+from textjobs.llm.columns import distinct, held, slices, small_batches, strings
 from textjobs.sources.files import shared_dir
 
 IDS_PER_BLOCK = 4096
@@ -98,75 +99,50 @@ class PieceEncoder:
     """Ids of pieces, with a table of the pieces that this worker has seen.
     The table is emptied when it holds ``max_pieces``."""
 
-    def __init__(self, path: str, drop_space: bool, max_pieces: int = 500_000, bits: int = 20, special_tokens: bool = False):
+    def __init__(self, path: str, drop_space: bool, max_pieces: int = 500_000, special_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special_tokens
         self.special = added_tokens(path) if special_tokens else None
-        self.drop_space, self.max_pieces, self.shift = drop_space, max_pieces, np.uint64(64 - bits)
+        self.drop_space, self.max_pieces = drop_space, max_pieces
         self.clear()
 
     def clear(self) -> None:
-        slots = 1 << (64 - int(self.shift))
-        self.keys, self.entry = np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
+        self.entries: dict[bytes, int] = {}
         self.start, self.length, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32)
-        self.n = self.n_ids = 0
-
-    def _slots(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return h >> self.shift, (h * np.uint64(0x9FB21C651E98DF25)) >> self.shift
-
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        one, two = self._slots(h)
-        found = np.where(self.keys[one] == h, self.entry[one], -1)
-        miss = np.flatnonzero(found < 0)
-        if len(miss):
-            two = two[miss]
-            found[miss] = np.where(self.keys[two] == h[miss], self.entry[two], -1)
-        return found
-
-    def _add(self, h: np.ndarray, texts: list[str]) -> np.ndarray:
-        """Encodes distinct pieces; their entries."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.n_ids = 0
+
+    def _add(self, own: list[bytes]) -> None:
+        """Encodes distinct pieces."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in own], add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int32, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
-        self.start, self.length = _grown(self.start, self.n + len(ids)), _grown(self.length, self.n + len(ids))
+        first = len(self.entries)
+        self.start, self.length = _grown(self.start, first + len(ids)), _grown(self.length, first + len(ids))
         self.flat = _grown(self.flat, self.n_ids + len(flat))
-        entries = np.arange(self.n, self.n + len(ids), dtype=np.int32)
-        self.length[entries] = lengths
-        self.start[entries] = self.n_ids + np.cumsum(lengths) - lengths
+        self.length[first:first + len(ids)] = lengths
+        self.start[first:first + len(ids)] = self.n_ids + np.cumsum(lengths) - lengths
         self.flat[self.n_ids:self.n_ids + len(flat)] = flat
-        self.n, self.n_ids = self.n + len(ids), self.n_ids + len(flat)
-        one, two = self._slots(h)
-        for slot in (one, two):
-            free = (self.keys[slot] == 0) & (self._find(h) < 0)
-            self.keys[slot[free]] = h[free]
-            held = free & (self.keys[slot] == h)  # the last of several that meet in a slot
-            self.entry[slot[held]] = entries[held]
-        rest = self._find(h) < 0
-        self.keys[one[rest]] = h[rest]
-        held = rest & (self.keys[one] == h)
-        self.entry[one[held]] = entries[held]
-        return entries
+        self.n_ids += len(flat)
+        self.entries.update(zip(own, range(first, first + len(ids))))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows one after the other, ids before each row)."""
-        if self.n > self.max_pieces:
+        if len(self.entries) > self.max_pieces:
             self.clear()
         starts, ends, first = pieces(data, offsets, self.special and special_spans(self.special, data, offsets))
         if self.drop_space:
             starts = starts + _WS[data[starts]]
-        h = span_hashes(data, starts, ends)
-        h[h == 0] = 1
-        entry = self._find(h)
-        miss = np.flatnonzero(entry < 0)
-        if len(miss):
-            new, at, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            at = miss[at]
-            raw = data.tobytes()
-            texts = [raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist())]
-            entry[miss] = self._add(new, texts)[back]
+        number, values = distinct(strings(data, starts, ends, pa.binary()))
+        own = values.to_pylist()
+        entry = np.fromiter(map(self.entries.get, own, itertools.repeat(-1)), np.int64, len(own))
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            entry[new] = len(self.entries) + np.arange(len(new))
+            self._add([own[i] for i in new.tolist()])
+        entry = entry[number]
         lengths = self.length[entry].astype(np.int64)
         before = np.concatenate(([0], np.cumsum(lengths)))
         where = np.repeat(self.start[entry] - before[:-1], lengths) + np.arange(before[-1])
@@ -201,7 +177,10 @@ def bits_for(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    """Ids in ``bits`` bits each, from the lowest bit of the first byte on."""
+    """Ids in ``bits`` bits each, from the lowest bit of the first byte on.
+    An id that does not fit is an error."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} does not fit {bits} bits")
     if bits == 16:
         return ids.astype("<u2").tobytes()
     planes = (ids.astype(np.uint32)[:, None] >> np.arange(bits, dtype=np.uint32)) & np.uint32(1)

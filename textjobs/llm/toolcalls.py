@@ -3,21 +3,26 @@
 Calls and results meet in a hash join by (conversation, identifier), calls and
 the calls they depend on in another.  A call that only depends on earlier calls
 keeps its own place.  Calls that depend on later ones, and what depends on
-them, are peeled off level by level; what cannot be peeled off is in a cycle or
-behind one.  Places are numbered over the whole table at once, by ranges of the
+them, are found per connected component: a component of up to ``IN_TASK``
+dependencies is ordered in one task; a larger one is peeled off level by level
+over all tasks.  What cannot be ordered is in a cycle or behind one.  Places are numbered over the whole table at once, by ranges of the
 sort key, so a conversation of any length is spread over tasks.
 """
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from textjobs.llm.graph import components
 from textjobs.sources.files import save_and_reread
 
+#: Dependencies of a component that one task orders.
+IN_TASK = 100_000
 #: Bytes of all schemas together; they travel with the task.
 MAX_SCHEMA_BYTES = 1 << 20
 _TYPES = {
@@ -26,6 +31,9 @@ _TYPES = {
 _KEYWORDS = {
     "type", "enum", "required", "properties", "additionalProperties", "items", "minimum", "maximum", "minLength", "maxLength",
 }
+#: Digits of a whole number in arguments.
+MAX_DIGITS = 4300
+_HALF = re.compile("[\ud800-\udfff]")
 #: Keywords that say nothing of a value.
 _NOTES = {"$schema", "$comment", "title", "description", "default", "examples"}
 
@@ -83,23 +91,50 @@ def schema_errors(value: Any, schema: dict, path: str = "$") -> list[str]:
 
 
 def canonical(value: Any) -> str:
-    """JSON with sorted keys, no white space, characters as they are."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """JSON with sorted keys, no white space, characters as they are; half of
+    a surrogate pair, which no text can hold, stays the escape it was."""
+    return _written(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _written(text: str) -> str:
+    return _HALF.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def _reject(constant: str) -> None:
     raise ValueError(f"{constant} is not JSON")
 
 
+class _OutOfRange(ValueError):
+    """A number of JSON that no number here stands for."""
+
+
+def _float(text: str) -> float:
+    value = float(text)
+    if value in (float("inf"), float("-inf")):
+        raise _OutOfRange
+    return value
+
+
+def _int(text: str) -> int:
+    if len(text) > MAX_DIGITS:
+        raise _OutOfRange
+    return int(text)
+
+
 def _checked(schemas: dict[str, dict]):
     def one(call_id, name, arguments, result) -> tuple[str | None, str | None]:
         try:
-            parsed = json.loads(arguments if arguments is not None else "{}", parse_constant=_reject)
-        except (ValueError, RecursionError):
+            parsed = json.loads(
+                arguments if arguments is not None else "{}", parse_constant=_reject, parse_float=_float, parse_int=_int)
+            errors = schema_errors(parsed, schemas[name]) if name in schemas else ["unknown tool"]
+            text = canonical({"arguments": parsed, "id": call_id, "name": name, "result": result})
+        except _OutOfRange:
+            return "arguments hold a number out of range", None
+        except RecursionError:
+            return "arguments are nested too deep", None
+        except ValueError:
             return "arguments are not JSON", None
-        errors = schema_errors(parsed, schemas[name]) if name in schemas else ["unknown tool"]
-        text = canonical({"arguments": parsed, "id": call_id, "name": name, "result": result})
-        return "; ".join(errors) or None, text
+        return "; ".join(map(_written, errors)) or None, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,10 +174,66 @@ def _unlinked(results: DataFrame, firsts: DataFrame, calls: DataFrame) -> DataFr
         "conv_id", "call_id", F.lit(None).cast("long").alias("position"), F.lit(False).alias("valid"), "error", "n_results", "canonical")
 
 
-def _peeled(edges: DataFrame, keys: DataFrame) -> DataFrame:
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A map over components, a row each with its edges (node, key, dep,
+    dep_key): what ``_peeled`` returns."""
+    for batch in batches:
+        out: dict[str, list] = {"node": [], "key": [], "level": [], "cyclic": []}
+        for edges in batch.column("edges"):
+            node, key, dep, dep_key = (edges.values.field(c).to_pylist() for c in ("node", "key", "dep", "dep_key"))
+            keys = dict(zip(dep, dep_key)) | dict(zip(node, key))
+            after: dict[int, list[int]] = {}
+            waits = dict.fromkeys(keys, 0)
+            moved = dict.fromkeys(keys, False)
+            for n, d in zip(node, dep):
+                after.setdefault(d, []).append(n)
+                waits[n] += 1
+                moved[n] |= keys[d] >= keys[n]
+            place = {n: (k, 0) for n, k in keys.items()}
+            ready = [n for n, w in waits.items() if not w]
+            for n in ready:  # grows while it is read
+                for m in after.get(n, ()):
+                    moved[m] |= moved[n]
+                    own, level = place[n]
+                    if own >= place[m][0]:
+                        place[m] = max(place[m], (own, level + 1))
+                    waits[m] -= 1
+                    if not waits[m]:
+                        ready.append(m)
+            done = set(ready)
+            for n, k in keys.items():
+                if n not in done or moved[n]:
+                    own = place[n] if n in done else (k, 0)
+                    for c, x in zip(out.values(), (n, *own, n not in done)):
+                        c.append(x)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(out["node"], pa.int64()), pa.array(out["key"], pa.int64()), pa.array(out["level"], pa.int64()),
+            pa.array(out["cyclic"], pa.bool_())], names=list(out))
+
+
+def _late(edges: DataFrame, keys: DataFrame, in_task: int = IN_TASK) -> DataFrame:
     """(node, key, level, cyclic) of the calls that stand behind a later call
     they depend on, directly or through others: the largest key they wait for
     and their level at that key.  ``edges`` (node, dep), ``keys`` (node, key)."""
+    own = save_and_reread(
+        edges.join(keys, "node").join(keys.select(F.col("node").alias("dep"), F.col("key").alias("dep_key")), "dep"), "keyed-edges")
+    schema = "node long, key long, level long, cyclic boolean"
+    late = own.filter("dep_key >= key")
+    if not late.head(1):
+        return own.sparkSession.createDataFrame([], schema)
+    placed = components(own, "node", "dep")
+    behind = placed.join(late.select("node"), "node", "left_semi").select("component").distinct()
+    within = own.join(placed.join(behind, "component"), "node")
+    sizes = within.groupBy("component").agg(F.count("*").alias("n"))
+    within = save_and_reread(within.join(sizes, "component"), "late-components")
+    small = within.filter(F.col("n") <= in_task).groupBy("component").agg(F.collect_list(F.struct("node", "key", "dep", "dep_key")).alias("edges"))
+    found = small.select("edges").mapInArrow(_ordered, schema)
+    large = within.filter(F.col("n") > in_task).select("node", "dep")
+    return found.unionByName(_peeled(large, keys)) if large.head(1) else found
+
+
+def _peeled(edges: DataFrame, keys: DataFrame) -> DataFrame:
+    """The same for components of any size, in a round per level."""
     late = edges.join(keys, "node").join(keys.select(F.col("node").alias("dep"), F.col("key").alias("dep_key")), "dep")
     moved = save_and_reread(late.filter("dep_key >= key").select("node").distinct(), "late")
     while True:  # and all that depend on them
@@ -189,7 +280,9 @@ def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     return joined.withColumn("position", F.col("_place") - F.col("_first")).select(*rows.columns, "position")
 
 
-def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], every_result: bool = False) -> DataFrame:
+def link_calls(
+    calls: DataFrame, results: DataFrame, schemas: dict[str, dict], every_result: bool = False, in_task: int = IN_TASK,
+) -> DataFrame:
     """One row per call, and with ``every_result`` one per result that no call has: conv_id, call_id, position, valid, error, n_results,
     canonical.
 
@@ -203,7 +296,9 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], e
     content) is linked; a null argument text is an empty object; null
     identifiers link to nothing; calls whose rows are equal are rows like
     others.  ``canonical`` is the call with its result as canonical JSON, null
-    when the arguments are not JSON.  A row of a result has no position, the
+    when the arguments are not JSON, hold a number out of range (a float above
+    64 bits, a whole number of more than ``MAX_DIGITS`` digits) or are nested
+    too deep, which is an error.  A row of a result has no position, the
     error ``no call`` or ``repeated result`` (its call is linked to another),
     and its identifier and content as ``canonical``.  Schemas with keywords
     that are not checked are an error.  Empty tables give an empty one.
@@ -227,7 +322,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], e
     wants = calls.select("node", "conv_id", F.explode(F.array_distinct(F.coalesce("depends_on", F.array()))).alias("call_id"))
     linked = save_and_reread(wants.join(named.drop("same"), ["conv_id", "call_id"], "left").select("node", "dep"), "dependencies")
     missing = linked.groupBy("node").agg(F.max(F.col("dep").isNull()).alias("missing"))
-    moved = _peeled(linked.filter("dep IS NOT NULL"), keys)
+    moved = _late(linked.filter("dep IS NOT NULL"), keys, in_task)
 
     rows = (
         calls.join(firsts, ["conv_id", "call_id"], "left").join(named.drop("dep"), ["conv_id", "call_id"], "left")

@@ -7,6 +7,10 @@ slices of its dimension once per non-zero digit, shifted by the digit's place,
 and carry-save adders reduce all bitmaps of a place to one.  The result is
 bit-sliced too, and the top rows are picked from its most significant slice
 downwards; rows that tie at the boundary are resolved by their ids.
+
+Vectors with a component of ``WIDE`` or more do not fit slices of 64-bit
+numbers.  They are blocks and packs of their own kind, and every score with one
+of them is computed in whole numbers of any size.
 """
 from __future__ import annotations
 
@@ -21,26 +25,30 @@ from textjobs.sources.files import save_and_reread
 
 #: Rows of a block, queries of a pack: both bound what one task holds.
 BLOCK_ROWS, PACK_ROWS = 16_384, 256
-#: Components from here on give no score that fits 64 bits; such vectors take no part.
-LIMIT = 65_536.0
-
-
-def whole_numbers(vectors: DataFrame, id_column: str, vector: str, factor: int) -> DataFrame:
-    """(id, q): floor(factor * x) of every component, as double.  Vectors that
-    are null, empty, or hold a null, a non-finite or a too large component
-    (``LIMIT``) take no part."""
-    x = F.col(vector)
-    usable = x.isNotNull() & (F.size(x) > 0) & F.forall(
-        x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < LIMIT), F.lit(False)))
-    return vectors.filter(usable & F.col(id_column).isNotNull()).select(
-        F.col(id_column).cast("long").alias("id"),
-        F.transform(x, lambda v: F.floor(v.cast("double") * factor).cast("long")).alias("q"))
-
-
-def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All rows of a task as (ids ascending, matrix), one per dimension."""
-    ids: dict[int, list] = {}
-    rows: dict[int, list] = {}
+#: Products with the factor are exact as 64-bit numbers below this.
+WIDE = 2.0 ** 60
+LONG_MIN, LONG_MAX = -(1 << 63), (1 << 63) - 1
+
+
+def usable_vectors(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
+    """(id, q): components as doubles.  Vectors that are null or hold a null
+    or non-finite component take no part, nor do null ids."""
+    x = F.transform(F.col(vector), lambda v: v.cast("double"))
+    usable = F.col(vector).isNotNull() & F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False)))
+    return vectors.filter(usable & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), x.alias("q"))
+
+
+def scaled(value: float, factor: int) -> int:
+    """floor(factor * value), exactly, of a double."""
+    n, d = value.as_integer_ratio()
+    return factor * n // d
+
+
+def _matrices(batches: Iterator[pa.RecordBatch], factor: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All rows of a task as (ids ascending, whole-numbered matrix), one per
+    dimension for 64-bit numbers and one for numbers of any size."""
+    ids: dict[tuple, list] = {}
+    rows: dict[tuple, list] = {}
     for batch in batches:
         column = batch.column("q")
         sizes = np.diff(column.offsets.to_numpy())
@@ -48,18 +56,29 @@ def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
         own = batch.column("id").to_numpy()
         for d in np.unique(sizes).tolist():
             k = np.flatnonzero(sizes == d)
-            ids.setdefault(d, []).append(own[k])
-            rows.setdefault(d, []).append(flat[at[k][:, None] + np.arange(d)])
+            q = flat[at[k][:, None] + np.arange(d)].reshape(len(k), d)
+            wide = (np.abs(q) >= WIDE / factor).any(axis=1)
+            for kind, part in ((False, ~wide), (True, wide)):
+                if part.any():
+                    ids.setdefault((d, kind), []).append(own[k[part]])
+                    rows.setdefault((d, kind), []).append(
+                        np.array([[scaled(v, factor) for v in r] for r in q[part].tolist()], object).reshape(-1, d) if kind
+                        else np.floor(q[part] * factor).astype(np.int64))
     for d in ids:
         own, q = np.concatenate(ids[d]), np.concatenate(rows[d])
         order = np.argsort(own, kind="stable")
         yield own[order], q[order]
 
 
+def _texts(q: np.ndarray) -> list[list[str]] | None:
+    """The numbers of a matrix of any size, None for one of 64 bits."""
+    return [[str(v) for v in r] for r in q.tolist()] if q.dtype == object else None
+
+
 def bit_slices(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(least value, number of slices) of every dimension, and the bitmaps
     [slice, word], dimension by dimension from the lowest bit."""
-    low = q.min(axis=0)
+    low = q.min(axis=0, initial=LONG_MAX) if q.shape[1] == 0 else q.min(axis=0)
     u = (q - low).astype(np.uint64)
     width = np.array([int(m).bit_length() for m in u.max(axis=0)])
     words = -(-len(q) // 64)
@@ -72,26 +91,36 @@ def bit_slices(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low, width, np.array(planes, "<u8").reshape(-1, words)
 
 
-def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+_WIDE_ROWS = pa.list_(pa.list_(pa.string()))
+
+
+def _block(factor: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        for ids, q in _matrices(batches, factor):
+            low, width, planes = bit_slices(q if q.dtype != object else np.zeros((1, 0), np.int64))
+            yield pa.RecordBatch.from_pydict({
+                "block": pa.array([TaskContext.get().partitionId()], pa.int32()), "dim": pa.array([q.shape[1]], pa.int32()),
+                "ids": [ids.astype("<i8").tobytes()], "low": [low.astype("<i8").tobytes()],
+                "width": [width.astype("<i4").tobytes()], "planes": [planes.tobytes()], "wide": pa.array([_texts(q)], _WIDE_ROWS),
+            })
+
+    return run
 
-    for ids, q in _matrices(batches):
-        low, width, planes = bit_slices(q)
-        yield pa.RecordBatch.from_pydict({
-            "block": pa.array([TaskContext.get().partitionId()], pa.int32()), "dim": pa.array([q.shape[1]], pa.int32()),
-            "ids": [ids.astype("<i8").tobytes()], "low": [low.astype("<i8").tobytes()],
-            "width": [width.astype("<i4").tobytes()], "planes": [planes.tobytes()],
-        })
 
+def _pack(factor: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+        for ids, q in _matrices(batches, factor):
+            yield pa.RecordBatch.from_pydict({
+                "pack": pa.array([TaskContext.get().partitionId()], pa.int32()), "dim": pa.array([q.shape[1]], pa.int32()),
+                "query_ids": [ids.astype("<i8").tobytes()],
+                "queries": [q.astype("<i8").tobytes() if q.dtype != object else b""], "wide_queries": pa.array([_texts(q)], _WIDE_ROWS),
+            })
 
-    for ids, q in _matrices(batches):
-        yield pa.RecordBatch.from_pydict({
-            "pack": pa.array([TaskContext.get().partitionId()], pa.int32()), "dim": pa.array([q.shape[1]], pa.int32()),
-            "query_ids": [ids.astype("<i8").tobytes()], "queries": [q.astype("<i8").tobytes()],
-        })
+    return run
 
 
 def digits(value: int) -> list[tuple[int, int]]:
@@ -168,24 +197,54 @@ class BitSlicedBlock:
         rows = np.flatnonzero(np.unpackbits(sure.view(np.uint8), bitorder="little"))
         tied = np.flatnonzero(np.unpackbits(even.view(np.uint8), bitorder="little"))[:k - len(rows)]
         rows = np.concatenate([rows, tied])
-        value = np.full(len(rows), constant, np.int64)
+        fits = len(found) < 62 and abs(constant) < 1 << 62
+        value = np.full(len(rows), constant, np.int64 if fits else object)
         for place, plane in enumerate(found):
-            value += ((plane[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << place
-        return self.ids[rows], value
+            bit = ((plane[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(value.dtype)
+            value += bit * (1 << place)
+        return self.ids[rows], value if fits else in_64_bits(value)
+
+    def rows(self) -> np.ndarray:
+        """The whole-numbered vectors, from the slices."""
+        out = np.zeros((len(self.ids), len(self.width)), np.int64)
+        for j, (low, width, first) in enumerate(zip(self.low, self.width, self.first)):
+            for s in range(width):
+                out[:, j] += np.unpackbits(self.planes[first + s].view(np.uint8), count=len(self.ids), bitorder="little").astype(np.int64) << s
+            out[:, j] += low
+        return out
+
+
+def in_64_bits(value: np.ndarray) -> np.ndarray:
+    """Whole numbers of any size; those beyond 64 bits become the nearest."""
+    return np.array([min(max(int(v), LONG_MIN), LONG_MAX) for v in value], np.int64)
+
+
+def top_exactly(ids: np.ndarray, q: np.ndarray, query_id: int, query: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``BitSlicedBlock.top`` gives, from the numbers themselves."""
+    scores = [sum(map(int.__mul__, row, query)) for row in q.astype(object).tolist()]
+    best = sorted((i for i, own in enumerate(ids.tolist()) if own != query_id), key=lambda i: -scores[i])[:k]  # ids ascend, the sort is stable
+    return ids[best], in_64_bits(np.array([scores[i] for i in best], object))
 
 
 def _searched(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dim, *parts in zip(*(batch.column(c) for c in ("dim", "ids", "low", "width", "planes", "query_ids", "queries"))):
-                dim = dim.as_py()
+            for pack, dim, wide, wide_queries, *parts in zip(*(batch.column(c) for c in (
+                    "pack", "dim", "wide", "wide_queries", "ids", "low", "width", "planes", "query_ids", "queries"))):
+                dim, wide, wide_queries = dim.as_py(), wide.as_py(), wide_queries.as_py()
                 ids, low, width, planes, query_ids, queries = (
                     np.frombuffer(p.as_buffer(), t) for p, t in zip(parts, ("<i8", "<i8", "<i4", "<u8", "<i8", "<i8")))
-                block = BitSlicedBlock(ids, low, width, planes.reshape(-1, -(-len(ids) // 64)))
+                exact = wide is not None or wide_queries is not None
+                if wide is None:
+                    block = BitSlicedBlock(ids, low, width, planes.reshape(-1, -(-len(ids) // 64)))
+                    numbers = block.rows() if exact else None
+                else:
+                    numbers = np.array([[int(v) for v in r] for r in wide], object).reshape(len(ids), dim)
+                asked = queries.reshape(len(query_ids), dim).tolist() if wide_queries is None else [[int(v) for v in r] for r in wide_queries]
                 out: list[list[np.ndarray]] = [[], [], [], []]
-                for n, (query_id, query) in enumerate(zip(query_ids.tolist(), queries.reshape(-1, dim).tolist())):
-                    rows, scores = block.top(query_id, query, k)
-                    for column, x in zip(out, (np.full(len(rows), query_id), np.full(len(rows), n), rows, scores)):
+                for n, (query_id, query) in enumerate(zip(query_ids.tolist(), asked)):
+                    rows, scores = top_exactly(ids, numbers, query_id, query, k) if exact else block.top(query_id, query, k)
+                    for column, x in zip(out, (np.full(len(rows), query_id), np.full(len(rows), (pack.as_py() << 32) + (n << 1) + (wide_queries is not None)), rows, scores)):
                         column.append(x)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=["query_id", "row", "vec_id", "score"])
@@ -204,19 +263,22 @@ def top_k(
     one, and a repeated query row gives its rows again.  Vectors of another
     length are never compared.  Blocks and packs are bounded, every pack meets
     every block in a task of its own key, and a task returns k rows a query.
-    An empty table, or one without queries, gives no row.
+    An empty table, or one without queries, gives no row.  Components are
+    taken as doubles, and ``factor`` times one is rounded down exactly.  Any
+    finite component takes part; a score beyond 64 bits is given as the nearest
+    64-bit number.
     """
     spark = vectors.sparkSession
-    rows = save_and_reread(whole_numbers(vectors, id_column, vector, factor), "vectors")
+    rows = save_and_reread(usable_vectors(vectors, id_column, vector), "vectors")
     queries = rows.filter(is_query)
     blocks, packs = max(1, -(-rows.count() // BLOCK_ROWS)), max(1, -(-queries.count() // PACK_ROWS))
     index = stored(rows.repartition(blocks).mapInArrow(
-        _block, "block int, dim int, ids binary, low binary, width binary, planes binary"), "bit-slices")
+        _block(factor), "block int, dim int, ids binary, low binary, width binary, planes binary, wide array<array<string>>"), "bit-slices")
     asked = stored(queries.repartition(packs).mapInArrow(
-        _pack, "pack int, dim int, query_ids binary, queries binary"), "queries")
+        _pack(factor), "pack int, dim int, query_ids binary, queries binary, wide_queries array<array<string>>"), "queries")
     pairs = index.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1)))).join(
         asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), ["block", "pack", "dim"])
-    found = pairs.select("pack", "dim", "ids", "low", "width", "planes", "query_ids", "queries").mapInArrow(
+    found = pairs.select("pack", "dim", "ids", "low", "width", "planes", "wide", "query_ids", "queries", "wide_queries").mapInArrow(
         _searched(k), "query_id long, row long, vec_id long, score long")
     best = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(

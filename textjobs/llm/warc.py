@@ -20,14 +20,17 @@ LEAST_BYTES = 100
 CRLF = "\r\n"
 
 
-def header(page_id: Column, url: Column, kind: Column, refers_to: Column, digest: Column, n_bytes: Column) -> Column:
+def header(
+    page_id: Column, url: Column, kind: Column, refers_to: Column, digest: Column, n_bytes: Column, record: Column, date: str,
+) -> Column:
     """The header block of a record; a line whose value is null is left out.
     A line break in a URL would end the line, so it is percent-encoded."""
     target = F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     body = F.when(kind == "response", n_bytes).otherwise(F.lit(0))
     lines = [
         F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), kind),
-        F.concat(F.lit("WARC-Record-ID: <urn:page:"), page_id.cast("string"), F.lit(">")),
+        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(":"), record.cast("string"), F.lit(">")),
+        F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), target),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), digest),
         F.concat(F.lit("WARC-Payload-Length: "), n_bytes.cast("string")),
@@ -38,15 +41,17 @@ def header(page_id: Column, url: Column, kind: Column, refers_to: Column, digest
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF))
 
 
-def write_archive(pages: DataFrame, target: str, least_bytes: int = LEAST_BYTES) -> None:
+def write_archive(pages: DataFrame, target: str, least_bytes: int = LEAST_BYTES, date: str = "1970-01-01T00:00:00Z") -> None:
     """Writes one record per row of ``pages`` (page_id, url, html).
 
     The payload is the html in UTF-8, empty for null.  Of records with equal
     payloads of ``least_bytes`` or more, that with the smallest page_id is the
     response (every row with it, if it is repeated) and the others revisit it;
     shorter payloads are all responses, stored once as well.  A null page_id is
-    never the smallest unless all are null, and has no record id.  Further
-    columns are ignored; an empty table gives an empty archive.
+    never the smallest unless all are null.  A record id is the page_id and a
+    number of the record's own, so repeated rows have ids of their own too.
+    ``date`` is that of all records (the rows have none).  Further columns are
+    ignored; an empty table gives an empty archive.
 
     Payloads are reduced inside each task before one shuffle by digest; what is
     joined to find the responses are rows without payloads.
@@ -64,7 +69,7 @@ def write_archive(pages: DataFrame, target: str, least_bytes: int = LEAST_BYTES)
         "refers_to", F.when(revisit, F.col("owner")))
     records.select(
         "page_id", "digest",
-        header(*(F.col(c) for c in ("page_id", "url", "kind", "refers_to", "digest", "n_bytes"))).cast("binary").alias("header"),
+        header(*(F.col(c) for c in ("page_id", "url", "kind", "refers_to", "digest", "n_bytes")), F.monotonically_increasing_id(), date).cast("binary").alias("header"),
     ).write.option("compression", "zstd").parquet(f"{target}/records")
 
 

@@ -21,21 +21,33 @@ from textjobs.sources.files import save_and_reread
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Characters from which on an ambiguous language is not for want of text.
 LONG = 1000
+KEPT, NO_LETTER, AMBIGUOUS = "kept", "no letter", "ambiguous"
 #: No SQL for classifiers, byte-pair ids and packing; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter (null, empty) go, and long ones whose
-    language stays ambiguous; a missing lang is filled in."""
+def language_decisions(docs: DataFrame, long: int | None = LONG, least_score: float = langid.AMBIGUOUS) -> DataFrame:
+    """``docs`` with lang_pred, score and ``decision``: kept, no letter, or
+    ambiguous, which is a text of ``long`` characters or more (None: none is)
+    whose score is below ``least_score``.  Counted by it, they say what goes."""
     docs = docs.select(*COLUMNS)
     model = langid.fit(docs, F.col("doc_id").isNotNull() & ~langid.held_out())
     known = langid.predict(docs, model)
-    rejected = (F.col("lang_pred") == langid.UNDETERMINED) | (F.col("ambiguous") & (F.length("text") >= LONG))
     if model is None:  # nothing to learn from: only texts without a letter are known to be no language
-        rejected = ~F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False))
+        letter = F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False))
+        return known.withColumn("decision", F.when(letter, KEPT).otherwise(NO_LETTER))
+    unclear = F.lit(False) if long is None else (F.col("score") < least_score) & (F.length("text") >= long)
+    return known.withColumn("decision", F.when(F.col("lang_pred") == langid.UNDETERMINED, NO_LETTER).when(unclear, AMBIGUOUS).otherwise(KEPT))
+
+
+def language_id(
+    spark: SparkSession, docs: DataFrame, sf_dir: str, long: int | None = LONG, least_score: float = langid.AMBIGUOUS,
+) -> DataFrame:
+    """Documents without a letter (null, empty) go, and long ones whose
+    language stays ambiguous; a missing lang is filled in."""
+    known = language_decisions(docs, long, least_score)
     lang = F.coalesce("lang", F.when(F.col("lang_pred") != langid.UNDETERMINED, F.col("lang_pred")))
-    return known.filter(~rejected).withColumn("lang", lang).select(*COLUMNS)
+    return known.filter(F.col("decision") == KEPT).withColumn("lang", lang).select(*COLUMNS)
 
 
 def with_rows(docs: DataFrame) -> DataFrame:
@@ -53,7 +65,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of every class of near duplicates one row stays, one with the least
     doc_id; a null doc_id is never the least unless all of a class are null."""
     rows = with_rows(docs)
-    classes = near_join(by_row(rows)).select(F.col("doc_id").alias("row"), "class_id").join(rows.select("row", "doc_id"), "row")
+    classes = near_join(by_row(rows).withColumn("row", F.col("doc_id")), row="row").select("row", "class_id").join(rows.select("row", "doc_id"), "row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row"))
     stay = classes.groupBy("class_id").agg(first.alias("first")).select("first.row")
     gone = save_and_reread(rows.select("row").join(stay, "row", "left_anti"), "near-duplicates")

@@ -38,14 +38,11 @@ def documents():
     return docs + [(1006, base[2] * 20)]
 
 
-@pytest.mark.parametrize("length,window", [(80, 32), (100, 64), (400, 128)])
-def test_removed_bytes(spark, monkeypatch, length, window):
-    monkeypatch.setattr(substrings, "CHUNK", 6000)  # several chunks a task
-    monkeypatch.setattr(substrings, "PART", 2000)
-    monkeypatch.setattr(substrings, "RANGE", 500)
+@pytest.mark.parametrize("length,window,chunk", [(80, 32, 6000), (100, 64, 2000), (400, 128, 1 << 23), (400, 128, 3000)])
+def test_removed_bytes(spark, length, window, chunk):
     docs = documents()
     frame = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, chunk int").repartition(3)
-    got = sorted((tuple(r) for r in substrings.remove_repeats(frame, length, window).collect()), key=str)
+    got = sorted((tuple(r) for r in substrings.remove_repeats(frame, length, window, chunk).collect()), key=str)
     assert got == brute(docs, length)
 
 
@@ -53,6 +50,38 @@ def test_no_rows(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_ranks_have_the_bytes_that_the_size_needs():
-    assert substrings.rank_bytes(10, False) < substrings.rank_bytes(10 ** 12, False) <= 8
-    assert substrings.rank_bytes(10 ** 9, True) == 11 and substrings.rank_bytes(10 ** 18, True) == 16
+def test_long_strings(spark):
+    rnd = random.Random(9)
+    base = "".join(rnd.choice("abcdefgh ") for _ in range(9000))
+    docs = [(1, base), (2, "x" * 100 + base[1000:6000]), (3, base[4000:]), (4, "ab" * 6000), (5, base[:4096]), (6, base[1:4097] + "!")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    got = sorted((tuple(r) for r in substrings.remove_repeats(frame, 4096).collect()), key=str)
+    assert got == brute(docs, 4096)
+
+
+def test_rows_across_batches():
+    """Sorted pairs are ranked alike however they are cut into batches."""
+    import numpy as np
+    import pyarrow as pa
+    from unittest import mock
+    import pyspark
+    rng = np.random.default_rng(3)
+    n = 300
+    rows = np.column_stack([rng.integers(0, 60, n), rng.integers(0, 3, n), np.arange(n), np.arange(n), rng.integers(0, 20, n) == 0])
+    rows = rows[np.lexsort((-rows[:, 4], rows[:, 1], rows[:, 0]))]
+    context = mock.Mock()
+    context.get.return_value.partitionId.return_value = 0
+    for marks in (False, True):
+        groups = {}
+        for r in rows.tolist():
+            groups.setdefault((r[0], r[1]), []).append(r)
+        want = {r[2] for g in groups.values() for r in g if g[0][4] or (len(g) > 1 and not marks)}
+        for size in (1, 2, 7, 300):
+            batches = [pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in rows[i:i + size].T[:4]] + [pa.array(rows[i:i + size, 4] == 1)], names=["a", "b", "chunk", "place", "mark"])
+                for i in range(0, n, size)]
+            with mock.patch.object(pyspark, "TaskContext", context):
+                out = [r for b in substrings._ranked(marks)(iter(batches)) for r in b.to_pylist()]
+            assert {r["chunk"] for r in out} == want and len(out) == len(want)
+            of = {r["chunk"]: r["rank"] for r in out}
+            assert len({(k, of[r[2]]) for k, g in groups.items() for r in g if r[2] in of}) == len({of[x] for x in of})

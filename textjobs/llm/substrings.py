@@ -8,24 +8,28 @@ the ``WINDOW`` positions from the start on, with the least hash of its next
 two equal strings have their anchors at the same offset, and every start
 belongs to one anchor.
 
-1. Anchors are ranked by their next ``core / 2`` bytes, where ``core`` is what
-   all strings of an anchor have in common behind it.
-2. Anchors whose rank is not unique are ranked by twice as many bytes, which
-   is past what can still be shared.  Beside that rank they get one of all
-   bytes of all their strings: where that one repeats, every start repeats.
-3. Where only the former repeats, at the edges of repeats, an anchor is open.
-   Open anchors name their core's rank, and the other anchors of such a rank
-   learn that they are needed for comparison.
-4. The starts of open anchors, and of one needed anchor of every kind in a
+Anchors are ranked by growing prefixes.  The first rank stands for the next
+``unit`` bytes.  A round then sorts the pairs (rank of a prefix, name of the
+bytes as long again behind it) over the whole table, and equal neighbours in
+that order get one new rank, for a prefix twice as long; an anchor whose rank
+is unique goes.  This ends past ``core``, the bytes that all strings of an
+anchor have in common behind it (rounds 1 to 3: core / 4, core / 2, core).
+Then
+
+4. anchors that are left get a rank of all bytes of all their strings as well:
+   where it repeats, every start of the anchor repeats.  Where only the core
+   does, at the edges of repeats, an anchor is open.  Open anchors mark their
+   core's rank, and the others of such a rank learn that they are needed;
+5. the starts of open anchors, and of one needed anchor of every kind in a
    chunk, are ranked by their ``length`` bytes.
 
-A rank is a hash of up to 128 bits, with as many bytes as the size of the table
-needs (``rank_bytes``): fewer where a rank only prunes, more where it decides.
-Ranks travel sorted, once per chunk of documents and range of ranks, and the
-answer is one bit for each, so a string that is everywhere costs a rank per
-chunk.  Chunks are kept in tables bucketed by chunk, so that answers travel to
-the texts and not the other way round.  Texts without any rank left are
-finished in step 2; the others are the only ones whose bytes are read again.
+Spark sorts; a task reads its sorted pairs once, holding one row.  A chunk of
+documents sends a pair once, however often it holds it, with a mark if more
+than once, so a string that is everywhere costs a row per chunk.  What comes
+back are the places with a repeated pair and their new ranks.  Texts are stored
+once, in a table bucketed by chunk, so that ranks travel to the texts; what was
+sent is found again from text and ranks instead of being stored.  Names are
+hashes of 64 bits where they only prune, and of 128 bits where they decide.
 """
 from __future__ import annotations
 
@@ -41,10 +45,11 @@ from textjobs.llm.columns import BASE, BASE2, held, mix, slices, small_batches,
 from textjobs.sources.files import shared_dir
 
 LENGTH, WINDOW, GRAM = 400, 128, 16
-#: Bytes of text in a chunk and at a time when anchors are found; ranks in one range.
-CHUNK, PART, RANGE = 1 << 23, 1 << 20, 1 << 20
+#: Bytes of text in a chunk and at a time when anchors are found.
+CHUNK, PART = 1 << 23, 1 << 20
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+PAIRS = "chunk long, place long, a long, b long, mark boolean"
 _DONE = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
 
 
@@ -73,108 +78,85 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, window: int) ->
     return anchor[first], start[first], start[last[:len(first)]]
 
 
-def rank_bytes(total: int, decides: bool) -> int:
-    """Bytes of a rank among at most ``total`` strings: a rank that prunes
-    meets another by chance once in a million times, one that decides does so
-    once in 16 million tables."""
-    bits = max(total, 2).bit_length()
-    return min(16, -(-(2 * bits + 24 if decides else bits + 20) // 8))
-
-
-def ranks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
-    """Hashes of spans in two columns of 64 bits; starts need not ascend."""
+def names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, wide: bool = False, salt: np.ndarray | int = 0) -> np.ndarray:
+    """Hashes of spans as one column of 64 bits, or two; starts need not ascend."""
     order = np.argsort(starts, kind="stable")
-    out = np.empty((len(starts), 2), np.uint64)
-    for k, base in enumerate((BASE, BASE2)):
-        h = np.empty(len(starts), np.uint64)
-        h[order] = span_hashes(data, starts[order], ends[order], base)
-        out[:, k] = mix(h + np.asarray(salt).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    out = np.zeros((len(starts), 2), np.uint64)
+    for k, base in enumerate((BASE, BASE2)[:1 + wide]):
+        out[order, k] = span_hashes(data, starts[order], ends[order], base)
+        out[:, k] = mix(out[:, k] + np.asarray(salt).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return out
 
 
-def _cut(rank: np.ndarray, n_bytes: int) -> np.ndarray:
-    """Ranks with only their first bytes."""
-    keep = [max(0, min(8, n_bytes - 8 * k)) for k in range(2)]
-    masks = np.array([(((1 << 64) - 1) << (64 - 8 * n)) & ((1 << 64) - 1) for n in keep], np.uint64)
-    return rank & masks
-
-
-def _blob(rank: np.ndarray, n_bytes: int) -> bytes:
-    return np.ascontiguousarray(rank.astype(">u8").view(np.uint8).reshape(-1, 16)[:, :n_bytes]).tobytes()
-
-
-def _ranks_of(blob: bytes, n_bytes: int) -> np.ndarray:
-    raw = np.frombuffer(blob, np.uint8).reshape(-1, n_bytes)
-    wide = np.zeros((len(raw), 16), np.uint8)
-    wide[:, :n_bytes] = raw
-    return wide.view(">u8").astype(np.uint64)
-
-
-def _grouped(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place of every rank among the distinct ones in ascending order, an index of each)."""
-    order = np.lexsort((rank[:, 1], rank[:, 0]))
-    new = np.ones(len(rank), bool)
-    new[1:] = (rank[order][1:] != rank[order][:-1]).any(axis=1)
-    place = np.empty(len(rank), np.int64)
+def grouped(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of every pair among the distinct ones in ascending order, an index of each)."""
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    new = np.ones(len(pairs), bool)
+    new[1:] = (pairs[order][1:] != pairs[order][:-1]).any(axis=1)
+    place = np.empty(len(pairs), np.int64)
     place[order] = np.cumsum(new) - 1
     return place, order[new]
 
 
-def asked(rank: np.ndarray, parts: int, n_bytes: int, marked: np.ndarray | None = None) -> tuple[np.ndarray, list[dict]]:
-    """(place of every rank among the distinct ones, the distinct ranks by
-    range: their number, bytes, and a mark where they occur here more than
-    once, or where ``marked`` says so)."""
-    rank = _cut(rank, n_bytes)
-    place, one = _grouped(rank)
-    own, n = rank[one], len(one)
+def sent(chunk: int, pairs: np.ndarray, marked: np.ndarray | None = None) -> pa.RecordBatch:
+    """The distinct pairs of a chunk by place, marked where they occur here
+    more than once, or where ``marked`` says so."""
+    place, one = grouped(pairs)
+    n = len(one)
     marks = np.bincount(place, minlength=n) > 1 if marked is None else np.bincount(place, marked, minlength=n) > 0
-    part = ((own[:, 0] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-    at = np.searchsorted(part, np.arange(parts + 1))
-    return place, [
-        {"n": b - a, "ranks": _blob(own[a:b], n_bytes), "marks": np.packbits(marks[a:b]).tobytes()}
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist())
-    ]
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Rows one at a time: a row is a chunk, and its columns are large."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns)}
+    own = pairs[one].view(np.int64)
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.full(n, chunk)), pa.array(np.arange(n)), pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(marks),
+    ], names=["chunk", "place", "a", "b", "mark"])
 
 
-def _answered(n_bytes: int, only_marks: bool) -> Callable:
-    """A map over all that chunks ask in one range: which ranks occur more than
-    once, or with ``only_marks`` which are marked anywhere."""
+def _ranked(only_marks: bool) -> Callable:
+    """A map over sorted pairs, marked ones first among equals: the places of
+    pairs that occur more than once, or are marked, and a number per pair."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, parts, own, flags = [], [], [], []
-        for r in _rows(batches):
-            chunks.append(r["chunk"])
-            parts.append(r["part"])
-            own.append(_ranks_of(r["ranks"], n_bytes))
-            flags.append(np.unpackbits(np.frombuffer(r["marks"], np.uint8), count=r["n"]).astype(bool))
-        if not chunks:
-            return
-        group, one = _grouped(np.concatenate(own))
-        many = np.bincount(group, np.concatenate(flags)) > 0
-        if not only_marks:
-            many |= np.bincount(group) > 1
-        sizes = [len(x) for x in own]
-        ends = np.cumsum(sizes).tolist()
-        yield pa.RecordBatch.from_arrays([
-            pa.array(chunks, pa.int64()), pa.array(parts, pa.int32()), pa.array(sizes, pa.int64()),
-            pa.array([np.packbits(many[group[e - n:e]]).tobytes() for n, e in zip(sizes, ends)], pa.binary()),
-        ], names=["chunk", "part", "n", "bits"])
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 40
+        columns = ("a", "b", "chunk", "place")
+        wait = np.zeros((0, 5), np.int64)  # the last row so far, if it may yet be found again
+        last: tuple[int, int, bool] | None = None  # the last pair, and whether it repeats
+        for batch in batches:
+            rows = np.column_stack([*(batch.column(c).to_numpy() for c in columns), batch.column("mark").to_numpy(zero_copy_only=False)])
+            rows = np.concatenate([wait, rows])
+            if not len(rows):
+                continue
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+            group = np.cumsum(new) - 1
+            many = np.bincount(group, rows[:, 4]) > 0
+            if not only_marks:
+                many |= np.bincount(group) > 1
+            goes_on = last is not None and (rows[0, 0], rows[0, 1]) == last[:2]
+            if goes_on:
+                many[0] |= last[2]
+            number += 0 if goes_on else 1
+            rank = number + group
+            number = int(rank[-1])
+            last = (rows[-1, 0], rows[-1, 1], bool(many[-1]))
+            # a row alone at the end waits: only the next batch tells whether it repeats
+            open_end = not many[-1] and not only_marks
+            wait = rows[-1:] if open_end else rows[:0]
+            out = many[group]
+            if open_end:
+                last, number = None, number - 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows[out, 2]), pa.array(rows[out, 3]), pa.array(rank[out])], names=["chunk", "place", "rank"])
 
     return run
 
 
-def answers(stage: DataFrame, parts: int, n_bytes: int, only_marks: bool = False) -> DataFrame:
-    """(chunk, answers): for every chunk one bit per distinct rank it asked for."""
-    rows = stage.select("chunk", F.posexplode("asked").alias("part", "a")).select("chunk", "part", "a.n", "a.ranks", "a.marks").filter("n > 0")
-    found = rows.repartitionById(parts, F.col("part")).mapInArrow(
-        _answered(n_bytes, only_marks), "chunk long, part int, n long, bits binary")
-    return found.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "n", "bits"))).alias("answers"))
+def ranked(pairs: DataFrame, buckets: int, only_marks: bool = False) -> DataFrame:
+    """(chunk, places, ranks): for every chunk the places of its pairs that
+    repeat anywhere, with the new rank of each, bucketed by chunk."""
+    ordered = pairs.repartition("a", "b").sortWithinPartitions("a", "b", F.desc("mark"))
+    found = ordered.mapInArrow(_ranked(only_marks), "chunk long, place long, rank long")
+    per_chunk = found.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("place", "rank"))).alias("f"))
+    return bucketed(per_chunk.select("chunk", F.col("f.place").alias("places"), F.col("f.rank").alias("ranks")), "ranks", buckets)
 
 
 def bucketed(df: DataFrame, purpose: str, buckets: int) -> DataFrame:
@@ -187,53 +169,17 @@ def bucketed(df: DataFrame, purpose: str, buckets: int) -> DataFrame:
     return table
 
 
-def _bits(found: list[dict] | None) -> np.ndarray:
-    rows = [np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=a["n"]) for a in found or []]
-    return np.concatenate(rows).astype(bool) if rows else np.zeros(0, bool)
-
-
-_ASKED = pa.list_(pa.struct([("n", pa.int64()), ("ranks", pa.binary()), ("marks", pa.binary())]))
-_TEXTS = [("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.binary()), ("packed", pa.binary())]
-_STATE = [("anchor", pa.binary()), ("first", pa.binary()), ("last", pa.binary())]
-TEXTS = "chunk long, doc_ids array<long>, offsets binary, packed binary"
-STATE = "anchor binary, first binary, last binary"
-ASKED = "asked array<struct<n: long, ranks: binary, marks: binary>>"
-
-
-def _batch(fields: list[tuple[str, pa.DataType]], *values) -> pa.RecordBatch:
-    """One row."""
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(values, fields)], names=[n for n, _ in fields])
-
-
-def _zipped(data: np.ndarray) -> bytes:
-    return pa.compress(data.tobytes(), codec="zstd", asbytes=True)
-
-
-def _texts(offsets: bytes, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    offsets = np.frombuffer(offsets, "<i8")
-    data = pa.decompress(packed, decompressed_size=int(offsets[-1]), codec="zstd") if offsets[-1] else b""
-    return np.frombuffer(data, np.uint8), offsets
+_TEXTS = [("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.binary()), ("packed", pa.binary()),
+          ("anchor", pa.binary()), ("first", pa.binary()), ("last", pa.binary())]
+TEXTS = "chunk long, doc_ids array<long>, offsets binary, packed binary, anchor binary, first binary, last binary"
 
 
 def _u4(a: np.ndarray) -> bytes:
     return a.astype("<u4").tobytes()
 
 
-def _state(anchor: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[bytes]:
-    """Positions as differences, which compress well."""
-    return [_u4(anchor - first), _u4(np.diff(first, prepend=0)), _u4(last - first)]
-
-
-def _read_state(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    anchor, first, last = (np.frombuffer(r[c], "<u4").astype(np.int64) for c in ("anchor", "first", "last"))
-    first = np.cumsum(first)
-    return anchor + first, first, last + first
-
-
-def chunked(length: int, window: int, parts: int, n_bytes: int) -> Callable:
-    """A map over (doc_id, text): chunks with their anchors, ranked by half the core."""
-    core = length - window + 1
-
+def chunked(length: int, window: int, most: int = CHUNK) -> Callable:
+    """A map over (doc_id, text): chunks of texts with their anchors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -249,13 +195,14 @@ def chunked(length: int, window: int, parts: int, n_bytes: int) -> Callable:
             offsets = np.concatenate([[0]] + [o[1:] + b for (_, _, o, _), b in zip(waiting, base)])
             anchor, first, last = (np.concatenate([s[i] + b for (_, _, _, s), b in zip(waiting, base)]) for i in range(3))
             waiting, seq = [], seq + 1
-            _, ask = asked(ranks(data, anchor, anchor + core // 2, 0), parts, n_bytes)
-            return _batch(_TEXTS + _STATE + [("asked", _ASKED)], seq - 1, doc_ids, offsets.astype("<i8").tobytes(), _zipped(data), *_state(anchor, first, last), ask)
+            values = (seq - 1, doc_ids, offsets.astype("<i8").tobytes(), pa.compress(data.tobytes(), codec="zstd", asbytes=True),
+                      _u4(anchor - first), _u4(np.diff(first, prepend=0)), _u4(last - first))  # differences compress well
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(values, _TEXTS)], names=[n for n, _ in _TEXTS])
 
         size = 0
         for batch in batches:
-            for low, high, data, offsets in slices(batch.column("text"), PART):
-                if waiting and size + len(data) > CHUNK:
+            for low, high, data, offsets in slices(batch.column("text"), min(PART, most)):
+                if waiting and size + len(data) > most:
                     yield flush()
                     size = 0
                 waiting.append((batch.column("doc_id").slice(low, high - low).to_pylist(), data.copy(), offsets.copy(), anchors(data, offsets, length, window)))
@@ -266,92 +213,113 @@ def chunked(length: int, window: int, parts: int, n_bytes: int) -> Callable:
     return run
 
 
-def doubled(length: int, window: int, parts: int, asked_bytes: int, n_bytes: int) -> Callable:
-    """A map over chunks and answers: anchors that are left, with the rank of
-    their core and that of all their strings; texts without any are done."""
-    core = length - window + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _rows(batches):
-            data, offsets = _texts(r["offsets"], r["packed"])
-            anchor, first, last = _read_state(r)
-            alive = _bits(r["answers"])[_grouped(_cut(ranks(data, anchor, anchor + core // 2, 0), asked_bytes))[0]]
-            anchor, first, last = anchor[alive], first[alive], last[alive]
-            row = np.searchsorted(offsets, first, "right") - 1
-            keep = np.zeros(len(offsets) - 1, bool)
-            keep[row] = True
-            done = [
-                {"doc_id": doc, "n_bytes": b - a, "n_removed": 0, "n_spans": 0, "kept_sha256": hashlib.sha256(data[a:b]).hexdigest()}
-                for doc, a, b, k in zip(r["doc_ids"], offsets[:-1].tolist(), offsets[1:].tolist(), keep.tolist()) if not k
-            ]
-            # the texts that stay, one after the other
-            moved = np.concatenate([[0], np.cumsum(np.diff(offsets)[keep])])
-            shift = np.zeros(len(keep), np.int64)
-            shift[keep] = moved[:-1] - offsets[:-1][keep]
-            data = data[np.repeat(keep, np.diff(offsets))]
-            anchor, first, last = (x + shift[row] for x in (anchor, first, last))
-            place, ask = asked(np.concatenate([
-                ranks(data, anchor, anchor + core, 1),
-                ranks(data, first, last + length, 2 + (anchor - first) * window + last - first),
-            ]), parts, n_bytes)
-            yield _batch(
-                _TEXTS + _STATE + [("place", pa.binary()), ("asked", _ASKED), ("done", pa.list_(pa.struct(_DONE)))],
-                r["chunk"], [d for d, k in zip(r["doc_ids"], keep.tolist()) if k], moved.astype("<i8").tobytes(), _zipped(data),
-                *_state(anchor, first, last), _u4(place), ask, done)
-
-    return run
-
-
-def opened(parts: int, asked_bytes: int, n_bytes: int) -> Callable:
-    """A map over anchors and answers: which anchors' starts all repeat, which
-    anchors are open, and the cores' ranks with a mark from open anchors."""
-    fields = [("chunk", pa.int64()), ("sure", pa.binary()), ("open", pa.binary()), ("seat", pa.binary()), ("asked", _ASKED)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _rows(batches):
-            place = np.frombuffer(r["place"], "<u4")
-            n = len(place) // 2
-            found = _bits(r["answers"])[place]
-            repeats, sure = found[:n], found[n:]
-            rank = np.concatenate([_ranks_of(a["ranks"], asked_bytes) for a in r["asked"]])[place[:n]] if n else np.zeros((0, 2), np.uint64)
-            own, ask = asked(rank[repeats], parts, n_bytes, (~sure)[repeats])
-            seat = np.zeros(n, np.int64)
-            seat[repeats] = own
-            yield _batch(fields, r["chunk"], np.packbits(sure).tobytes(), np.packbits(repeats & ~sure).tobytes(), _u4(seat), ask)
-
-    return run
-
+class Chunk:
+    """A chunk of texts, and what the rounds so far have made of its anchors.
+    ``found[k]`` holds (places, ranks) that round k + 1 gave back."""
+
+    def __init__(self, row: dict, length: int, window: int, found: list[tuple[np.ndarray, np.ndarray]]):
+        self.number, self.doc_ids, self.length, self.window = row["chunk"], row["doc_ids"], length, window
+        self.offsets = np.frombuffer(row["offsets"], "<i8")
+        size = int(self.offsets[-1])
+        self.data = np.frombuffer(pa.decompress(row["packed"], decompressed_size=size, codec="zstd") if size else b"", np.uint8)
+        anchor, first, last = (np.frombuffer(row[c], "<u4").astype(np.int64) for c in ("anchor", "first", "last"))
+        self.first = np.cumsum(first)
+        self.anchor, self.last = anchor + self.first, last + self.first
+        self.found = found
+
+    def keep(self, which: np.ndarray) -> None:
+        self.anchor, self.first, self.last = self.anchor[which], self.first[which], self.last[which]
+
+    def reranked(self, pairs: np.ndarray, k: int) -> np.ndarray:
+        """The ranks of round ``k`` + 1 of the anchors that sent ``pairs``; those without one go."""
+        places, ranks = self.found[k]
+        place, _ = grouped(pairs)
+        at = np.searchsorted(places, place)
+        alive = at < len(places)
+        alive[alive] = places[at[alive]] == place[alive]
+        self.keep(alive)
+        return ranks[at[alive]].astype(np.uint64)
+
+    def prefix_pairs(self, rounds: int) -> np.ndarray:
+        """What the anchors that are left after ``rounds`` rounds send: (rank
+        of the prefix, name of the bytes behind it up to twice its length)."""
+        core = self.length - self.window + 1
+        unit = -(-core // 4)
+        pairs = names(self.data, self.anchor, self.anchor + unit)
+        for k in range(rounds):
+            rank = self.reranked(pairs, k)
+            done = unit << k
+            pairs = names(self.data, self.anchor + done, self.anchor + min(2 * done, core))
+            pairs = np.column_stack([rank, pairs[:, 0]])
+        return pairs
+
+    def core_ranks(self) -> tuple[np.ndarray, np.ndarray]:
+        """After three rounds: ranks of the anchors' cores, and names of all
+        bytes of all their strings (with where they lie to the anchor)."""
+        rank = self.reranked(self.prefix_pairs(2), 2)
+        shape = (self.anchor - self.first) * self.window + self.last - self.first
+        return rank, names(self.data, self.first, self.last + self.length, True, 2 + shape)
+
+    def sure(self, whole: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place of every anchor's name, whether it repeats)."""
+        place, _ = grouped(whole)
+        return place, np.isin(place, self.found[k][0])
+
+    def edge_starts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """After rounds 1 to 5: (starts to be ranked, first and last starts of
+        the anchors of which every start repeats)."""
+        rank, whole = self.core_ranks()
+        kind, sure = self.sure(whole, 3)
+        place, _ = grouped(np.column_stack([rank, np.zeros_like(rank)]))
+        needed = np.flatnonzero(sure & np.isin(place, self.found[4][0]))
+        needed = needed[np.unique(kind[needed], return_index=True)[1]]  # equal strings once
+        ask = np.concatenate([np.flatnonzero(~sure), needed])
+        sizes = (self.last - self.first + 1)[ask]
+        start = np.repeat(self.first[ask] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return start, self.first[sure], self.last[sure]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], length: int, window: int, rounds: int) -> Iterator[Chunk]:
+    """Chunks one at a time: their columns are large."""
+    nothing = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {n: batch.column(n)[i].as_py() for n, _ in _TEXTS}
+            found = []
+            for k in range(rounds):
+                places, ranks = batch.column(f"places{k}")[i], batch.column(f"ranks{k}")[i]
+                found.append((places.values.to_numpy(), ranks.values.to_numpy()) if places.is_valid else nothing)
+            yield Chunk(row, length, window, found)
 
-def edged(length: int, parts: int, n_bytes: int) -> Callable:
-    """A map over what is left: the ranks of the starts that open anchors need."""
-    fields = [("chunk", pa.int64()), ("start", pa.binary()), ("first", pa.binary()), ("last", pa.binary()), ("place", pa.binary()), ("asked", _ASKED)]
 
+def sends(length: int, window: int, rounds: int) -> Callable:
+    """A map over chunks with the ranks of ``rounds`` rounds: what they send in the next."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _rows(batches):
-            data, _ = _texts(r["offsets"], r["packed"])
-            _, first, last = _read_state(r)
-            n = len(first)
-            place, seat = (np.frombuffer(r[c], "<u4") for c in ("place", "seat"))
-            sure, open_ = (np.unpackbits(np.frombuffer(r[c], np.uint8), count=n).astype(bool) for c in ("sure", "open"))
-            bits = _bits(r["answers"])
-            needed = np.flatnonzero(sure & bits[seat]) if len(bits) else np.zeros(0, np.int64)
-            needed = needed[np.unique(place[n:][needed], return_index=True)[1]]  # equal strings once
-            ask_of = np.concatenate([np.flatnonzero(open_), needed])
-            sizes = (last - first + 1)[ask_of]
-            start = np.repeat(first[ask_of] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-            place, ask = asked(ranks(data, start, start + length, 3), parts, n_bytes)
-            yield _batch(fields, r["chunk"], _u4(start), _u4(first[sure]), _u4(last[sure]), _u4(place), ask)
+        held("substrings")
+        for c in _chunks(batches, length, window, rounds):
+            if rounds < 3:
+                yield sent(c.number, c.prefix_pairs(rounds))
+            elif rounds == 3:
+                yield sent(c.number, c.core_ranks()[1])
+            elif rounds == 4:
+                rank, whole = c.core_ranks()
+                yield sent(c.number, np.column_stack([rank, np.zeros_like(rank)]), ~c.sure(whole, 3)[1])
+            else:
+                start, _, _ = c.edge_starts()
+                yield sent(c.number, names(c.data, start, start + length, True, 1))
 
     return run
 
 
-def removed(length: int) -> Callable:
-    """A map over what is left with all answers: the results of its texts."""
+def removed(length: int, window: int) -> Callable:
+    """A map over chunks with all ranks: the results of their texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _rows(batches):
-            data, offsets = _texts(r["offsets"], r["packed"])
-            start, first, last, place = (np.frombuffer(r[c], "<u4").astype(np.int64) for c in ("start", "first", "last", "place"))
-            again = start[_bits(r["answers"])[place]]
+        held("substrings")
+        for c in _chunks(batches, length, window, 6):
+            start, first, last = c.edge_starts()
+            place, _ = grouped(names(c.data, start, start + length, True, 1))
+            again = start[np.isin(place, c.found[5][0])]
+            data, offsets = c.data, c.offsets
             change = np.zeros(len(data) + 1, np.int32)
             np.add.at(change, np.concatenate([first, again]), 1)
             np.add.at(change, np.concatenate([last, again]) + length, -1)
@@ -362,15 +330,17 @@ def removed(length: int) -> Callable:
             begins[inner] = gone[inner]
             bytes_gone, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, begins))
             rows = []
-            for doc, a, b in zip(r["doc_ids"], offsets[:-1].tolist(), offsets[1:].tolist()):
-                rows.append((doc, b - a, int(bytes_gone[b] - bytes_gone[a]), int(spans[b] - spans[a]), hashlib.sha256(data[a:b][~gone[a:b]]).hexdigest()))
+            for doc, a, b in zip(c.doc_ids, offsets[:-1].tolist(), offsets[1:].tolist()):
+                lost = int(bytes_gone[b] - bytes_gone[a])
+                kept = data[a:b][~gone[a:b]] if lost else data[a:b]
+                rows.append((doc, b - a, lost, int(spans[b] - spans[a]), hashlib.sha256(kept).hexdigest()))
             columns = list(zip(*rows)) or [[]] * len(_DONE)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _DONE)], names=[n for n, _ in _DONE])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(columns, _DONE)], names=[n for n, _ in _DONE])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, chunk: int = CHUNK) -> DataFrame:
     """For every row of ``docs`` (doc_id, text): its UTF-8 bytes, how many of
     them lie in a string of ``length`` bytes that also starts anywhere else
     (same text included; strings are judged on the input and never cross
@@ -378,29 +348,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW)
 
     A null text is empty; shorter texts lose nothing; repeated rows are texts
     like others and lose what they share; an empty table gives an empty one.
-    The number of rank ranges follows the bytes of the table.
+    A task holds a chunk of ``chunk`` bytes, or one longer text, and what it sends.
     """
     if window + GRAM - 1 > length or window < 2:
         raise ValueError("window does not fit the length")
     docs = small_batches(docs).select("doc_id", "text")
-    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    parts = 1 + int(total // (window // 2) // RANGE)
-    # as many as the answers' partitions, so that neither side of a join moves
+    # as many as the ranks' partitions, so that neither side of a join moves
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    prunes, decides = rank_bytes(total, False), rank_bytes(total, True)
-    first = bucketed(docs.mapInArrow(chunked(length, window, parts, prunes), f"{TEXTS}, {STATE}, {ASKED}"), "anchors", buckets)
-    second = bucketed(
-        first.drop("asked").join(answers(first, parts, prunes), "chunk", "left").mapInArrow(
-            doubled(length, window, parts, prunes, decides), f"{TEXTS}, {STATE}, place binary, {ASKED}, done array<struct<{RESULT}>>"),
-        "doubled", buckets)
-    third = bucketed(
-        second.select("chunk", "place", "asked").join(answers(second, parts, decides), "chunk", "left").mapInArrow(
-            opened(parts, decides, prunes), f"chunk long, sure binary, open binary, seat binary, {ASKED}"), "opened", buckets)
-    needs = answers(third, parts, prunes, only_marks=True)
-    fourth = bucketed(
-        second.select("chunk", "offsets", "packed", "anchor", "first", "last", "place").join(third.drop("asked"), "chunk")
-        .join(needs, "chunk", "left").mapInArrow(
-            edged(length, parts, decides), f"chunk long, start binary, first binary, last binary, place binary, {ASKED}"), "edges", buckets)
-    last = second.select("chunk", "doc_ids", "offsets", "packed").join(fourth.drop("asked"), "chunk").join(
-        answers(fourth, parts, decides), "chunk", "left")
-    return last.mapInArrow(removed(length), RESULT).union(second.select(F.inline("done")))
+    texts = bucketed(docs.mapInArrow(chunked(length, window, chunk), TEXTS), "texts", buckets)
+    known = texts
+    for rounds in range(6):
+        pairs = known.mapInArrow(sends(length, window, rounds), PAIRS)
+        own = ranked(pairs, buckets, only_marks=rounds == 4).select(
+            "chunk", F.col("places").alias(f"places{rounds}"), F.col("ranks").alias(f"ranks{rounds}"))
+        known = known.join(own, "chunk", "left")
+    return known.mapInArrow(removed(length, window), RESULT)

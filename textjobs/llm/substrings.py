@@ -21,7 +21,8 @@ Then
    does, at the edges of repeats, an anchor is open.  Open anchors mark their
    core's rank, and the others of such a rank learn that they are needed;
 5. the starts of open anchors, and of one needed anchor of every kind in a
-   chunk, are ranked by their ``length`` bytes.
+   chunk, are ranked by the pair (rank of the core, name of their ``length``
+   bytes).
 
 Spark sorts; a task reads its sorted pairs once, holding one row.  A chunk of
 documents sends a pair once, however often it holds it, with a mark if more
@@ -29,7 +30,8 @@ than once, so a string that is everywhere costs a row per chunk.  What comes
 back are the places with a repeated pair and their new ranks.  Texts are stored
 once, in a table bucketed by chunk, so that ranks travel to the texts; what was
 sent is found again from text and ranks instead of being stored.  Names are
-hashes of 64 bits where they only prune, and of 128 bits where they decide.
+hashes of 64 bits where they only prune or stand beside a rank, and of 128 bits
+where they decide alone.
 """
 from __future__ import annotations
 
@@ -46,8 +48,10 @@ from textjobs.sources.files import shared_dir
 
 LENGTH, WINDOW, GRAM = 400, 128, 16
 #: Bytes of text in a chunk and at a time when anchors are found.
-CHUNK, PART = 1 << 23, 1 << 20
+CHUNK, PART = 1 << 22, 1 << 20
 
+#: Bits of the second half of a pair that tell its partition.
+SPREAD = 0x78
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 PAIRS = "chunk long, place long, a long, b long, mark boolean"
 _DONE = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
@@ -150,13 +154,19 @@ def _ranked(only_marks: bool) -> Callable:
     return run
 
 
-def ranked(pairs: DataFrame, buckets: int, only_marks: bool = False) -> DataFrame:
+def ranked(pairs: DataFrame, buckets: int, with_ranks: bool, only_marks: bool) -> DataFrame:
     """(chunk, places, ranks): for every chunk the places of its pairs that
-    repeat anywhere, with the new rank of each, bucketed by chunk."""
-    ordered = pairs.repartition("a", "b").sortWithinPartitions("a", "b", F.desc("mark"))
+    repeat anywhere, with the new rank of each (or none), bucketed by chunk.
+    Pairs of one rank go to up to sixteen partitions."""
+    ordered = pairs.repartition("a", F.col("b").bitwiseAND(SPREAD)).sortWithinPartitions("a", "b", F.desc("mark"))
     found = ordered.mapInArrow(_ranked(only_marks), "chunk long, place long, rank long")
-    per_chunk = found.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("place", "rank"))).alias("f"))
-    return bucketed(per_chunk.select("chunk", F.col("f.place").alias("places"), F.col("f.rank").alias("ranks")), "ranks", buckets)
+    if with_ranks:
+        per_chunk = found.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("place", "rank"))).alias("f")).select(
+            "chunk", F.col("f.place").alias("places"), F.col("f.rank").alias("ranks"))
+    else:
+        per_chunk = found.groupBy("chunk").agg(F.array_sort(F.collect_list("place")).alias("places")).withColumn(
+            "ranks", F.lit(None).cast("array<long>"))
+    return bucketed(per_chunk, "ranks", buckets)
 
 
 def bucketed(df: DataFrame, purpose: str, buckets: int) -> DataFrame:
@@ -265,9 +275,9 @@ class Chunk:
         place, _ = grouped(whole)
         return place, np.isin(place, self.found[k][0])
 
-    def edge_starts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """After rounds 1 to 5: (starts to be ranked, first and last starts of
-        the anchors of which every start repeats)."""
+    def edge_starts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """After rounds 1 to 5: (starts to be ranked, what they send, first and
+        last starts of the anchors of which every start repeats)."""
         rank, whole = self.core_ranks()
         kind, sure = self.sure(whole, 3)
         place, _ = grouped(np.column_stack([rank, np.zeros_like(rank)]))
@@ -276,7 +286,9 @@ class Chunk:
         ask = np.concatenate([np.flatnonzero(~sure), needed])
         sizes = (self.last - self.first + 1)[ask]
         start = np.repeat(self.first[ask] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        return start, self.first[sure], self.last[sure]
+        name = names(self.data, start, start + self.length)[:, 0] & ~np.uint64(127)
+        beside = (np.repeat(self.anchor[ask], sizes) - start).astype(np.uint64) & np.uint64(127)  # equal for equal strings
+        return start, np.column_stack([np.repeat(rank[ask], sizes), name | beside]), self.first[sure], self.last[sure]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], length: int, window: int, rounds: int) -> Iterator[Chunk]:
@@ -288,7 +300,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], length: int, window: int, rounds:
             found = []
             for k in range(rounds):
                 places, ranks = batch.column(f"places{k}")[i], batch.column(f"ranks{k}")[i]
-                found.append((places.values.to_numpy(), ranks.values.to_numpy()) if places.is_valid else nothing)
+                found.append((places.values.to_numpy(), ranks.values.to_numpy() if ranks.is_valid else None) if places.is_valid else nothing)
             yield Chunk(row, length, window, found)
 
 
@@ -305,8 +317,7 @@ def sends(length: int, window: int, rounds: int) -> Callable:
                 rank, whole = c.core_ranks()
                 yield sent(c.number, np.column_stack([rank, np.zeros_like(rank)]), ~c.sure(whole, 3)[1])
             else:
-                start, _, _ = c.edge_starts()
-                yield sent(c.number, names(c.data, start, start + length, True, 1))
+                yield sent(c.number, c.edge_starts()[1])
 
     return run
 
@@ -316,8 +327,8 @@ def removed(length: int, window: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("substrings")
         for c in _chunks(batches, length, window, 6):
-            start, first, last = c.edge_starts()
-            place, _ = grouped(names(c.data, start, start + length, True, 1))
+            start, pairs, first, last = c.edge_starts()
+            place, _ = grouped(pairs)
             again = start[np.isin(place, c.found[5][0])]
             data, offsets = c.data, c.offsets
             change = np.zeros(len(data) + 1, np.int32)
@@ -359,7 +370,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     known = texts
     for rounds in range(6):
         pairs = known.mapInArrow(sends(length, window, rounds), PAIRS)
-        own = ranked(pairs, buckets, only_marks=rounds == 4).select(
+        own = ranked(pairs, buckets, rounds < 3, rounds == 4).select(
             "chunk", F.col("places").alias(f"places{rounds}"), F.col("ranks").alias(f"ranks{rounds}"))
         known = known.join(own, "chunk", "left")
     return known.mapInArrow(removed(length, window), RESULT)

@@ -20,7 +20,7 @@ from textjobs.sources.files import shared_dir
 
 #: Bytes of text worked on at once (a longer text is a slice of its own), and
 #: of these, bytes hashed at once.
-SLICE, BLOCK = 1 << 21, 1 << 20
+SLICE, BLOCK = 1 << 21, 1 << 18
 BASE = 0x9E3779B97F4A7C15
 BASE2 = 0xD6E8FEB86659FD93
 #: The two largest primes below 2^31 (fixed values).

@@ -53,7 +53,7 @@ CHUNK, PART = 1 << 22, 1 << 20
 #: Bits of the second half of a pair that tell its partition.
 SPREAD = 0x78
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-PAIRS = "chunk long, place long, a long, b long, mark boolean"
+PAIRS = "chunk long, place int, a long, b long, mark boolean"
 _DONE = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
 
 
@@ -110,7 +110,7 @@ def sent(chunk: int, pairs: np.ndarray, marked: np.ndarray | None = None) -> pa.
     marks = np.bincount(place, minlength=n) > 1 if marked is None else np.bincount(place, marked, minlength=n) > 0
     own = pairs[one].view(np.int64)
     return pa.RecordBatch.from_arrays([
-        pa.array(np.full(n, chunk)), pa.array(np.arange(n)), pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(marks),
+        pa.array(np.full(n, chunk)), pa.array(np.arange(n, dtype=np.int32)), pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(marks),
     ], names=["chunk", "place", "a", "b", "mark"])
 
 
@@ -149,7 +149,7 @@ def _ranked(only_marks: bool) -> Callable:
             if open_end:
                 last, number = None, number - 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[out, 2]), pa.array(rows[out, 3]), pa.array(rank[out])], names=["chunk", "place", "rank"])
+                [pa.array(rows[out, 2]), pa.array(rows[out, 3].astype(np.int32)), pa.array(rank[out])], names=["chunk", "place", "rank"])
 
     return run
 
@@ -159,7 +159,7 @@ def ranked(pairs: DataFrame, buckets: int, with_ranks: bool, only_marks: bool) -
     repeat anywhere, with the new rank of each (or none), bucketed by chunk.
     Pairs of one rank go to up to sixteen partitions."""
     ordered = pairs.repartition("a", F.col("b").bitwiseAND(SPREAD)).sortWithinPartitions("a", "b", F.desc("mark"))
-    found = ordered.mapInArrow(_ranked(only_marks), "chunk long, place long, rank long")
+    found = ordered.mapInArrow(_ranked(only_marks), "chunk long, place int, rank long")
     if with_ranks:
         per_chunk = found.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("place", "rank"))).alias("f")).select(
             "chunk", F.col("f.place").alias("places"), F.col("f.rank").alias("ranks"))
@@ -372,5 +372,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
         pairs = known.mapInArrow(sends(length, window, rounds), PAIRS)
         own = ranked(pairs, buckets, rounds < 3, rounds == 4).select(
             "chunk", F.col("places").alias(f"places{rounds}"), F.col("ranks").alias(f"ranks{rounds}"))
-        known = known.join(own, "chunk", "left")
+        known = known.join(own.hint("shuffle_hash"), "chunk", "left")  # rows of megabytes are not sorted
     return known.mapInArrow(removed(length, window), RESULT)

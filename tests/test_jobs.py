@@ -4,10 +4,11 @@ import json
 import time
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from textjobs.functions.text import normalise_label, prefix_key, r4, wstrip
 from textjobs.operators import compare, formatting, prep, profile, runlog, session, split
+from textjobs.operators import ordered, quantiles
 from textjobs.operators.quantiles import exact_quantiles, value_table
 from textjobs.sources import files
 from textjobs.streaming import jobs
@@ -105,6 +106,63 @@ def test_exact_quantiles_against_percentile(spark):
         assert r["quantile"] == pytest.approx(want[r["k"]][probs.index(r["p"])])
 
 
+def test_exact_quantiles_cut_ranges_until_they_are_small(spark):
+    """Null keys, ties and skew; no range over the bound is ordered."""
+    df = spark.range(40_000).select(
+        F.when(F.col("id") % 4 != 0, F.col("id") % 4).alias("k"),
+        F.when(F.col("id") % 5 == 0, F.lit(7.0)).otherwise(F.exp(F.col("id") % 9973 / 500)).alias("v"))
+    probs = [0.0, 0.01, 0.5, 0.999, 1.0]
+    want = {r["k"]: r["p"] for r in df.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("p")).collect()}
+    for most in (5, 300):
+        got = exact_quantiles(value_table(df, "v", ["k"]), probs, ["k"], parts=8, most=most)
+        assert "Window" in got._jdf.queryExecution().toString()
+        rows_ = got.collect()
+        assert len(rows_) == 20
+        for r in rows_:
+            assert r["quantile"] == pytest.approx(want[r["k"]][probs.index(r["p"])])
+    counted = value_table(df, "v", [])
+    rows_, wanted = counted.withColumn("_range", F.lit("")), spark.range(1).select(
+        F.lit("").alias("_range"), F.lit(0).cast("long").alias("_before"),
+        F.array(F.struct(F.lit(0.5).alias("p"), F.lit(20_000).cast("long").alias("_rank"), F.lit(20_000.0).alias("_position"))).alias("_targets"))
+    sizes = []
+    for _ in range(4):
+        rows_, wanted, largest = quantiles._refined(rows_, wanted, [], 8)
+        sizes.append(largest)
+        assert rows_.count() == largest and wanted.count() == 1
+    assert sizes[0] < 9973 / 4 and sizes[-1] <= 5
+
+
+def test_segments_are_cut_by_counts(spark):
+    """One key with nearly all rows is spread, and carries over its cuts."""
+    df = spark.range(20_000).select(
+        F.when(F.col("id") < 50, F.col("id") % 7).alias("k"), ((F.col("id") * 7919) % 20_000).alias("t"),
+        F.when(F.col("id") % 3000 == 1, F.col("id")).alias("v"))
+    cut = ordered.segmented(df, ["k"], ["t"], 16)
+    sizes = [r["count"] for r in cut.where("k IS NULL").groupBy("_segment").count().collect()]
+    assert len(sizes) >= 14 and max(sizes) < 4000
+    for current, frame in ((True, 0), (False, -1)):
+        got = ordered.carry_forward(df, ["k"], None, ["t"], [F.col("v")], ["last"], include_current=current)
+        want = df.withColumn("last", F.last("v", True).over(Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, frame)))
+        assert got.columns == want.columns and got.exceptAll(want).count() == 0 and got.count() == 20_000
+    newest = ordered.latest_per_key(df, ["k"], None, ["t"], 3, "rank")
+    want = df.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("t")))).where("rank <= 3")
+    assert newest.exceptAll(want).count() == 0 and newest.count() == want.count()
+
+
+def test_prepare_corpus_counts_on_the_way(spark, tmp_path):
+    from textjobs.operators import corpus
+    from textjobs.plans import QUERIES
+    from unittest import mock
+
+    audit = {}
+    real = corpus.prepare_corpus
+    with mock.patch.object(corpus, "prepare_corpus", lambda *a, **k: real(*a, **k, audit=audit)):
+        out = QUERIES["prepare_corpus"](spark, "/root/testdata/sf0.001")
+    sizes = {r["split"]: r["count"] for r in out.groupBy("split").count().collect()}
+    assert {k: audit[k] for k in sizes} == sizes and audit["pairs_n"] == sum(sizes.values())
+    assert audit["pairs_tagged"] == out.where("tagged").count() and audit["allowed_a"] > 0 and audit["pairs_unnamed"] == 0
+
+
 def test_requests(spark):
     df = spark.createDataFrame([("Dal ", "Andhra", "Vegan", "Side Dish"), ("Dal", "Goan", None, " ")],
                                "n string, c string, d string, k string")

@@ -190,3 +190,25 @@ def test_row_scores_need_no_shuffle(spark):
     df = spark.createDataFrame([("a", "b")], "generated_text string, reference_text string")
     plan = score.score_rows(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_a_failing_batch_is_halved_down_to_its_bad_rows(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def scorer(rows):
+        with open(log, "a") as f:
+            f.write("x")
+        if any(r["t"] == "bad" for r in rows):
+            raise KeyError("bad row")
+        return [{"n": "many" if r["t"] == "odd" else len(r["t"])} for r in rows]
+
+    texts = ["a" * (i % 5) for i in range(1000)]
+    texts[137], texts[700] = "bad", "odd"
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    got = {r["i"]: r for r in score.score_batches(df, scorer, "n int", {"n": -1}, 1000).collect()}
+    assert [got[i]["n"] for i in range(1000)] == [-1 if i in (137, 700) else len(t) for i, t in enumerate(texts)]
+    assert [i for i in got if got[i]["error"]] == [137, 700] and "bad row" in got[137]["error"]
+    assert len(open(log).read()) < 50
+    short = score.score_batches(df, lambda rows: [{"n": 1}], "n int", {"n": -1}).where("error IS NOT NULL").count()
+    assert short == 0  # alone, every row has its one answer
+    assert score.score_batches(df.where("i < 0"), scorer, "n int", {"n": -1}).count() == 0

@@ -1,21 +1,41 @@
 """Order-dependent steps that stay parallel inside one key.
 
 A window over a key sends all its rows to one task.  These helpers cut each
-key into buckets of its order column (an hour, a block of steps), work inside
-a bucket, and carry one summary row per bucket across.
+key into buckets, work inside a bucket, and carry one summary row per bucket
+across.  A bucket is a column of the caller's (an hour, a block of steps), or
+without one a segment that is cut by counts (``segmented``).
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from textjobs.sources.files import save_and_reread
 
-def carry_forward(df: DataFrame, keys: list[str], bucket: str, order: list[str], values: list[Column],
+
+def segmented(df: DataFrame, keys: list[str], order: list[str], segments: int | None = None) -> DataFrame:
+    """``df`` with ``_segment``, which ascends along (keys, order): the table
+    is dealt out by ranges of both with about equal numbers of rows, so a key
+    that holds most rows is cut into most segments, wherever in its order they
+    lie.  ``segments`` is the number of ranges, else that of shuffle
+    partitions.  Rows equal in all these columns share a segment.  The number
+    is stored with the row, once."""
+    n = segments or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *keys, *order)
+    return save_and_reread(ranged.withColumn("_segment", F.spark_partition_id()), "segments")
+
+
+def carry_forward(df: DataFrame, keys: list[str], bucket: str | None, order: list[str], values: list[Column],
                   names: list[str], include_current: bool) -> DataFrame:
     """Adds the last non-null value before each row (or up to it) in key order.
 
     ``values`` are columns over ``df``; ``bucket`` must not decrease along
-    ``order``.
+    ``order``; without it segments are cut by counts.
     """
+    if bucket is None:
+        named = df.select("*", *[v.alias(f"_x{i}") for i, v in enumerate(values)])
+        placed = [F.col(f"_x{i}") for i in range(len(values))]
+        carried = carry_forward(segmented(named, keys, order), keys, "_segment", order, placed, names, include_current)
+        return carried.select(*df.columns, *names)
     # a struct is never null and compares its null fields as equal, so one
     # partitioning serves the window, the aggregate and the join
     group = F.struct(*keys, bucket).alias("_g")
@@ -40,9 +60,11 @@ def carry_forward(df: DataFrame, keys: list[str], bucket: str, order: list[str],
     ])
 
 
-def latest_per_key(df: DataFrame, keys: list[str], bucket: str, order: list[str], n: int, rank: str) -> DataFrame:
+def latest_per_key(df: DataFrame, keys: list[str], bucket: str | None, order: list[str], n: int, rank: str) -> DataFrame:
     """The last ``n`` rows per key, newest first; each bucket is cut to ``n``
-    rows before the key is ranked."""
+    rows before the key is ranked.  Without ``bucket``, segments are cut by counts."""
+    if bucket is None:
+        return latest_per_key(segmented(df, keys, order), keys, "_segment", order, n, rank).drop("_segment")
     newest = [F.desc(c) for c in order]
     cut = df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*newest)))
     cut = cut.where(F.col("_r") <= n).drop("_r")

@@ -12,7 +12,7 @@ def split_log(df: DataFrame, eval_column: str = "eval_loss") -> tuple[DataFrame,
     return df.where(F.col(eval_column).isNull()), df.where(F.col(eval_column).isNotNull())
 
 
-def asof_gap(df: DataFrame, run: list[str], bucket: str, order: list[str], train: str, evaluation: str) -> DataFrame:
+def asof_gap(df: DataFrame, run: list[str], bucket: str | None, order: list[str], train: str, evaluation: str) -> DataFrame:
     """Each eval record with the last train record at or before it, and the gap.
 
     A train record at the very position of an eval record counts, whichever

@@ -9,7 +9,7 @@ from textjobs.functions.text import split_trim, wstrip
 from textjobs.operators.ordered import carry_forward, latest_per_key
 
 
-def recent_history(df: DataFrame, session: list[str], bucket: str, order: list[str], name: str, n: int = 5,
+def recent_history(df: DataFrame, session: list[str], bucket: str | None, order: list[str], name: str, n: int = 5,
                    steps: str | None = None) -> DataFrame:
     """Last ``n`` entries per session, newest first, consecutive repeats
     dropped.  Entries need a name and, where ``steps`` names an array column,

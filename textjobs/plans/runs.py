@@ -38,15 +38,25 @@ def log_split(spark: SparkSession, sf: str) -> DataFrame:
         train.select("step", F.lit("train").alias("kind"), "epoch", F.col("loss").alias("value")))
 
 
-@query("""
+_GAP_SQL = """
 SELECT e.event_id, e.user_id, e.value AS eval_loss, t.value AS train_value, round_even(e.value - t.value, 4) AS gap
 FROM (SELECT * FROM events WHERE event_type = 'purchase') e
-ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') t ON e.user_id = t.user_id AND e.ts >= t.ts""")
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') t ON e.user_id = t.user_id AND e.ts >= t.ts"""
+
+
+@query(_GAP_SQL)
 def asof_train_eval_gap(spark: SparkSession, sf: str) -> DataFrame:
     gaps = runlog.asof_gap(_records(spark, sf), ["user_id"], "day", ["ts", "event_id"], "loss", "eval_loss")
     return gaps.select("event_id", "user_id", "eval_loss", "train_value", "gap")
 
 
+@query(_GAP_SQL)
+def asof_gap_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """The same in segments of about equal numbers of rows."""
+    gaps = runlog.asof_gap(_records(spark, sf), ["user_id"], None, ["ts", "event_id"], "loss", "eval_loss")
+    return gaps.select("event_id", "user_id", "eval_loss", "train_value", "gap")
+
+
 @query("""
 SELECT user_id, event_id AS best_step, value AS best_loss FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS rn FROM events WHERE event_type = 'purchase')
@@ -136,6 +146,14 @@ def recent_history(spark: SparkSession, sf: str) -> DataFrame:
     return history.select("user_id", "event_id", "event_type", "position")
 
 
+@query(_HISTORY_SQL)
+def recent_history_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """The same in segments of about equal numbers of rows."""
+    e = _with_steps(_records(spark, sf))
+    history = session.recent_history(e, ["user_id"], None, ["ts", "event_id"], "event_type", steps="steps")
+    return history.select("user_id", "event_id", "event_type", "position")
+
+
 # ---- streams ------------------------------------------------------------
 
 def _started() -> Column:

@@ -8,7 +8,7 @@ from textjobs.plans.inputs import CONV_EVAL_SQL, conv_eval
 from textjobs.plans.registry import query, sql_tokens, table, texts
 from textjobs.plans.text import sql_display
 from textjobs.sources import files
-from textjobs.streaming import jobs
+from textjobs.streaming import jobs, stateful
 
 # ---- training logs ------------------------------------------------------
 
@@ -188,6 +188,13 @@ def stream_accumulate(spark: SparkSession, sf: str) -> DataFrame:
     return grown.groupBy("gen_id").agg(F.max("n_chunks").alias("n_chunks"), F.max_by("text", "n_chunks").alias("text"))
 
 
+@query(_CHUNKS_SQL)
+def stream_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, each trigger giving only what it added."""
+    stream = stateful.accumulate_pieces(_chunk_stream(spark, _conversation_texts(spark, sf)))
+    return stateful.joined_pieces(jobs.run_to_table(stream, "pieces", settings=stateful.STATE_STORE))
+
+
 @query(_CHUNKS_SQL)
 def batch_accumulate(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.whole_texts(_chunks(_conversation_texts(spark, sf)))
@@ -217,13 +224,47 @@ def trace_log(spark: SparkSession, sf: str) -> DataFrame:
     return log.drop("run_name", "tag")
 
 
-@query(_HISTORY_SQL)
-def stream_history(spark: SparkSession, sf: str) -> DataFrame:
+def _measure(rows: list[dict]) -> list[dict]:
+    """Counts words; a system turn is no reply to measure."""
+    if any(r["role"] == "system" for r in rows):
+        raise ValueError("not a reply")
+    return [{"n_words": len(r["text"].split())} for r in rows]
+
+
+@query(f"""
+SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'dead' ELSE 'log' END AS kind,
+       CASE WHEN role <> 'system' THEN len({sql_tokens("text")}) END AS n_words,
+       CASE WHEN role = 'system' THEN 'ValueError: not a reply' END AS error FROM conversations""")
+def trace_dead_letters(spark: SparkSession, sf: str) -> DataFrame:
+    schema = table(spark, sf, "conversations").schema
+    stream = jobs.read_stream(spark, sf, schema, name="conversations.parquet")
+    stored, failed = stateful.log_traces(stateful.measured_traces(stream, _measure, "n_words BIGINT"))
+    if failed:
+        raise RuntimeError(f"batches without a log: {failed}")
+    return stored.select("conv_id", "turn", "kind", "n_words", "error")
+
+
+def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Events in files by thirds of the month."""
     e = _with_steps(_records(spark, sf)).select("event_id", "user_id", "ts", "event_type", "day", "steps")
     path = files.shared_dir(spark, "events")
     for low, high in [(0, 10), (10, 20), (20, 31)]:
         day = F.dayofmonth("ts")
         e.where((day > low) & (day <= high)).write.mode("append").parquet(path)
-    stream = jobs.read_stream(spark, path, e.schema)
+    return jobs.read_stream(spark, path, e.schema)
+
+
+@query(_HISTORY_SQL)
+def stream_history_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Only sessions that a trigger changed are read or written by it."""
+    changes = stateful.history_changes(
+        _event_stream(spark, sf), ["user_id"], ["ts", "event_id"], "event_type", [], steps="steps")
+    stored = jobs.run_to_table(changes, "history-changes", "update", settings=stateful.STATE_STORE, number="batch")
+    return stateful.latest_histories(stored, ["user_id"]).select("user_id", "event_id", "event_type", "position")
+
+
+@query(_HISTORY_SQL)
+def stream_history(spark: SparkSession, sf: str) -> DataFrame:
+    stream = _event_stream(spark, sf)
     history = jobs.stream_history(stream, ["user_id"], "day", ["ts", "event_id"], "event_type", steps="steps")
     return history.select("user_id", "event_id", "event_type", "position")

@@ -2,12 +2,14 @@
 from __future__ import annotations
 
 import json
+import threading
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from textjobs.operators.parse import parse_display, trace_measures
 from textjobs.operators.session import recent_history
@@ -50,7 +52,7 @@ def accumulate(chunks: DataFrame, idle: str = "1 hour") -> DataFrame:
     ``unplaced``, their number in ``n_chunks`` and their text: nothing that
     came is lost.  A repeated chunk counts once, the first by text.
     """
-    wait = _milliseconds(idle)
+    wait = milliseconds(idle)
 
     def step(key, batches, state: GroupState):
         text, n, waiting = state.get if state.exists else ("", 0, "{}")
@@ -78,7 +80,7 @@ def accumulate(chunks: DataFrame, idle: str = "1 hour") -> DataFrame:
         step, TEXT_SCHEMA, "text STRING, n INT, waiting STRING", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def _milliseconds(interval: str) -> int:
+def milliseconds(interval: str) -> int:
     return int(pd.Timedelta(interval).total_seconds() * 1000)
 
 
@@ -100,38 +102,53 @@ def trace_log(generations: DataFrame, text: str, tag: str, latency_ms: str, mess
     )
 
 
-def run_to_table(stream: DataFrame, purpose: str, mode: str = "append", root: str | None = None) -> DataFrame:
+def run_to_table(stream: DataFrame, purpose: str, mode: str = "append", root: str | None = None,
+                 settings: dict[str, str] | None = None, number: str | None = None) -> DataFrame:
     """Runs a stream over what is available and reads what it gave.  Every
     batch has a folder of its own, so a repeated batch replaces itself; with
-    the same ``root`` a later run goes on where this one ended."""
+    the same ``root`` a later run goes on where this one ended.  ``number``
+    names a column for the number of a row's batch."""
     root = root or shared_dir(stream.sparkSession, purpose)
 
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/data/batch={number}")
 
-    run_batches(stream, store, f"{root}/checkpoint", mode)
+    run_batches(stream, store, f"{root}/checkpoint", mode, settings)
+    spark, schema = stream.sparkSession, stream.schema
     try:
-        return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/data/batch=*")
+        if number is None:
+            return spark.read.schema(schema).parquet(f"{root}/data/batch=*")
+        schema = StructType([*schema, StructField("batch", IntegerType())])
+        return spark.read.schema(schema).parquet(f"{root}/data").withColumnRenamed("batch", number)
     except AnalysisException as e:  # no batch yet
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return stream.sparkSession.createDataFrame([], stream.schema)
-
-
-def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Runs every available batch.  Batches without data, which time-outs ask
-    for, would follow each other without an end: state that has timed out ends
-    with the next batch of data."""
-    conf, empty = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = conf.get(empty)
-    conf.set(empty, "false")
-    try:
-        query = (
-            stream.writeStream.foreachBatch(handle).outputMode(mode)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        )
-    finally:
-        conf.set(empty, before)
+        return spark.createDataFrame([], schema)
+
+
+#: A query copies the session's settings when it starts; one start at a time changes them.
+_starting = threading.Lock()
+
+
+def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append",
+                settings: dict[str, str] | None = None) -> None:
+    """Runs every available batch, with ``settings`` for this query alone.
+    Batches without data, which time-outs ask for, would follow each other
+    without an end: state that has timed out ends with the next batch of data."""
+    conf = stream.sparkSession.conf
+    wanted = {"spark.sql.streaming.noDataMicroBatches.enabled": "false", **(settings or {})}
+    with _starting:
+        before = {k: conf.get(k, None) for k in wanted}
+        for k, v in wanted.items():
+            conf.set(k, v)
+        try:
+            query = (
+                stream.writeStream.foreachBatch(handle).outputMode(mode)
+                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+            )
+        finally:
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
     query.awaitTermination()
 
 

@@ -191,6 +191,29 @@ def test_chat_and_span(spark):
     assert none["skipped"] and none["target_start"] is None
 
 
+def test_conversation_fragments_hold_every_turn(spark):
+    turns = [("long", i, ("system", "user", "assistant")[i % 3] if i else "system", f" text {i} ") for i in range(25)]
+    turns += [("short", 5, "user", "u"), ("short", 9, None, "x"), ("short", 9, "assistant", None), ("short", 9, "assistant", None), (None, None, "user", "n")]
+    df = spark.createDataFrame(turns, "c string, t int, role string, text string").repartition(3)
+    parts = formatting.conversation_fragments(df, "c", ["t"], "role", "text", 4)
+    rows = parts.where("c = 'long'").orderBy("fragment").collect()
+    assert [(r["fragment"], r["first_message"], len(r["messages"])) for r in rows] == [(i, 4 * i, 4 if i < 6 else 1) for i in range(7)]
+    assert [m["content"] for r in rows for m in r["messages"]] == [f" text {i} " for i in range(25)]
+    whole = formatting.whole_conversations(parts, "c").withColumn("again", formatting.render_chat(F.col("messages"))).collect()
+    assert {r["c"]: len(r["messages"]) for r in whole} == {"long": 25, "short": 4, None: 1}
+    assert all(r["chat"] == r["again"] for r in whole)
+    short = next(r for r in whole if r["c"] == "short")
+    assert [tuple(m) for m in short["messages"]] == [("user", "u"), ("", "x"), ("assistant", ""), ("assistant", "")]
+    assert formatting.conversation_fragments(df.limit(0), "c", ["t"], "role", "text").count() == 0
+
+
+def test_places_of_one_key_are_counted_over_segments(spark):
+    df = spark.range(2000).select(F.lit("k").alias("k"), (F.col("id") * 7919 % 2000).alias("o"))
+    placed = ordered.row_places(df, ["k"], ["o"], "place")
+    assert placed.where("place <> o").count() == 0
+    assert ordered.segmented(df, ["k"], ["o"]).select("_segment").distinct().count() > 1
+
+
 def test_round_trip_of_response_and_parse(spark):
     from textjobs.operators.parse import parse_sections
     df = spark.createDataFrame([("Dal", "1 cup dal, salt", "Boil.\nEat.")], "n string, i string, b string")

@@ -9,6 +9,7 @@ from textjobs.functions.fixed import (
     HEADER_OPEN, SYSTEM_PROMPT,
 )
 from textjobs.functions.text import article, as_col, not_blank, wstrip
+from textjobs.operators.ordered import row_places
 
 
 def request_text(name: Column, cuisine: Column, diet: Column, course: Column) -> Column:
@@ -97,6 +98,10 @@ def messages(system: Column | str, user: Column | str, assistant: Column | str |
     ])
 
 
+def _chat_block(role: Column, content: Column) -> Column:
+    return F.concat(F.lit(HEADER_OPEN), role, F.lit(HEADER_CLOSE + "\n\n"), content, F.lit(END_TURN))
+
+
 def render_chat(msgs: Column, opener: bool = False, date: str = DEFAULT_CHAT_DATE) -> Column:
     """Chat text of a message array: the system block with its date lines is
     always first, contents are stripped, an opener may ask for an answer."""
@@ -104,11 +109,8 @@ def render_chat(msgs: Column, opener: bool = False, date: str = DEFAULT_CHAT_DAT
     system = F.when(first_is_system, wstrip(F.get(msgs, F.lit(0))["content"])).otherwise("")
     rest = F.when(first_is_system, F.slice(msgs, F.lit(2), F.size(msgs))).otherwise(msgs)
 
-    def block(role: Column, content: Column) -> Column:
-        return F.concat(F.lit(HEADER_OPEN), role, F.lit(HEADER_CLOSE + "\n\n"), content, F.lit(END_TURN))
-
-    head = block(F.lit("system"), F.concat(F.lit(f"{CUTOFF_LINE}Today Date: {date}\n\n"), system))
-    body = F.array_join(F.transform(rest, lambda m: block(m["role"], wstrip(m["content"]))), "")
+    head = _chat_block(F.lit("system"), F.concat(F.lit(f"{CUTOFF_LINE}Today Date: {date}\n\n"), system))
+    body = F.array_join(F.transform(rest, lambda m: _chat_block(m["role"], wstrip(m["content"]))), "")
     return F.concat(F.lit(BEGIN_TEXT), head, body, F.lit(ASSISTANT_OPENER if opener else ""))
 
 
@@ -123,3 +125,39 @@ def completion_span(df: DataFrame, text: str) -> DataFrame:
     })
 
 
+
+
+def conversation_fragments(turns: DataFrame, conversation: str, order: list[str], role: str, text: str, size: int = 64,
+                           date: str = DEFAULT_CHAT_DATE) -> DataFrame:
+    """Every conversation as fragments of ``size`` messages in order, so a
+    conversation of any length is a matter of rows, never of one row.
+
+    A row has the conversation, ``fragment`` and ``first_message`` from zero,
+    ``messages`` (role and content as they are) and ``chat``: the text of its
+    part of the chat.  The chats of a conversation's fragments, joined in order,
+    are what ``render_chat`` gives for all its messages: fragment 0 starts with
+    the system block, which holds the first message if that is the system's.
+    No turn is left out: a null role is an empty one, a null text an empty
+    content.  Turns with equal places in ``order`` follow by role and text;
+    null is a conversation like others.
+    """
+    rows = turns.select(
+        F.col(conversation).alias("_c"), F.struct(*order).alias("_o"),
+        F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("content"))
+    placed = row_places(rows, ["_c"], ["_o"], "_at", ("role", "content"))
+    message = F.struct(F.col("_at").alias("at"), "role", "content")
+    grouped = placed.groupBy("_c", F.floor(F.col("_at") / size).alias("fragment")).agg(
+        F.array_sort(F.collect_list(message)).alias("_m"))
+    msgs = F.transform("_m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    shown = grouped.select(F.col("_c").alias(conversation), "fragment", (F.col("fragment") * size).alias("first_message"), msgs.alias("messages"))
+    chat = F.when(F.col("fragment") == 0, render_chat(F.col("messages"), date=date)).otherwise(
+        F.array_join(F.transform("messages", lambda m: _chat_block(m["role"], wstrip(m["content"]))), ""))
+    return shown.withColumn("chat", chat)
+
+
+def whole_conversations(fragments: DataFrame, conversation: str) -> DataFrame:
+    """One row per conversation, for callers who know theirs to be short."""
+    parts = F.array_sort(F.collect_list(F.struct("fragment", "messages", "chat")))
+    return fragments.groupBy(conversation).agg(parts.alias("_p")).select(
+        conversation, F.flatten(F.transform("_p", lambda p: p["messages"])).alias("messages"),
+        F.array_join(F.transform("_p", lambda p: p["chat"]), "").alias("chat"))

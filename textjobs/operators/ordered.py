@@ -70,3 +70,20 @@ def latest_per_key(df: DataFrame, keys: list[str], bucket: str | None, order: li
     cut = cut.where(F.col("_r") <= n).drop("_r")
     ranked = cut.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*newest)))
     return ranked.where(F.col(rank) <= n)
+
+
+def row_places(df: DataFrame, keys: list[str], order: list[str], name: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the place of each row in its key, from zero, whatever the size of
+    the key: rows are numbered inside segments cut by counts, and the numbers
+    of the segments before are added to them.  ``ties`` order rows that are
+    equal in ``order`` and do not cut segments, so they may be long texts.
+    Equal rows get different places in no fixed order; null keys are a key."""
+    cut = segmented(df, keys, order)
+    group = F.struct(*keys, "_segment")
+    rows = cut.withColumn("_g", group)
+    sizes = rows.groupBy("_g").agg(F.count("*").alias("_n"))  # one row per key and segment
+    before = Window.partitionBy(*[f"_g.{k}" for k in keys]).orderBy("_g._segment").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    here = Window.partitionBy("_g").orderBy(*order, *ties)
+    numbered = rows.withColumn("_i", F.row_number().over(here) - 1)
+    return numbered.join(starts, "_g").select(*df.columns, (F.col("_i") + F.col("_before")).alias(name))

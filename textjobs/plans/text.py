@@ -161,6 +161,46 @@ def generation_prompt(spark: SparkSession, sf: str) -> DataFrame:
                      F.endswith(chat, F.lit(ASSISTANT_OPENER)).alias("opened"))
 
 
+def _whole_block_sql(role: str, content: str) -> str:
+    return f"'<|start_header_id|>' || {role} || '<|end_header_id|>' || chr(10) || chr(10) || {content} || '<|eot_id|>'"
+
+
+_FRAGMENT = 2
+_MESSAGES_SQL = f"""
+placed AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS content,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) - 1 AS pos FROM conversations),
+blocks AS (SELECT *, '<|begin_of_text|>' || {_whole_block_sql("'system'", f"""'Cutting Knowledge Date: December 2023' || chr(10)
+    || 'Today Date: 26 Jul 2024' || chr(10) || chr(10) || CASE WHEN role = 'system' THEN {sql_strip("content")} ELSE '' END""")} AS head,
+  {_whole_block_sql("role", sql_strip("content"))} AS block FROM placed),
+shown AS (SELECT *, CASE WHEN pos > 0 THEN block WHEN role = 'system' THEN head ELSE head || block END AS chat FROM blocks)"""
+
+
+@query(f"""
+WITH {_MESSAGES_SQL}
+SELECT conv_id, pos // {_FRAGMENT} AS fragment, pos // {_FRAGMENT} * {_FRAGMENT} AS first_message, count(*) AS n_messages,
+       string_agg(role || '=' || content, chr(10) ORDER BY pos) AS messages, string_agg(chat, '' ORDER BY pos) AS chat
+FROM shown GROUP BY conv_id, pos // {_FRAGMENT}""")
+def conversation_fragments(spark: SparkSession, sf: str) -> DataFrame:
+    """All turns of all conversations, two to a fragment."""
+    parts = formatting.conversation_fragments(table(spark, sf, "conversations"), "conv_id", ["turn"], "role", "text", _FRAGMENT)
+    return parts.select("conv_id", "fragment", "first_message", F.size("messages").alias("n_messages"),
+                        _shown_messages().alias("messages"), "chat")
+
+
+def _shown_messages() -> Column:
+    return F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("="), m["content"])), "\n")
+
+
+@query(f"""
+WITH {_MESSAGES_SQL}
+SELECT conv_id, count(*) AS n_messages, string_agg(role || '=' || content, chr(10) ORDER BY pos) AS messages,
+       string_agg(chat, '' ORDER BY pos) AS chat FROM shown GROUP BY conv_id""")
+def whole_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    parts = formatting.conversation_fragments(table(spark, sf, "conversations"), "conv_id", ["turn"], "role", "text", _FRAGMENT)
+    whole = formatting.whole_conversations(parts, "conv_id")
+    return whole.select("conv_id", F.size("messages").alias("n_messages"), _shown_messages().alias("messages"), "chat")
+
+
 # ---- section parse ------------------------------------------------------
 
 @query(f"""

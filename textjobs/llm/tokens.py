@@ -97,16 +97,16 @@ def pieces(data: np.ndarray, offsets: np.ndarray, special: np.ndarray | None = N
 
 class PieceEncoder:
     """Ids of pieces, with a table of the pieces that this worker has seen.
-    The table is emptied when it holds ``max_pieces``."""
+    The table is emptied when it holds ``max_pieces`` or ``max_ids``."""
 
-    def __init__(self, path: str, drop_space: bool, max_pieces: int = 500_000, special_tokens: bool = False):
+    def __init__(self, path: str, drop_space: bool, max_pieces: int = 500_000, special_tokens: bool = False, max_ids: int = 1 << 24):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special_tokens
         self.special = added_tokens(path) if special_tokens else None
-        self.drop_space, self.max_pieces = drop_space, max_pieces
+        self.drop_space, self.max_pieces, self.max_ids = drop_space, max_pieces, max_ids
         self.clear()
 
     def clear(self) -> None:
@@ -118,7 +118,7 @@ class PieceEncoder:
         """Encodes distinct pieces."""
         ids = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in own], add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))
         first = len(self.entries)
         self.start, self.length = _grown(self.start, first + len(ids)), _grown(self.length, first + len(ids))
         self.flat = _grown(self.flat, self.n_ids + len(flat))
@@ -130,7 +130,7 @@ class PieceEncoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows one after the other, ids before each row)."""
-        if len(self.entries) > self.max_pieces:
+        if len(self.entries) > self.max_pieces or self.n_ids > self.max_ids:
             self.clear()
         starts, ends, first = pieces(data, offsets, self.special and special_spans(self.special, data, offsets))
         if self.drop_space:
@@ -145,8 +145,10 @@ class PieceEncoder:
         entry = entry[number]
         lengths = self.length[entry].astype(np.int64)
         before = np.concatenate(([0], np.cumsum(lengths)))
-        where = np.repeat(self.start[entry] - before[:-1], lengths) + np.arange(before[-1])
-        return self.flat[where], before[first]
+        narrow = np.int32 if max(self.n_ids, int(before[-1])) < 1 << 31 else np.int64
+        where = np.repeat((self.start[entry] - before[:-1]).astype(narrow), lengths)
+        where += np.arange(before[-1], dtype=narrow)
+        return self.flat.take(where), before[first]
 
 
 def _grown(a: np.ndarray, n: int) -> np.ndarray:

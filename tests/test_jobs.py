@@ -207,6 +207,23 @@ def test_conversation_fragments_hold_every_turn(spark):
     assert formatting.conversation_fragments(df.limit(0), "c", ["t"], "role", "text").count() == 0
 
 
+def test_turn_messages_keep_every_turn_in_its_context(spark):
+    turns = [("a", 0, "system", "be kind"), ("a", 1, "user", "q1"), ("a", 2, "assistant", "r1"), ("a", 3, "assistant", "r2"),
+             ("a", 4, "system", None), ("a", 5, "system", "be brief"), ("a", 6, "user", "q2"), ("b", 0, "assistant", "alone"),
+             ("b", 1, None, "who"), ("b", 2, "assistant", None), (None, 0, "user", "n")]
+    df = spark.createDataFrame(turns, "c string, t int, role string, text string").withColumn("messages_of", F.lit(1)).repartition(3)
+    rows = formatting.turn_messages(df, "c", ["t"], "role", "text").collect()
+    got = {(r["c"], r["t"]): "; ".join(f"{m['role']}={m['content']}" for m in r["messages"]) for r in rows}
+    assert got == {
+        ("a", 0): "system=be kind", ("a", 1): "system=be kind; user=q1", ("a", 2): "system=be kind; user=q1; assistant=r1",
+        ("a", 3): "system=be kind; assistant=r2", ("a", 4): "system=", ("a", 5): "system=be brief", ("a", 6): "system=be brief; user=q2",
+        ("b", 0): "assistant=alone", ("b", 1): "=who", ("b", 2): "assistant=", (None, 0): "user=n"}
+    assert {(r["c"], r["t"]): r["before"] for r in rows}[("a", 3)] == "r1"
+    long = spark.range(3000).select(F.lit("k").alias("c"), "id", F.when(F.col("id") == 0, "system").otherwise("user").alias("role"), F.lit("x").alias("text"))
+    assert formatting.turn_messages(long, "c", ["id"], "role", "text").where(F.size("messages") == 2).count() == 2999
+    assert formatting.turn_messages(df.limit(0), "c", ["t"], "role", "text").count() == 0
+
+
 def test_places_of_one_key_are_counted_over_segments(spark):
     df = spark.range(2000).select(F.lit("k").alias("k"), (F.col("id") * 7919 % 2000).alias("o"))
     placed = ordered.row_places(df, ["k"], ["o"], "place")

@@ -9,7 +9,7 @@ from textjobs.functions.fixed import (
     HEADER_OPEN, SYSTEM_PROMPT,
 )
 from textjobs.functions.text import article, as_col, not_blank, wstrip
-from textjobs.operators.ordered import row_places
+from textjobs.operators.ordered import carry_forward, row_places
 
 
 def request_text(name: Column, cuisine: Column, diet: Column, course: Column) -> Column:
@@ -125,6 +125,30 @@ def completion_span(df: DataFrame, text: str) -> DataFrame:
     })
 
 
+def turn_messages(turns: DataFrame, conversation: str, order: list[str], role: str, text: str) -> DataFrame:
+    """Every turn with the training example that ends in it.
+
+    Adds ``system`` (the latest system text up to the turn, null when there is
+    none), ``before_role`` and ``before`` (the turn in front of it, null for
+    the first) and ``messages``: the system text in force; for an answer the
+    user's turn in front of it; the turn itself.  So a system turn is a message
+    of its own, a user turn an open chat and an answer a whole exchange; no turn
+    is left out.  A null role is an empty one; a null text is an empty content,
+    and as a system text it leaves the one before in force.  A conversation of
+    any length is cut into segments by counts.
+    """
+    is_system = F.coalesce(F.col(role) == "system", F.lit(False))
+    turn = F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("content"))
+    carried = carry_forward(turns, [conversation], None, [*order, role], [F.when(is_system, F.col(text)), turn],
+                            ["_system", "_before"], include_current=False)
+    named = carried.withColumns({
+        "system": F.when(is_system, F.coalesce(text, "_system")).otherwise(F.col("_system")),
+        "before_role": F.col("_before.role"), "before": F.col("_before.content")})
+    asked = (F.col(role) == "assistant") & (F.col("_before.role") == "user")
+    in_force = F.struct(F.lit("system").alias("role"), F.col("system").alias("content"))
+    parts = F.array_compact(F.array(
+        F.when(F.col("system").isNotNull() & ~is_system, in_force), F.when(asked, F.col("_before")), turn))
+    return named.withColumn("messages", parts).drop("_system", "_before")
 
 
 def conversation_fragments(turns: DataFrame, conversation: str, order: list[str], role: str, text: str, size: int = 64,

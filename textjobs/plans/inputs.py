@@ -84,9 +84,9 @@ ev AS (SELECT a.doc_id AS row_index, a.lang AS model_id, a.recipe AS reference_t
 # ---- recipes from conversations -----------------------------------------
 
 def conv_eval(spark: SparkSession, sf: str) -> DataFrame:
-    """Reference: an assistant turn as a recipe; generated: the next assistant
-    turn of the conversation; model: the turn number."""
-    c = texts(spark, sf, "conversations").where(F.col("role") == "assistant")
+    """Reference: every turn as a recipe; generated: the turn after the next,
+    the same speaker's; model: the turn number."""
+    c = texts(spark, sf, "conversations")
     style = (F.when(F.col("turn") == 1, "bullet").when(F.col("turn") == 3, "comma")
              .when(F.col("turn") == 5, "hash").otherwise("untitled"))
     title = F.concat(F.lit("Dish "), F.col("conv_id").cast("string"))
@@ -101,7 +101,7 @@ def conv_eval(spark: SparkSession, sf: str) -> DataFrame:
 CONV_EVAL_SQL = f"""
 conv_recipes AS (SELECT conv_id, turn, {sql_recipe("('Dish ' || conv_id)", "text", "style")} AS recipe
   FROM (SELECT *, CASE turn WHEN 1 THEN 'bullet' WHEN 3 THEN 'comma' WHEN 5 THEN 'hash' ELSE 'untitled' END AS style
-        FROM conversations WHERE role = 'assistant')),
+        FROM conversations)),
 ev AS (SELECT a.conv_id * 1000 + a.turn AS row_index, 'turn ' || a.turn AS model_id, a.recipe AS reference_text,
               b.recipe AS generated_text
        FROM conv_recipes a LEFT JOIN conv_recipes b ON b.conv_id = a.conv_id AND b.turn = a.turn + 2)"""

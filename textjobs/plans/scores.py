@@ -9,7 +9,7 @@ from textjobs.plans.inputs import (
     CONV_EVAL_SQL, conv_eval, doc_eval, sql_normalised, sql_parse, sql_words, words,
 )
 from textjobs.plans.registry import query, sql_tokens, table, texts
-from textjobs.plans.text import LINE_ITEMS_SQL, _exchanges, _EXCHANGES_SQL, line_items
+from textjobs.plans.text import LINE_ITEMS_SQL, _turns, _TURNS_SQL, line_items
 from textjobs.sources.files import save_and_reread
 
 # ---- SQL pieces ---------------------------------------------------------
@@ -142,7 +142,7 @@ def item_f1(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_EXCHANGES_SQL}, w AS (SELECT conv_id, turn, {sql_words("assistant")} AS g, {sql_words('"user"')} AS r FROM ex)
+WITH {_TURNS_SQL}, w AS (SELECT conv_id, turn, {sql_words("text")} AS g, {sql_words("coalesce(before, '')")} AS r FROM tn)
 SELECT conv_id, turn, round_even(len(list_intersect(g, r)) / nullif(len(g), 0), 4) AS "precision",
        round_even(len(list_intersect(g, r)) / nullif(len(r), 0), 4) AS recall FROM w""")
 def legacy_pr(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,22 +150,23 @@ def legacy_pr(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _word_scores(spark: SparkSession, sf: str) -> DataFrame:
-    ex = _exchanges(spark, sf).withColumns({"g": words(F.col("assistant")), "r": words(F.col("user"))})
-    return score.legacy_scores(ex, "g", "r")
+    """Every turn against the one before it; the first of a conversation has none."""
+    rows = _turns(spark, sf).withColumns({"g": words(F.col("text")), "r": words(F.coalesce("before", F.lit("")))})
+    return score.legacy_scores(rows, "g", "r")
 
 
 @query(f"""
-WITH {_EXCHANGES_SQL}, w AS (SELECT turn, {sql_words("assistant")} AS g, {sql_words('"user"')} AS r FROM ex),
+WITH {_TURNS_SQL}, w AS (SELECT turn, {sql_words("text")} AS g, {sql_words("coalesce(before, '')")} AS r FROM tn),
 s AS (SELECT turn, round_even(len(list_intersect(g, r)) / nullif(len(g), 0), 4) AS p,
              round_even(len(list_intersect(g, r)) / nullif(len(r), 0), 4) AS q FROM w),
-ek AS (SELECT conv_id * 1000 + turn AS id, * FROM ex), {sql_counts("x", "ek", "id", "assistant", '"user"')},
+ek AS (SELECT conv_id * 1000 + turn AS id, * FROM tn), {sql_counts("x", "ek", "id", "text", "before")},
 b AS (SELECT turn, {_SENTENCE} AS bleu FROM x_counts JOIN ek ON id = key)
 SELECT turn, count(*) AS n_rows, {_mean("p")} AS avg_precision, {_mean("q")} AS avg_recall,
        (SELECT {_mean("bleu")} FROM b WHERE b.turn = s.turn) AS avg_bleu_sentence
 FROM s GROUP BY turn""")
 def prompt_means(spark: SparkSession, sf: str) -> DataFrame:
     """Word precision, recall and BLEU per turn number, which stands for the prompt template."""
-    scored = score.sentence_bleu(score.ngram_matches(_word_scores(spark, sf), "assistant", "user"))
+    scored = score.sentence_bleu(score.ngram_matches(_word_scores(spark, sf), "text", "before"))
     return score.prompt_means(scored, "turn", ["precision", "recall", "bleu_sentence"])
 
 
@@ -184,11 +185,12 @@ def line_bleu(spark: SparkSession, sf: str) -> DataFrame:
 # ---- text scores --------------------------------------------------------
 
 @query(f"""
-WITH RECURSIVE {_EXCHANGES_SQL}, ek AS (SELECT conv_id * 1000 + turn AS id, * FROM ex), {sql_rouge("x", "ek", "id", "assistant", '"user"')}
+WITH RECURSIVE {_TURNS_SQL}, ek AS (SELECT conv_id * 1000 + turn AS id, * FROM tn), {sql_rouge("x", "ek", "id", "text", "before")}
 SELECT key AS row_index, rouge_l FROM x_rouge""")
 def rouge_l(spark: SparkSession, sf: str) -> DataFrame:
-    ex = _exchanges(spark, sf).withColumn("row_index", F.col("conv_id") * 1000 + F.col("turn"))
-    return score.rouge_l(ex, "assistant", "user", stem=False).select("row_index", "rouge_l")
+    """Every turn against the one before it."""
+    rows = _turns(spark, sf).withColumn("row_index", F.col("conv_id") * 1000 + F.col("turn"))
+    return score.rouge_l(rows, "text", "before", stem=False).select("row_index", "rouge_l")
 
 
 def _neighbours(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textjobs.functions.fixed import (
-    ADAPTATION_FRAME, ADAPTATIONS, ASSISTANT_OPENER, COURSES, REGIONS, SEED_SETS, SYSTEM_PROMPT,
+    ADAPTATION_FRAME, ADAPTATIONS, ASSISTANT_OPENER, COURSES, DIETS, REGIONS, SEED_SETS, SYSTEM_PROMPT,
 )
 from textjobs.functions.text import WS, wstrip
 from textjobs.operators import formatting, parse, session
@@ -89,80 +89,73 @@ def template_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- chat ---------------------------------------------------------------
 
-def _exchanges(spark: SparkSession, sf: str) -> DataFrame:
-    """Each assistant turn with the user turn before it, when there is one."""
-    c = table(spark, sf, "conversations")
-    user = c.where(F.col("role") == "user").select(
-        "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("user"))
-    answer = c.where(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("assistant"))
-    return answer.join(user, ["conv_id", "turn"])
+def _turns(spark: SparkSession, sf: str) -> DataFrame:
+    """All turns of all conversations, each with the example that ends in it."""
+    return formatting.turn_messages(table(spark, sf, "conversations"), "conv_id", ["turn"], "role", "text")
 
 
-_EXCHANGES_SQL = """
-ex AS (SELECT a.conv_id, a.turn, u.text AS "user", a.text AS assistant FROM conversations a
-       JOIN conversations u ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn
-       WHERE a.role = 'assistant' AND u.role = 'user')"""
+_TURNS_SQL = """
+tn AS (SELECT conv_id, turn, role, text, lag(role) OVER w AS before_role, lag(text) OVER w AS before,
+              last_value(CASE WHEN role = 'system' THEN text END IGNORE NULLS) OVER w AS system
+       FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
+
+
+def _shown_messages() -> Column:
+    return F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("="), m["content"])), "\n")
 
 
 @query(f"""
-WITH {_EXCHANGES_SQL}
-SELECT conv_id, turn, 3 AS n_messages, 'system=' || {_quoted(SYSTEM_PROMPT)} || chr(10) || 'user=' || "user" || chr(10)
-       || 'assistant=' || assistant AS messages FROM ex""")
+WITH {_TURNS_SQL},
+x AS (SELECT conv_id, turn, list_filter([CASE WHEN role <> 'system' THEN 'system=' || system END,
+        CASE WHEN role = 'assistant' AND before_role = 'user' THEN 'user=' || before END, role || '=' || text], lambda m: m IS NOT NULL) AS m FROM tn)
+SELECT conv_id, turn, len(m) AS n_messages, array_to_string(m, chr(10)) AS messages FROM x""")
 def to_messages(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _exchanges(spark, sf).withColumn("m", formatting.messages(F.lit(SYSTEM_PROMPT), "user", "assistant"))
-    text = F.array_join(F.transform("m", lambda m: F.concat(m["role"], F.lit("="), m["content"])), "\n")
-    return rows.select("conv_id", "turn", F.size("m").alias("n_messages"), text.alias("messages"))
+    return _turns(spark, sf).select("conv_id", "turn", F.size("messages").alias("n_messages"), _shown_messages().alias("messages"))
 
 
-def _block_sql(role: str, content: str) -> str:
-    return f"'<|start_header_id|>{role}<|end_header_id|>' || chr(10) || chr(10) || {content} || '<|eot_id|>'"
+def _whole_block_sql(role: str, content: str) -> str:
+    return f"'<|start_header_id|>' || {role} || '<|end_header_id|>' || chr(10) || chr(10) || {content} || '<|eot_id|>'"
 
 
-_SYSTEM_SQL = _block_sql("system", f"""'Cutting Knowledge Date: December 2023' || chr(10) || 'Today Date: 26 Jul 2024'
-    || chr(10) || chr(10) || CASE WHEN turn = 1 THEN {_quoted(SYSTEM_PROMPT)} ELSE '' END""")
-_CHAT_SQL = f"""
-chats AS (SELECT conv_id, turn, assistant, '<|begin_of_text|>' || {_SYSTEM_SQL} || {_block_sql("user", sql_strip('"user"'))}
-          || CASE WHEN turn < 5 THEN {_block_sql("assistant", sql_strip("assistant"))} ELSE '' END AS chat FROM ex)"""
+def _chat_sql(last: str) -> str:
+    """CTE ``chats``: the chat of every turn's example; ``last`` is the condition under which the turn itself is in it."""
+    head = _whole_block_sql("'system'", f"""'Cutting Knowledge Date: December 2023' || chr(10) || 'Today Date: 26 Jul 2024'
+    || chr(10) || chr(10) || coalesce({sql_strip("system")}, '')""")
+    asked = _whole_block_sql("'user'", sql_strip("before"))
+    return f"""
+chats AS (SELECT conv_id, turn, role, text, '<|begin_of_text|>' || {head}
+          || CASE WHEN role = 'assistant' AND before_role = 'user' THEN {asked} ELSE '' END
+          || CASE WHEN {last} THEN {_whole_block_sql("role", sql_strip("text"))} ELSE '' END AS chat FROM tn)"""
+
+
+_CHAT_SQL = _chat_sql("role <> 'system'")
 
 
 def _chats(spark: SparkSession, sf: str) -> DataFrame:
-    ex = _exchanges(spark, sf).withColumn("user", F.concat(F.lit(" "), "user", F.lit("\n")))
-    full = formatting.messages(F.lit(SYSTEM_PROMPT), "user", "assistant")
-    # later turns come without a system message, the last ones without an answer
-    rest = F.slice(full, 2, 2)
-    chosen = F.when(F.col("turn") == 1, full).when(F.col("turn") < 5, rest).otherwise(F.slice(full, 2, 1))
-    return ex.withColumn("m", chosen).select("conv_id", "turn", "assistant", formatting.render_chat(F.col("m")).alias("chat"))
+    return _turns(spark, sf).select("conv_id", "turn", formatting.render_chat(F.col("messages")).alias("chat"))
 
 
-@query(f"WITH {_EXCHANGES_SQL}, {_CHAT_SQL} SELECT conv_id, turn, chat FROM chats")
+@query(f"WITH {_TURNS_SQL}, {_CHAT_SQL} SELECT conv_id, turn, chat FROM chats")
 def render_chat(spark: SparkSession, sf: str) -> DataFrame:
-    return _chats(spark, sf).select("conv_id", "turn", "chat")
+    return _chats(spark, sf)
 
 
 @query(f"""
-WITH {_EXCHANGES_SQL}, {_CHAT_SQL}
-SELECT conv_id, turn, CASE WHEN turn < 5 THEN length(chat) - length({sql_strip("assistant")}) - 10 END AS target_start,
-       CASE WHEN turn < 5 THEN length({sql_strip("assistant")}) + 10 END AS target_length, turn >= 5 AS skipped FROM chats""")
+WITH {_TURNS_SQL}, {_CHAT_SQL}, x AS (SELECT *, length({sql_strip("text")}) + 10 AS n FROM chats)
+SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN length(chat) - n END AS target_start,
+       CASE WHEN role = 'assistant' THEN n END AS target_length, role <> 'assistant' AS skipped FROM x""")
 def completion_span(spark: SparkSession, sf: str) -> DataFrame:
     spans = formatting.completion_span(_chats(spark, sf), "chat")
     return spans.select("conv_id", "turn", "target_start", "target_length", "skipped")
 
 
 @query(f"""
-WITH {_EXCHANGES_SQL}
-SELECT conv_id, turn, length({sql_strip('"user"')}) + {len(ASSISTANT_OPENER)} AS tail,
-       true AS opened FROM ex""")
+WITH {_TURNS_SQL}, {_chat_sql("role NOT IN ('system', 'assistant')")}
+SELECT conv_id, turn, chat || {_quoted(ASSISTANT_OPENER)} AS prompt FROM chats""")
 def generation_prompt(spark: SparkSession, sf: str) -> DataFrame:
-    """Prompts that end in the assistant opener; its place follows the user text."""
-    ex = _exchanges(spark, sf)
-    chat = formatting.render_chat(formatting.messages(F.lit(SYSTEM_PROMPT), "user"), opener=True)
-    after_header = F.substring_index(chat, "<|start_header_id|>user<|end_header_id|>\n\n", -1)
-    return ex.select("conv_id", "turn", (F.length(after_header) - len("<|eot_id|>")).alias("tail"),
-                     F.endswith(chat, F.lit(ASSISTANT_OPENER)).alias("opened"))
-
-
-def _whole_block_sql(role: str, content: str) -> str:
-    return f"'<|start_header_id|>' || {role} || '<|end_header_id|>' || chr(10) || chr(10) || {content} || '<|eot_id|>'"
+    """What a model is asked at every turn: its example without the answer, and the assistant's opener."""
+    asked = F.filter("messages", lambda m: m["role"] != "assistant")
+    return _turns(spark, sf).select("conv_id", "turn", formatting.render_chat(asked, opener=True).alias("prompt"))
 
 
 _FRAGMENT = 2
@@ -187,10 +180,6 @@ def conversation_fragments(spark: SparkSession, sf: str) -> DataFrame:
                         _shown_messages().alias("messages"), "chat")
 
 
-def _shown_messages() -> Column:
-    return F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("="), m["content"])), "\n")
-
-
 @query(f"""
 WITH {_MESSAGES_SQL}
 SELECT conv_id, count(*) AS n_messages, string_agg(role || '=' || content, chr(10) ORDER BY pos) AS messages,
@@ -330,13 +319,39 @@ def extract_title(spark: SparkSession, sf: str) -> DataFrame:
     return doc_recipes(spark, sf).select("doc_id", parse.display_title(F.col("recipe")).alias("title"))
 
 
+def sql_word(options: list[str]) -> str:
+    """The first of the words in ``t``, between characters that are no letters or digits."""
+    edge = r"[^\p{L}\p{N}_]"
+    return f"nullif(regexp_extract(t, '(?i)(?:^|{edge})({'|'.join(options)})(?:{edge}|$)', 1), '')"
+
+
+_NOTED_SQL = f"""
+noted AS (SELECT doc_id, recipe || chr(10) || chr(10) || '**Notes:**' || chr(10) || 'A ' || CASE lang WHEN 'en' THEN 'vegan' WHEN 'fr'
+  THEN 'Non-Vegetarian' WHEN 'de' THEN 'Jain' ELSE 'plain' END || ' ' || CASE doc_id % 3 WHEN 0 THEN 'north indian' WHEN 1 THEN 'Goan'
+  ELSE 'homely' END || CASE WHEN doc_id % 2 = 0 THEN ' side dish' ELSE ' meal' END || '. Total Time: ' || (doc_id % 95 + 1)
+  || CASE WHEN doc_id % 5 = 0 THEN ' hours' ELSE ' mins' END || '. Spice level: ' || (doc_id % 10) AS noted FROM doc_recipes)"""
+
+
 @query(f"""
-WITH {DOC_RECIPES_SQL}, {sql_display("doc_recipes", "doc_id", "recipe")}
-SELECT key AS doc_id, title, items, steps, CAST(NULL AS INT) AS time_mins FROM shown""")
+WITH {DOC_RECIPES_SQL}, {_NOTED_SQL}, {sql_display("noted", "doc_id", "noted")},
+m AS (SELECT doc_id, {sql_strip("noted")} AS t FROM noted),
+w AS (SELECT doc_id, {sql_word(REGIONS)} AS region, lower({sql_word(DIETS)}) AS d, {sql_word(COURSES)} AS course FROM m)
+SELECT key AS doc_id, title, items, steps, region, CASE WHEN contains(d, 'vegan') THEN 'Vegan' WHEN contains(d, 'jain') THEN 'Jain'
+       WHEN contains(d, 'non') THEN 'Non-Vegetarian' WHEN d IS NOT NULL THEN 'Vegetarian' END AS diet,
+       CASE WHEN key % 5 = 0 THEN 60 ELSE 1 END * (key % 95 + 1) AS time_mins, least(5, key % 10) AS spice_level, course
+FROM shown JOIN w ON w.doc_id = key""")
 def parse_display(spark: SparkSession, sf: str) -> DataFrame:
-    shown = parse.parse_display(doc_recipes(spark, sf), "recipe", ["doc_id"])
+    """Whole recipes with a line of notes, which names what the metadata are read from."""
+    i, lang = F.col("doc_id"), F.col("lang")
+    diet = F.when(lang == "en", "vegan").when(lang == "fr", "Non-Vegetarian").when(lang == "de", "Jain").otherwise("plain")
+    region = F.when(i % 3 == 0, "north indian").when(i % 3 == 1, "Goan").otherwise("homely")
+    notes = F.concat(
+        F.lit("A "), diet, F.lit(" "), region, F.when(i % 2 == 0, " side dish").otherwise(" meal"), F.lit(". Total Time: "),
+        (i % 95 + 1).cast("string"), F.when(i % 5 == 0, " hours").otherwise(" mins"), F.lit(". Spice level: "), (i % 10).cast("string"))
+    noted = doc_recipes(spark, sf).withColumn("recipe", F.concat("recipe", F.lit("\n\n**Notes:**\n"), notes))
+    shown = parse.parse_display(noted, "recipe", ["doc_id"])
     return shown.select("doc_id", F.col("name").alias("title"), F.array_join("ingredients", "|").alias("items"),
-                        F.array_join("steps", "|").alias("steps"), F.col("metadata.time_mins").alias("time_mins"))
+                        F.array_join("steps", "|").alias("steps"), "metadata.*")
 
 
 _META_TEXT = """'A ' || CASE p_type WHEN 'PROMO' THEN 'vegan' WHEN 'SMALL' THEN 'Non-Vegetarian' WHEN 'LARGE' THEN 'Jain'

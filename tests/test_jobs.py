@@ -224,6 +224,42 @@ def test_turn_messages_keep_every_turn_in_its_context(spark):
     assert formatting.turn_messages(df.limit(0), "c", ["t"], "role", "text").count() == 0
 
 
+def test_merge_and_clean_is_merge_then_clean(spark):
+    a, b = sources(spark)
+    a = a.unionByName(a).unionByName(spark.createDataFrame([(9, "Dal", "x", "0", "", "", "u9"), (10, "Dal", "x", "7", "", "same text", "u1")], a.schema))
+    named = b.withColumn("TranslatedRecipeName", F.when(F.col("ord") > 2, "Own")).unionByName(
+        b.withColumns({"TranslatedRecipeName": F.lit("Own"), "ord": F.lit(8)}))
+    for left, right in ((a, b), (a, named), (a.limit(0), named), (a, named.limit(0)), (a.limit(0), b.limit(0))):
+        plain = prep.clean_dataset(prep.ingest_nulls(prep.merge_sources(left, right)))
+        late = prep.merge_and_clean(left, right)
+        assert late.columns == plain.columns
+        assert sorted(map(str, late.collect())) == sorted(map(str, plain.collect()))
+    with pytest.raises(ValueError, match="must be kept"):
+        prep.merge_and_clean(a, b, text="URL")
+
+
+def test_merge_and_clean_shuffles_texts_once(spark):
+    def text_shuffles(df):
+        """Shuffles of the text column under its name, and those of texts reduced by an aggregate."""
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        nodes = df._jdf.queryExecution().explainString(mode).split("\n\n")
+        named = sum(n.split("\n", 1)[0].strip().endswith(") Exchange") and "TranslatedInstructions" in n for n in nodes)
+        return named, sum("partial_first(TranslatedInstructions" in n for n in nodes)
+
+    frames = [df.repartition(3).where("ord > 0") for df in sources(spark)]
+    assert [text_shuffles(df) for df in frames] == [(1, 0), (1, 0)]  # the repartition of the frame itself
+    path = files.shared_dir(spark, "sources")
+    for df, n in zip(frames, "ab"):
+        df.write.parquet(f"{path}/{n}")
+    a, b = (spark.read.parquet(f"{path}/{n}") for n in "ab")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert text_shuffles(prep.merge_and_clean(a, b)) == (0, 1)
+        assert sum(text_shuffles(prep.clean_dataset(prep.ingest_nulls(prep.merge_sources(a, b))))) > 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_places_of_one_key_are_counted_over_segments(spark):
     df = spark.range(2000).select(F.lit("k").alias("k"), (F.col("id") * 7919 % 2000).alias("o"))
     placed = ordered.row_places(df, ["k"], ["o"], "place")

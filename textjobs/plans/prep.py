@@ -327,8 +327,7 @@ SELECT {sql_strip("name")} AS name, {sql_strip("items")} AS items, nullif(try_ca
        servings, cuisine, course, diet, md5({sql_strip("text")}) AS body
 FROM u WHERE {sql_strip("items")} <> '' AND {sql_strip("text")} <> ''""")
 def clean_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    merged = prep.merge_sources(source_a(spark, sf), source_b(spark, sf))
-    cleaned = prep.clean_dataset(prep.ingest_nulls(merged))
+    cleaned = prep.merge_and_clean(source_a(spark, sf), source_b(spark, sf))
     names = ["name", "items", "mins", "servings", "cuisine", "course", "diet", "text"]
     return cleaned.toDF(*names).withColumn("body", F.md5("text")).drop("text")
 

@@ -156,3 +156,34 @@ def test_limits_can_be_lifted_and_are_counted(spark):
         parse.left_out(parse.split_steps, F.col("steps")).alias("e"), parse.left_out(parse.split_steps, F.col("steps"), most=None).alias("f"),
     ).first()
     assert tuple(got) == (30, 40, 11, 15, 6, 1)
+
+
+def test_metadata_start_where_their_words_do(spark):
+    """Patterns run from the first word that they can begin with, on a bound text."""
+    texts = {
+        "late": "ab " * 5000 + "A vegan GOAN side dish. Total Time: 2 hours. Spice level: 7",
+        "longer": "\u0130" * 40 + " a Jain Kerala soup. Ready in: 20 mins. spice Level: 2",  # two letters each in lower case
+        "inside": "Goans ungoan xgoan goan2, goan; nonveg Non-Veg, souper Soup",
+        "start": "Goan", "kelvin": "\u212aerala and konkan", "none": "nothing of it", "empty": ""}
+    df = spark.createDataFrame(list(texts.items()), "id string, t string").select("id", parse.metadata(F.col("t")).alias("m"))
+    found = {r["id"]: tuple(r["m"]) for r in df.collect()}
+    assert found["late"] == ("GOAN", "Vegan", 120, 5, "side dish")
+    assert found["longer"] == ("Kerala", "Jain", 20, 2, "soup")
+    assert found["inside"] == ("goan", "Non-Vegetarian", None, None, "Soup")
+    assert found["start"][0] == "Goan" and found["kelvin"][0] == "konkan"
+    assert set(found["none"]) | set(found["empty"]) == {None}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "locate(goan" in plan  # no pattern runs over what is in front
+
+
+def test_display_items_behind_the_first_parts(spark):
+    """Thirty items are found even where the first parts of the block are one item repeated."""
+    lines = ["- same"] * 500 + [f"- item {i}" for i in range(40)]
+    commas = ["same"] * 500 + [f"item {i} (a, b)" for i in range(40)]
+    rows = spark.createDataFrame([("l", "\n".join(lines)), ("c", ",".join(commas)), ("m", ",".join(commas) + "\x02")], "id string, t string")
+    shown = rows.select("id", parse.split_items_display(F.col("t")).alias("x"), parse.split_items_display(F.col("t"), most=None).alias("all"))
+    got = {r["id"]: r for r in shown.collect()}
+    assert got["l"]["x"] == ["same"] + [f"item {i}" for i in range(29)] and len(got["l"]["all"]) == 41
+    for k in "cm":
+        assert got[k]["x"] == ["same"] + [f"item {i} (a, b)" for i in range(29)] and len(got[k]["all"]) == 41
+    assert "slice(" in shown._jdf.queryExecution().optimizedPlan().toString()  # most parts of a long block are not looked at

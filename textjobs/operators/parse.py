@@ -166,7 +166,7 @@ def display_title(text: Column) -> Column:
 
 
 # Section headers of the display form.
-SHOWN_ITEMS = rf"(?is)\*\*Ingredients[:{WS}]*\*\*(.*?)(?=\*\*Instructions|\*\*Method|\*\*Steps|\z)"
+SHOWN_ITEMS = rf"(?is)\*\*Ingredients[:{WS}]*\*\*(.*?)(?=\*\*(?:Instructions|Method|Steps)|\z)"
 PLAIN_ITEMS = rf"(?is)Ingredients[:{WS}]+(.*?)(?=Instructions|Method|Steps|\z)"
 SHOWN_STEPS = (
     rf"(?is)\*\*(?:Instructions|Method|Steps)[:{WS}]*\*\*(.*?)(?=\*\*(?:Tips|Serving|Notes|Chef)|\z)"
@@ -181,18 +181,17 @@ TOTAL_TIME = (
 SPICE_LEVEL = rf"[Ss]pice[{WS}]+[Ll]evel[:{WS}]+([0-9])"
 
 
-def _comma_items(block: Column) -> Column:
+def _comma_parts(block: Column) -> Column:
     """Parts between the commas that are not inside brackets.  A comma counts
     as inside when the next bracket after it closes; such commas are masked
-    before the split, which keeps the work linear in the text.  A text that
-    holds the mask itself is split by looking ahead at every comma."""
+    before the split, which keeps the work linear in the text, and stay so.  A
+    text that holds the mask itself is split by looking ahead at every comma."""
     flat = F.replace(block, F.lit("\n"), F.lit(" "))
     pieces = F.regexp_extract_all(flat, F.lit(r"(?s)([^()]+[()]?|[()])"), F.lit(1))
     masked = F.transform(pieces, lambda p: F.when(
         F.endswith(p, F.lit(")")), F.replace(p, F.lit(","), F.lit(MASK))).otherwise(p))
-    split = F.transform(F.split(F.array_join(masked, ""), ","), lambda p: F.replace(p, F.lit(MASK), F.lit(",")))
     ahead = F.split(flat, r",(?![^(]*\))")
-    return F.transform(F.when(F.contains(block, F.lit(MASK)), ahead).otherwise(split), wstrip)
+    return F.when(F.contains(block, F.lit(MASK)), ahead).otherwise(F.split(F.array_join(masked, ""), ","))
 
 
 # Limits of the display parse; None lifts a limit, left_out() counts what it cost.
@@ -218,22 +217,39 @@ def left_out(split: Callable[..., Column], block: Column, **limits: int | None)
 def split_items_display(block: Column, *, most: int | None = MOST_ITEMS, shortest: int | None = SHORTEST_ITEM,
                         longest: int | None = LONGEST_ITEM) -> Column:
     """Bulleted lines, or commas outside brackets; repeats (ignoring case) and
-    items shorter or longer than the limits are left out; at most ``most``."""
-    def items(b: Column) -> Column:
+    items shorter or longer than the limits are left out; at most ``most``.
+
+    The first parts of a long block mostly have ``most`` items among them; the
+    others are looked at only where they have not."""
+    def split(b: Column) -> Column:
         bulleted = F.contains(b, F.lit("\n")) & F.regexp_like(b, F.lit(rf"(?dm)^[{HS}]*[-•*]"))
-        bullets = F.transform(F.split(b, "\n"), lambda l: wstrip(F.ltrim(wstrip(l), F.lit("-•*"))))
+        return F.struct(
+            bulleted.alias("bulleted"), F.contains(b, F.lit(MASK)).alias("unmasked"),
+            F.when(bulleted, F.split(b, "\n")).otherwise(_comma_parts(b)).alias("parts"))
+
+    def cleaned(x: Column, parts: Column) -> Column:
         return F.filter(
-            F.when(bulleted, bullets).otherwise(_comma_items(b)),
-            lambda t: _long_enough(t, shortest, longest),
-        )
+            F.transform(parts, lambda p: F.when(x["bulleted"], wstrip(F.ltrim(wstrip(p), F.lit("-•*"))))
+                        .when(x["unmasked"], wstrip(p)).otherwise(wstrip(F.replace(p, F.lit(MASK), F.lit(","))))),
+            lambda t: _long_enough(t, shortest, longest))
 
     def first_of_each(found: Column) -> Column:
         folded = found["folded"]
         keys = _most(F.array_distinct(folded), most)
         return F.transform(keys, lambda k: F.get(found["items"], F.array_position(folded, k).cast("int") - 1))
 
-    return let(let(block, items), lambda kept: let(
-        F.struct(kept.alias("items"), F.transform(kept, F.lower).alias("folded")), first_of_each))
+    def items(x: Column, parts: Column) -> Column:
+        return let(cleaned(x, parts), lambda kept: let(
+            F.struct(kept.alias("items"), F.transform(kept, F.lower).alias("folded")), first_of_each))
+
+    def shown(x: Column) -> Column:
+        if most is None:
+            return items(x, x["parts"])
+        lead = 4 * most
+        return let(items(x, F.slice(x["parts"], 1, lead)), lambda first: F.when(
+            (F.size(first) >= most) | (F.size(x["parts"]) <= lead), first).otherwise(items(x, x["parts"])))
+
+    return let(let(block, split), shown)
 
 
 def display_items(text: Column) -> Column:
@@ -278,22 +294,26 @@ def display_steps(text: Column) -> Column:
 def metadata(text: Column, hours_as_minutes: bool = False) -> Column:
     """Region, diet, time, spice level and course named in a text.
 
-    A plain search for a hint decides whether a pattern is tried at all.
+    A plain search for the words that a match can begin with decides whether a
+    pattern is tried at all, and from where on.
     """
     def fields(x: Column) -> Column:
         t, low = x["text"], x["low"]
 
-        def hinted(hints: list[str], found: Column) -> Column:
-            seen = F.contains(low, F.lit(hints[0]))
-            for h in hints[1:]:
-                seen = seen | F.contains(low, F.lit(h))
-            return F.when(seen, found)
+        def tail(heads: list[str]) -> Column:
+            """The text from one character before the first of ``heads`` on, null without any."""
+            first = F.least(F.lit(None).cast("int"), *[F.when(F.contains(low, F.lit(h)), F.locate(h, low)) for h in heads])
+            return let(first, lambda at: F.when(at.isNotNull(), F.substr(
+                t, F.when(x["aligned"], F.greatest(at - 1, F.lit(1))).otherwise(1))))
 
-        def word(options: list[str], hints: list[str]) -> Column:
+        def word(options: list[str], heads: list[str]) -> Column:
             edge = r"[\p{L}\p{N}_]"
-            return hinted(hints, F.regexp_substr(t, F.lit(rf"(?i)(?<!{edge})({'|'.join(options)})(?!{edge})")))
+            return found(heads, rf"(?i)(?<!{edge})({'|'.join(options)})(?!{edge})")
 
-        diet = let(F.lower(word(DIETS, ["veg", "jain", "diabetic"])), lambda d: F.when(
+        def found(heads: list[str], pattern: str) -> Column:
+            return let(tail(heads), lambda rest: F.regexp_substr(rest, F.lit(pattern)))  # Spark looks twice
+
+        diet = let(F.lower(word(DIETS, ["veg", "non-veg", "non veg", "jain", "diabetic"])), lambda d: F.when(
             F.contains(d, F.lit("vegan")), "Vegan").when(F.contains(d, F.lit("jain")), "Jain")
             .when(F.contains(d, F.lit("non")), "Non-Vegetarian").when(d.isNotNull(), "Vegetarian"))
 
@@ -304,8 +324,9 @@ def metadata(text: Column, hours_as_minutes: bool = False) -> Column:
                 hours = hours | F.regexp_like(phrase, F.lit("hrs?$"))
             return F.when(hours, number * 60).otherwise(number)
 
-        time = hinted(["time", "ready"], F.lower(F.regexp_substr(t, F.lit(TOTAL_TIME))))
-        spice = hinted(["pice"], F.regexp_extract(t, SPICE_LEVEL, 1).try_cast("int"))
+        timed = F.contains(low, F.lit("time")) | F.contains(low, F.lit("ready"))
+        time = F.when(timed, F.lower(found(["total", "prep", "cooking", "time", "ready"], TOTAL_TIME)))
+        spice = F.regexp_extract(tail(["spice"]), SPICE_LEVEL, 1).try_cast("int")
         return F.struct(
             word(REGIONS, [r.lower() for r in REGIONS]).alias("region"), diet.alias("diet"),
             let(time, minutes).alias("time_mins"),
@@ -313,7 +334,11 @@ def metadata(text: Column, hours_as_minutes: bool = False) -> Column:
             word(COURSES, [c.lower() for c in COURSES]).alias("course"),
         )
 
-    return let(F.struct(text.alias("text"), F.lower(text).alias("low")), fields)
+    def lowered(t: Column) -> Column:
+        low = F.lower(t)  # as long as the text, unless a letter has two in lower case
+        return let(low, lambda l: F.struct(t.alias("text"), l.alias("low"), (F.length(l) == F.length(t)).alias("aligned")))
+
+    return let(let(text, lowered), fields)
 
 
 def parse_display(df: DataFrame, text: str, keep: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ STYLES = ["bullet", "comma", "hash", "untitled"]
 
 def words(text: Column) -> Column:
     """Words of a text without commas and full stops, used as its item list."""
-    return F.filter(F.transform(tokens(text), lambda t: F.regexp_replace(t, "[.,]+", "")), lambda t: t != "")
+    return tokens(F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("")))
 
 
 def recipe_text(title: Column, text: Column, style: Column) -> Column:

@@ -212,3 +212,51 @@ def test_a_failing_batch_is_halved_down_to_its_bad_rows(spark, tmp_path):
     short = score.score_batches(df, lambda rows: [{"n": 1}], "n int", {"n": -1}).where("error IS NOT NULL").count()
     assert short == 0  # alone, every row has its one answer
     assert score.score_batches(df.where("i < 0"), scorer, "n int", {"n": -1}).count() == 0
+
+
+def test_subsequences_and_grams_over_blocks(monkeypatch):
+    """Blocks of positions and slices of pairs give what whole lists give, in bounded memory."""
+    import random
+    import tracemalloc
+    from collections import Counter
+
+    from textjobs.functions import stem
+
+    rng = random.Random(3)
+    pairs = [(rng.choices("abcdefg", k=rng.randrange(30)), rng.choices("abcdxy", k=rng.randrange(30))) for _ in range(200)]
+
+    def brute(a, b, n):
+        g, r = (Counter(zip(*[x[i:] for i in range(n)])) for x in (a, b))
+        return sum((g & r).values())
+
+    monkeypatch.setattr(stem, "LCS_BLOCK", 5)
+    monkeypatch.setattr(stem, "GRAM_TOKENS", 50)
+    assert [lcs_length(a, b) for a, b in pairs] == [brute_lcs(a, b) for a, b in pairs]
+    for order in (1, 2, 3, 4, 6):
+        got = [row for block in stem.gram_matches(iter(pairs), order) for row in block.tolist()]
+        assert got == [[len(a), len(b), *[brute(a, b, n) for n in range(1, order + 1)]] for a, b in pairs]
+    monkeypatch.undo()
+    words = [str(i) for i in range(40000)]
+    tracemalloc.start()
+    assert lcs_length(words, words[:300]) == 300 and lcs_length(words[:12000], words[11500:]) == 500
+    assert lcs_length(["x", *words[:20000]], words[:20000]) == 20000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6  # a mask of every word over the whole list took the square: 27 MB here, 100 times that ten times as long
+
+
+def test_text_batches_are_small_unless_set(spark):
+    from textjobs.operators.score import TEXT_BATCH, ngram_matches
+    before = {k: spark.conf.get(k) for k in TEXT_BATCH}
+    try:
+        for k, (default, _) in TEXT_BATCH.items():
+            spark.conf.set(k, default)
+        rows = spark.createDataFrame([("a b", "a b")], "g string, r string")
+        ngram_matches(rows, "g", "r")
+        assert all(spark.conf.get(k) == wanted for k, (_, wanted) in TEXT_BATCH.items())
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "77")
+        ngram_matches(rows, "g", "r")
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "77"
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

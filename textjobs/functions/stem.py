@@ -4,8 +4,11 @@ by bit vectors (Crochemore et al., 2001), and clipped gram matches."""
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
+
+import numpy as np
 
 # Suffix tables of the published algorithm.
 IRREGULAR = {
@@ -123,22 +126,85 @@ def porter_stem(word: str) -> str:
     return word
 
 
+#: Positions of the longer list that one pass over the shorter one takes: a
+#: token's places in it are a number of so many bits.
+LCS_BLOCK = 8192
+
+
 def lcs_length(a: list[str], b: list[str]) -> int:
-    """Longest common subsequence: one word-parallel row update per token."""
-    if len(a) > len(b):
-        a, b = b, a
-    where: dict[str, int] = {}
-    for i, token in enumerate(b):
-        where[token] = where.get(token, 0) | (1 << i)
-    full = (1 << len(b)) - 1
-    row = full
-    for token in a:
-        hit = row & where.get(token, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(b) - bin(row).count("1")
+    """Longest common subsequence: one word-parallel row update per token and
+    block of the longer list; a block hands the carries of its updates on to the
+    next, so memory does not grow with the square of the lists."""
+    shared = set(a) & set(b)
+    a, b = sorted(([t for t in a if t in shared], [t for t in b if t in shared]), key=len)
+    carries, found = bytes(len(a)), 0
+    for low in range(0, len(b), LCS_BLOCK):
+        part = b[low:low + LCS_BLOCK]
+        size = len(part)
+        where: dict[str, int] = {}
+        for i, token in enumerate(part):
+            where[token] = where.get(token, 0) | (1 << i)
+        row = full = (1 << size) - 1
+        out = bytearray(len(a))
+        for j, token in enumerate(a):
+            hit, carry = row & where.get(token, 0), carries[j]
+            if hit or carry:
+                total = row + hit + carry
+                out[j] = total >> size
+                row = (total | (row - hit)) & full
+        carries = out
+        found += size - row.bit_count()
+    return found
+
+
+#: Tokens whose grams are counted at once; a longer pair is counted alone.
+GRAM_TOKENS = 1 << 16
+
+
+def gram_matches(pairs: Iterable[tuple[list[str], list[str]]], order: int) -> Iterator[np.ndarray]:
+    """Sizes of both token lists of each pair and, for n = 1..order, the grams
+    of length n in both, each counted as often as in the rarer: arrays of one
+    row per pair, for a bounded number of tokens at a time."""
+    held, size = [], 0
+    for pair in pairs:
+        added = len(pair[0]) + len(pair[1])
+        if held and size + added > GRAM_TOKENS:
+            yield _clipped(held, order)
+            held, size = [], 0
+        held.append(pair)
+        size += added
+    if held:
+        yield _clipped(held, order)
+
+
+def _clipped(pairs: list[tuple[list[str], list[str]]], order: int) -> np.ndarray:
+    sides = [side for pair in pairs for side in pair]
+    sizes = np.fromiter(map(len, sides), "int64", len(sides))
+    out = np.zeros((len(pairs), 2 + order), "int64")
+    out[:, :2] = sizes.reshape(-1, 2)
+    vocabulary = {t: i for i, t in enumerate(dict.fromkeys(chain.from_iterable(sides)))}
+    token = np.fromiter(map(vocabulary.__getitem__, chain.from_iterable(sides)), "int64", int(sizes.sum()))
+    side = np.repeat(np.arange(len(sides)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(token))  # tokens from here to the end of the side
+    # a gram is the numbers of its first and of its last tokens, as many as the last power of two
+    name, span, n_names, here = token, 1, len(vocabulary), np.arange(len(token))
+    for n in range(1, order + 1):
+        at = here[left >= n]
+        if not len(at):
+            break
+        gram = name[at] if n == 1 else name[at] * n_names + name[at + n - span]
+        key = np.sort(((side[at] >> 1) * (int(gram.max()) + 1) + gram) * 2 + (side[at] & 1))
+        first = np.flatnonzero(np.diff(key >> 1, prepend=-1))
+        reference = np.add.reduceat(key & 1, first)
+        pair = (key[first] >> 1) // (int(gram.max()) + 1)
+        out[:, 1 + n] = np.bincount(pair, np.minimum(reference, np.diff(first, append=len(key)) - reference), len(pairs))
+        if n == 2 * span and n < order:
+            known, numbers = np.unique(gram, return_inverse=True)
+            name, span, n_names = np.zeros(len(token), "int64"), n, len(known)
+            name[at] = numbers
+    return out
 
 
 def clipped_matches(generated: list[str], reference: list[str], n: int) -> int:
     """Grams of length n in both lists, each counted as often as in the rarer."""
-    g, r = (Counter(zip(*[toks[i:] for i in range(n)])) for toks in (generated, reference))
-    return sum((g & r).values())
+    return int(next(gram_matches([(generated, reference)], n))[0, 1 + n])

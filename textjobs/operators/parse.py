@@ -46,8 +46,10 @@ def split_items(raw: Column) -> Column:
     lists; one line is a comma list."""
     def items(lines: Column) -> Column:
         many = F.size(lines) > 1
-        bare = F.transform(lines, lambda l: F.when(many, F.regexp_replace(l, rf"^[-*•][{WS}]*", "")).otherwise(l))
-        return F.flatten(F.transform(bare, lambda l: split_trim(l, ",")))
+        marked = lambda l: F.startswith(l, F.lit("-")) | F.startswith(l, F.lit("*")) | F.startswith(l, F.lit("•"))
+        bare = F.transform(lines, lambda l: F.when(many & marked(l), wstrip(F.substr(l, F.lit(2)))).otherwise(l))
+        one = lambda l: F.when(l == "", F.array().cast("array<string>")).otherwise(F.array(l))
+        return F.flatten(F.transform(bare, lambda l: F.when(F.contains(l, F.lit(",")), split_trim(l, ",")).otherwise(one(l))))
 
     return let(split_trim(raw, "\n"), items)
 
@@ -141,8 +143,8 @@ def normalise_item(item: Column) -> Column:
 
 
 def normalise_items(items: Column) -> Column:
-    """Set of the normalised items, blanks left out."""
-    return F.array_distinct(F.filter(F.transform(items, normalise_item), lambda t: t != ""))
+    """Set of the normalised items, blanks left out; repeats are normalised once."""
+    return F.array_distinct(F.filter(F.transform(F.array_distinct(items), normalise_item), lambda t: t != ""))
 
 
 def legacy_items(raw: Column) -> Column:

@@ -260,3 +260,23 @@ def test_text_batches_are_small_unless_set(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_draws_without_divisions_are_the_same():
+    from textjobs.functions.hashing import PRIME, DrawnUnits, draw_positions
+
+    def plain(seed, r, n, j):
+        x = (r * 1000003 + j * 7919 + seed * 104729) % PRIME
+        for added in (12345, j * 31 + 67890, 0):
+            fine, x = x, (pow(x, 5, PRIME) + added) % PRIME
+        return (x * n + fine * n // PRIME) // PRIME
+
+    for seed, n, low in ((42, 1000, 0), (-3, 2**32 - 1, 2**32 - 300), (7, 1, 0)):
+        got = draw_positions(seed, np.array([0, 999]), n, low, low + 200)
+        assert got.tolist() == [[plain(seed, r, n, j) for j in range(low, low + 200)] for r in (0, 999)]
+    rng = np.random.default_rng(5)
+    for n_values, most in ((1, 9), (3, 10**6), (20001, 40)):
+        units = np.sort(rng.choice(20001, n_values, replace=False) - 10000)
+        ends = np.cumsum(rng.integers(1, most + 1, n_values))
+        positions = rng.integers(0, ends[-1], 5000)
+        assert DrawnUnits(units, ends).sum(positions) == units[np.searchsorted(ends, positions, side="right")].sum()

@@ -85,3 +85,46 @@ def test_rows_across_batches():
             assert {r["chunk"] for r in out} == want and len(out) == len(want)
             of = {r["chunk"]: r["rank"] for r in out}
             assert len({(k, of[r[2]]) for k, g in groups.items() for r in g if r[2] in of}) == len({of[x] for x in of})
+
+
+def test_few_spans_cost_few_bytes():
+    """Spans far apart are hashed without the text between them, and alike."""
+    import numpy as np
+    from unittest import mock
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 101, 300_000).astype(np.uint8)
+    starts = np.sort(rng.choice(len(data) - 600, 40, replace=False))
+    ends = starts + rng.integers(1, 600, 40)
+    mixed = rng.permutation(40)
+    with mock.patch.object(substrings, "span_hashes", wraps=substrings.span_hashes) as hashed:
+        got = substrings.names(data, starts[mixed], ends[mixed], wide=True)
+    assert max(len(c.args[0]) for c in hashed.call_args_list) <= (ends - starts).sum() + 40 * 64
+    for k, base in enumerate((substrings.BASE, substrings.BASE2)):
+        assert (got[:, k] == substrings.mix(substrings.span_hashes(data, starts, ends, base)[mixed])).all()
+    assert len(substrings.names(data, starts[:0], ends[:0])) == 0
+
+
+@pytest.mark.parametrize("size", [1, 7, 8, 9, 16, 69, 1024, 1025])
+def test_prefix_names_tell_bytes_apart(size):
+    """Equal names for equal bytes and other names for others, every byte counted."""
+    import numpy as np
+    rng = np.random.default_rng(size)
+    one = rng.integers(0, 256, size).astype(np.uint8)
+    texts = [one, one.copy()]
+    for at in range(0, size, max(1, size // 40)):
+        texts.append(one.copy())
+        texts[-1][at] ^= 128
+    data = np.concatenate([np.zeros(3, np.uint8), *texts])
+    got = substrings.prefix_names(data, 3 + size * np.arange(len(texts)), size).tolist()
+    assert got[0] == got[1] and len(set(got)) == len(texts) - 1
+    assert substrings.prefix_names(data, np.zeros(0, np.int64), size).tolist() == []
+
+
+def test_runs_stay_in_their_rows():
+    import numpy as np
+    offsets = np.array([0, 0, 10, 10, 25, 40, 40])
+    starts, ends = np.array([20, 0, 5, 10, 14, 30, 31]), np.array([25, 5, 10, 14, 16, 34, 33])
+    low, high, row = (x.tolist() for x in substrings.runs(starts, ends, offsets))
+    assert list(zip(low, high, row)) == [(0, 10, 1), (10, 16, 3), (20, 25, 3), (30, 34, 4)]
+    nothing = np.zeros(0, np.int64)
+    assert [len(x) for x in substrings.runs(nothing, nothing, offsets)] == [0, 0, 0]

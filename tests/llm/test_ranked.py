@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from textjobs.llm import ranked
@@ -51,6 +52,30 @@ def test_search(spark, segment, pack_terms, sent):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(docs, items)
 
 
+def test_row_groups_of_the_index_are_bounded(spark):
+    """A reader holds a row group at once, so a file of many segments has many."""
+    docs, items = data(3)
+    index = ranked.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), 4000, 20_000)
+    segments = index.count()
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    sizes = [(m.row_group(i).num_rows, m.row_group(i).total_byte_size) for m in groups for i in range(m.num_row_groups)]
+    assert segments > 20 and sum(n for n, _ in sizes) == segments
+    # the last row of a group passes the limit, so the others of a group are below it
+    assert len(sizes) > 5 and max(n for n, _ in sizes) < segments // 2
+    got = ranked.search(index, spark.createDataFrame(items, "item_id long, text string"), 10)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(docs, items)
+
+
+def test_batches_of_segments_are_small_unless_the_session_says_otherwise(spark):
+    key, own = "spark.sql.execution.arrow.maxBytesPerBatch", spark.newSession()
+    own.conf.set(key, "67108864b")
+    ranked.build_index(own.createDataFrame([(1, "a")], "doc_id long, text string"))
+    assert own.conf.get(key) == "8m"
+    own.conf.set(key, "16m")
+    ranked.build_index(own.createDataFrame([(1, "a")], "doc_id long, text string"))
+    assert own.conf.get(key) == "16m"
+
+
 def test_documents_are_skipped():
     """With the places taken, documents in idle lists only are not looked at."""
     rng = np.random.default_rng(2)

@@ -23,11 +23,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from textjobs.llm.columns import SENT_PACKS, held, slices, small_batches, stored, strings, with_every_pack, words
+from textjobs.llm.columns import SENT_PACKS, few_bytes, held, slices, small_batches, stored, strings, with_every_pack, words
 
 K = 10
 #: Bytes of text in a segment (or one longer text).
 SEGMENT = 1 << 23
+#: Bytes of segments in a row group of the index, which a reader holds at once.
+GROUP = 1 << 23
 #: Lists of at most this share of a segment's documents are short.
 SHORT = 16
 #: Terms of items that travel together.
@@ -95,12 +97,13 @@ def _indexed(size: int):
     return run
 
 
-def build_index(docs: DataFrame, segment: int = SEGMENT) -> DataFrame:
+def build_index(docs: DataFrame, segment: int = SEGMENT, group: int = GROUP) -> DataFrame:
     """The index of every term of ``docs`` (doc_id, text), written to the
-    shared folder; no shuffle.  Terms are runs of digits, letters and
+    shared folder in row groups of about ``group`` bytes, so that no task holds
+    more than a few segments, however many a file has; no shuffle.  Terms are runs of digits, letters and
     characters beyond ASCII, A-Z in lower case.  A null or empty text has no
     terms; an empty table gives an index without segments."""
-    return stored(small_batches(docs).select("doc_id", "text").mapInArrow(_indexed(segment), INDEX), "ranked-index")
+    return stored(few_bytes(small_batches(docs)).select("doc_id", "text").mapInArrow(_indexed(segment), INDEX), "ranked-index", group)
 
 
 def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +275,7 @@ def search(index: DataFrame, items: DataFrame, k: int = K, pack_terms: int = PAC
     documents, terms = size["documents"] or 0, size["terms"] or 0
     packs, n_packs = item_packs(index, items, documents, pack_terms)
     met = with_every_pack(index, packs, n_packs, sent_packs)
-    best = met.select("doc_ids", "n_terms", "terms", "df", "docs", "counts", "most", "shortest", "items").mapInArrow(
+    best = few_bytes(met).select("doc_ids", "n_terms", "terms", "df", "docs", "counts", "most", "shortest", "items").mapInArrow(
         _searched(k, documents, terms), "row long, item_id long, doc_id long, score long")
     order = Window.partitionBy("row").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")

@@ -3,10 +3,9 @@ with the usual later extensions, the length of the longest common subsequence
 by bit vectors (Crochemore et al., 2001), and clipped gram matches."""
 from __future__ import annotations
 
-import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 
@@ -33,8 +32,13 @@ STEP4 = [
 ]
 
 
+_SHAPE = bytes(ord("v" if chr(c) in "aeiou" else "c") for c in range(256))
+
+
 def _shape(word: str) -> str:
     """The word as ``c``/``v`` letters; ``y`` after a consonant is a vowel."""
+    if "y" not in word and word.isascii():
+        return word.encode().translate(_SHAPE).decode()
     out: list[str] = []
     for ch in word:
         vowel = ch in "aeiou" or (ch == "y" and out and out[-1] == "c")
@@ -43,7 +47,7 @@ def _shape(word: str) -> str:
 
 
 def _measure(stem: str) -> int:
-    return len(re.findall("v+c+", _shape(stem)))
+    return _shape(stem).count("vc")
 
 
 def _short_end(stem: str) -> bool:
@@ -52,16 +56,22 @@ def _short_end(stem: str) -> bool:
     return (shape.endswith("cvc") and stem[-1] not in "wxy") or shape == "vc"
 
 
-def _longest_first(rules) -> list[tuple[str, str]]:
-    return sorted(rules, key=lambda rule: -len(rule[0]))
+def _longest_first(rules) -> dict[str, list[tuple[str, str]]]:
+    """By last letter."""
+    ordered = sorted(rules, key=lambda rule: -len(rule[0]))
+    return {last: [rule for rule in ordered if rule[0][-1] == last] for last in {rule[0][-1] for rule in ordered}}
 
 
 STEP2, STEP3 = _longest_first(STEP2), _longest_first(STEP3)
 STEP4 = _longest_first([(end, "") for end in STEP4])
 
 
-def _longest(word: str, rules: list[tuple[str, str]]) -> tuple[str, str, str] | None:
-    for end, new in rules:
+#: Last letters of words that some rule may change.
+CHANGING = frozenset("sdgy").union(STEP2, STEP3, STEP4, "el")
+
+
+def _longest(word: str, rules: dict[str, list[tuple[str, str]]]) -> tuple[str, str, str] | None:
+    for end, new in rules.get(word[-1:], ()):
         if word.endswith(end):
             return word[: len(word) - len(end)], end, new
     return None
@@ -71,7 +81,7 @@ def _longest(word: str, rules: list[tuple[str, str]]) -> tuple[str, str, str] |
 def porter_stem(word: str) -> str:
     if word in IRREGULAR:
         return IRREGULAR[word]
-    if len(word) <= 2:
+    if len(word) <= 2 or word[-1] not in CHANGING:
         return word
     # plurals
     if word.endswith("ies") and len(word) == 4:
@@ -81,7 +91,9 @@ def porter_stem(word: str) -> str:
     elif word.endswith("s") and not word.endswith("ss"):
         word = word[:-1]
     # past tense and gerund
-    if word.endswith("ied"):
+    if word[-1:] not in ("d", "g"):
+        pass
+    elif word.endswith("ied"):
         word = word[:-1] if len(word) == 4 else word[:-2]
     elif word.endswith("eed"):
         word = word[:-1] if _measure(word[:-3]) > 0 else word
@@ -157,51 +169,125 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return found
 
 
+# Any other byte ends a word of ROUGE.
+_WORD = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
+
+
+class Words(dict):
+    """Numbers of the white-space tokens of texts and, for each, the numbers of
+    its lower-case runs of ASCII letters and digits, stemmed where they are
+    longer than three.  The latest tokens are in a table that stays in a
+    processor's cache; another one is cut again, and its words looked up."""
+
+    def __init__(self, stem: bool):
+        super().__init__()
+        self.stem, self.mark = stem, np.zeros(0, bool)
+        self.words: dict[str, int] = {}
+        self.stems: dict[str, int] = {}
+        self.first, self.count, self.flat = array("q"), array("q"), array("q")
+
+    def __missing__(self, token: str) -> int:
+        self.first.append(len(self.flat))
+        if token.isascii() and token.isalnum():
+            word = token.lower()
+            number = self.words.get(word)
+            self.flat.append(self._word(word) if number is None else number)
+            self.count.append(1)
+        else:
+            found = token.lower().encode().translate(_WORD).split()
+            self.flat.extend([self._word(word.decode()) for word in found])
+            self.count.append(len(found))
+        self[token] = number = len(self)
+        return number
+
+    def _word(self, word: str) -> int:
+        number = self.words.get(word)
+        if number is None:
+            stem = porter_stem.__wrapped__(word) if self.stem and len(word) > 3 else word
+            self.words[word] = number = self.stems.setdefault(stem, len(self.stems))
+        return number
+
+    def numbers(self, *texts: str) -> list[np.ndarray]:
+        """Tokens of each text; the numbers hold until the next call."""
+        if len(self.words) > KEPT_WORDS:
+            self.clear()
+            self.__init__(self.stem)
+        if len(self) > LATEST_TOKENS:
+            self.clear()
+            self.first, self.count, self.flat = array("q"), array("q"), array("q")
+        return [np.fromiter(map(self.__getitem__, tokens), "int64", len(tokens)) for tokens in map(str.split, texts)]
+
+    def _words(self, numbers: np.ndarray) -> np.ndarray:
+        first, count, flat = (np.frombuffer(x, "int64") if x else np.zeros(0, "int64") for x in (self.first, self.count, self.flat))
+        first, count = first[numbers], count[numbers]
+        ends = np.cumsum(count)
+        return flat[np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def subsequence(self, generated: np.ndarray, reference: np.ndarray) -> tuple[int, int, int]:
+        """Length of the longest common subsequence of the words and how many words either side has."""
+        g, r = self._words(generated), self._words(reference)
+        if len(self.mark) < len(self.stems):
+            self.mark = np.zeros(2 * len(self.stems), bool)
+        shared = []
+        for side, other in ((g, r), (r, g)):
+            self.mark[other] = True
+            shared.append(side[self.mark[side]].tolist())
+            self.mark[other] = False
+        return lcs_length(*shared), len(g), len(r)
+
+
+#: Words that keep their stems from text to text, and tokens that keep their words.
+KEPT_WORDS, LATEST_TOKENS = 300_000, 40_000
 #: Tokens whose grams are counted at once; a longer pair is counted alone.
-GRAM_TOKENS = 1 << 16
+GRAM_TOKENS = 1 << 14
 
 
-def gram_matches(pairs: Iterable[tuple[list[str], list[str]]], order: int) -> Iterator[np.ndarray]:
+def gram_matches(pairs: Iterable[tuple[list[str] | np.ndarray, list[str] | np.ndarray]], order: int) -> Iterator[np.ndarray]:
     """Sizes of both token lists of each pair and, for n = 1..order, the grams
     of length n in both, each counted as often as in the rarer: arrays of one
-    row per pair, for a bounded number of tokens at a time."""
+    row per pair, for a bounded number of tokens at a time.  Tokens may be
+    numbers that are the pair's own."""
     held, size = [], 0
     for pair in pairs:
         added = len(pair[0]) + len(pair[1])
         if held and size + added > GRAM_TOKENS:
             yield _clipped(held, order)
             held, size = [], 0
-        held.append(pair)
+        known: dict[str, int] = {}
+        held += [side if isinstance(side, np.ndarray) else np.fromiter((known.setdefault(t, len(known)) for t in side), "int64", len(side)) for side in pair]
         size += added
     if held:
         yield _clipped(held, order)
 
 
-def _clipped(pairs: list[tuple[list[str], list[str]]], order: int) -> np.ndarray:
-    sides = [side for pair in pairs for side in pair]
+def _clipped(sides: list[np.ndarray], order: int) -> np.ndarray:
     sizes = np.fromiter(map(len, sides), "int64", len(sides))
-    out = np.zeros((len(pairs), 2 + order), "int64")
+    out = np.zeros((len(sides) // 2, 2 + order), "int64")
     out[:, :2] = sizes.reshape(-1, 2)
-    vocabulary = {t: i for i, t in enumerate(dict.fromkeys(chain.from_iterable(sides)))}
-    token = np.fromiter(map(vocabulary.__getitem__, chain.from_iterable(sides)), "int64", int(sizes.sum()))
+    token = np.concatenate(sides)
+    n_names = int(token.max(initial=0)) + 1
     side = np.repeat(np.arange(len(sides)), sizes)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(token))  # tokens from here to the end of the side
-    # a gram is the numbers of its first and of its last tokens, as many as the last power of two
-    name, span, n_names, here = token, 1, len(vocabulary), np.arange(len(token))
+    # a gram is the number of its first tokens among the grams of its pair that both sides hold, and its last token:
+    # one that a side lacks cannot begin or end a longer one that both hold
+    here, key, pair = np.arange(len(token)), (side >> 1) * n_names + token, np.arange(len(sides) // 2)
     for n in range(1, order + 1):
-        at = here[left >= n]
-        if not len(at):
+        if not len(key):
+            break
+        both = np.sort(key * 2 + (side[here] & 1))
+        first = np.flatnonzero(np.diff(both >> 1, prepend=-1))
+        reference = np.add.reduceat(both & 1, first)
+        clipped = np.minimum(reference, np.diff(first, append=len(both)) - reference)
+        known, clipped = both[first[clipped > 0]] >> 1, clipped[clipped > 0]
+        if not len(known):
             break
-        gram = name[at] if n == 1 else name[at] * n_names + name[at + n - span]
-        key = np.sort(((side[at] >> 1) * (int(gram.max()) + 1) + gram) * 2 + (side[at] & 1))
-        first = np.flatnonzero(np.diff(key >> 1, prepend=-1))
-        reference = np.add.reduceat(key & 1, first)
-        pair = (key[first] >> 1) // (int(gram.max()) + 1)
-        out[:, 1 + n] = np.bincount(pair, np.minimum(reference, np.diff(first, append=len(key)) - reference), len(pairs))
-        if n == 2 * span and n < order:
-            known, numbers = np.unique(gram, return_inverse=True)
-            name, span, n_names = np.zeros(len(token), "int64"), n, len(known)
-            name[at] = numbers
+        pair = pair[known // n_names]
+        out[:, 1 + n] = np.bincount(pair, clipped, len(sides) // 2)
+        place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        number = np.full(len(token) + 1, -1)
+        number[here] = np.where(known[place] == key, place, -1)
+        here = here[(number[here] >= 0) & (left[here] > n) & (number[here + 1] >= 0)]
+        key = number[here] * n_names + token[np.minimum(here + n, len(token) - 1)]
     return out
 
 

@@ -5,6 +5,9 @@ jobs stay inside whole-stage code generation.
 """
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 # The characters that count as white space, including the
@@ -31,6 +34,16 @@ def wstrip(c: Column | str) -> Column:
     return F.btrim(as_col(c), F.lit(WS_CHARS))
 
 
+def wstrip_long(c: Column | str) -> Column:
+    """The same for long texts, most of which have nothing to strip: looking for
+    the end to strip from costs several passes over the text."""
+    def strip(t: Column) -> Column:
+        blank = reduce(operator.or_, (F.startswith(t, F.lit(w)) | F.endswith(t, F.lit(w)) for w in WS_CHARS))
+        return F.when(blank, wstrip(t)).otherwise(t)
+
+    return F.get(F.transform(F.array(as_col(c)), strip), F.lit(0))
+
+
 def is_blank(c: Column | str) -> Column:
     """True for null and for white-space-only text; stops at the first other
     character."""

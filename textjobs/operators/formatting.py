@@ -8,7 +8,7 @@ from textjobs.functions.fixed import (
     CUTOFF_LINE, DEFAULT_CHAT_DATE, DEFAULT_DESCRIPTOR, DEFAULT_ITEMS, END_TURN, HEADER_CLOSE,
     HEADER_OPEN, SYSTEM_PROMPT,
 )
-from textjobs.functions.text import article, as_col, not_blank, wstrip
+from textjobs.functions.text import article, as_col, not_blank, wstrip, wstrip_long
 from textjobs.operators.ordered import carry_forward, row_places
 
 
@@ -26,8 +26,8 @@ def request_text(name: Column, cuisine: Column, diet: Column, course: Column) ->
 def response_text(name: Column, items: Column, body: Column) -> Column:
     """Bold title, three line feeds, then the two bold-headed sections."""
     return F.concat(
-        F.lit("**"), wstrip(name), F.lit("**\n\n\n**Ingredients:**\n"), wstrip(items),
-        F.lit("\n\n**Instructions:**\n"), wstrip(body),
+        F.lit("**"), wstrip(name), F.lit("**\n\n\n**Ingredients:**\n"), wstrip_long(items),
+        F.lit("\n\n**Instructions:**\n"), wstrip_long(body),
     )
 
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from textjobs.functions.text import WS, tokens
+from textjobs.functions.text import TOKEN_GAP, WS, tokens, wstrip_long
 from textjobs.operators.formatting import response_text
 from textjobs.plans.registry import sql_lines, sql_parts, sql_strip, sql_tokens, texts
 
@@ -17,8 +17,13 @@ def words(text: Column) -> Column:
 
 def recipe_text(title: Column, text: Column, style: Column) -> Column:
     """A sectioned text in one of four output styles."""
-    bullets = F.array_join(F.transform(words(text), lambda w: F.concat(F.lit("- 2 cups "), w)), "\n")
-    commas = F.array_join(F.transform(words(text), lambda w: F.concat(F.lit("1 tbsp "), w)), ", ")
+    plain = wstrip_long(F.regexp_replace(text, "[.,]+", ""))
+
+    def listed(before: str, between: str) -> Column:
+        """All words, each after ``before``: every gap is replaced in one pass over the text."""
+        return F.when(plain == "", "").otherwise(F.concat(F.lit(before), F.regexp_replace(plain, TOKEN_GAP, between + before)))
+
+    bullets, commas = listed("- 2 cups ", "\n"), listed("1 tbsp ", ", ")
     untitled = F.concat(F.lit("**Ingredients:**\n"), commas, F.lit("\n\n**Instructions:**\n**Step 1:**\n"), text)
     hashed = F.concat(F.lit("### "), title, F.lit("\n\n### Ingredients\n"), commas, F.lit("\n\n### Instructions\n"), text)
     return (
@@ -49,15 +54,21 @@ def sql_recipe(title: str, text: str, style: str) -> str:
 
 # ---- recipes from documents ---------------------------------------------
 
-def _doc_style() -> Column:
-    return (F.when(F.col("lang") == "en", "bullet").when(F.col("lang") == "fr", "comma")
-            .when(F.col("lang") == "de", "hash").otherwise("untitled"))
+DOC_COLUMNS = ["doc_id", "lang", "source", "text"]
+
+
+def _doc_style(lang: Column) -> Column:
+    return F.when(lang == "en", "bullet").when(lang == "fr", "comma").when(lang == "de", "hash").otherwise("untitled")
+
+
+def _doc_recipe(side: str = "") -> Column:
+    doc_id, lang, source, text = (F.col(side + c) for c in DOC_COLUMNS)
+    title = F.concat(F.lit("Dish "), source, F.lit(" "), doc_id.cast("string"))
+    return recipe_text(title, text, _doc_style(lang))
 
 
 def doc_recipes(spark: SparkSession, sf: str) -> DataFrame:
-    title = F.concat(F.lit("Dish "), "source", F.lit(" "), F.col("doc_id").cast("string"))
-    return texts(spark, sf, "documents").select(
-        "doc_id", "lang", "source", recipe_text(title, F.col("text"), _doc_style()).alias("recipe"))
+    return texts(spark, sf, "documents").select("doc_id", "lang", "source", _doc_recipe().alias("recipe"))
 
 
 DOC_RECIPES_SQL = f"""
@@ -69,11 +80,12 @@ doc_recipes AS (SELECT doc_id, lang, source, {sql_recipe("('Dish ' || source ||
 def doc_eval(spark: SparkSession, sf: str) -> DataFrame:
     """Reference: a document's recipe; generated: the next one's; model: its
     language.  The last document has no generated text."""
-    r = doc_recipes(spark, sf)
-    generated = r.select((F.col("doc_id") - 1).alias("row_index"), F.col("recipe").alias("generated_text"))
-    reference = r.select(F.col("doc_id").alias("row_index"), F.col("lang").alias("model_id"),
-                         F.col("recipe").alias("reference_text"))
-    return reference.join(generated, "row_index", "left")
+    d = texts(spark, sf, "documents").select(*DOC_COLUMNS)
+    following = d.select((F.col("doc_id") - 1).alias("row_index"), *[F.col(c).alias(f"next_{c}") for c in DOC_COLUMNS])
+    # the documents meet before they are rendered: a recipe is three times as long as its text
+    pairs = d.withColumn("row_index", F.col("doc_id")).join(following, "row_index", "left")
+    return pairs.select("row_index", F.col("lang").alias("model_id"), _doc_recipe().alias("reference_text"),
+                        _doc_recipe("next_").alias("generated_text"))
 
 
 DOC_EVAL_SQL = DOC_RECIPES_SQL + """,

@@ -1,6 +1,10 @@
 """Row scores in one pass: against the operators they stand for, and what the scorecard over documents stores."""
 import random
+import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,7 +35,7 @@ def rows_of(spark, n=600):
 @pytest.mark.parametrize("stemmed, kept", [(True, 100_000), (False, 100_000), (True, 5)])
 def test_one_pass_equals_the_operators(spark, monkeypatch, stemmed, kept):
     monkeypatch.setattr(sections, "KEPT", kept)
-    for name in ("KEPT_WORDS", "LATEST_TOKENS", "GRAM_TOKENS"):
+    for name in ("KEPT_WORDS", "BLOCK", "GRAM_TOKENS"):
         monkeypatch.setattr(stem, name, kept)
     df = rows_of(spark)
     apart = parse.parse_sections(parse.parse_sections(df, "reference_text", "ref_"), "generated_text", "gen_")
@@ -50,13 +54,27 @@ def test_strips_of_long_texts(spark):
     assert df.where(~wstrip("t").eqNullSafe(wstrip_long("t"))).count() == 0
 
 
-def test_words_are_the_stemmed_runs_of_letters():
-    import re
-
-    words, texts = stem.Words(stem=True), [t or "" for t in odd_texts(200, 5)]
-    for a, b in zip(texts, texts[1:]):
-        wanted = [[stem.porter_stem(w) if len(w) > 3 else w for w in re.findall("[a-z0-9]+", t.lower())] for t in (a, b)]
-        assert words.subsequence(*words.numbers(a, b)) == (stem.lcs_length(*wanted), len(wanted[0]), len(wanted[1]))
+def test_words_are_the_stemmed_runs_of_letters(monkeypatch):
+    texts = [t or "" for t in odd_texts(200, 5)]
+    pairs = list(zip(texts, texts[1:]))
+    for block, kept in ((1 << 20, 10**6), (50, 3)):
+        monkeypatch.setattr(stem, "BLOCK", block)
+        monkeypatch.setattr(stem, "KEPT_WORDS", kept)
+        got = list(stem.Words(stem=True).pairs(iter(pairs)))
+        assert len(got) == len(pairs)
+        for (lengths, tokens), pair in zip(got, pairs):
+            wanted = [[stem.porter_stem(w) if len(w) > 3 else w for w in re.findall("[a-z0-9]+", t.lower())] for t in pair]
+            assert lengths == (stem.lcs_length(*wanted), len(wanted[0]), len(wanted[1]))
+            number = dict(zip(sum((t.split() for t in pair), []), np.concatenate(tokens).tolist()))
+            assert len(set(number.values())) == len(number)
+            assert [t.tolist() for t in tokens] == [[number[w] for w in t.split()] for t in pair]
+    assert list(stem.Words(stem=True).pairs(iter([]))) == []
+
+
+def test_tokens_end_at_the_same_white_space():
+    every = ["a" + chr(c) + "b" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    parts = pc.list_value_length(pc.utf8_split_whitespace(pa.array(every))).to_numpy()
+    assert [c for c, n in zip(every, parts.tolist()) if n != len(c.split())] == []
 
 
 def documents(spark, path):

@@ -3,11 +3,13 @@ with the usual later extensions, the length of the longest common subsequence
 by bit vectors (Crochemore et al., 2001), and clipped gram matches."""
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Suffix tables of the published algorithm.
 IRREGULAR = {
@@ -169,75 +171,96 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return found
 
 
-# Any other byte ends a word of ROUGE.
-_WORD = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
+# Any other byte ends a word of ROUGE; line feeds stand between tokens.
+_WORD = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789\n" else 32 for c in range(256))
+#: Characters of text that are numbered at once (or one longer pair), and tokens that keep their words from text to text.
+BLOCK, KEPT_WORDS = 1 << 21, 500_000
 
 
-class Words(dict):
-    """Numbers of the white-space tokens of texts and, for each, the numbers of
-    its lower-case runs of ASCII letters and digits, stemmed where they are
-    longer than three.  The latest tokens are in a table that stays in a
-    processor's cache; another one is cut again, and its words looked up."""
+class Words:
+    """Tokens of texts as numbers: white-space tokens, and lower-case runs of
+    ASCII letters and digits, stemmed where they are longer than three.  A
+    distinct token of a block is cut once, and stemmed when it is first seen."""
 
     def __init__(self, stem: bool):
-        super().__init__()
-        self.stem, self.mark = stem, np.zeros(0, bool)
-        self.words: dict[str, int] = {}
+        self.stem = stem
+        self.words: dict[bytes, int] = {}  # of one run; of others, where they are in ``several``
+        self.several: list[list[int]] = []
         self.stems: dict[str, int] = {}
-        self.first, self.count, self.flat = array("q"), array("q"), array("q")
-
-    def __missing__(self, token: str) -> int:
-        self.first.append(len(self.flat))
-        if token.isascii() and token.isalnum():
-            word = token.lower()
-            number = self.words.get(word)
-            self.flat.append(self._word(word) if number is None else number)
-            self.count.append(1)
-        else:
-            found = token.lower().encode().translate(_WORD).split()
-            self.flat.extend([self._word(word.decode()) for word in found])
-            self.count.append(len(found))
-        self[token] = number = len(self)
-        return number
 
-    def _word(self, word: str) -> int:
-        number = self.words.get(word)
-        if number is None:
-            stem = porter_stem.__wrapped__(word) if self.stem and len(word) > 3 else word
-            self.words[word] = number = self.stems.setdefault(stem, len(self.stems))
+    def _cut(self, token: bytes) -> int:
+        found = []
+        for word in token.split():
+            text = word.decode()
+            stem = porter_stem.__wrapped__(text) if self.stem and len(text) > 3 else text
+            found.append(self.stems.setdefault(stem, len(self.stems)))
+        if len(found) == 1:
+            number = found[0]
+        else:
+            self.several.append(found)
+            number = -len(self.several)
+        self.words[token] = number
         return number
 
-    def numbers(self, *texts: str) -> list[np.ndarray]:
-        """Tokens of each text; the numbers hold until the next call."""
+    def numbers(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Tokens of each text, and its words; numbers hold for these texts."""
         if len(self.words) > KEPT_WORDS:
-            self.clear()
             self.__init__(self.stem)
-        if len(self) > LATEST_TOKENS:
-            self.clear()
-            self.first, self.count, self.flat = array("q"), array("q"), array("q")
-        return [np.fromiter(map(self.__getitem__, tokens), "int64", len(tokens)) for tokens in map(str.split, texts)]
-
-    def _words(self, numbers: np.ndarray) -> np.ndarray:
-        first, count, flat = (np.frombuffer(x, "int64") if x else np.zeros(0, "int64") for x in (self.first, self.count, self.flat))
-        first, count = first[numbers], count[numbers]
-        ends = np.cumsum(count)
-        return flat[np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
-
-    def subsequence(self, generated: np.ndarray, reference: np.ndarray) -> tuple[int, int, int]:
-        """Length of the longest common subsequence of the words and how many words either side has."""
-        g, r = self._words(generated), self._words(reference)
-        if len(self.mark) < len(self.stems):
-            self.mark = np.zeros(2 * len(self.stems), bool)
-        shared = []
-        for side, other in ((g, r), (r, g)):
-            self.mark[other] = True
-            shared.append(side[self.mark[side]].tolist())
-            self.mark[other] = False
-        return lcs_length(*shared), len(g), len(r)
-
-
-#: Words that keep their stems from text to text, and tokens that keep their words.
-KEPT_WORDS, LATEST_TOKENS = 300_000, 40_000
+        tokens = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+        coded, ends = tokens.flatten().dictionary_encode(), tokens.offsets.to_numpy()
+        token = coded.indices.to_numpy().astype(np.int64)
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        blank = distinct.index("") if "" in distinct else -1
+        if blank >= 0:  # white space at an end of a text
+            some = token != blank
+            token, ends = token[some], np.append(0, np.cumsum(some))[ends]
+        cut = "\n".join(distinct).lower().encode().translate(_WORD)
+        cut = cut.replace(b" \n", b"\n").replace(b"\n ", b"\n").split(b"\n") if distinct else []
+        known = list(map(self.words.get, cut))
+        known = np.array([self._cut(c) if n is None else n for n, c in zip(known, cut)], np.int64)
+        several = np.flatnonzero(known < 0)
+        lists = [self.several[-1 - n] for n in known[several].tolist()]
+        count, first = np.ones(len(known), np.int64), np.arange(len(known))
+        count[several] = list(map(len, lists))
+        first[several] = len(known) + np.cumsum(count[several]) - count[several]
+        flat = np.append(known, np.array([n for found in lists for n in found], np.int64))
+        count, first = count[token], first[token]
+        upto = np.append(0, np.cumsum(count))
+        word = flat[np.repeat(first - upto[:-1], count) + np.arange(upto[-1])]
+        cuts = ends[1:-1]
+        return np.split(token, cuts), np.split(word, upto[cuts])
+
+    def shared(self, generated: np.ndarray, reference: np.ndarray) -> int:
+        """Length of the longest common subsequence of two texts' words."""
+        mark, both = np.zeros(len(self.stems), bool), []
+        for side, other in ((generated, reference), (reference, generated)):
+            mark[other] = True
+            both.append(side[mark[side]].tolist())
+            mark[other] = False
+        return lcs_length(*both)
+
+    def pairs(self, texts: Iterable[tuple[str, str]]) -> Iterator[tuple[tuple[int, int, int], list[np.ndarray]]]:
+        """For every pair of texts the length of the subsequence and how many
+        words either has, and both sides' tokens."""
+        held, size = [], 0
+        for pair in chain(texts, [None]):
+            added = sum(map(len, pair)) if pair else 0
+            if held and (pair is None or size + added > BLOCK):
+                tokens, found = self.numbers(held)
+                for i in range(0, len(held), 2):
+                    g, r = found[i:i + 2]
+                    yield (self.shared(g, r), len(g), len(r)), tokens[i:i + 2]
+                held, size = [], 0
+            held += pair or ()
+            size += added
+
+
+@lru_cache
+def worker_words(stem: bool) -> Words:
+    """The tokens that a worker keeps from task to task."""
+    return Words(stem)
+
+
 #: Tokens whose grams are counted at once; a longer pair is counted alone.
 GRAM_TOKENS = 1 << 14
 

@@ -8,8 +8,6 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 
 # Suffix tables of the published algorithm.
 IRREGULAR = {
@@ -188,17 +186,21 @@ class Words:
         self.several: list[list[int]] = []
         self.stems: dict[str, int] = {}
 
+    def _stem(self, word: bytes) -> int:
+        text = word.decode()
+        stem = porter_stem.__wrapped__(text) if self.stem and len(text) > 3 else text
+        return self.stems.setdefault(stem, len(self.stems))
+
     def _cut(self, token: bytes) -> int:
-        found = []
-        for word in token.split():
-            text = word.decode()
-            stem = porter_stem.__wrapped__(text) if self.stem and len(text) > 3 else text
-            found.append(self.stems.setdefault(stem, len(self.stems)))
-        if len(found) == 1:
-            number = found[0]
+        if token.isalnum():
+            number = self._stem(token)
         else:
-            self.several.append(found)
-            number = -len(self.several)
+            found = list(map(self._stem, token.split()))
+            if len(found) == 1:
+                number = found[0]
+            else:
+                self.several.append(found)
+                number = -len(self.several)
         self.words[token] = number
         return number
 
@@ -206,14 +208,12 @@ class Words:
         """Tokens of each text, and its words; numbers hold for these texts."""
         if len(self.words) > KEPT_WORDS:
             self.__init__(self.stem)
-        tokens = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
-        coded, ends = tokens.flatten().dictionary_encode(), tokens.offsets.to_numpy()
-        token = coded.indices.to_numpy().astype(np.int64)
-        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        blank = distinct.index("") if "" in distinct else -1
-        if blank >= 0:  # white space at an end of a text
-            some = token != blank
-            token, ends = token[some], np.append(0, np.cumsum(some))[ends]
+        tokens = [text.split() for text in texts]
+        ends = np.append(0, np.cumsum(list(map(len, tokens))))
+        flat = list(chain.from_iterable(tokens))
+        distinct = dict.fromkeys(flat)
+        index = dict(zip(distinct, range(len(distinct))))
+        token = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
         cut = "\n".join(distinct).lower().encode().translate(_WORD)
         cut = cut.replace(b" \n", b"\n").replace(b"\n ", b"\n").split(b"\n") if distinct else []
         known = list(map(self.words.get, cut))
@@ -223,10 +223,10 @@ class Words:
         count, first = np.ones(len(known), np.int64), np.arange(len(known))
         count[several] = list(map(len, lists))
         first[several] = len(known) + np.cumsum(count[several]) - count[several]
-        flat = np.append(known, np.array([n for found in lists for n in found], np.int64))
+        words = np.append(known, np.array([n for found in lists for n in found], np.int64))
         count, first = count[token], first[token]
         upto = np.append(0, np.cumsum(count))
-        word = flat[np.repeat(first - upto[:-1], count) + np.arange(upto[-1])]
+        word = words[np.repeat(first - upto[:-1], count) + np.arange(upto[-1])]
         cuts = ends[1:-1]
         return np.split(token, cuts), np.split(word, upto[cuts])
 

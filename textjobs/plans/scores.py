@@ -384,9 +384,10 @@ def scorecard(spark: SparkSession, sf: str) -> DataFrame:
 def scorecard_documents(spark: SparkSession, sf: str) -> DataFrame:
     """The scorecard over whole documents, with stemming, without embeddings.
     Rows are stored with titles, scores and counts: both texts, item lists and
-    bodies beside them are nine times the documents, and nothing reads them."""
+    bodies beside them are nine times the documents, and nothing reads them.
+    They are few bytes, so they are brought together into files of a usual size."""
     rows = score.score_rows(doc_eval(spark, sf), with_counts=True, with_parts=False).drop("reference_text", "generated_text")
-    return score.scorecard(save_and_reread(rows, "scored"))
+    return score.scorecard(save_and_reread(rows.hint("rebalance"), "scored"))
 
 
 def _lookup(row: dict) -> dict:
